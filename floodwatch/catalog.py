@@ -93,3 +93,420 @@ def packet_rate_limiter(spark, d):
 def packet_rate_tumbling(spark, d):
     return P.packet_rate_tumbling(A.packets(spark, d), limit=30, window_s=DAY).select(
         "dpid", "slot", "packets", "over_limit")
+
+
+# --- address caches, flow gates and deltas ----------------------------------
+
+from floodwatch import config as C  # noqa: E402
+from floodwatch.operators import features as FT  # noqa: E402
+from floodwatch.operators import flows as FL  # noqa: E402
+
+SEQ = ["l_orderkey", "l_linenumber", "l_partkey"]
+FLOW_ID = ["src_ip", "poll_id", *SEQ]
+
+
+def partial_flows(spark, d):
+    """Packets seen as samples, a quarter of them with a protocol of their own."""
+    num = P.proto_number(F.col("proto"))
+    return A.packets(spark, d).select(
+        "event_id", "ts", "dpid", "src_ip", F.when(F.col("event_id") % 4 == 0, num).otherwise(0).cast("long").alias("ip_proto"))
+
+
+@query
+def resolve_protocol(spark, d):
+    out = P.resolve_protocol(partial_flows(spark, d), A.packets(spark, d), slice_s=SLICE_D)
+    return out.select("event_id", "ip_proto", "resolved_proto")
+
+
+@query
+def resolve_ports(spark, d):
+    pk = A.packets(spark, d).withColumn("tp_src", F.col("event_id") % 65536).withColumn("tp_dst", F.col("event_id") % 1024)
+    return P.resolve_ports(partial_flows(spark, d), pk, slice_s=SLICE_D).select("event_id", "port_src", "port_dst")
+
+
+@query
+def flow_rates(spark, d):
+    return A.flows(spark, d).select(*FLOW_ID, r6("packet_count_per_second"), r6("byte_count_per_second"),
+                                    F.round(F.col("packet_count_per_nsecond") * 1e9, 6).alias("pps_from_ns"),
+                                    F.round(F.col("byte_count_per_nsecond") * 1e9, 6).alias("bps_from_ns"))
+
+
+@query
+def young_flow_gate(spark, d):
+    f = A.flows(spark, d).withColumn("flow_duration_sec", F.col("flow_duration_sec") - 1)
+    return FL.young_flow_gate(f).select(*FLOW_ID)
+
+
+@query
+def low_rate_gate(spark, d):
+    f = A.flows(spark, d).withColumn("base", F.col("flow_duration_sec") * 8).withColumn("flag", F.col("ip_proto") == 6)
+    return FL.low_rate_gate(f, baseline="base", flagged="flag").select(*FLOW_ID, "low_rate")
+
+
+@query
+def staleness_gate(spark, d):
+    f = A.flows(spark, d).withColumn("flag", F.col("ip_proto") == 6)
+    return FL.staleness_gate(f, wait_s="flow_duration_sec", flagged="flag").select(*FLOW_ID, "route")
+
+
+@query
+def estimate_pkt_count(spark, d):
+    seen = F.when(F.col("ip_proto") != 6, F.col("packet_count"))
+    return A.flows(spark, d).select(*FLOW_ID, FL.estimate_pkt_count(seen, F.col("packet_count_per_second")).alias("pkts"))
+
+
+@query
+def flow_delta(spark, d):
+    out = FL.flow_delta(A.flows(spark, d), A.FLOW_ORDER, slice_s=SLICE_FLOW)
+    return out.select(*FLOW_ID, "delta_packets")
+
+
+@query
+def flow_count_per_src(spark, d):
+    out = FL.flow_count_per_src(A.flows(spark, d), SEQ, chunk=F.floor(F.col("l_orderkey") / 100000))
+    return out.select(*FLOW_ID, "flow_count_per_src")
+
+
+def poll_stats(spark, d):
+    return FL.switch_poll_stats(A.flows(spark, d))
+
+
+@query
+def switch_poll_stats(spark, d):
+    return poll_stats(spark, d).select("dpid", "poll_id", "disp_pakt", "disp_byte", "gfe", "g_usip", "avg_flow_dst",
+                                       "dominant_proto", "rfip", r6("mean_pkt"), r6("mean_byte"), r6("avg_durat"))
+
+
+@query
+def switch_delta_pps(spark, d):
+    out = FL.switch_delta_pps(poll_stats(spark, d), ts="poll_id")
+    return out.select("dpid", "poll_id", r6("switch_delta_pps"))
+
+
+@query
+def drop_delta(spark, d):
+    rule = F.element_at(F.array(*[F.lit(x) for x in (100, 90, 80, 50, 10)]), (F.col("poll_id") % 5 + 1).cast("int"))
+    f = A.flows(spark, d).withColumn("rule_priority", rule)
+    return FL.drop_delta(f, [*A.FLOW_ORDER, "l_suppkey"], slice_s=SLICE_FLOW).select(*FLOW_ID, "drop_key", "delta")
+
+
+@query
+def merge_switch_flow(spark, d):
+    stats = poll_stats(spark, d).select("dpid", "poll_id", "disp_pakt", "gfe", F.col("dominant_proto").alias("ip_proto"))
+    f = A.flows(spark, d).withColumn("ip_proto", F.when(F.col("l_partkey") % 3 == 0, 0).otherwise(F.col("ip_proto")))
+    return FL.merge_switch_flow(f, stats).select(*FLOW_ID, "ip_proto", "disp_pakt", "gfe")
+
+
+@query
+def latest_flow_per_src(spark, d):
+    out = FL.latest_flow_per_src(A.flows(spark, d), [*A.FLOW_ORDER, "l_suppkey"], cap=50)
+    return out.select(*FLOW_ID, "packet_count", "byte_count")
+
+
+@query
+def live_deltas(spark, d):
+    """Counters drop once a week, as after a restart of the counting process."""
+    f = A.flows(spark, d)
+    bad = F.col("ip_proto") == 6
+    polls = f.groupBy("poll_id").agg(F.sum(F.when(bad, F.col("packet_count")).otherwise(0)).alias("m"),
+                                     F.sum(F.when(~bad, F.col("packet_count")).otherwise(0)).alias("n"))
+    polls = polls.withColumn("t", F.col("m") + F.col("n"))
+    out = FL.live_deltas(polls, order="poll_id", malicious="m", normal="n", total="t")
+    return out.select("poll_id", "delta_malicious", "delta_normal", "delta_total", r6("pct_change"))
+
+
+@query
+def flatten_flow_stats(spark, d):
+    from floodwatch.sources import telemetry as S
+    return S.flatten_flow_stats(S.nest_flows(A.flows(spark, d))).select(
+        *FLOW_ID, "packet_count", "byte_count", "idle_timeout", r6("byte_count_per_second"))
+
+
+@query
+def ground_truth_intervals(spark, d):
+    from floodwatch.sources import telemetry as S
+    e = A.packets(spark, d).filter(F.col("proto") != "OTHER")
+    calls = e.select("src_ip", "ts", "event_id", F.when(F.col("proto") == "UDP", "stop").otherwise("start").alias("call"),
+                     F.when(F.col("proto") == "ICMP", "ICMP").otherwise("SYN").alias("attack_type"))
+    return S.ground_truth_intervals(calls, slice_s=SLICE_D).select("src_ip", "attack_type", "start_ts", "end_ts")
+
+
+# --- features ---------------------------------------------------------------
+
+
+def counted_flows(spark, d):
+    return FL.flow_count_per_src(A.flows(spark, d), SEQ, chunk=F.floor(F.col("l_orderkey") / 100000))
+
+
+@query
+def if_features(spark, d):
+    return FT.if_features(counted_flows(spark, d)).select(*FLOW_ID, *[r6(f"if_{n}") for n in C.IF_FEATURES])
+
+
+@query
+def rf_features(spark, d):
+    return FT.rf_features(counted_flows(spark, d)).select(*FLOW_ID, *[r6(f"rf_{n}") for n in C.RF_FEATURES])
+
+
+LEDGER = ("flow_duration_total_ns", "bytes_per_packet", "pkt_byte_rate_ratio", "flow_intensity", "port_entropy",
+          "bytes_per_duration", "pkt_size_uniformity", "flow_src_intensity")
+
+
+@query
+def ledger_features(spark, d):
+    out = FT.ledger_features(counted_flows(spark, d))
+    return out.select(*FLOW_ID, *[F.round(n, 9 if n == "port_entropy" else 4).alias(n) for n in LEDGER],
+                      F.round(F.col("duration_pkt_ratio") / 1e9, 6).alias("duration_pkt_ratio_e9"),
+                      F.round(F.col("pkt_rate_per_duration") * 1e9, 4).alias("pkt_rate_per_duration_e9"))
+
+
+@query
+def live_view_features(spark, d):
+    # compared in hundredths, away from the operator's own rounding to four places
+    out = FT.live_view_features(A.flows(spark, d).withColumn("flow_count_per_src", F.lit(1)))
+    cents = lambda c: F.floor(F.col(c) * 100 + 0.31).cast("long").alias(c)
+    return out.select(*FLOW_ID, *[cents(c) for c in ("flow_intensity", "flow_src_intensity", "port_entropy",
+                                                     "bytes_per_duration", "pkt_byte_rate_ratio", "pkt_size_uniformity")])
+
+
+@query
+def class_one_hot(spark, d):
+    return FT.class_one_hot(A.results(spark, d)).select(*FLOW_ID, "flag_syn_flood", "flag_icmp_flood", "flag_udp_flood", "flag_normal")
+
+
+@query
+def impute_nonfinite(spark, d):
+    inf = F.lit(float("inf"))
+    bad = (F.when(F.col("l_partkey") % 11 == 0, F.lit(float("nan"))).when(F.col("l_partkey") % 13 == 0, inf)
+           .when(F.col("l_partkey") % 17 == 0, F.lit(None)).otherwise(F.col("packet_count").cast("double")))
+    f = A.flows(spark, d).withColumn("x", bad)
+    return FT.impute_nonfinite(f, ["x"]).select(*FLOW_ID, r6("x"))
+
+
+@query
+def map_labels(spark, d):
+    return FT.map_labels(A.results(spark, d)).select(
+        *FLOW_ID, "predicted_class", F.coalesce("short_class", F.lit("-")).alias("short_class"),
+        F.coalesce("class_protocol", F.lit(0)).alias("class_protocol"))
+
+
+@query
+def signal_alerts(spark, d):
+    r = A.results(spark, d)
+    bpp = F.col("byte_count") / F.col("packet_count")
+    f = r.select(*FLOW_ID, "attack_class", (F.col("pps") * 40).alias("pps"), F.col("byte_count_per_second").alias("byte_rate"),
+                 (bpp / 20).alias("bpp"), (F.col("packet_count") * 400).alias("pkt_count"), (F.col("byte_count") * 20).alias("byte_count"),
+                 (F.col("tp_src") / (F.col("tp_dst") + 1)).alias("port_entropy"),
+                 F.log1p(bpp / (F.col("byte_count_per_second") + 1)).alias("pkt_size_uniformity"))
+    return FT.signal_alerts(f, FLOW_ID).select(*FLOW_ID, "attack_class", "feature", F.round("value", 9).alias("value"))
+
+
+@query
+def score_band(spark, d):
+    r = A.results(spark, d)
+    return r.select(*FLOW_ID, FT.score_band(F.col("if_score")).alias("band"),
+                    FT.fp_rate_band(F.col("l_discount") * 100 + 0.5).alias("fp_band"))
+
+
+@query
+def format_fields(spark, d):
+    r = A.results(spark, d)
+    return r.select(*FLOW_ID, FT.format_percent(F.round("l_tax", 2)).alias("pct"),
+                    FT.format_duration(F.col("l_orderkey") % 7200).alias("duration"),
+                    FT.format_ban(F.col("packet_count") * 10).alias("ban"),
+                    FT.protocol_name(F.col("ip_proto")).alias("protocol"),
+                    FT.format_byte_rate((F.col("byte_count") * 250 + 1).cast("double")).alias("rate"))
+
+
+# --- temporal entropy analysis ----------------------------------------------
+
+from floodwatch.functions import entropy as EN  # noqa: E402
+from floodwatch.operators import tea as TE  # noqa: E402
+
+
+def snapshots(spark, d):
+    return TE.tea_snapshot(A.flows(spark, d), tick_s=DAY)
+
+
+@query
+def tea_snapshot(spark, d):
+    return snapshots(spark, d).select("tick_ts", *[r6(m) for m in TE.METRICS], "unique_ips")
+
+
+@query
+def tea_snapshot_per_switch(spark, d):
+    out = TE.tea_snapshot(A.flows(spark, d), tick_s=DAY, scope=F.col("dpid").cast("string"), method="binned")
+    return out.select("scope", "tick_ts", *[r6(m) for m in TE.METRICS], "unique_ips")
+
+
+@query
+def shannon_entropy(spark, d):
+    return EN.shannon_entropy(A.flows(spark, d), ["src_ip"], "ip_proto", F.col("packet_count")).select("src_ip", r6("entropy"))
+
+
+@query
+def uniform_share(spark, d):
+    f = TE.flow_shape(TE.with_tick(A.flows(spark, d), DAY))
+    return TE.uniform_share(f, method="binned").select("tick_ts", r6("uniform_share"))
+
+
+@query
+def adaptive_baseline(spark, d):
+    return TE.adaptive_baseline(snapshots(spark, d)).select("tick_ts", "learned", r6("baseline_mean"), r6("baseline_var"))
+
+
+def verdicts(spark, d):
+    return TE.tea_verdict(snapshots(spark, d))
+
+
+@query
+def tea_verdict(spark, d):
+    return verdicts(spark, d).select("tick_ts", "is_learned", "is_attack_pattern", "mechanized_cluster", "size_surge", "intensity_surge",
+                                     "confidence", *[r6(n) for n in ("size_zscore", "intensity_zscore", "proto_zscore",
+                                                                     "uniform_share_zscore", "baseline_mean_size", "size_delta")])
+
+
+@query
+def ip_profile_verdict(spark, d):
+    out = TE.ip_profile_verdict(A.flows(spark, d), A.FLOW_ORDER, slice_s=SLICE_FLOW)
+    return out.select(*FLOW_ID, "samples", "ip_verdict")
+
+
+@query
+def ip_trend(spark, d):
+    out = TE.ip_profile_verdict(A.flows(spark, d), A.FLOW_ORDER, slice_s=SLICE_FLOW)
+    return out.select(*FLOW_ID, r6("ip_trend"))
+
+
+@query
+def attach_tea(spark, d):
+    from floodwatch.operators import fusion as FU
+    f = A.flows(spark, d).withColumn("scope", F.lit("all"))
+    every_third = verdicts(spark, d).filter(F.datediff("tick_ts", F.lit("1995-01-01")) % 3 == 0)
+    return FU.attach_tea(f, every_third, slice_s=30 * DAY).select(*FLOW_ID, "tea_attack_pattern", "tea_confidence", "tea_is_learned")
+
+
+@query
+def mitigation_advisory(spark, d):
+    from floodwatch.operators import fusion as FU
+    f = TE.with_tick(A.flows(spark, d), DAY).withColumn("flagged", F.col("ip_proto") == 6)
+    out = TE.mitigation_advisory(FU.attach_tea_by_tick(f, verdicts(spark, d)))
+    return out.groupBy("src_ip").agg(F.count(F.when(F.col("would_block"), 1)).alias("would_block"), F.count(F.lit(1)).alias("scored"))
+
+
+# --- decision fusion --------------------------------------------------------
+
+from floodwatch.operators import behavior as BE  # noqa: E402
+from floodwatch.operators import fusion as FU  # noqa: E402
+from floodwatch.operators import ledger as LE  # noqa: E402
+from floodwatch.operators import metrics as ME  # noqa: E402
+from floodwatch.operators import reports as RE  # noqa: E402
+
+NOW = "1999-06-01 00:00:00"
+
+
+def now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def labelled(spark, d):
+    return FU.label_with_ground_truth(A.results(spark, d), A.gt_intervals(spark, d), slice_s=SLICE_FLOW)
+
+
+def decisions(spark, d):
+    return FU.score_decisions(labelled(spark, d))
+
+
+@query
+def label_with_ground_truth(spark, d):
+    return labelled(spark, d).select(*FLOW_ID, F.coalesce("attack_type", F.lit("-")).alias("attack_type"), "is_attacker")
+
+
+@query
+def attach_prefilter_flag(spark, d):
+    pk = A.packets(spark, d)
+    return FU.attach_prefilter_flag(pk, X.flag_intervals(pk, A.FLOOD_RULES), slice_s=SLICE_D).select("event_id", "src_ip", "flagged")
+
+
+@query
+def confidence_lock(spark, d):
+    r = A.results(spark, d).filter("is_anomaly = 1")
+    return FU.confidence_lock(r, A.FLOW_ORDER, slice_s=SLICE_FLOW).select(*FLOW_ID, r6("locked_confidence"), "locked_class")
+
+
+@query
+def carry_prior_class(spark, d):
+    r = A.results(spark, d).groupBy("src_ip", "ts").agg(
+        F.max("is_anomaly").alias("is_anomaly"), F.max("confidence").alias("c"),
+        F.max_by("attack_class", F.struct("confidence", "attack_class")).alias("k"))
+    r = r.select("src_ip", "ts", "is_anomaly", F.col("k").alias("attack_class"), F.col("c").alias("confidence"))
+    out = FU.carry_prior_class(r, ttl_s=10 * DAY, slice_s=100 * DAY)
+    return out.select("src_ip", "ts", "carried_class", r6("carried_confidence"))
+
+
+@query
+def gate_confidence(spark, d):
+    r = A.results(spark, d)
+    top = F.when(F.col("ip_proto") == 6, "SYN Flood").when(F.col("ip_proto") == 1, "ICMP Flood").otherwise("UDP Flood")
+    return r.select(*FLOW_ID, FU.gate_confidence(top, F.col("confidence")).alias("attack_class"))
+
+
+@query
+def score_decisions(spark, d):
+    cols = [c for c in ME.COUNTERS if c not in ("held", "rescored", "expired_unscored")]
+    return decisions(spark, d).select(*FLOW_ID, *cols)
+
+
+@query
+def baseline_lock(spark, d):
+    r = A.results(spark, d).withColumn("scope", F.col("dpid").cast("string"))
+    out = FU.baseline_lock(r, [*A.FLOW_ORDER, "l_suppkey"], slice_s=SLICE_FLOW, streak=3)
+    return out.select(*FLOW_ID, "locked_after")
+
+
+@query
+def reputation(spark, d):
+    h = A.attack_history(spark, d).filter(F.col("unblocked_at") <= now())
+    return BE.reputation(h, now(), half_life_s=90 * DAY).select("src_ip", "reputation")
+
+
+def offence_detections(spark, d):
+    """Detections a week after each order of the same sources."""
+    h = A.attack_history(spark, d)
+    return h.select("id", "src_ip", (F.col("unblocked_at") + F.expr("make_dt_interval(7)")).alias("ts"))
+
+
+@query
+def attach_reputation(spark, d):
+    out = BE.attach_reputation(offence_detections(spark, d), A.attack_history(spark, d), half_life_s=90 * DAY)
+    return out.select("id", "src_ip", "reputation")
+
+
+@query
+def running_reputation(spark, d):
+    out = BE.running_reputation(A.attack_history(spark, d), half_life_s=90 * DAY)
+    return out.select("id", "src_ip", "reputation")
+
+
+@query
+def prior_ban(spark, d):
+    return BE.prior_ban(A.attack_history(spark, d))
+
+
+@query
+def offence_totals(spark, d):
+    return BE.offence_totals(A.attack_history(spark, d))
+
+
+@query
+def priority(spark, d):
+    r = A.results(spark, d).withColumn("pps", F.col("pps") * 10).withColumn("reputation", F.col("l_partkey") % 11 * 1.0)
+    return BE.with_priority(r).select(*FLOW_ID, r6("priority_score"), "priority")
+
+
+@query
+def entropy_fast_track(spark, d):
+    r = A.results(spark, d).withColumn("reputation", F.lit(0.0))
+    out = BE.with_priority(r).withColumn("logged_priority", BE.entropy_fast_track(
+        F.col("priority"), F.col("l_partkey") % 2 == 0, F.when(F.col("l_partkey") % 3 == 0, "high").otherwise("moderate")))
+    return out.select(*FLOW_ID, "priority", "logged_priority")

@@ -1,5 +1,5 @@
 """DuckDB texts the registered queries are checked against."""
 
-from oracles import packets
+from oracles import flows, fusion, packets
 
-ORACLES: dict[str, str] = {**packets.SQL}
+ORACLES: dict[str, str] = {**packets.SQL, **flows.SQL, **fusion.SQL}
