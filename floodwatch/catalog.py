@@ -510,3 +510,325 @@ def entropy_fast_track(spark, d):
     out = BE.with_priority(r).withColumn("logged_priority", BE.entropy_fast_track(
         F.col("priority"), F.col("l_partkey") % 2 == 0, F.when(F.col("l_partkey") % 3 == 0, "high").otherwise("moderate")))
     return out.select(*FLOW_ID, "priority", "logged_priority")
+
+
+# --- ledger -----------------------------------------------------------------
+
+from floodwatch.operators import guard as GU  # noqa: E402
+from floodwatch.operators import policy as PO  # noqa: E402
+
+
+def ntz(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def few_scores(spark, d):
+    """Ledger events with three distinct scores, so repeats of a key occur."""
+    return A.mitigation_events(spark, d).withColumn("if_score", F.lit(0.4) + (F.col("id") % 3) / 100.0)
+
+
+@query
+def append_mitigation_events(spark, d):
+    out = LE.append_mitigation_events(few_scores(spark, d), ttl_s=10 * DAY, slice_s=10 * DAY)
+    return out.select("id", "src_ip", "action_taken", "event_type", "is_manual")
+
+
+@query
+def ttl_dedupe(spark, d):
+    return LE.ttl_dedupe(few_scores(spark, d), ttl_s=3 * DAY, slice_s=5 * DAY).select("id", "src_ip")
+
+
+@query
+def feed_dedupe(spark, d):
+    urgent = F.col("action_taken").startswith("Time Ban") | (F.col("action_taken") == "Blackhole")
+    return LE.feed_dedupe(A.mitigation_events(spark, d), force=urgent, ttl_s=DAY / 2, slice_s=5 * DAY).select("id", "src_ip")
+
+
+@query
+def append_manual_action(spark, d):
+    m = A.mitigation_events(spark, d).filter("is_manual = 1")
+    m = m.withColumn("action", F.when(F.col("id") % 100 == 0, "manual_release").otherwise("manual_block"))
+    return LE.manual_action_rows(m).select("id", "src_ip", "predicted_class", "action_taken", "is_manual", "event_type")
+
+
+def state_changes(spark, d):
+    m = A.mitigation_events(spark, d)
+    hours = F.expr("make_dt_interval(0, cast(id % 200 as int))")
+    return m.select("id", "src_ip", "timestamp", "if_score", "action_taken", "attack_vector",
+                    (F.col("action_taken") == "Released").alias("deleted"),
+                    FT.phase_number(F.col("phase")).cast("long").alias("phase"),
+                    (F.col("id") % 3 != 0).cast("long").alias("permanent"),
+                    F.when(F.col("id") % 5 != 0, F.col("timestamp") + hours).alias("block_expires_at"))
+
+
+@query
+def upsert_quarantine_state(spark, d):
+    out = LE.latest_state(state_changes(spark, d), order=["timestamp", "id"], deleted="deleted")
+    return out.select("src_ip", "id", "action_taken", r6("if_score"))
+
+
+@query
+def restore_states(spark, d):
+    s = LE.latest_state(state_changes(spark, d), order=["timestamp", "id"], deleted="deleted")
+    out = LE.restore_states(s, ntz("2024-01-31 12:00:00"))
+    return out.select("src_ip", "outcome", "command", F.coalesce("ttl", F.lit(-1)).alias("ttl"))
+
+
+@query
+def archive_events(spark, d):
+    hot, old = LE.split_archive(A.mitigation_events(spark, d), ntz("2024-01-20 00:00:00"))
+    tag = lambda df, name: df.select("id", "src_ip", F.lit(name).alias("store"), "session_id", r6("mitigation_ms"))
+    return LE.with_archive(tag(hot, "hot"), tag(old, "archive"))
+
+
+@query
+def append_attack_history(spark, d):
+    return LE.history_rows(A.attack_history(spark, d)).select("id", "src_ip", "duration_sec", "if_score", "confidence", "unblock_reason")
+
+
+@query
+def append_system_metrics(spark, d):
+    return LE.metrics_rows(A.system_metrics(spark, d))
+
+
+@query
+def dedupe_first(spark, d):
+    return RE.report_rows(A.mitigation_events(spark, d)).select("src_ip", "action_taken", "id", "timestamp", "priority")
+
+
+@query
+def phase_history(spark, d):
+    hot, old = LE.split_archive(A.mitigation_events(spark, d), ntz("2024-01-29 00:00:00"))
+    return RE.phase_history(hot, old).select("src_ip", "phase", "action_taken", "timestamp", "id")
+
+
+@query
+def first_detection_per_phase(spark, d):
+    m = A.mitigation_events(spark, d).withColumn("phase_entered", F.floor(F.col("id") / 500).cast("long"))
+    return LE.first_detection_per_phase(m).select("src_ip", "phase_entered", "id", "timestamp")
+
+
+@query
+def incident_collapse(spark, d):
+    m = A.mitigation_events(spark, d)
+    m = (m.withColumn("event_type", F.when(F.col("id") % 4 == 0, "manual").otherwise(F.col("event_type")))
+         .withColumn("action_taken", F.when((F.col("event_type") == "manual") & (F.col("id") % 12 == 0), "Manual Release")
+                     .otherwise(F.col("action_taken"))))
+    return LE.incident_collapse(m, slice_s=SLICE_D).select("src_ip", "event_type", "incident_no", "updates", "id", "action_taken")
+
+
+@query
+def recent_events(spark, d):
+    return LE.recent_events(A.mitigation_events(spark, d), limit=500, since=ntz("2024-01-15 00:00:00")).select(
+        "id", "timestamp", "src_ip", "confidence", "action_taken", "event_type")
+
+
+@query
+def scan_log(spark, d):
+    out = LE.scan_log(A.results(spark, d), [*A.FLOW_ORDER, "l_suppkey"])
+    return out.select(*FLOW_ID, "attack_class", "if_score", "is_anomaly")
+
+
+@query
+def active_list(spark, d):
+    s = LE.latest_state(state_changes(spark, d), order=["timestamp", "id"], deleted="deleted").withColumn("priority", F.lit("High"))
+    cols = ["src_ip", "phase", "if_score", "attack_vector"]
+    out = LE.active_list(s.filter("phase > 0").select(*cols, "priority"), s.filter("phase = 0").select(*cols))
+    return out.select("src_ip", "phase", r6("if_score"), "priority")
+
+
+# --- counters and metrics ---------------------------------------------------
+
+
+def summary(spark, d):
+    return ME.traffic_summary(decisions(spark, d), width_s=5 * DAY)
+
+
+@query
+def traffic_summary(spark, d):
+    return summary(spark, d)
+
+
+@query
+def if_metrics(spark, d):
+    return ME.binary_metrics(ME.in_days(summary(spark, d), "1996-02-01", "1999-12-31"), "if_")
+
+
+@query
+def ml_metrics(spark, d):
+    return ME.binary_metrics(ME.in_days(summary(spark, d), "1996-02-01", "1999-12-31"), "")
+
+
+@query
+def class_metrics(spark, d):
+    return ME.class_metrics(summary(spark, d))
+
+
+@query
+def confusion_3x3(spark, d):
+    return ME.confusion_3x3(summary(spark, d))
+
+
+@query
+def confusion_pivot(spark, d):
+    rows = labelled(spark, d).filter((F.col("is_anomaly") == 1) & F.col("expected_class").isNotNull())
+    rows = rows.withColumn("predicted", FT.lookup(F.col("attack_class"), FT.SHORT_CLASS)).filter(F.col("predicted").isNotNull())
+    return ME.confusion_pivot(rows, "expected_class", "predicted")
+
+
+@query
+def model_accuracy(spark, d):
+    return ME.model_accuracy(summary(spark, d))
+
+
+@query
+def session_stats(spark, d):
+    rule = F.when(F.col("ip_proto") == 6, 100).otherwise(10)
+    drops = FL.drop_delta(A.flows(spark, d).withColumn("rule_priority", rule), [*A.FLOW_ORDER, "l_suppkey"], slice_s=SLICE_FLOW)
+    active = LE.latest_state(state_changes(spark, d), order=["timestamp", "id"], deleted="deleted")
+    return ME.session_stats(decisions(spark, d), drops, active, "packet_count")
+
+
+@query
+def latency_avg(spark, d):
+    return ME.latency_avg(ME.in_days(A.mitigation_events(spark, d), "2024-01-03", "2024-01-27"))
+
+
+@query
+def latency_percentiles(spark, d):
+    return ME.latency_percentiles(A.mitigation_events(spark, d), "detection_ms", ["timestamp", "id"])
+
+
+@query
+def system_metrics_avg(spark, d):
+    return ME.system_metrics_avg(ME.in_days(A.system_metrics(spark, d), "2024-01-02", "2024-01-20"))
+
+
+@query
+def system_metrics_by_condition(spark, d):
+    return ME.system_metrics_by_condition(ME.in_days(A.system_metrics(spark, d), "2024-01-02", "2024-01-20"))
+
+
+@query
+def system_metrics_latest(spark, d):
+    return ME.system_metrics_latest(A.system_metrics(spark, d))
+
+
+@query
+def score_distribution(spark, d):
+    return ME.score_distribution(A.results(spark, d), [*A.FLOW_ORDER, "l_suppkey"], C.IF_THRESHOLD)
+
+
+@query
+def class_distribution(spark, d):
+    return ME.class_distribution(A.results(spark, d), [*A.FLOW_ORDER, "l_suppkey"])
+
+
+@query
+def graph_history(spark, d):
+    return ME.graph_history(summary(spark, d), "1996-01-01 00:00:00", "1999-01-01 00:00:00")
+
+
+# --- reports ----------------------------------------------------------------
+
+
+@query
+def executive_summary(spark, d):
+    hot, old = LE.split_archive(A.mitigation_events(spark, d), ntz("2024-01-20 00:00:00"))
+    return RE.executive_summary(RE.report_rows(ME.in_days(LE.with_archive(hot, old), "2024-01-05", "2024-01-25")))
+
+
+@query
+def offences_summary(spark, d):
+    return RE.offences_summary(ME.in_days(A.attack_history(spark, d), "1996-01-01", "1998-12-31", ts="unblocked_at"))
+
+
+@query
+def chronological_log(spark, d):
+    return RE.chronological_log(RE.report_rows(ME.in_days(A.mitigation_events(spark, d), "2024-01-05", "2024-01-25"))).select(
+        "timestamp", "src_ip", "attack_vector", "priority", "action_taken")
+
+
+@query
+def history_report(spark, d):
+    h = LE.history_rows(ME.in_days(A.attack_history(spark, d), "1996-01-01", "1998-12-31", ts="unblocked_at"))
+    return RE.history_report(h).select("id", "src_ip", "if_score", "phase", "offences", "duration", "unblocked_at", "unblock_reason")
+
+
+@query
+def history_dates(spark, d):
+    return RE.history_dates(A.attack_history(spark, d))
+
+
+def as_user_ip(df: DataFrame) -> DataFrame:
+    return df.withColumn("src_ip", F.concat(F.lit("10.0"), F.substring("src_ip", 5, 20)))
+
+
+@query
+def ip_dossier(spark, d):
+    hot, old = LE.split_archive(A.mitigation_events(spark, d), ntz("2024-01-29 00:00:00"))
+    det = as_user_ip(A.flows(spark, d)).withColumn("_seq", F.struct(*SEQ)).withColumn("flow_count_per_src", F.lit(1))
+    h = as_user_ip(A.attack_history(spark, d))
+    out = RE.ip_dossier(hot, old, det, h, ntz("2002-01-01 00:00:00"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select("src_ip", "timestamp", "action_taken", "attack_vector", "phase_no", "priority", zero("packet_count"), zero("byte_count"),
+                      "ban_level", "offences", F.round("reputation", 4).alias("reputation"), F.round(F.col("confidence_pct"), 1).alias("confidence_pct"))
+
+
+@query
+def host_status(spark, d):
+    m = A.mitigation_events(spark, d)
+    hosts = m.groupBy("src_ip").agg(F.min("id").alias("n")).select("src_ip", F.element_at(
+        F.array(*[F.lit(r) for r in ("attacker", "legit", "server")]), (F.col("n") % 3 + 1).cast("int")).alias("role"))
+    mit = LE.latest_state(state_changes(spark, d), order=["timestamp", "id"], deleted="deleted")
+    on = m.filter((F.col("action_taken") == "Blackhole") & (F.col("timestamp") >= ntz("2024-01-30 12:00:00"))).select("src_ip").distinct()
+    return RE.host_status(hosts, mit, on)
+
+
+# --- switch rules and controller load ---------------------------------------
+
+
+def rule_commands(spark, d):
+    e = A.mitigation_events(spark, d).filter(F.col("id") % 7 == 0)
+    action = (F.when(F.col("action_taken") == "Quarantined", "rate_limit").when(F.col("action_taken").startswith("Time"), "block")
+              .when(F.col("action_taken") == "Blackhole", "quarantine").when(F.col("action_taken") == "Released", "clear").otherwise("redirect"))
+    return e.select("id", "src_ip", F.col("timestamp").alias("ts"), action.alias("action"),
+                    F.when(action == "block", 2).cast("long").alias("ttl"))
+
+
+@query
+def resolve_policy(spark, d):
+    pk = A.packets(spark, d)
+    blocks = pk.filter(F.col("event_id") % 211 == 0).select("proto", "ts", (F.col("event_id") % 422 == 0).alias("on"))
+    out = PO.resolve_policy(pk, rule_commands(spark, d), slice_s=SLICE_D, unit_s=DAY, proto_blocks=blocks)
+    return out.select("event_id", "src_ip", "rule", "outcome")
+
+
+@query
+def policy_counts(spark, d):
+    return PO.policy_counts(PO.resolve_policy(A.packets(spark, d), rule_commands(spark, d), slice_s=SLICE_D, unit_s=DAY))
+
+
+@query
+def command_targets(spark, d):
+    return PO.command_targets(rule_commands(spark, d), A.packets(spark, d), slice_s=SLICE_D).select("id", "action", "target_dpid")
+
+
+def load_readings(spark, d):
+    e = A.packets(spark, d)
+    m = A.system_metrics(spark, d)
+    tier = GU.resource_tier(F.col("ctrl_cpu_percent"), GU.memory_percent(F.col("ctrl_mem_mb")))
+    klass = (F.when(F.col("proto") == "ICMP", "ICMP Flood").when(F.col("proto") == "UDP", "UDP Flood"))
+    return (m.join(e.select(F.col("event_id").alias("id"), "dpid", "proto"), "id")
+            .select(F.col("dpid").alias("controller"), F.col("timestamp").alias("ts"), "id", tier.alias("tier"), klass.alias("attack_class")))
+
+
+@query
+def resource_tier(spark, d):
+    return load_readings(spark, d).select("id", "tier")
+
+
+@query
+def guard_transitions(spark, d):
+    out = GU.guard_transitions(load_readings(spark, d))
+    return out.select("controller", "id", "tier", "consecutive", "throttle_s", "rules_active", F.coalesce("command", F.lit("-")).alias("command"))

@@ -45,7 +45,7 @@ def learn(m: str, allowed: str) -> dict[str, str]:
 
 
 ONE = learn("size_var", "true")
-BASELINE = snapshot("'all'") + f""", x AS (SELECT *, row_number() OVER (ORDER BY tick_ts) AS rn FROM snap), walk AS (
+BASELINE = snapshot("'all'") + f""", x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tick_ts) AS rn FROM snap), walk AS (
   SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS tick_ts, CAST([] AS DOUBLE[]) AS size_var_s, CAST(NULL AS DOUBLE) AS size_var_m, CAST(0 AS DOUBLE) AS size_var_v
   UNION ALL SELECT x.rn, x.tick_ts, {ONE['size_var_s']}, {ONE['size_var_m']}, {ONE['size_var_v']} FROM walk w JOIN x ON x.rn = w.rn + 1)"""
 
@@ -74,7 +74,7 @@ def _verdict() -> str:
         ready AND w.z_size_var >= w.sg AS size_surge, ready AND w.z_intensity_var >= w.sg AS intensity_surge,
         CASE WHEN NOT w.attack THEN 'low' WHEN (f_size AND f_int) OR (f_share AND (f_size OR f_int OR f_proto)) THEN 'high' ELSE 'moderate' END AS confidence,
         {', '.join(f'w.z_{m}' for m in METRICS)}, CASE WHEN ready THEN w.size_var - w.p_size ELSE 0.0 END AS size_delta FROM ({attack}) w"""
-    return snapshot("'all'") + f""", x AS (SELECT *, row_number() OVER (ORDER BY tick_ts) AS rn FROM snap), walk AS (
+    return snapshot("'all'") + f""", x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tick_ts) AS rn FROM snap), walk AS (
   SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS tick_ts, false AS ready0, CAST(0 AS DOUBLE) AS p_size, {state0}, false AS ready, false AS attack,
     false AS cluster, false AS size_surge, false AS intensity_surge, 'low' AS confidence, {zero}, CAST(0 AS DOUBLE) AS size_delta
   UNION ALL {out})"""
