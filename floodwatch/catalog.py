@@ -832,3 +832,161 @@ def resource_tier(spark, d):
 def guard_transitions(spark, d):
     out = GU.guard_transitions(load_readings(spark, d))
     return out.select("controller", "id", "tier", "consecutive", "throttle_s", "rules_active", F.coalesce("command", F.lit("-")).alias("command"))
+
+
+# --- mitigation lifecycle ---------------------------------------------------
+
+from floodwatch.operators import lifecycle as LC  # noqa: E402
+
+# one rule second is 1/20 day; reputation halves every 20 days
+LIFE_RULES = C.LifecycleRules(unit_s=DAY / 20, half_life_s=400.0)
+
+
+def lifecycle_input(spark, d):
+    """Results with the confidence lock applied, and trips, holds and operator actions on some flows."""
+    r = A.results(spark, d).withColumn("id", F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey") % 100000)
+    hit = FU.confidence_lock(r.filter("is_anomaly = 1"), A.FLOW_ORDER, slice_s=SLICE_FLOW)
+    hit = hit.withColumn("attack_class", F.col("locked_class")).withColumn("confidence", F.col("locked_confidence"))
+    cols = ["src_ip", "ts", "id", "if_score", "is_anomaly", "attack_class", "confidence", "pps"]
+    scored = hit.select(*cols).unionByName(r.filter("is_anomaly = 0").select(*cols))
+    every = lambda n: r.filter(F.col("l_partkey") % n == 0).select("src_ip", "ts", "id", "l_partkey")
+    trips = every(37).withColumn("correlated", F.col("l_partkey") % 2 == 0)
+    manual = (every(83).withColumn("action", F.lit("release"))
+              .unionByName(every(401).withColumn("action", F.lit("block"))))
+    return (LC.result_events(scored).unionByName(LC.trip_events(trips, "ts"))
+            .unionByName(LC.hold_events(every(61))).unionByName(LC.manual_events(manual)))
+
+
+def lifecycle_rows(spark, d):
+    return LC.mitigation_lifecycle(lifecycle_input(spark, d), LIFE_RULES)
+
+
+LIFE_COLUMNS = ["src_ip", "seq", "row", "from_phase", "to_phase", "action", "event_type", "reason", "command", "priority",
+                "ban_level", "offence_count", "session_id", "offence_recorded"]
+
+
+@query
+def mitigation_lifecycle(spark, d):
+    return lifecycle_rows(spark, d).select(LC.when().alias("ts"), *LIFE_COLUMNS)
+
+
+@query
+def sinkhole_observation(spark, d):
+    rows = lifecycle_rows(spark, d)
+    return rows.filter((F.col("from_phase") == "Sinkhole") | (F.col("to_phase") == "Sinkhole")).select(
+        LC.when().alias("ts"), "src_ip", "seq", "from_phase", "to_phase", "action", "reason")
+
+
+@query
+def compact_results(spark, d):
+    return LC.compact_results(lifecycle_input(spark, d), LIFE_RULES).select("src_ip", "us", "rank", "id", "kind", "anomalies")
+
+
+@query
+def emit_commands(spark, d):
+    return LC.commands(lifecycle_rows(spark, d))
+
+
+@query
+def lifecycle_ledger(spark, d):
+    return LC.ledger_rows(lifecycle_rows(spark, d)).select("src_ip", "timestamp", "id", "action_taken", "phase", "event_type", "session_id")
+
+
+@query
+def lifecycle_offences(spark, d):
+    return LE.history_rows(LC.offence_rows(lifecycle_rows(spark, d))).select(
+        "src_ip", "id", "phase_reached", "ban_level", "offence_count", "duration_sec", "unblock_reason")
+
+
+@query
+def hold_stats(spark, d):
+    return LC.hold_stats(lifecycle_rows(spark, d))
+
+
+# --- models and end-to-end plans --------------------------------------------
+
+from floodwatch.models import iforest as IFO  # noqa: E402
+from floodwatch.models import scaling as SC  # noqa: E402
+from floodwatch.plans import detect as DE  # noqa: E402
+
+FLOW_KEY = ["src_ip", "l_orderkey", "l_linenumber", "l_partkey"]
+
+
+def training(spark, d):
+    """Flows outside and inside ground-truth attacks; the protocol gives the class."""
+    f = FU.label_with_ground_truth(counted_flows(spark, d), A.gt_intervals(spark, d), slice_s=SLICE_FLOW)
+    klass = F.when(F.col("ip_proto") == 6, "SYN Flood").when(F.col("ip_proto") == 1, "ICMP Flood").otherwise("UDP Flood")
+    return f.filter("NOT is_attacker"), f.filter("is_attacker").withColumn("attack_class", klass)
+
+
+def models(spark, d):
+    normal, attacks = training(spark, d)
+    return DE.train(normal, attacks, FLOW_KEY, trees=50, quantile=0.9)
+
+
+@query
+def fit_apply_scaling(spark, d):
+    normal, _ = training(spark, d)
+    x = DE.with_features(normal)
+    return SC.apply_scaling(x, SC.fit_scaling(x, DE.IF_COLUMNS)).select(*FLOW_KEY, "scaled")
+
+
+@query
+def isolation_forest_score(spark, d):
+    m = models(spark, d)
+    out = IFO.score_forest(DE.with_features(counted_flows(spark, d)), m.forest, m.threshold)
+    return out.select(*FLOW_KEY, "if_score", "is_anomaly")
+
+
+@query
+def cascade(spark, d):
+    from floodwatch.models.rf import cascade as run
+    m = models(spark, d)
+    out = run(DE.with_features(counted_flows(spark, d)), m.forest, m.classes, threshold=m.threshold)
+    return out.select(*FLOW_KEY, "if_score", "is_anomaly", "attack_class", "confidence")
+
+
+def detections(spark, d):
+    return DE.detect(counted_flows(spark, d).drop("packet_count_per_second", "byte_count_per_second"), as_flow_ip(A.packets(spark, d)), models(spark, d),
+                     order=A.FLOW_ORDER, tick_s=DAY, slice_s=SLICE_FLOW, unit_s=DAY, flood=A.FLOOD_RULES)
+
+
+def as_flow_ip(df: DataFrame) -> DataFrame:
+    """Packets of users as packets of the sources that carry flows, seven years earlier in the flows' period."""
+    return (df.withColumn("src_ip", F.concat(F.lit("10.1"), F.substring("src_ip", 5, 20)))
+            .withColumn("ts", F.col("ts") - F.expr("make_dt_interval(2000)")))
+
+
+@query
+def detect(spark, d):
+    return detections(spark, d).select(*FLOW_KEY, "ts", "flagged", "is_anomaly", "attack_class", "confidence", "priority", "logged_priority", "tea_confidence")
+
+
+@query
+def respond(spark, d):
+    det = detections(spark, d).withColumn("id", F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey") % 100000)
+    trips = X.flood_trips(as_flow_ip(A.packets(spark, d)), A.FLOOD_RULES).withColumn("id", F.col("trip_event_id"))
+    return DE.respond(det, trips, rules=LIFE_RULES).select(LC.when().alias("ts"), *LIFE_COLUMNS)
+
+
+@query
+def evaluate(spark, d):
+    out = DE.evaluate(A.results(spark, d), A.gt_intervals(spark, d), slice_s=SLICE_FLOW, width_s=5 * DAY)
+    return out["confusion"].drop("micro")
+
+
+@query
+def incident_report(spark, d):
+    hot, old = LE.split_archive(A.mitigation_events(spark, d), ntz("2024-01-20 00:00:00"))
+    out = DE.incident_report("2024-01-05", "2024-01-25", events=hot, archive=old, summary=summary(spark, d),
+                             system=A.system_metrics(spark, d), history=A.attack_history(spark, d))
+    return out["log"].select("timestamp", "src_ip", "action_taken", "attack_vector")
+
+
+@query
+def snapshot_states(spark, d):
+    rows = lifecycle_rows(spark, d)
+    out = DE.snapshot(ntz(NOW), results=A.results(spark, d), order=[*A.FLOW_ORDER, "l_suppkey"],
+                      trips=X.flood_trips(A.packets(spark, d), A.FLOOD_RULES), verdicts=verdicts(spark, d), lifecycle_rows=rows,
+                      latencies=A.mitigation_events(spark, d), latency_col="detection_ms", latency_order=["timestamp", "id"])
+    return out["states"]

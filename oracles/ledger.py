@@ -179,3 +179,7 @@ SQL = {
         UNION ALL SELECT s.id, s.action, sw.dpid FROM seen s, sw WHERE NOT (s.action = 'clear' AND s.dpid IS NOT NULL)"""),
     "resource_tier": query(TIERS, "SELECT id, tier FROM tiers"),
 }
+SQL |= {
+    "evaluate": query(SUMMARY, f"SELECT {CELLS} FROM summary"),
+    "incident_report": query(REPORT, "SELECT timestamp, src_ip, action_taken, attack_vector FROM report"),
+}
