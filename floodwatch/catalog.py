@@ -845,10 +845,8 @@ LIFE_RULES = C.LifecycleRules(unit_s=DAY / 20, half_life_s=400.0)
 def lifecycle_input(spark, d):
     """Results with the confidence lock applied, and trips, holds and operator actions on some flows."""
     r = A.results(spark, d).withColumn("id", F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey") % 100000)
-    hit = FU.confidence_lock(r.filter("is_anomaly = 1"), A.FLOW_ORDER, slice_s=SLICE_FLOW)
-    hit = hit.withColumn("attack_class", F.col("locked_class")).withColumn("confidence", F.col("locked_confidence"))
-    cols = ["src_ip", "ts", "id", "if_score", "is_anomaly", "attack_class", "confidence", "pps"]
-    scored = hit.select(*cols).unionByName(r.filter("is_anomaly = 0").select(*cols))
+    scored = FU.confidence_lock(r, A.FLOW_ORDER, slice_s=SLICE_FLOW)
+    scored = scored.withColumn("attack_class", F.col("locked_class")).withColumn("confidence", F.col("locked_confidence"))
     every = lambda n: r.filter(F.col("l_partkey") % n == 0).select("src_ip", "ts", "id", "l_partkey")
     trips = every(37).withColumn("correlated", F.col("l_partkey") % 2 == 0)
     manual = (every(83).withColumn("action", F.lit("release"))

@@ -39,17 +39,18 @@ def predict_classes(df: DataFrame, model: PipelineModel, gate: float = C.RF_CONF
 
 def cascade(flows: DataFrame, forest: Forest, classes: PipelineModel, *, threshold: float,
             gate: float = C.RF_CONFIDENCE_GATE, low_rate: str | None = None) -> DataFrame:
-    """Score every flow, classify only the anomalous ones.
+    """Score every flow and name the class of the anomalous ones.
 
-    Flows are scored once and split by the flag; the class stage never sees
-    normal flows. A low-rate flow counts as normal with score 0.
+    One pass: both models are applied to the row in place and the class is
+    masked where the flow is normal. Splitting into two branches would repeat
+    everything upstream of the split. A low-rate flow is normal with score 0.
     """
-    scored = flows
-    quiet = None
+    scored = score_forest(flows, forest, threshold)
     if low_rate:
-        quiet = (flows.filter(F.col(low_rate)).withColumn("if_score", F.lit(0.0)).withColumn("is_anomaly", F.lit(0).cast("long")))
-        scored = flows.filter(~F.coalesce(F.col(low_rate), F.lit(False)))
-    scored = score_forest(scored, forest, threshold)
-    none = lambda df: df.withColumn("confidence", F.lit(0.0)).withColumn("attack_class", F.lit("Normal"))
-    out = predict_classes(scored.filter("is_anomaly = 1"), classes, gate).unionByName(none(scored.filter("is_anomaly = 0")))
-    return out.unionByName(none(quiet)) if quiet is not None else out
+        slow = F.coalesce(F.col(low_rate), F.lit(False))
+        scored = (scored.withColumn("if_score", F.when(slow, 0.0).otherwise(F.col("if_score")))
+                  .withColumn("is_anomaly", F.when(slow, 0).otherwise(F.col("is_anomaly")).cast("long")))
+    out = predict_classes(scored, classes, gate)
+    hit = F.col("is_anomaly") == 1
+    return (out.withColumn("attack_class", F.when(hit, F.col("attack_class")).otherwise("Normal"))
+            .withColumn("confidence", F.when(hit, F.col("confidence")).otherwise(0.0)))

@@ -74,13 +74,14 @@ def confidence_lock(results: DataFrame, order: Sequence[str], *, slice_s: float)
 
     A result replaces the lock when its confidence is at least the locked one,
     so the lock is the running maximum of (confidence, position): a scan, not a
-    fold.
+    fold. Normal results neither set the lock nor read it.
     """
+    hit = F.col("is_anomaly") == 1
     rank = F.struct(F.col("confidence").alias("c"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
                     F.col("attack_class").alias("k"))
-    out = prefix(results, ["src_ip"], order, ts="ts", width_s=slice_s, maxes={"_lock": rank})
-    return (out.withColumn("locked_confidence", F.col("_lock.c"))
-            .withColumn("locked_class", F.col("_lock.k")).drop("_lock"))
+    out = prefix(results, ["src_ip"], order, ts="ts", width_s=slice_s, maxes={"_lock": F.when(hit, rank)})
+    return (out.withColumn("locked_confidence", F.when(hit, F.col("_lock.c")).otherwise(F.col("confidence")))
+            .withColumn("locked_class", F.when(hit, F.col("_lock.k")).otherwise(F.col("attack_class"))).drop("_lock"))
 
 
 def carry_prior_class(results: DataFrame, *, order_us: str = "_us", ttl_s: float = C.INFERENCE_TTL_S,

@@ -93,22 +93,27 @@ def compact_results(events: DataFrame, rules: C.LifecycleRules = C.LifecycleRule
     rows = (rows.withColumn("_first", F.min(F.when(hit, at)).over(run)).withColumn("_last", F.max(at).over(run)))
     alone = ~is_result | (at == F.col("_last")) | F.coalesce(at == F.col("_first"), F.lit(False))
     part = F.when(F.col("_first").isNull() | (at < F.col("_first")), "before").otherwise("between")
-    rows = rows.withColumn("_alone", alone).withColumn("_part", part)
-    kept = rows.filter("_alone").select(*EVENT_COLUMNS)
+    # a row that stays alone is a group of its own; the rest of a run falls into two groups
+    rows = (rows.withColumn("_own", F.when(alone, at)).withColumn("_part", F.when(alone, "own").otherwise(part))
+            .withColumn("_hit", hit))
     ordered = Window.partitionBy("src_ip", "_cell", "_run", "_part", "_hit").orderBy("us", "rank", "id")
-    rest = rows.filter("NOT _alone").withColumn("_hit", hit)
-    rest = rest.withColumn("_rise", F.col("_hit") & (F.col("confidence") > F.lag("confidence").over(ordered)))
-    on_hit = lambda c: F.when(F.col("_hit"), c)
-    bulk = rest.groupBy("src_ip", "_cell", "_run", "_part").agg(
-        F.max(at).alias("p"), F.max("if_score").alias("if_score"), F.sum("anomalies").alias("anomalies"),
-        F.min_by("attack_class", on_hit(at)).alias("attack_class"), F.min_by("confidence", on_hit(at)).alias("confidence"),
-        F.max_by("attack_class", F.when(F.col("_rise"), at)).alias("risen_class"),
-        F.max_by("confidence", on_hit(at)).alias("last_confidence"))
-    have = {"us": F.col("p.us"), "rank": F.col("p.rank"), "id": F.col("p.id"), "kind": F.lit("bulk")}
-    given = {"src_ip", "if_score", "anomalies", "attack_class", "confidence", "risen_class", "last_confidence"}
-    bulk = bulk.select(*[(have[n] if n in have else F.col(n) if n in given else F.lit(None)).cast(t).alias(n)
-                         for n, t in EVENT_FIELDS])
-    return kept.unionByName(bulk)
+    rows = rows.withColumn("_rise", F.col("_hit") & (F.col("confidence") > F.lag("confidence").over(ordered)))
+    single = F.col("_part") == "own"
+    on_hit = F.when(F.col("_hit"), at)
+    merged = {
+        "kind": F.max(F.when(single, F.col("kind")).otherwise("bulk")), "if_score": F.max("if_score"),
+        "anomalies": F.sum("anomalies"),
+        "attack_class": F.min_by("attack_class", F.when(single, at).otherwise(on_hit)),
+        "confidence": F.min_by("confidence", F.when(single, at).otherwise(on_hit)),
+        "risen_class": F.max_by("attack_class", F.when(~single & F.col("_rise"), at)),
+        "last_confidence": F.max_by("confidence", F.when(single, at).otherwise(on_hit)),
+        # what only a single row carries
+        **{n: F.max(F.when(single, F.col(n))) for n in ("correlated", "reason", "pps", "ban_level", "offence_count")},
+    }
+    out = (rows.groupBy("src_ip", "_cell", "_run", "_part", "_own")
+           .agg(F.max(at).alias("p"), *[c.alias(n) for n, c in merged.items()]))
+    have = {"us": F.col("p.us"), "rank": F.col("p.rank"), "id": F.col("p.id")}
+    return out.select(*[have.get(n, F.col(n)).cast(t).alias(n) for n, t in EVENT_FIELDS])
 
 
 # --- the fold ---------------------------------------------------------------

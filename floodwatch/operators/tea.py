@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floodwatch import config as C
-from floodwatch.functions.entropy import binned_medians, entropy_of, exact_medians, shannon_entropy
+from floodwatch.functions.entropy import binned_medians, entropy_of, exact_medians
 from floodwatch.plans.slices import micros, sorted_map, trailing_values
 
 METRICS = ("size_var", "intensity_var", "proto_entropy", "uniform_share")
@@ -71,12 +71,18 @@ def tea_snapshot(flows: DataFrame, *, tick_s: float = C.TICK_S, scope: Column |
     shaped = flow_shape(with_tick(flows, tick_s, scope))
     spread = shaped.groupBy(*keys).agg(F.var_pop("size_x").alias("size_var"),
                                        F.var_pop("intensity_x").alias("intensity_var"))
-    # sources are made distinct per tick before counting; one row per source crosses the shuffle
-    real = shaped.filter(~F.coalesce(F.col("src_ip").isin("", "0.0.0.0"), F.lit(True)))
-    sources = real.select(*keys, "src_ip").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_ips"))
-    entropy = shannon_entropy(shaped, keys, "ip_proto").withColumnRenamed("entropy", "proto_entropy")
-    return (spread.join(entropy, keys).join(uniform_share(shaped, method=method), keys)
-            .join(sources, keys, "left").withColumn("unique_ips", F.coalesce("unique_ips", F.lit(0)))
+    # protocol weights and distinct sources from one pass with two grouping sets
+    real = F.when(~F.col("src_ip").isin("", "0.0.0.0"), F.col("src_ip"))
+    parts = (shaped.select(*keys, F.col("ip_proto").alias("_proto"), real.alias("_src"))
+             .groupingSets([[F.col(k) for k in (*keys, "_proto")], [F.col(k) for k in (*keys, "_src")]],
+                           *[F.col(k) for k in (*keys, "_proto", "_src")])
+             .agg(F.grouping("_src").alias("_by_proto"), F.count(F.lit(1)).cast("double").alias("_w")))
+    by_proto = F.col("_by_proto") == 1
+    total = F.sum(F.when(by_proto, F.col("_w")))
+    mixed = parts.groupBy(*keys).agg(
+        (F.log2(total) - F.sum(F.when(by_proto, F.col("_w") * F.log2("_w"))) / total).alias("proto_entropy"),
+        F.count(F.when(~by_proto, F.col("_src"))).alias("unique_ips"))
+    return (spread.join(mixed, keys).join(uniform_share(shaped, method=method), keys)
             .select(*keys, *METRICS, "unique_ips"))
 
 

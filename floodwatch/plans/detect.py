@@ -13,6 +13,7 @@ from floodwatch import config as C
 from floodwatch.models.iforest import Forest, choose_threshold, fit_forest, score_forest
 from floodwatch.models.rf import cascade, fit_classes
 from floodwatch.models.scaling import fit_scaling
+from floodwatch.plans.stage import cut
 from floodwatch.operators import (behavior, features, flows as flow_ops, fusion, ledger, lifecycle, metrics,
                                   packets as packet_ops, prefilter, reports, tea)
 
@@ -34,7 +35,7 @@ def with_features(flows: DataFrame) -> DataFrame:
 def train(normal: DataFrame, attacks: DataFrame, ids: Sequence[str], *, trees: int = 100, sample: int = 256,
           quantile: float = 0.99, seed: int = 7) -> Models:
     """Fit scaling and forest on normal flows, classes on labelled attacks, threshold on normal scores."""
-    calm = with_features(normal)
+    calm = cut(with_features(normal), "calm")   # read by scaling, sampling and the threshold
     forest = fit_forest(calm, IF_COLUMNS, ids, trees=trees, sample=sample, seed=seed, scaling=fit_scaling(calm, IF_COLUMNS))
     threshold = choose_threshold(score_forest(calm, forest, 1.0), quantile)
     return Models(forest, fit_classes(features.rf_features(attacks), RF_COLUMNS, trees=30, seed=seed), threshold)
@@ -57,9 +58,10 @@ def detect(flows: DataFrame, packets: DataFrame, models: Models, *, order: Seque
     scored = fusion.carry_prior_class(scored, ttl_s=C.INFERENCE_TTL_S * unit_s, slice_s=slice_s)
     scored = (scored.withColumn("attack_class", F.col("carried_class")).withColumn("confidence", F.col("carried_confidence"))
               .drop("carried_class", "carried_confidence"))
-    hits = fusion.confidence_lock(scored.filter("is_anomaly = 1"), order, slice_s=slice_s)
-    hits = hits.withColumn("attack_class", F.col("locked_class")).withColumn("confidence", F.col("locked_confidence"))
-    out = hits.drop("locked_class", "locked_confidence").unionByName(scored.filter("is_anomaly = 0"))
+    # the scan below reads its input twice; scoring runs once
+    out = fusion.confidence_lock(cut(scored, "scored"), order, slice_s=slice_s)
+    out = (out.withColumn("attack_class", F.col("locked_class")).withColumn("confidence", F.col("locked_confidence"))
+           .drop("locked_class", "locked_confidence"))
     verdicts = tea.tea_verdict(tea.tea_snapshot(f, tick_s=tick_s))
     out = fusion.attach_tea_by_tick(out, verdicts)
     out = behavior.attach_reputation(out, history, half_life_s=half_life_s) if history is not None else out.withColumn("reputation", F.lit(0.0))
