@@ -487,7 +487,7 @@ class Lifecycle:
 
     def judge(self, at: int, w: Watched) -> None:
         m, rules = self.m, self.rules
-        before, m.sink = self.where(), None
+        m.sink = None
         m.sink_us += at - w.entered
         busy, sure = w.pps > rules.active_pps, w.confidence >= rules.sinkhole_confidence
         if busy and (sure or m.sink_us >= self.span(rules.sinkhole_total_s)):
@@ -498,7 +498,7 @@ class Lifecycle:
                 m.state.score = max(m.state.score, w.score)
                 self.evidence(at, 1, w.vector, w.confidence, None, w.confidence)
         else:
-            self.say(at, before, w, action="Released", event_type="released", command="clear", in_ledger=True,
+            self.say(at, "Sinkhole", w, action="Released", event_type="released", command="clear", in_ledger=True,
                      reason="confidence unresolved" if busy else "traffic stopped")
 
     def advance(self, to: int) -> None:
