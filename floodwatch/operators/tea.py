@@ -6,13 +6,13 @@ import math
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floodwatch import config as C
-from floodwatch.functions.entropy import binned_medians, entropy_of, exact_medians
-from floodwatch.plans.slices import micros, sorted_map, trailing_values
+from floodwatch.functions.entropy import binned_medians, exact_medians
+from floodwatch.plans.slices import OWN, local_window, micros, sorted_map, with_row_halo
 
 METRICS = ("size_var", "intensity_var", "proto_entropy", "uniform_share")
 HOT_TICK_ROWS = 2_000_000   # above this the built-in median would gather too much in one task
@@ -288,30 +288,40 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def trend_of(a: Column) -> Column:
-    """Mean of the second half minus mean of the first; 0 below four samples."""
-    n = F.size(a)
-    half = F.floor(n / 2).cast("int")
-    return F.when(n < 4, 0.0).otherwise(
-        _mean(F.slice(a, half + 1, n)) - _mean(F.slice(a, F.lit(1), F.greatest(half, F.lit(1)))))
-
-
 def ip_profile_verdict(flows: DataFrame, order: list[str], *, slice_s: float) -> DataFrame:
-    """Verdict per flow from the source's last twenty packet rates."""
-    rows = trailing_values(flows, ["src_ip"], order, value=F.col("packet_count_per_second"),
-                           n=C.PROFILE_WINDOW, name="_pps", ts="ts", width_s=slice_s)
-    a = F.col("_pps")
-    n = F.size(a)
-    rows = (rows.withColumn("samples", n.cast("long")).withColumn("_mean", _mean(a))
-            .withColumn("ip_trend", trend_of(a)).withColumn("_ent", entropy_of(a)))
-    spread = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.pow(x - F.col("_mean"), 2)) / n
-    cv = F.sqrt(F.greatest(spread, F.lit(C.VARIANCE_FLOOR))) / (F.abs("_mean") + C.EPS)
-    rows = rows.withColumn("_cv", cv)
-    cap = F.when(n > 1, F.log2(n.cast("double"))).otherwise(1.0)
-    norm = F.col("_ent") / cap
+    """Verdict per flow from the source's last twenty packet rates.
+
+    All statistics are built-in aggregates over row frames. Only a source's
+    first nineteen rows, whose halves have other sizes, look at an array.
+    """
+    n = C.PROFILE_WINDOW
+    rows = with_row_halo(flows, ["src_ip"], order, value=F.col("packet_count_per_second"), n=n, ts="ts", width_s=slice_s)
+    here = local_window(["src_ip"], order)
+    last = here.rowsBetween(-(n - 1), 0)
+    v, half = F.col("_val"), n // 2
+    rows = (rows.withColumn("_k", F.count(F.lit(1)).over(last)).withColumn("_mean", F.avg(v).over(last))
+            .withColumn("_var", F.var_pop(v).over(last)).withColumn("_sum", F.sum(v).over(last))
+            .withColumn("_vlog", F.sum(F.when(v > 0, v * F.log2(v))).over(last))
+            .withColumn("_old", F.avg(v).over(here.rowsBetween(-(n - 1), -half)))
+            .withColumn("_new", F.avg(v).over(here.rowsBetween(-(half - 1), 0)))
+            .withColumn("_head", F.avg(v).over(here.rowsBetween(-(n - 1), -(n - 3)))))
+    # in a slice given fewer rows than it could get, the frame starts at the source's first row
+    young = (F.col("_given") < n - 1) & (F.col("_k") < n)
+    rows = rows.withColumn("_young", F.collect_list(F.when(young, v)).over(last)).filter(OWN)
+    full, a = F.col("_k") == n, F.col("_young")
+    size = F.col("_k").cast("int")
+    mid = F.floor(F.col("_k") / 2).cast("int")
+    early = F.when(F.col("_k") < 4, 0.0).otherwise(
+        _mean(F.slice(a, mid + 1, size)) - _mean(F.slice(a, F.lit(1), F.greatest(mid, F.lit(1)))))
+    rows = (rows.withColumn("samples", F.col("_k"))
+            .withColumn("ip_trend", F.when(full, F.col("_new") - F.col("_old")).otherwise(early))
+            .withColumn("_first", F.when(full, F.col("_head")).otherwise(_mean(F.slice(a, 1, 3))))
+            .withColumn("_cv", F.sqrt(F.greatest("_var", F.lit(C.VARIANCE_FLOOR))) / (F.abs("_mean") + C.EPS)))
+    entropy = F.when(F.col("_sum") > 0, F.log2("_sum") - F.coalesce("_vlog", F.lit(0.0)) / F.col("_sum")).otherwise(0.0)
+    norm = entropy / F.when(F.col("_k") > 1, F.log2(F.col("_k").cast("double"))).otherwise(1.0)
     repeats = norm < F.greatest(F.lit(0.25), F.least(F.lit(0.55), 0.4 - F.col("_cv") * 0.15))
     slope = F.col("_mean") * F.greatest(F.lit(0.05), F.least(F.lit(0.2), 0.1 * (1 + F.col("_cv"))))
-    low = F.col("_mean") < (_mean(F.slice(a, 1, 3)) + C.EPS) * 0.5
-    verdict = (F.when(n < C.PROFILE_MIN, "uncertain").when((F.col("ip_trend") > slope) | repeats, "attack")
+    low = F.col("_mean") < (F.col("_first") + C.EPS) * 0.5
+    verdict = (F.when(F.col("_k") < C.PROFILE_MIN, "uncertain").when((F.col("ip_trend") > slope) | repeats, "attack")
                .when((F.col("ip_trend") < -slope) | low, "normal").otherwise("uncertain"))
-    return rows.withColumn("ip_verdict", verdict).drop("_pps", "_mean", "_ent", "_cv")
+    return rows.withColumn("ip_verdict", verdict).select(*flows.columns, "samples", "ip_trend", "ip_verdict")

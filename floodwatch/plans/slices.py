@@ -151,27 +151,40 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
             .select(*kept, *[F.col(f"_match.{c}").alias(c) for c in cols]))
 
 
-def trailing_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
-                    value: Column, n: int, name: str, ts: str, width_s: float) -> DataFrame:
-    """Array of the last ``n`` values per key up to and including each row."""
+def with_row_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, value: Column,
+                  n: int, ts: str, width_s: float) -> DataFrame:
+    """Slice rows and give each slice the ``n - 1`` rows of its key before it.
+
+    Adds ``_val``, ``_slice``, ``_own`` (false on the rows given) and ``_given``
+    (how many were given). A frame of ``ROWS n - 1 PRECEDING`` within the slice
+    then sees what it would see within the key. Only the last rows of a slice
+    travel, so a slice of any size hands on at most ``n - 1``.
+    """
     keys = list(keys)
-    df = with_slice(df, ts, width_s).withColumn("_val", value)
+    rows = with_slice(df, ts, width_s).withColumn("_val", value)
     part = Window.partitionBy(*keys, SLICE)
-    here = local_window(keys, order)
-    ranked = (df.withColumn("_rn", F.row_number().over(here))
-                .withColumn("_n", F.count(F.lit(1)).over(part)))
     position = F.struct(*[F.col(c) for c in order], F.col("_val"))
-    tails = (ranked.filter(F.col("_n") - F.col("_rn") < n)
-             .groupBy(*keys, SLICE)
-             .agg(F.sort_array(F.collect_list(position)).alias("_t"))
-             .select(*keys, SLICE, F.transform("_t", lambda p: p["_val"]).alias("_t")))
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(-n, -1)
-    carried = tails.select(*keys, SLICE, F.flatten(F.collect_list("_t").over(before)).alias("_c"))
-    local = F.collect_list("_val").over(here.rowsBetween(-(n - 1), 0))
-    joined = df.join(carried, [*keys, SLICE]).withColumn("_all", F.concat(F.col("_c"), local))
-    return (joined.withColumn(name, F.slice(F.col("_all"),
-                                            F.greatest(F.size("_all") - (n - 1), F.lit(1)), n))
-            .drop("_val", "_c", "_all", SLICE))
+    narrow = rows.select(*keys, SLICE, *[c for c in order if c not in keys], "_val")
+    tails = (narrow.withColumn("_rn", F.row_number().over(part.orderBy(*order)))
+             .withColumn("_n", F.count(F.lit(1)).over(part)).filter(F.col("_n") - F.col("_rn") < n - 1)
+             .groupBy(*keys, SLICE).agg(F.sort_array(F.collect_list(position)).alias("_t")))
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(-(n - 1), -1)
+    earlier = F.flatten(F.collect_list("_t").over(before))
+    given = tails.select(*keys, SLICE, earlier.alias("_c")).withColumn(
+        "_g", F.explode(F.slice("_c", F.greatest(F.size("_c") - (n - 2), F.lit(1)), n - 1)))
+    given = given.select(*keys, SLICE, *[F.col(f"_g.{c}").alias(c) for c in order if c not in keys],
+                         F.col("_g._val").alias("_val"), F.lit(False).alias(OWN))
+    both = rows.withColumn(OWN, F.lit(True)).unionByName(given, allowMissingColumns=True)
+    return both.withColumn("_given", F.count(F.when(~F.col(OWN), 1)).over(part))
+
+
+def trailing_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
+                    value: Column, n: int, name: str, ts: str, width_s: float) -> DataFrame:
+    """Array of the last ``n`` values per key up to and including each row."""
+    rows = with_row_halo(df, keys, order, value=value, n=n, ts=ts, width_s=width_s)
+    frame = local_window(list(keys), order).rowsBetween(-(n - 1), 0)
+    return (rows.withColumn(name, F.collect_list("_val").over(frame)).filter(OWN)
+            .select(*df.columns, name))
 
 
 # --- ordered folds ---------------------------------------------------------
@@ -224,25 +237,28 @@ def whole_runs(batches: Iterable[pd.DataFrame], by: Sequence[str]
         yield frame, starts_of(frame)
 
 
-def _next_kept(ts: np.ndarray, forced: np.ndarray, gap: int, strict: bool) -> np.ndarray:
-    """Index of the row kept after row i (len(ts) when none)."""
-    nxt = np.searchsorted(ts, ts + gap, side="right" if strict else "left")
-    nxt = np.maximum(nxt, np.arange(1, len(ts) + 1))
-    hits = np.flatnonzero(forced)
-    if len(hits):
-        after = np.searchsorted(hits, np.arange(len(ts)), side="right")
-        next_forced = np.where(after < len(hits), hits[np.minimum(after, len(hits) - 1)], len(ts))
-        nxt = np.minimum(nxt, next_forced)
-    return nxt
+def _spread(us: np.ndarray, starts: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lay groups out one after another on one axis, more than ``gap`` apart.
+
+    Returns (times, group number of each row, end row of each row's group), so
+    that one sorted search answers for all groups of a frame at once.
+    """
+    ends = np.append(starts[1:], len(us))
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    length = us[ends - 1] - us[starts] + gap + 2
+    base = np.concatenate(([0], np.cumsum(length)[:-1]))
+    return us - us[starts][group] + base[group], group, ends[group]
 
 
-def _first_kept(ts: np.ndarray, forced: np.ndarray, anchor: int | None,
-                gap: int, strict: bool) -> int:
-    if anchor is None:
-        return 0
-    i = int(np.searchsorted(ts, anchor + gap, side="right" if strict else "left"))
+def _next_kept(t: np.ndarray, forced: np.ndarray, end: np.ndarray, gap: int, strict: bool) -> np.ndarray:
+    """Row kept after each row if that row is kept; the group's end when none."""
+    nxt = np.searchsorted(t, t + gap, side="right" if strict else "left")
+    nxt = np.maximum(nxt, np.arange(1, len(t) + 1))
     hits = np.flatnonzero(forced)
-    return min(i, int(hits[0])) if len(hits) else i
+    if len(hits):
+        after = np.searchsorted(hits, np.arange(len(t)), side="right")
+        nxt = np.minimum(nxt, np.append(hits, len(t))[after])
+    return np.minimum(nxt, end)
 
 
 def greedy_spacing(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
@@ -273,22 +289,28 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         for frame, starts in whole_runs(batches, group):
             us = frame["_us"].to_numpy(np.int64)
             forced = frame["_force"].to_numpy(bool)
-            rows = []
-            for a, b in zip(starts, [*starts[1:], len(frame)]):
-                t, f = us[a:b], forced[a:b]
-                nxt = _next_kept(t, f, gap, strict)
-                leave = t.copy()
-                for i in range(len(t) - 1, -1, -1):
-                    if nxt[i] < len(t):
-                        leave[i] = leave[nxt[i]]
-                hits = np.flatnonzero(f)
-                stop = int(hits[0]) + 1 if len(hits) else len(t)
-                entry, exits = t[:stop], leave[:stop]
-                # rows sharing an exit answer alike: the last of each run stands for it
-                ends = np.append(np.flatnonzero(exits[1:] != exits[:-1]), len(exits) - 1)
-                rows.append((*frame.loc[a, group], entry[ends].tolist(), exits[ends].tolist(),
-                             not len(hits)))
-            yield pd.DataFrame(rows, columns=[*group, "_entry", "_exit", "_open"])
+            t, no, end = _spread(us, starts, gap)
+            nxt = _next_kept(t, forced, end, gap, strict)
+            # follow the chain of every row to its last kept row, doubling the step
+            row = np.arange(len(us))
+            jump = np.where(nxt < end, nxt, row)
+            while True:
+                further = jump[jump]
+                if (further == jump).all():
+                    break
+                jump = further
+            # rows behind a group's first forced row are never its first kept row
+            seen = np.cumsum(forced) - forced
+            reachable = seen == seen[starts][no]
+            last = np.append(no[1:] != no[:-1], True) | np.append(~reachable[1:], True)
+            same = np.append((jump[1:] == jump[:-1]) & ~last[:-1], False)
+            keep = reachable & ~same     # rows sharing an exit answer alike: the last stands for them
+            cut = np.flatnonzero(np.diff(no[keep])) + 1
+            out = frame[group].iloc[starts].reset_index(drop=True)
+            out["_entry"] = np.split(us[keep], cut)
+            out["_exit"] = np.split(us[jump[keep]], cut)
+            out["_open"] = np.add.reduceat(forced.astype(int), starts) == 0
+            yield out
 
     steps = sorted_map(base.select(*group, *[c for c in order if c not in group], "_us", "_force"),
                        group, order, tables, table_schema)
@@ -328,24 +350,27 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         for frame, starts in whole_runs(batches, group):
             us = frame["_us"].to_numpy(np.int64)
             forced = frame["_force"].to_numpy(bool)
-            incoming = frame["_in"]
-            kept = np.zeros(len(frame), dtype=bool)
-            anchors = np.zeros(len(frame), dtype=np.int64)
-            for a, b in zip(starts, [*starts[1:], len(frame)]):
-                t, f = us[a:b], forced[a:b]
-                prior = incoming.iloc[a]
-                prior = None if pd.isna(prior) else int(prior)
-                nxt = _next_kept(t, f, gap, strict)
-                i = _first_kept(t, f, prior, gap, strict)
-                anchors[a:b] = prior if prior is not None else 0
-                while i < len(t):
-                    kept[a + i] = True
-                    j = int(nxt[i])
-                    anchors[a + i:a + j] = t[i]
-                    i = j
+            t, no, end = _spread(us, starts, gap)
+            nxt = _next_kept(t, forced, end, gap, strict)
+            came = frame["_in"].iloc[starts]
+            blank = came.isna().to_numpy()
+            before = came.fillna(0).to_numpy(np.int64)
+            # first kept row of each group: the first far enough from the anchor that came in, or forced
+            far = us - before[no] > gap if strict else us - before[no] >= gap
+            able = np.flatnonzero(far | blank[no] | forced)
+            at = np.searchsorted(able, starts)
+            now = np.where(at < len(able), np.append(able, len(us))[at], len(us))
+            now = now[now < end[starts]]
+            kept = np.zeros(len(us), dtype=bool)
+            while len(now):              # one step of every group's chain at a time
+                kept[now] = True
+                step = nxt[now]
+                now = step[step < end[now]]
+            latest = np.maximum.accumulate(np.where(kept, np.arange(len(us)), 0))
+            inside = kept[latest] & (latest >= starts[no])
             out = frame.drop(columns=["_us", "_force", "_in", SLICE])
             out["is_kept"] = kept
-            out["anchor_us"] = anchors
+            out["anchor_us"] = np.where(inside, us[latest], before[no])
             yield out[[f.name for f in out_schema.fields]]
 
     joined = base.join(entering, group, "left")
