@@ -205,7 +205,6 @@ def latest_flow_per_src(spark, d):
 
 @query
 def live_deltas(spark, d):
-    """Counters drop once a week, as after a restart of the counting process."""
     f = A.flows(spark, d)
     bad = F.col("ip_proto") == 6
     polls = f.groupBy("poll_id").agg(F.sum(F.when(bad, F.col("packet_count")).otherwise(0)).alias("m"),

@@ -157,19 +157,23 @@ def latest_flow_per_src(flows: DataFrame, order: Sequence[str], cap: int = C.TRA
     return newest.orderBy(*[F.col(c).desc() for c in order], "src_ip").limit(cap)
 
 
-def live_deltas(polls: DataFrame, *, order: str, malicious: str, normal: str, total: str) -> DataFrame:
+def live_deltas(polls: DataFrame, *, order: str, malicious: str, normal: str, total: str,
+                chunk: int = 100_000) -> DataFrame:
     """Per-poll increments of cumulative counters and the change of the total in percent.
 
-    One row per poll of the statistics endpoint, so a single ordered pass is small.
+    ``order`` numbers the polls; the series is walked in chunks of that many.
     """
-    w = Window.orderBy(order)
+    from floodwatch.plans.slices import SLICE
+    rows = polls.withColumn("_series", F.lit(1)).withColumn(SLICE, F.floor(F.col(order) / chunk).cast("long"))
+    rows = prefix(rows, ["_series"], [order], lag={"_prev": F.struct(
+        F.col(malicious).alias("m"), F.col(normal).alias("n"), F.col(total).alias("t"))})
 
-    def step(col: str) -> Column:
-        prev = F.coalesce(F.lag(col).over(w), F.lit(0))
+    def step(col: str, name: str) -> Column:
+        prev = F.coalesce(F.col(f"_prev.{name}"), F.lit(0))
         return F.when(prev > 0, F.greatest(F.col(col) - prev, F.lit(0))).otherwise(F.lit(0))
 
-    prev_total = F.coalesce(F.lag(total).over(w), F.lit(0))
+    prev_total = F.coalesce(F.col("_prev.t"), F.lit(0))
     pct = F.when(prev_total > 0, (F.col(total) - prev_total) / F.greatest(prev_total, F.lit(1)) * 100)
-    return (polls.withColumn("delta_malicious", step(malicious)).withColumn("delta_normal", step(normal))
+    return (rows.withColumn("delta_malicious", step(malicious, "m")).withColumn("delta_normal", step(normal, "n"))
             .withColumn("delta_total", F.col("delta_malicious") + F.col("delta_normal"))
-            .withColumn("pct_change", F.coalesce(pct, F.lit(0.0))))
+            .withColumn("pct_change", F.coalesce(pct, F.lit(0.0))).drop("_series", "_prev"))

@@ -76,6 +76,10 @@ def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     ``maxes`` running maximum including the row (any orderable type)
 
     ``df`` may already carry ``_slice``; otherwise give ``ts`` and ``width_s``.
+    Keys must not be null. The input is read twice, once for the summary: put a
+    written table (:func:`floodwatch.plans.stage.cut`) before it when it is
+    costly. A key shared by all rows, such as a scope, needs slices short enough
+    for one task to sort.
     """
     last, lag, sums, maxes = last or {}, lag or {}, sums or {}, maxes or {}
     keys = list(keys)
@@ -299,9 +303,13 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                 if (further == jump).all():
                     break
                 jump = further
-            # rows behind a group's first forced row are never its first kept row
+            # a group's first kept row is its first forced row at the latest, and not later
+            # than the first row a gap after the group began: only those need an entry
             seen = np.cumsum(forced) - forced
-            reachable = seen == seen[starts][no]
+            beyond = us - us[starts][no] > gap
+            passed = np.append(False, beyond[:-1])
+            passed[starts] = False
+            reachable = (seen == seen[starts][no]) & ~passed
             last = np.append(no[1:] != no[:-1], True) | np.append(~reachable[1:], True)
             same = np.append((jump[1:] == jump[:-1]) & ~last[:-1], False)
             keep = reachable & ~same     # rows sharing an exit answer alike: the last stands for them
