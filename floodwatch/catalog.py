@@ -916,9 +916,16 @@ def training(spark, d):
     return f.filter("NOT is_attacker"), f.filter("is_attacker").withColumn("attack_class", klass)
 
 
+TRAINED: dict[tuple[str, str], DE.Models] = {}
+
+
 def models(spark, d):
-    normal, attacks = training(spark, d)
-    return DE.train(normal, attacks, FLOW_KEY, trees=50, quantile=0.9)
+    """Trained once per session and table set, like any model."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in TRAINED:
+        normal, attacks = training(spark, d)
+        TRAINED[key] = DE.train(normal, attacks, FLOW_KEY, trees=50, quantile=0.9)
+    return TRAINED[key]
 
 
 @query

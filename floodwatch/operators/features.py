@@ -120,15 +120,14 @@ def finite(x: Column, instead: Column) -> Column:
 def impute_nonfinite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace NaN, infinite and null values by the mean of the finite ones (0 if none).
 
-    The means are one row, joined by a literal key; that row is the only thing
-    broadcast.
+    The means are scalar subqueries over one aggregate, so no join is involved.
     """
-    means = df.agg(*[F.coalesce(F.avg(finite(F.col(c).cast("double"), F.lit(None))), F.lit(0.0)).alias(f"_m_{c}")
-                     for c in cols]).withColumn("_one", F.lit(1))
-    out = df.withColumn("_one", F.lit(1)).join(F.broadcast(means), "_one").drop("_one")
+    means = df.agg(F.struct(*[
+        F.coalesce(F.avg(finite(F.col(c).cast("double"), F.lit(None))), F.lit(0.0)).alias(c) for c in cols]).alias("m")).scalar()
+    out = df.withColumn("_means", means)
     for c in cols:
-        out = out.withColumn(c, finite(F.col(c).cast("double"), F.col(f"_m_{c}")))
-    return out.drop(*[f"_m_{c}" for c in cols])
+        out = out.withColumn(c, finite(F.col(c).cast("double"), F.col("_means")[c]))
+    return out.drop("_means")
 
 
 # --- labels (fixed values) --------------------------------------------------

@@ -111,20 +111,18 @@ def model_accuracy(summary: DataFrame) -> DataFrame:
 def session_stats(decisions: DataFrame, drops: DataFrame, active: DataFrame, latency_ms: str) -> DataFrame:
     """Headline counters; real drops win over decided ones when there are any.
 
-    Each input shrinks to one row first; joining those single rows is the only
-    combination.
+    Each input is one aggregate; drops and active sources enter as scalar subqueries.
     """
     anomalous = F.col("is_anomaly") == 1
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    d = one(decisions.agg(
+    d = decisions.agg(
         F.coalesce(F.sum(F.when(anomalous, F.col("total"))), F.lit(0)).alias("_decided"),
         F.coalesce(F.sum(F.when(~anomalous, F.col("total"))), F.lit(0)).alias("normal_packets"),
         F.coalesce(F.sum("fp"), F.lit(0)).alias("_fp"), F.count(F.lit(1)).alias("_n"),
-        F.coalesce(F.avg(F.when(anomalous, F.col(latency_ms))), F.lit(0.0)).alias("_lat")))
-    r = one(drops.agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("_real")))
-    a = one(active.agg(F.count(F.lit(1)).alias("active_threats")))
+        F.coalesce(F.avg(F.when(anomalous, F.col(latency_ms))), F.lit(0.0)).alias("_lat"))
+    real = drops.agg(F.coalesce(F.sum("delta"), F.lit(0))).scalar()
+    threats = active.agg(F.count(F.lit(1))).scalar()
     dropped = F.when(F.col("_real") > 0, F.col("_real")).otherwise(F.col("_decided"))
-    return (d.join(r, "_one").join(a, "_one")
+    return (d.withColumn("_real", real).withColumn("active_threats", threats)
             .select((dropped + F.col("normal_packets")).cast("long").alias("total_packets"),
                     dropped.cast("long").alias("malicious_dropped"), F.col("normal_packets").cast("long"),
                     "active_threats",
@@ -174,10 +172,9 @@ def score_distribution(results: DataFrame, order: Sequence[str], threshold: floa
 
 def class_distribution(results: DataFrame, order: Sequence[str], last: int = 50) -> DataFrame:
     newest = results.orderBy(*[F.col(c).desc() for c in order]).limit(last)
-    counts = newest.groupBy("attack_class").agg(F.count(F.lit(1)).alias("n"))
-    total = newest.agg(F.count(F.lit(1)).alias("_total")).withColumn("_one", F.lit(1))
-    return (counts.withColumn("_one", F.lit(1)).join(total, "_one")
-            .select("attack_class", "n", F.round(F.col("n") / F.col("_total") * 100, 2).alias("share_pct")))
+    total = newest.agg(F.count(F.lit(1))).scalar()
+    return (newest.groupBy("attack_class").agg(F.count(F.lit(1)).alias("n"))
+            .select("attack_class", "n", F.round(F.col("n") / total * 100, 2).alias("share_pct")))
 
 
 def graph_history(summary: DataFrame, start: str, end: str, buckets: int = 60) -> DataFrame:

@@ -66,14 +66,13 @@ def policy_counts(resolved: DataFrame) -> DataFrame:
 def command_targets(commands: DataFrame, packets: DataFrame, *, slice_s: float) -> DataFrame:
     """(command, switch): mitigation goes to every switch, clear to the one that last saw the source.
 
-    The switch list is one array built by a distinct aggregate over switches
-    (hundreds, not rows), exploded next to each command.
+    The switch list is one array over distinct switches (hundreds, not rows),
+    read as a scalar subquery and exploded next to each command.
     """
-    switches = (packets.select("dpid").distinct().agg(F.sort_array(F.collect_list("dpid")).alias("_all"))
-                .withColumn("_one", F.lit(1)))
+    switches = packets.agg(F.sort_array(F.collect_set("dpid"))).scalar()
     seen = asof_join(commands, packets.select("src_ip", F.col("ts").alias("_seen"), "event_id",
                                               F.col("dpid").alias("_last")), ["src_ip"],
                      left_ts="ts", right_ts="_seen", cols=["_last"], width_s=slice_s, right_tie="event_id")
     one = F.when((F.col("action") == "clear") & F.col("_last").isNotNull(), F.array("_last")).otherwise(F.col("_all"))
-    return (seen.withColumn("_one", F.lit(1)).join(switches, "_one")
+    return (seen.withColumn("_all", switches)
             .select(*commands.columns, F.explode(one).alias("target_dpid")))
