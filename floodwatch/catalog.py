@@ -994,3 +994,18 @@ def snapshot_states(spark, d):
                       trips=X.flood_trips(A.packets(spark, d), A.FLOOD_RULES), verdicts=verdicts(spark, d), lifecycle_rows=rows,
                       latencies=A.mitigation_events(spark, d), latency_col="detection_ms", latency_order=["timestamp", "id"])
     return out["states"]
+
+
+@query
+def choose_threshold(spark, d):
+    return IFO.score_quantile(A.results(spark, d).filter("is_anomaly = 0"), 0.95).select(r6("threshold"))
+
+
+@query
+def parse_telemetry(spark, d):
+    """Packets as JSON messages between malformed lines, parsed and split again."""
+    from floodwatch.sources import telemetry as S
+    pk = A.packets(spark, d).withColumn("type", F.lit("packet_in")).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    text = F.to_json(F.struct("type", "ts", "dpid", "src_ip", "dst_ip", "proto", "tcp_flags_syn", "tcp_flags_ack"))
+    lines = pk.select(F.explode(F.array(text, F.concat(F.lit("{"), F.col("src_ip")))).alias("value"))
+    return S.split_telemetry(S.parse_telemetry(lines))["packet_in"].drop("ts")

@@ -142,6 +142,11 @@ def score_forest(df: DataFrame, forest: Forest, threshold: float, out: str = "if
             .withColumn("is_anomaly", (F.col(out) >= threshold).cast("long")))
 
 
+def score_quantile(normal_scores: DataFrame, q: float, column: str = "if_score") -> DataFrame:
+    """One row with the ``q`` quantile of the scores, from a mergeable sketch."""
+    return normal_scores.agg(F.percentile_approx(column, F.lit(q), F.lit(10000)).alias("threshold"))
+
+
 def choose_threshold(normal_scores: DataFrame, q: float = 0.99, column: str = "if_score") -> float:
     """A quantile of normal scores for a newly trained forest."""
-    return float(normal_scores.agg(F.percentile_approx(column, F.lit(q), F.lit(10000))).first()[0])
+    return float(score_quantile(normal_scores, q, column).first()[0])

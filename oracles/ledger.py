@@ -183,3 +183,18 @@ SQL |= {
     "evaluate": query(SUMMARY, f"SELECT {CELLS} FROM summary"),
     "incident_report": query(REPORT, "SELECT timestamp, src_ip, action_taken, attack_vector FROM report"),
 }
+GUARD = TIERS + """, gx AS MATERIALIZED (SELECT user_id % 9 + 1 AS controller, t.id, t.tier, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 17 END AS num,
+    row_number() OVER (PARTITION BY user_id % 9 ORDER BY ts, t.id) AS rn FROM tiers t JOIN events e ON e.event_id = t.id), walk AS (
+  SELECT DISTINCT controller, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, '' AS tier, CAST(0 AS BIGINT) AS streak, CAST(0 AS DOUBLE) AS delay, CAST(NULL AS INTEGER) AS wanted,
+    CAST(NULL AS INTEGER) AS installed, '-' AS command FROM gx
+  UNION ALL SELECT controller, rn, id, tier, streak, CASE WHEN tier='CRIT' THEN 0.05 WHEN tier='HIGH' AND was IS NULL THEN CASE WHEN streak >= 2 THEN 0.02 ELSE d0 END
+      WHEN tier='HIGH' THEN 0.02 ELSE 0 END, wanted, CASE WHEN tier='CRIT' THEN wanted END,
+    CASE WHEN tier='CRIT' AND wanted IS DISTINCT FROM was THEN CASE WHEN was IS NOT NULL THEN 'remove ' || was || '; ' ELSE '' END || 'install ' || wanted
+         WHEN tier<>'CRIT' AND was IS NOT NULL THEN 'remove ' || was ELSE '-' END
+  FROM (SELECT x.controller, x.rn, x.id, x.tier, w.installed AS was, w.delay AS d0, coalesce(x.num, w.wanted) AS wanted,
+      CASE WHEN x.tier='CRIT' OR (x.tier='HIGH' AND w.installed IS NULL) THEN w.streak + 1 ELSE 0 END AS streak
+    FROM walk w JOIN gx x ON x.controller = w.controller AND x.rn = w.rn + 1))"""
+SQL |= {
+    "guard_transitions": query(GUARD, """SELECT controller, id, tier, streak AS consecutive, delay AS throttle_s, installed IS NOT NULL AS rules_active, command FROM walk WHERE rn > 0""", True),
+    "choose_threshold": query(RESULTS, "SELECT round(quantile_disc(if_score, 0.95), 6) AS threshold FROM results WHERE is_anomaly = 0"),
+}

@@ -2,7 +2,28 @@
 
 from oracles.base import CLASSIFIED, PACKETS, TRIPS, COUNTED, WHITELIST, query
 
+# each source's packets in order; an ACK forgets the oldest SYN, at most once in 72 minutes
+ACKS = COUNTED + f""", px AS MATERIALIZED (SELECT event_id, src_ip, ts, flood_proto, row_number() OVER (PARTITION BY src_ip ORDER BY ts, event_id) AS rn
+    FROM classified WHERE flood_proto IS NOT NULL AND src_ip NOT IN {WHITELIST}), walk AS (
+  SELECT DISTINCT src_ip, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST([] AS TIMESTAMP[]) AS l, CAST(NULL AS TIMESTAMP) AS popped, CAST(NULL AS TIMESTAMP) AS seen,
+    CAST(NULL AS TIMESTAMP) AS now_ts, '' AS kind FROM px
+  UNION ALL
+  SELECT src_ip, rn, event_id,
+    CASE WHEN kind = 'SYN' THEN list_filter(list_append(l0, now_ts), lambda t: t >= now_ts - INTERVAL 1 DAY) WHEN pops THEN l0[2:] ELSE l0 END,
+    CASE WHEN pops THEN now_ts ELSE p0 END, CASE WHEN kind = 'ACK' THEN seen ELSE now_ts END, now_ts, kind
+  FROM (SELECT *, kind = 'ACK' AND len(l0) > 0 AND now_ts - seen <= INTERVAL 5 DAY AND (p0 IS NULL OR now_ts - p0 >= INTERVAL 72 MINUTE) AS pops FROM (
+    SELECT x.src_ip, x.rn, x.event_id, x.ts AS now_ts, x.flood_proto AS kind, w.seen,
+      CASE WHEN x.flood_proto <> 'ACK' AND w.seen IS NOT NULL AND x.ts - w.seen > INTERVAL 5 DAY THEN CAST([] AS TIMESTAMP[]) ELSE w.l END AS l0,
+      CASE WHEN x.flood_proto <> 'ACK' AND w.seen IS NOT NULL AND x.ts - w.seen > INTERVAL 5 DAY THEN NULL ELSE w.popped END AS p0
+    FROM walk w JOIN px x ON x.src_ip = w.src_ip AND x.rn = w.rn + 1))), syn AS (
+  SELECT event_id, len(l) AS a, len(list_filter(l, lambda t: t >= now_ts - INTERVAL 144 MINUTE)) AS b, len(list_filter(l, lambda t: t >= now_ts - INTERVAL 12 HOUR)) AS c FROM walk WHERE kind = 'SYN'),
+counted_acks AS (SELECT c.* REPLACE (coalesce(s.a, n_window) AS n_window, coalesce(s.b, n_burst_short) AS n_burst_short, coalesce(s.c, n_burst_long) AS n_burst_long)
+  FROM counted c LEFT JOIN syn s USING (event_id))"""
+TRIPS_ACKS = ACKS + TRIPS.removeprefix(COUNTED).replace("FROM counted)", "FROM counted_acks)", 1)
+
 SQL = {
+    "parse_telemetry": query(PACKETS, "SELECT dpid, src_ip, dst_ip, proto, tcp_flags_syn, tcp_flags_ack FROM packets"),
+    "flood_trips_with_acks": query(TRIPS_ACKS, "SELECT src_ip, flood_proto, episode_start, trip_ts, reason, correlated FROM trips", recursive=True),
     "classify_packet": query(CLASSIFIED, "SELECT event_id, src_ip, coalesce(flood_proto,'none') AS flood_proto FROM classified"),
     "filter_scoreable": query(PACKETS, f"SELECT event_id, src_ip FROM packets WHERE src_ip NOT IN {WHITELIST}"),
     "flood_windows": query(COUNTED, "SELECT event_id, src_ip, flood_proto, n_window, n_burst_short, n_burst_long, active_protocols FROM counted"),
