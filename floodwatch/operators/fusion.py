@@ -89,11 +89,13 @@ def carry_prior_class(results: DataFrame, *, order_us: str = "_us", ttl_s: float
     """Give an Uncertain result the source's confident class of the last ``ttl_s``."""
     sure = (F.col("attack_class") != "Uncertain") & (F.col("confidence") >= gate) & (F.col("is_anomaly") == 1)
     rows = with_halo(results.withColumn(order_us, micros("ts")), "ts", ttl_s, max(slice_s, ttl_s))
+    # the latest confident result before the row; a running maximum, then an age check
     back = (Window.partitionBy("src_ip", slices.SLICE).orderBy(order_us)
-            .rangeBetween(-int(round(ttl_s * 1e6)) + 1, -1))
+            .rangeBetween(Window.unboundedPreceding, -1))
     known = F.max(F.when(sure, F.struct(F.col(order_us).alias("t"), F.col("confidence").alias("c"),
                                         F.col("attack_class").alias("k")))).over(back)
-    use = (F.col("attack_class") == "Uncertain") & F.col("_known").isNotNull() & (F.col("is_anomaly") == 1)
+    fresh = F.coalesce(F.col(order_us) - F.col("_known.t") < int(round(ttl_s * 1e6)), F.lit(False))
+    use = (F.col("attack_class") == "Uncertain") & fresh & (F.col("is_anomaly") == 1)
     return (rows.withColumn("_known", known).filter(slices.OWN)
             .withColumn("carried_class", F.when(use, F.col("_known.k")).otherwise(F.col("attack_class")))
             .withColumn("carried_confidence", F.when(use, F.col("_known.c")).otherwise(F.col("confidence")))

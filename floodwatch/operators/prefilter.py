@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +9,9 @@ from pyspark.sql import types as T
 
 from floodwatch import config as C
 from floodwatch.operators.packets import classify_packet, filter_scoreable
-from floodwatch.plans.slices import (OWN, SLICE, asof_join, micros, sorted_map, with_halo,
-                                     with_slice)
+from floodwatch.plans.stage import cut
+from floodwatch.plans.slices import (OWN, SLICE, asof_join, micros, sliding_counts, sorted_map,
+                                     with_halo, with_slice)
 
 
 def counted_packets(packets: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def counted_packets(packets: DataFrame) -> DataFrame:
             .filter(F.col("flood_proto").isin(*C.FLOOD_PROTOCOLS)))
 
 
-def _per_protocol(values: dict[str, float]) -> Column:
+def _per_protocol(values: dict) -> Column:
     out = F.when(F.col("flood_proto") == C.FLOOD_PROTOCOLS[0], values[C.FLOOD_PROTOCOLS[0]])
     for p in C.FLOOD_PROTOCOLS[1:]:
         out = out.when(F.col("flood_proto") == p, values[p])
@@ -29,22 +29,17 @@ def _per_protocol(values: dict[str, float]) -> Column:
 
 def _sliced_windows(packets: DataFrame, rules: C.FloodRules) -> DataFrame:
     """:func:`flood_windows` with the slice kept, clustered by (source, slice)."""
-    rows = with_halo(counted_packets(packets).withColumn("_us", micros("ts")), "ts",
-                     rules.window_s, rules.slice_s)
-
-    def back(seconds: float, *keys: str):
-        return (Window.partitionBy("src_ip", SLICE, *keys).orderBy("_us")
-                .rangeBetween(-int(round(seconds * 1e6)), 0))
-
-    one = F.lit(1)
-    out = (rows
-           .withColumn("n_window", F.count(one).over(back(rules.window_s, "flood_proto")))
-           .withColumn("n_burst_short", F.count(one).over(back(rules.burst_windows_s[0], "flood_proto")))
-           .withColumn("n_burst_long", F.count(one).over(back(rules.burst_windows_s[1], "flood_proto"))))
-    seen = [F.max((F.col("flood_proto") == p).cast("int")).over(back(rules.window_s))
-            for p in C.FLOOD_PROTOCOLS]
-    out = out.withColumn("active_protocols", sum(seen[1:], seen[0]))
-    return out.filter(OWN).drop(OWN)
+    width = max(rules.slice_s, rules.window_s)
+    rows = with_halo(counted_packets(packets).withColumn("_us", micros("ts")), "ts", rules.window_s, width)
+    spans = {"window": rules.window_s, "short": rules.burst_windows_s[0], "long": rules.burst_windows_s[1]}
+    counts = {f"_{name}_{p}": (F.col("flood_proto") == p, seconds)
+              for name, seconds in spans.items() for p in C.FLOOD_PROTOCOLS}
+    out = sliding_counts(rows, ["src_ip"], "_us", counts, width).filter(OWN)
+    own = lambda name: _per_protocol({p: F.col(f"_{name}_{p}") for p in C.FLOOD_PROTOCOLS})
+    active = [(F.col(f"_window_{p}") > 0).cast("int") for p in C.FLOOD_PROTOCOLS]
+    return (out.withColumn("n_window", own("window")).withColumn("n_burst_short", own("short"))
+            .withColumn("n_burst_long", own("long")).withColumn("active_protocols", sum(active[1:], active[0]))
+            .drop(OWN, *counts))
 
 
 def flood_windows(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> DataFrame:
@@ -52,7 +47,7 @@ def flood_windows(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> D
 
     Also ``active_protocols``: protocols of the source with a packet inside the
     window. Bounds are inclusive; packets with equal times see each other.
-    Frames look back one window, so each time slice of a source is counted on
+    Counts look back one window, so each time slice of a source is counted on
     its own with a one-window halo.
     """
     return _sliced_windows(packets, rules).drop(SLICE, "_us")
@@ -207,14 +202,13 @@ def ack_popback(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> Dat
     rows = (rows.withColumn("_us", micros("ts"))
             .filter(F.col("episode_start").isNotNull() & (F.col("_us") - F.col("_until") <= idle_us))
             .drop("_until"))
+    rows = cut(rows, "syn-ack")   # read for the certain trips and again for the replay
 
     max_pops = int(rules.window_s / rules.ack_interval_s) + 1
-    sliced = with_halo(rows, "ts", rules.window_s, rules.slice_s)
-    back = (Window.partitionBy("src_ip", SLICE, "episode_start").orderBy("_us")
-            .rangeBetween(-int(round(rules.window_s * 1e6)), 0))
-    sure = (sliced
-            .withColumn("_syn", F.count(F.when(F.col("flood_proto") == "SYN", 1)).over(back))
-            .withColumn("_ack", F.count(F.when(F.col("flood_proto") == "ACK", 1)).over(back))
+    width = max(rules.slice_s, rules.window_s)
+    sliced = with_halo(rows, "ts", rules.window_s, width)
+    counts = {"_syn": (F.col("flood_proto") == "SYN", rules.window_s), "_ack": (F.col("flood_proto") == "ACK", rules.window_s)}
+    sure = (sliding_counts(sliced, ["src_ip", "episode_start"], "_us", counts, width)
             .filter(OWN)
             .filter((F.col("flood_proto") == "SYN")
                     & (F.col("_syn") - F.least("_ack", F.lit(max_pops)) >= rules.limits["SYN"]))
@@ -231,7 +225,7 @@ def ack_popback(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> Dat
         T.StructField("n_burst_long", T.LongType())])
 
     def replay(batches):
-        unit, times, popped_at = None, np.empty(0, np.int64), None
+        unit, times, popped_at = None, [], None
         for batch in batches:
             keep, counts = [], []
             for i, (src, start, us, kind) in enumerate(zip(

@@ -4,8 +4,9 @@ A window ``PARTITION BY src_ip ORDER BY ts`` sends every row of a source to one
 task. A flooding source may hold a third of all rows, so the operators here cut
 each key into time slices:
 
-* a *bounded range* frame only needs its own slice plus a halo of rows copied
-  from the slice before (:func:`with_halo`);
+* a *bounded range* only needs its own slice plus a halo of rows copied from the
+  slice before (:func:`with_halo`), and counts in it are a running sum of
+  arrivals and expiries (:func:`sliding_counts`);
 * an *unbounded* prefix (last value, lag, running sum, running max) is a scan in
   two levels: a map-side combined summary per (key, slice), a window over those
   few summaries, and a join back by (key, slice) (:func:`prefix`);
@@ -58,6 +59,31 @@ def with_halo(df: DataFrame, ts: str | Column, reach_s: float, width_s: float) -
               .drop("_home"))
 
 
+def sliding_counts(rows: DataFrame, keys: Sequence[str], us: str, counts: dict[str, tuple[Column, float]],
+                   width_s: float) -> DataFrame:
+    """Rows per key within the last ``seconds`` of each row, bounds inclusive.
+
+    ``counts`` maps a column name to (which rows count, seconds back). A sliding
+    frame would be re-read for every row, which is quadratic for a flood. Here a
+    counted row adds one when it arrives and takes it back one microsecond after
+    it leaves the window, and a running sum reads the count: one sort per
+    (key, slice), whatever the packet rate. ``rows`` come from :func:`with_halo`
+    with the same slice width.
+    """
+    spans = sorted({int(round(s * 1e6)) for _, s in counts.values()})
+    end = (F.col(SLICE) + 1) * F.lit(float(width_s) * 1e6)
+    moves = rows.withColumn("_back", F.explode(F.array(F.lit(-1), *[F.lit(s) for s in spans]).cast("array<bigint>")))
+    arrives = F.col("_back") < 0
+    moves = (moves.withColumn("_at", F.when(arrives, F.col(us)).otherwise(F.col(us) + F.col("_back") + 1))
+             .filter(arrives | (F.col("_at") < end)))
+    upto = Window.partitionBy(*keys, SLICE).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    for name, (which, seconds) in counts.items():
+        span = int(round(seconds * 1e6))
+        change = F.when(arrives, 1).when(F.col("_back") == span, -1).otherwise(0)
+        moves = moves.withColumn(name, F.sum(F.when(which, change).otherwise(0)).over(upto))
+    return moves.filter(arrives).drop("_back", "_at")
+
+
 def local_window(keys: Sequence[str], order: Sequence[str | Column]):
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
