@@ -14,7 +14,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables ar
 def test_every_oracle_has_a_query():
     from oracles import ORACLES
     assert set(ORACLES) <= set(entry.queries())
-    assert len(entry.oracle_sql()) == len(ORACLES)
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @needs_data
