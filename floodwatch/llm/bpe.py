@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import buffer_of, pieces, schema_with, with_columns
 
 #: Fragments a worker keeps encoded.
-CACHE = 400_000
+CACHE = 100_000
+#: Text bytes split at once; the fragments of a piece are Python objects, so pieces are short.
+PIECE = 1 << 20
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: The endings that the splitting pattern parts from a word.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -262,7 +264,7 @@ def encode(docs: DataFrame, vocabulary, text: str = "text", out: str = "token_id
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*vocabulary.value)
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, PIECE):
             ids = own.encode(*buffer_of(piece.column(text)))
             yield with_columns(piece, {out: pa.array(ids, pa.binary())})
     return docs.mapInArrow(run, schema_with(docs, f"`{out}` binary"))
@@ -272,7 +274,7 @@ def decode(coded: DataFrame, vocabulary, ids: str = "token_ids", out: str = "dec
     """Add ``out``: the text of packed ids. Null ids decode as empty; bytes that are no UTF-8 become U+FFFD."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*vocabulary.value)
-        for piece in pieces(batches, ids):
+        for piece in pieces(batches, ids, 4 * PIECE):
             texts = [own.decode(x or b"") for x in piece.column(ids).to_pylist()]
             yield with_columns(piece, {out: pa.array(texts, pa.string())})
     return coded.mapInArrow(run, schema_with(coded, f"`{out}` string"))

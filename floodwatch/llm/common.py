@@ -51,6 +51,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send fewer rows at once to Python: texts are long, and a batch is held several times over on its way."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0
 

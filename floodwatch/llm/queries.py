@@ -7,13 +7,24 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text
-from .common import read
+from . import bpe, chat, decontaminate, html_text, simhash, toxicity
+from .common import read, short_batches
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.learn(docs, read(spark, sf_dir, "labels"), learnable=~toxicity.held_out("doc_id"))
+    return toxicity.score(docs, index).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.add_component(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = "</s>[INST] ok [/INST]"
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,7 +49,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, vocabulary).select("doc_id", *(c.alias(k) for k, c in bpe.digests(coded).items()))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op7_decontaminate, op9_html_text, op10_bpe)}
+def _short(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        short_batches(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op7_decontaminate, op9_html_text, op10_bpe)}
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(\|start\|>|\|text\|>|\|next\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2\3', 'g')"
 
