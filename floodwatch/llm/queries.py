@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, quality, simhash, toxicity
+from . import bpe, chat, decontaminate, html_text, quality, simhash, suffix_repeats, toxicity
 from .common import read, short_batches
 
 #: Folder of the public tokenizer files.
@@ -43,6 +43,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(k) for k, c in decontaminate.digests().items()))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_repeats.find_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(c.alias(k) for k, c in suffix_repeats.digests().items()))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -61,7 +66,7 @@ def _short(query):
     return run
 
 
-QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op5_quality, op7_decontaminate, op9_html_text, op10_bpe)}
+QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op5_quality, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe)}
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(\|start\|>|\|text\|>|\|next\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2\3', 'g')"
 
