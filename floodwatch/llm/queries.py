@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, quality, simhash, suffix_repeats, toxicity
+from . import bpe, chat, decontaminate, html_text, pii, quality, simhash, suffix_repeats, toxicity
 from .common import read, short_batches
 
 #: Folder of the public tokenizer files.
@@ -33,6 +33,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(rows.unionByName(probe)).select("conv_id", *(c.alias(k) for k, c in chat.digests().items()))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.learn(docs)).drop("text")
+    return found.select("doc_id", *(c.alias(k) for k, c in pii.digests().items()))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "p_good")
@@ -66,7 +72,7 @@ def _short(query):
     return run
 
 
-QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op5_quality, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe)}
+QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op4_pii, op5_quality, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe)}
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(\|start\|>|\|text\|>|\|next\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2\3', 'g')"
 
