@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 1. A bounded sample of labelled rows (``per_class`` toxic and ``per_class``
-   clean ones, in the order of a hash of doc_id) is joined to the documents.
+   clean ones, in the order of a hash of doc_id) is joined to the documents; the
+   first ``indexed`` of each class are the examples.
 2. Terms whose document counts differ between the classes (chi-square of at
    least ``significance``, at most ``max_terms``) span the vector space, with one
    more dimension for all other words.
@@ -39,9 +40,9 @@ PRIOR = 0.05
 EVIDENCE = 3
 
 
-def held_out(doc_id: str | Column, parts: int = 5) -> Column:
-    """Rows whose crc32(doc_id as text) mod ``parts`` is 0 are not learned from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == 0 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % parts == 0
+def held_out(doc_id: str, parts: int = 5, part: int = 0) -> Column:
+    """Rows whose crc32(doc_id as text) mod ``parts`` is ``part``: not learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
 class Index:
@@ -73,6 +74,7 @@ class Index:
         self.top_at = np.searchsorted(pair[order][firsts] // max(1, self.blocks), np.arange(len(idf) + 1))
         self.query = np.zeros(len(idf))
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self.single: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def unit(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[ids] if len(ids) else np.empty(0)
@@ -153,7 +155,8 @@ def counts_of(get, text: bytes, other: int) -> Counter:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", learnable: Column | None = None,
-          per_class: int = 4000, max_terms: int = 4096, significance: float = 30.0, neighbours: int = 25):
+          per_class: int = 4000, indexed: int = 1000, max_terms: int = 4096, significance: float = 30.0,
+          neighbours: int = 25):
     """Fit the index; returns a broadcast :class:`Index`.
 
     ``learnable`` is a condition on ``labels`` rows. Labels of a row that is
@@ -209,8 +212,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("_label"), pa.array([list(f.keys()) for f in found], pa.list_(pa.int64())),
                                               pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], names=["_id", "_label", "ids", "counts"])
     kind = dict(own.dtypes)["_id"]
-    sampled = own.mapInArrow(vectors, f"_id {kind}, _label int, ids array<bigint>, counts array<bigint>").dropDuplicates(["_id"]).orderBy("_id").collect()
-    index = Index(terms, idf, [r["_id"] for r in sampled], np.array([r["_label"] for r in sampled], np.float64), [(r["ids"], r["counts"]) for r in sampled], rate, neighbours)
+    sampled = own.mapInArrow(vectors, f"_id {kind}, _label int, ids array<bigint>, counts array<bigint>").dropDuplicates(["_id"]).withColumn("h", F.xxhash64("_id")).orderBy("h", "_id").collect()
+    examples = [r for y in (1, 0) for r in [r for r in sampled if r["_label"] == y][:indexed]]
+    sampled = [r for y in (1, 0) for r in [r for r in sampled if r["_label"] == y][:2 * indexed]]  # these calibrate
+    toxic, clean = sum(r["_label"] == 1 for r in sampled), sum(r["_label"] == 0 for r in sampled)
+    index = Index(terms, idf, [r["_id"] for r in examples], np.array([r["_label"] for r in examples], np.float64), [(r["ids"], r["counts"]) for r in examples], rate, neighbours)
     votes = np.array([index.vote(*index.nearest(*index.unit(np.array(r["ids"], np.int64), np.array(r["counts"], np.float64)), r["_id"])) for r in sampled])
     y = np.array([r["_label"] for r in sampled], np.float64)
     share = np.where(y == 1, rate / max(1, toxic), (1 - rate) / max(1, clean)) * len(y) if len(y) else y
@@ -240,7 +246,13 @@ def score(docs: DataFrame, index, text: str = "text", doc_id: str = "doc_id") ->
         for piece in pieces(batches, text):
             scores, evidence = [], []
             for t in texts_of(piece, text):
-                best, near = own.nearest(*own.vector(t))
+                ids, weights = own.vector(t)
+                if len(ids) == 1:  # a unit vector of one term: the same for all such texts
+                    if int(ids[0]) not in own.single:
+                        own.single[int(ids[0])] = own.nearest(ids, weights)
+                    best, near = own.single[int(ids[0])]
+                else:
+                    best, near = own.nearest(ids, weights)
                 scores.append(own.score(own.vote(best, near)))
                 evidence.append([{"doc_id": str(own.names[i]), "label": int(own.labels[i]), "similarity": float(s)} for i, s in zip(best[:EVIDENCE], near)])
             kind = pa.list_(pa.struct([("doc_id", pa.string()), ("label", pa.int32()), ("similarity", pa.float64())]))
