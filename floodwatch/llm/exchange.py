@@ -9,7 +9,7 @@ that a third of all texts hold is one entry per bucket, so no part is hot.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,11 @@ PART_BYTES = 8 << 20
 FILES = 20_000
 
 
-def bucketed_table(docs: DataFrame, text: str, keys: list[str]) -> tuple[DataFrame, int]:
+def bucketed_table(docs: DataFrame, text: str, keys: list[str], bucket_bytes: int | None = None) -> tuple[DataFrame, int]:
     """``docs`` with an int BUCKET column, written so that Spark finds a bucket's rows without a shuffle; and the bytes of text."""
     spark = docs.sparkSession
     size = text_bytes(docs, text)
-    buckets = max(1, -(-size // BUCKET_BYTES))
+    buckets = max(1, -(-size // (bucket_bytes or BUCKET_BYTES)))
     name = f"llm_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}"
     dealt = bucketed(docs, [F.col(k) for k in keys], buckets, BUCKET)
@@ -55,6 +55,16 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of an array, first all lowest bytes, then the next: small numbers compress to little."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
 def questions(keys: np.ndarray, bits: int, width: int, *values: np.ndarray) -> pa.Table:
     """Rows (part, keys, value arrays) of sorted distinct keys."""
     part = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -63,7 +73,7 @@ def questions(keys: np.ndarray, bits: int, width: int, *values: np.ndarray) -> p
     spans = list(zip(edges, edges[1:]))
     columns = {"part": pa.array(part[begin], pa.int64()), "keys": pa.array([pack(keys[a:b], width) for a, b in spans], pa.binary())}
     for k, v in enumerate(values):
-        columns[f"v{k}"] = pa.array([v[a:b].tobytes() for a, b in spans], pa.binary())
+        columns[f"v{k}"] = pa.array([planes(np.ascontiguousarray(v[a:b])) for a, b in spans], pa.binary())
     return pa.table(columns)
 
 
@@ -72,18 +82,22 @@ def ask(asked: DataFrame, width: int, answer: Callable, values: list[str], name:
 
     ``answer(key numbers, number of distinct keys, value arrays)`` gets, for all
     entries of a part, the number of the entry's key among the part's distinct
-    keys, and gives one array with an entry's answer each (bool arrays are packed).
+    keys, and gives one array with an entry's answer each (bool arrays are packed), or that
+    and a list of whole numbers, which stands in the column sums once per part.
     """
     def run(table: pa.Table) -> pa.Table:
         keys = [unpack(x, width) for x in table.column("keys").to_pylist()]
         sizes = [len(k) for k in keys]
         distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-        got = [np.frombuffer(b"".join(table.column(f"v{k}").to_pylist()), v) for k, v in enumerate(values)]
-        out = answer(number.ravel(), len(distinct), *got)
+        got = [np.concatenate([from_planes(x, v) for x in table.column(f"v{k}").to_pylist()]) for k, v in enumerate(values)]
+        out, sums = answer(number.ravel(), len(distinct), *got), None
+        if isinstance(out, tuple):
+            out, sums = out
         edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        back = [(np.packbits(out[a:b]) if out.dtype == bool else out[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
-        return pa.table({BUCKET: table.column(BUCKET), "part": table.column("part"), "answer": pa.array(back, pa.binary())})
-    return cut(asked.groupBy("part").applyInArrow(run, f"{BUCKET} int, part long, answer binary"), name)
+        back = [np.packbits(out[a:b]).tobytes() if out.dtype == bool else planes(out[a:b]) for a, b in zip(edges, edges[1:])]
+        return pa.table({BUCKET: table.column(BUCKET), "part": table.column("part"), "answer": pa.array(back, pa.binary()),
+                         "sums": pa.array([sums, *[None] * (len(back) - 1)], pa.list_(pa.int64()))})
+    return cut(asked.groupBy("part").applyInArrow(run, f"{BUCKET} int, part long, answer binary, sums array<bigint>"), name)
 
 
 def answered(keys: np.ndarray, bits: int, rows: dict[int, bytes], dtype) -> np.ndarray:
@@ -94,8 +108,8 @@ def answered(keys: np.ndarray, bits: int, rows: dict[int, bytes], dtype) -> np.n
     out = []
     for a, b in zip(edges, edges[1:]):
         data = rows[int(part[a])]
-        out.append(np.unpackbits(np.frombuffer(data, np.uint8), count=b - a).astype(bool) if dtype is bool else np.frombuffer(data, dtype))
-    return np.concatenate(out) if out else np.empty(0, bool if dtype is bool else np.dtype(dtype).base)
+        out.append(np.unpackbits(np.frombuffer(data, np.uint8), count=b - a).astype(bool) if dtype is bool else from_planes(data, dtype))
+    return np.concatenate(out) if out else np.empty(0, dtype)
 
 
 def by_round(answers: pa.Table) -> dict[str, dict[int, bytes]]:

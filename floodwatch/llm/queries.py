@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, pii, quality, simhash, suffix_repeats, toxicity
+from . import bpe, chat, decontaminate, html_text, ngram_trie, pii, quality, simhash, suffix_repeats, toxicity
 from .common import read, short_batches
 
 #: Folder of the public tokenizer files.
@@ -44,6 +44,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "p_good")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = toxicity.held_out("doc_id", 7, 2)
+    scored = ngram_trie.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", *(c.alias(k) for k, c in decontaminate.digests().items()))
@@ -72,7 +78,7 @@ def _short(query):
     return run
 
 
-QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op4_pii, op5_quality, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe)}
+QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op4_pii, op5_quality, op6_lm_score, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe)}
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(\|start\|>|\|text\|>|\|next\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2\3', 'g')"
 

@@ -178,7 +178,7 @@ def find_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
         return table.select(BUCKET, body).groupBy(BUCKET).cogroup(answers.groupBy(BUCKET)).applyInArrow(run, schema)
 
     for which, key_bits, width, how in (("seeds", seed_bits, seed_width, _repeated), ("names", bits, 8, _repeated), ("open", seed_bits, seed_width, _any), ("rest", bits, 8, _repeated)):
-        got = ask(asked(which, key_bits, width), width, how, ["u1"], which).withColumn("round", F.lit(which))
+        got = ask(asked(which, key_bits, width), width, how, ["u1"], which).drop("sums").withColumn("round", F.lit(which))
         answers = got if answers is None else answers.unionByName(got)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
