@@ -259,9 +259,11 @@ def load(spark: SparkSession, path: str):
 def encode(docs: DataFrame, vocabulary, text: str = "text", out: str = "token_ids") -> DataFrame:
     """Add ``out``: the ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
-    Null texts encode as empty. ``vocabulary`` comes from :func:`load`. Rows,
-    their order inside a partition and all other columns stay; nothing is shuffled.
+    Null texts encode as empty. ``vocabulary`` comes from :func:`load`. A column
+    named ``out`` is replaced. Rows, their order inside a partition and all other columns stay; nothing is shuffled.
     """
+    docs = docs.drop(out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*vocabulary.value)
         for piece in pieces(batches, text, PIECE):
@@ -272,6 +274,8 @@ def encode(docs: DataFrame, vocabulary, text: str = "text", out: str = "token_id
 
 def decode(coded: DataFrame, vocabulary, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the text of packed ids. Null ids decode as empty; bytes that are no UTF-8 become U+FFFD."""
+    coded = coded.drop(out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*vocabulary.value)
         for piece in pieces(batches, ids, 4 * PIECE):

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, free_name, mix
+from .common import buffer_of, free_name, mix, put_back, set_aside
 from .exchange import BUCKET, answered, ask, bits_of, bucketed_table, by_round, questions
 
 GRID = 4096
@@ -231,7 +231,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keys: tuple[
     Nothing learned: every token has the chance of an unseen one.
     """
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    docs = docs.drop(*(m for m in made if m != text))
+    docs, aside = set_aside(docs.drop(*(m for m in made if m != text)), BUCKET)
     body, learned = free_name(docs, "_body"), free_name(docs, "_learned")
     own = docs.withColumns({learned: F.coalesce(learn, F.lit(False)), body: F.coalesce(F.col(text).cast("string"), F.lit(""))}).drop(text)
     table, size = bucketed_table(own, body, [*keys, body], BUCKET_BYTES)
@@ -294,4 +294,5 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keys: tuple[
         return pa.table({**{c: left.column(c) for c in rest}, body: left.column(body), **{k: pa.array(v) for k, v in extra.items()}})
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*rest).schema), f"`{body}` string",
                      "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return table.groupBy(BUCKET).cogroup(answers.groupBy(BUCKET)).applyInArrow(finish, ddl).withColumnRenamed(body, text)
+    done = table.groupBy(BUCKET).cogroup(answers.groupBy(BUCKET)).applyInArrow(finish, ddl).withColumnRenamed(body, text)
+    return put_back(done, aside)

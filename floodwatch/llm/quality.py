@@ -67,12 +67,12 @@ def rules() -> dict[str, Column]:
     abstains where it finds none; a text vouches for itself by reading as prose.
     """
     repeats, symbols, upper, mean = share("n_repeat_words", "n_words"), share("n_symbols", "word_chars"), share("n_upper", "word_chars"), share("word_chars", "n_words")
-    variety, ended, again = share("n_distinct", "n_words"), share("n_ended", "n_lines"), share("n_dup_lines", "n_lines")
+    ended, again = share("n_ended", "n_lines"), share("n_dup_lines", "n_lines")
     bad = lambda c: F.when(c, -1).otherwise(0)
     prose = (repeats < 0.25) & (symbols < 0.02) & (upper < 0.25) & (again < 0.5) & (mean >= 2) & (mean <= 14)
     return {
         "repeats": bad(repeats > 0.3), "symbols": bad(symbols > 0.04), "upper": bad(upper > 0.4), "lines": bad((again >= 0.5) & (F.col("n_lines") > 3)),
-        "word_length": bad((mean < 2) | (mean > 14)), "variety": bad((F.col("n_words") >= 50) & (variety < 0.12)),
+        "word_length": bad((mean < 2) | (mean > 14)), "variety": bad((F.col("n_words") >= 50) & (F.col("n_distinct") < 0.12 * F.least("n_words", F.lit(2000)))),
         "endings": bad((ended < 0.1) & (F.col("n_lines") > 3)), "prose": F.when(prose, 1).otherwise(0)}
 
 

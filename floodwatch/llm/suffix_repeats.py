@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, free_name, mix, ranges_of
+from .common import buffer_of, free_name, mix, put_back, ranges_of, set_aside
 from .exchange import BUCKET, answered, ask, bits_of, bucketed_table, by_round, questions
 
 PERIOD = 133
@@ -155,7 +155,7 @@ def find_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     """
     if length % 8 or length < PERIOD + SEED_BYTES:
         raise ValueError(f"length must be a multiple of 8 and at least {PERIOD + SEED_BYTES}")
-    docs = docs.drop("removed_spans", "kept")
+    docs, aside = set_aside(docs.drop("removed_spans", "kept"), BUCKET)
     body = free_name(docs, "_body")
     rest = [c for c in docs.columns if c != text]
     table, size = bucketed_table(docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit(""))).drop(text), body, [*keys, body])
@@ -202,7 +202,7 @@ def find_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
         return out
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(text).schema), f"`{body}` string", "removed_spans array<struct<start:bigint,end:bigint>>", "kept binary"])
     done = table.groupBy(BUCKET).cogroup(answers.groupBy(BUCKET)).applyInArrow(finish, ddl)
-    return done.withColumnRenamed(body, text)
+    return put_back(done.withColumnRenamed(body, text), aside)
 
 
 def digests(text: str = "text") -> dict:
