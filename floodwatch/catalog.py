@@ -334,7 +334,7 @@ def tea_snapshot(spark, d):
 
 @query
 def tea_snapshot_per_switch(spark, d):
-    out = TE.tea_snapshot(A.flows(spark, d), tick_s=DAY, scope=F.col("dpid").cast("string"), method="binned")
+    out = TE.tea_snapshot(A.flows(spark, d), tick_s=DAY, scope=F.col("dpid").cast("string"))
     return out.select("scope", "tick_ts", *[r6(m) for m in TE.METRICS], "unique_ips")
 
 
@@ -346,7 +346,7 @@ def shannon_entropy(spark, d):
 @query
 def uniform_share(spark, d):
     f = TE.flow_shape(TE.with_tick(A.flows(spark, d), DAY))
-    return TE.uniform_share(f, method="binned").select("tick_ts", r6("uniform_share"))
+    return TE.uniform_share(f).select("tick_ts", r6("uniform_share"))
 
 
 @query
@@ -381,8 +381,7 @@ def ip_trend(spark, d):
 def attach_tea(spark, d):
     from floodwatch.operators import fusion as FU
     f = A.flows(spark, d).withColumn("scope", F.lit("all"))
-    every_third = verdicts(spark, d).filter(F.datediff("tick_ts", F.lit("1995-01-01")) % 3 == 0)
-    return FU.attach_tea(f, every_third, slice_s=30 * DAY).select(*FLOW_ID, "tea_attack_pattern", "tea_confidence", "tea_is_learned")
+    return FU.attach_tea(f, verdicts(spark, d), slice_s=30 * DAY).select(*FLOW_ID, "tea_attack_pattern", "tea_confidence", "tea_is_learned")
 
 
 @query
@@ -429,8 +428,7 @@ def attach_prefilter_flag(spark, d):
 
 @query
 def confidence_lock(spark, d):
-    r = A.results(spark, d).filter("is_anomaly = 1")
-    return FU.confidence_lock(r, A.FLOW_ORDER, slice_s=SLICE_FLOW).select(*FLOW_ID, r6("locked_confidence"), "locked_class")
+    return FU.confidence_lock(A.results(spark, d), A.FLOW_ORDER, slice_s=SLICE_FLOW).select(*FLOW_ID, r6("locked_confidence"), "locked_class")
 
 
 @query
@@ -788,7 +786,7 @@ def host_status(spark, d):
 
 
 def rule_commands(spark, d):
-    e = A.mitigation_events(spark, d).filter(F.col("id") % 7 == 0)
+    e = A.mitigation_events(spark, d)
     action = (F.when(F.col("action_taken") == "Quarantined", "rate_limit").when(F.col("action_taken").startswith("Time"), "block")
               .when(F.col("action_taken") == "Blackhole", "quarantine").when(F.col("action_taken") == "Released", "clear").otherwise("redirect"))
     return e.select("id", "src_ip", F.col("timestamp").alias("ts"), action.alias("action"),
@@ -798,7 +796,7 @@ def rule_commands(spark, d):
 @query
 def resolve_policy(spark, d):
     pk = A.packets(spark, d)
-    blocks = pk.filter(F.col("event_id") % 211 == 0).select("proto", "ts", (F.col("event_id") % 422 == 0).alias("on"))
+    blocks = pk.select("proto", "ts", (F.col("event_id") % 3 == 0).alias("on"))
     out = PO.resolve_policy(pk, rule_commands(spark, d), slice_s=SLICE_D, unit_s=DAY, proto_blocks=blocks)
     return out.select("event_id", "src_ip", "rule", "outcome")
 

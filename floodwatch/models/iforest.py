@@ -58,21 +58,18 @@ def draw_samples(normal: DataFrame, columns: Sequence[str], ids: Sequence[str],
                  sample: int, seed: int, rows: int | None = None) -> DataFrame:
     """``sample`` rows per tree by hash, the algorithm's own subsampling.
 
-    A row's hash decides whether it is drawn and for which tree, so the result
-    does not depend on partitioning. The hash bound keeps about twice the rows
-    needed; only those are ranked. A table smaller than all samples together
-    lends its rows to every tree.
+    Row r belongs to tree t when a hash of both is below a bound, at every table
+    size; the bound keeps about twice the rows a tree needs, or all rows of a
+    small table, and only those are ranked. The result does not depend on
+    partitioning.
     """
     rows = normal.count() if rows is None else rows
-    wanted = trees * sample
-    h = lambda salt: F.xxhash64(*[F.col(c) for c in ids], F.lit(seed), F.lit(salt))
-    base = normal.select(*ids, *columns)
-    if rows > 2 * wanted:
-        part = F.pmod(h(1), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        base = base.filter(part < 2.0 * wanted / rows).withColumn("tree", F.pmod(h(2), F.lit(trees)).cast("int"))
-    else:
-        base = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    base = base.withColumn("_h", F.xxhash64(*[F.col(c) for c in ids], F.lit(seed), F.col("tree")))
+    bound = min(1.0, 2.0 * sample / max(1, rows))
+    cell = float(1 << 40)
+    base = normal.select(*ids, *columns).withColumn("_r", F.xxhash64(*[F.col(c) for c in ids], F.lit(seed)))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                     lambda t: F.pmod(F.xxhash64("_r", t), F.lit(1 << 40)) / F.lit(cell) < bound)
+    base = base.withColumn("tree", F.explode(drawn)).withColumn("_h", F.xxhash64("_r", F.lit(1), F.col("tree")))
     rank = Window.partitionBy("tree").orderBy("_h", *ids)
     return base.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= sample)
 
@@ -93,7 +90,9 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
             nodes.append((-1, 0.0, -1, -1, depth + float(average_path(len(rows)))))
             continue
         f = int(rng.choice(open_features))
-        cut = float(rng.uniform(lo[f], hi[f]))
+        cut = float(hi[f] - (hi[f] - lo[f]) * rng.random())   # in (lo, hi], so both sides have rows
+        if not lo[f] < cut <= hi[f]:
+            cut = float(hi[f])   # lo and hi are too close for a value between them
         goes_left = x[rows, f] < cut
         nodes.append((f, cut, -1, -1, 0.0))
         todo.append((rows[~goes_left], depth + 1, (me, 3)))

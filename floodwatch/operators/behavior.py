@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floodwatch import config as C
 from floodwatch.operators.features import lookup
-from floodwatch.plans.slices import SLICE, micros, with_slice
+from floodwatch.plans.slices import SLICE, micros, null_safe_join, with_slice
 
 
 def _decay(elapsed_us: Column, half_life_s: float) -> Column:
@@ -34,9 +34,9 @@ def _running_weight(rows: DataFrame, is_offence: Column, half_life_s: float, sli
     """Add ``_weight``: decayed offences of the source up to each row, ties included.
 
     Inside a slice a running sum is scaled by the decay to the slice start, so
-    exponents stay small. Earlier slices arrive as one (end, weight) pair each.
-    A pair more than 1100 half-lives old is exactly 0.0 in double arithmetic,
-    which bounds the pairs looked at without changing any result.
+    exponents stay small. Earlier slices are decayed to one weight at the slice
+    start, on summary rows, so a row needs one decay. A slice more than 1100 half-lives old is exactly 0.0 in double arithmetic,
+    which bounds the slices looked at without changing any result.
     """
     slice_s = max(slice_s, half_life_s)
     slice_us, half_us = slice_s * 1e6, half_life_s * 1e6
@@ -49,12 +49,13 @@ def _running_weight(rows: DataFrame, is_offence: Column, half_life_s: float, sli
     sums = rows.groupBy("src_ip", SLICE).agg(F.sum("_scaled").alias("w"))
     before = Window.partitionBy("src_ip").orderBy(SLICE).rangeBetween(-reach, -1)
     entry = F.struct((F.col(SLICE) * F.lit(slice_us)).alias("t"), F.col("w").alias("w"))
-    carried = sums.select("src_ip", SLICE, F.collect_list(entry).over(before).alias("_earlier"))
+    pairs = sums.select("src_ip", SLICE, F.collect_list(entry).over(before).alias("_earlier"))
+    carried = pairs.select("src_ip", SLICE, _slice_decay(F.col("_earlier"), start, half_life_s).alias("_carried"))
     here = Window.partitionBy("src_ip", SLICE).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
     inside = F.sum("_scaled").over(here) * _decay(F.col("_us") - start, half_life_s)
-    return (rows.withColumn("_inside", inside).join(carried, ["src_ip", SLICE])
-            .withColumn("_weight", F.col("_inside") + _slice_decay(F.col("_earlier"), F.col("_us"), half_life_s))
-            .drop("_scaled", "_inside", "_earlier", SLICE))
+    return (null_safe_join(rows.withColumn("_inside", inside), carried, ["src_ip", SLICE])
+            .withColumn("_weight", F.col("_inside") + F.col("_carried") * _decay(F.col("_us") - start, half_life_s))
+            .drop("_scaled", "_inside", "_carried", SLICE))
 
 
 def attach_reputation(rows: DataFrame, history: DataFrame, *, ts: str = "ts",

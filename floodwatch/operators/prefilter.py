@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,8 +11,7 @@ from pyspark.sql import types as T
 
 from floodwatch import config as C
 from floodwatch.operators.packets import classify_packet, filter_scoreable
-from floodwatch.plans.stage import cut
-from floodwatch.plans.slices import (OWN, SLICE, asof_join, micros, sliding_counts, sorted_map,
+from floodwatch.plans.slices import (OWN, SLICE, asof_join, micros, null_safe_join, sliding_counts, sorted_map,
                                      with_halo, with_slice)
 
 
@@ -39,6 +40,7 @@ def _sliced_windows(packets: DataFrame, rules: C.FloodRules) -> DataFrame:
     active = [(F.col(f"_window_{p}") > 0).cast("int") for p in C.FLOOD_PROTOCOLS]
     return (out.withColumn("n_window", own("window")).withColumn("n_burst_short", own("short"))
             .withColumn("n_burst_long", own("long")).withColumn("active_protocols", sum(active[1:], active[0]))
+            .withColumn("_syn_active", active[C.FLOOD_PROTOCOLS.index("SYN")])
             .drop(OWN, *counts))
 
 
@@ -50,7 +52,7 @@ def flood_windows(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> D
     Counts look back one window, so each time slice of a source is counted on
     its own with a one-window halo.
     """
-    return _sliced_windows(packets, rules).drop(SLICE, "_us")
+    return _sliced_windows(packets, rules).drop(SLICE, "_us", "_syn_active")
 
 
 def flood_episodes(sliced: DataFrame, rules: C.FloodRules) -> DataFrame:
@@ -74,7 +76,7 @@ def flood_episodes(sliced: DataFrame, rules: C.FloodRules) -> DataFrame:
     carried = F.coalesce("_head", F.last(F.coalesce("_inner", "_head"), ignorenulls=True).over(before))
     summary = summary.select("src_ip", SLICE, carried.alias("_carried"))
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.join(summary, ["src_ip", SLICE])
+    return (null_safe_join(rows, summary, ["src_ip", SLICE])
             .withColumn("episode_start", F.coalesce(
                 F.last("_start", ignorenulls=True).over(upto), F.col("_carried")))
             .drop("_start", "_carried"))
@@ -126,16 +128,19 @@ def flood_trips(packets: DataFrame, rules: C.FloodRules = C.FloodRules(), *,
                 pop_acks: bool = False) -> DataFrame:
     """First trip of each (source, protocol) per episode, with reason and correlation.
 
-    With ``pop_acks`` SYN counts come from :func:`ack_popback`.
+    With ``pop_acks`` SYN counts, and whether SYN is active at a packet of
+    another protocol, come from :func:`remembered_syns`.
     """
     rows = (flood_episodes(_sliced_windows(packets, rules), rules)
             .withColumn("reason", _reason(rules)))
     if pop_acks:
-        syn = (ack_popback(packets, rules).withColumn("reason", _reason(rules))
-               .select("src_ip", "event_id", F.struct("reason").alias("_syn")))
-        rows = (rows.join(syn, ["src_ip", "event_id"], "left")
+        syn = (remembered_syns(packets, rules).withColumn("reason", _reason(rules))
+               .select("src_ip", "event_id", F.struct("reason", "syn_active").alias("_syn")))
+        rows = (null_safe_join(rows, syn, ["src_ip", "event_id"], "left")
                 .withColumn("reason", F.when(F.col("flood_proto") == "SYN", F.col("_syn.reason"))
-                            .otherwise(F.col("reason"))).drop("_syn"))
+                            .otherwise(F.col("reason")))
+                .withColumn("active_protocols", F.col("active_protocols") - F.col("_syn_active")
+                            + F.coalesce(F.col("_syn.syn_active"), F.lit(0))).drop("_syn"))
     # at most one row per protocol and episode from here on
     episode = Window.partitionBy("src_ip", "episode_start")
     return (_latch(rows)
@@ -177,20 +182,20 @@ def prefilter_breakdown(trips: DataFrame) -> DataFrame:
 
 
 def ack_popback(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> DataFrame:
-    """SYN counts when each ACK forgets the oldest remembered SYN.
+    """Window and burst counts of every SYN packet when each ACK forgets the oldest remembered SYN."""
+    return remembered_syns(packets, rules).filter("flood_proto = 'SYN'").drop("syn_active")
+
 
-    Forgetting is a sequential rule, so it is a fold over each source's SYN and
-    ACK packets. Three things keep it small: everything resets after an idle
-    gap, so the unit is an episode and not a source; rows after an episode's
-    certain trip are left out, because the flag is latched and later counts
-    change nothing; and rows stream through the task with only the remembered
-    SYN times of one window as state.
+def remembered_syns(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> DataFrame:
+    """Counts of remembered SYNs at every counted packet, and ``syn_active``: 1 if any lies in the window.
 
-    A trip is certain once the plain window count minus every pop that could
-    have hit the window still reaches a limit.
+    Forgetting is a sequential rule, so it is a fold over each source's packets.
+    Everything resets after an idle gap, so the unit is an episode and not a
+    source; rows stream through the task sorted, and the state is the remembered
+    SYN times of one window.
     """
     tracked = (filter_scoreable(classify_packet(packets))
-               .filter(F.col("flood_proto").isin("SYN", "ACK")))
+               .filter(F.col("flood_proto").isin(*C.FLOOD_PROTOCOLS, "ACK")))
     # an ACK belongs to the episode of the packet before it and does not prolong it
     idle_us = int(round(rules.idle_s * 1e6))
     counted = with_slice(counted_packets(packets).withColumn("_us", micros("ts")), "ts", rules.slice_s)
@@ -200,53 +205,40 @@ def ack_popback(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> Dat
                      left_ts="ts", right_ts="_from", cols=["episode_start", "_until"],
                      width_s=rules.slice_s)
     rows = (rows.withColumn("_us", micros("ts"))
-            .filter(F.col("episode_start").isNotNull() & (F.col("_us") - F.col("_until") <= idle_us))
-            .drop("_until"))
-    rows = cut(rows, "syn-ack")   # read for the certain trips and again for the replay
-
-    max_pops = int(rules.window_s / rules.ack_interval_s) + 1
-    width = max(rules.slice_s, rules.window_s)
-    sliced = with_halo(rows, "ts", rules.window_s, width)
-    counts = {"_syn": (F.col("flood_proto") == "SYN", rules.window_s), "_ack": (F.col("flood_proto") == "ACK", rules.window_s)}
-    sure = (sliding_counts(sliced, ["src_ip", "episode_start"], "_us", counts, width)
-            .filter(OWN)
-            .filter((F.col("flood_proto") == "SYN")
-                    & (F.col("_syn") - F.least("_ack", F.lit(max_pops)) >= rules.limits["SYN"]))
-            .groupBy("src_ip", "episode_start").agg(F.min(F.struct("ts", "event_id")).alias("_sure")))
-    needed = (rows.join(sure, ["src_ip", "episode_start"], "left")
-              .filter(F.col("_sure").isNull() | (F.struct("ts", "event_id") <= F.col("_sure"))))
+            .filter((F.col("flood_proto") != "ACK")
+                    | (F.col("episode_start").isNotNull() & (F.col("_us") - F.col("_until") <= idle_us))))
 
     window_us = int(round(rules.window_s * 1e6))
     short_us, long_us = (int(round(s * 1e6)) for s in rules.burst_windows_s)
     pause_us = int(round(rules.ack_interval_s * 1e6))
-    schema = T.StructType([
-        *[needed.schema[c] for c in ("src_ip", "episode_start", "ts", "event_id", "dpid", "flood_proto")],
-        T.StructField("n_window", T.LongType()), T.StructField("n_burst_short", T.LongType()),
-        T.StructField("n_burst_long", T.LongType())])
+    kept = ["src_ip", "episode_start", "ts", "event_id", "dpid", "flood_proto"]
+    made = ["n_window", "n_burst_short", "n_burst_long", "syn_active"]
+    schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in kept], *[T.StructField(c, T.LongType()) for c in made[:3]],
+                           T.StructField("syn_active", T.IntegerType())])
 
     def replay(batches):
-        unit, times, popped_at = None, [], None
+        unit, times, head, popped_at = None, [], 0, None   # times[head:] are remembered, oldest first
         for batch in batches:
             keep, counts = [], []
             for i, (src, start, us, kind) in enumerate(zip(
-                    batch["src_ip"], batch["episode_start"], batch["_us"], batch["flood_proto"])):
+                    batch["src_ip"], batch["episode_start"].astype(str), batch["_us"], batch["flood_proto"])):
                 if (src, start) != unit:
-                    unit, times, popped_at = (src, start), [], None
+                    unit, times, head, popped_at = (src, start), [], 0, None
                 if kind == "ACK":
-                    if times and (popped_at is None or us - popped_at >= pause_us):
-                        times.pop(0)
+                    if head < len(times) and (popped_at is None or us - popped_at >= pause_us):
+                        head += 1
                         popped_at = us
                     continue
-                times.append(us)
-                times = [t for t in times if t >= us - window_us]
+                if kind == "SYN":
+                    times.append(us)
+                    head = bisect_left(times, us - window_us, head)
+                    if head > 100_000:
+                        times, head = times[head:], 0
+                since = lambda span: len(times) - bisect_left(times, us - span, head)  # noqa: B023, E731
                 keep.append(i)
-                counts.append((len(times), sum(t >= us - short_us for t in times),
-                               sum(t >= us - long_us for t in times)))
-            out = batch.iloc[keep][["src_ip", "episode_start", "ts", "event_id", "dpid",
-                                    "flood_proto"]].reset_index(drop=True)
-            out[["n_window", "n_burst_short", "n_burst_long"]] = pd.DataFrame(
-                counts, columns=["n_window", "n_burst_short", "n_burst_long"], dtype="int64")
+                counts.append((since(window_us), since(short_us), since(long_us), int(since(window_us) > 0)))
+            out = batch.iloc[keep][kept].reset_index(drop=True)
+            out[made] = pd.DataFrame(counts, columns=made, dtype="int64")
             yield out
 
-    cols = needed.select("src_ip", "episode_start", "ts", "event_id", "dpid", "flood_proto", "_us")
-    return sorted_map(cols, ["src_ip", "episode_start"], ["ts", "event_id"], replay, schema)
+    return sorted_map(rows.select(*kept, "_us"), ["src_ip", "episode_start"], ["ts", "event_id"], replay, schema)

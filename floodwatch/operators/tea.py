@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,11 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floodwatch import config as C
-from floodwatch.functions.entropy import binned_medians, exact_medians
+from floodwatch.functions.entropy import binned_medians
 from floodwatch.plans.slices import OWN, local_window, micros, sorted_map, with_row_halo
 
 METRICS = ("size_var", "intensity_var", "proto_entropy", "uniform_share")
-HOT_TICK_ROWS = 2_000_000   # above this the built-in median would gather too much in one task
 
 
 def with_tick(flows: DataFrame, tick_s: float = C.TICK_S, scope: Column | None = None) -> DataFrame:
@@ -35,37 +33,25 @@ def flow_shape(flows: DataFrame) -> DataFrame:
             .withColumn("intensity_x", F.log1p(F.greatest(rate, F.lit(0.0)))))
 
 
-def _hot(shaped: DataFrame) -> bool:
-    """Whether any tick is too large for the gathering median; one counting job."""
-    top = (shaped.groupBy("scope", "tick_ts").agg(F.count(F.lit(1)).alias("n"))
-           .agg(F.max("n").alias("n")).first())
-    return (top["n"] or 0) > HOT_TICK_ROWS
-
-
-def uniform_share(shaped: DataFrame, *, method: str = "auto") -> DataFrame:
+def uniform_share(shaped: DataFrame) -> DataFrame:
     """Share of a tick's flows near its median size and its median intensity.
 
     The tolerance is a multiple of the median absolute deviation with a floor.
-    ``method``: "percentile" (built-in), "binned" (for ticks holding a large
-    part of all rows), or "auto", which counts the largest tick first.
+    A tick may hold a large part of all rows, so its medians come from narrow bins.
     """
     keys = ["scope", "tick_ts"]
-    if method == "auto":
-        method = "binned" if _hot(shaped) else "percentile"
-    medians = binned_medians if method == "binned" else exact_medians
     base = shaped.select(*keys, "size_x", "intensity_x")
-    centre = medians(base, keys, ["size_x", "intensity_x"])
+    centre = binned_medians(base, keys, ["size_x", "intensity_x"])
     off = (base.join(centre, keys)
            .select(*keys, F.abs(F.col("size_x") - F.col("med_size_x")).alias("size_d"),
                    F.abs(F.col("intensity_x") - F.col("med_intensity_x")).alias("intensity_d")))
-    spread = medians(off, keys, ["size_d", "intensity_d"])
+    spread = binned_medians(off, keys, ["size_d", "intensity_d"])
     near = ((F.col("size_d") <= F.greatest(F.lit(C.SIZE_TOLERANCE), C.MAD_FACTOR * F.col("med_size_d")))
             & (F.col("intensity_d") <= F.greatest(F.lit(C.INTENSITY_TOLERANCE), C.MAD_FACTOR * F.col("med_intensity_d"))))
     return off.join(spread, keys).groupBy(*keys).agg(F.avg(near.cast("double")).alias("uniform_share"))
 
 
-def tea_snapshot(flows: DataFrame, *, tick_s: float = C.TICK_S, scope: Column | None = None,
-                 method: str = "auto") -> DataFrame:
+def tea_snapshot(flows: DataFrame, *, tick_s: float = C.TICK_S, scope: Column | None = None) -> DataFrame:
     """One row per (scope, tick): variances, protocol entropy, uniform share, sources."""
     keys = ["scope", "tick_ts"]
     shaped = flow_shape(with_tick(flows, tick_s, scope))
@@ -82,7 +68,7 @@ def tea_snapshot(flows: DataFrame, *, tick_s: float = C.TICK_S, scope: Column |
     mixed = parts.groupBy(*keys).agg(
         (F.log2(total) - F.sum(F.when(by_proto, F.col("_w") * F.log2("_w"))) / total).alias("proto_entropy"),
         F.count(F.when(~by_proto, F.col("_src"))).alias("unique_ips"))
-    return (spread.join(mixed, keys).join(uniform_share(shaped, method=method), keys)
+    return (spread.join(mixed, keys).join(uniform_share(shaped), keys)
             .select(*keys, *METRICS, "unique_ips"))
 
 

@@ -84,6 +84,15 @@ def sliding_counts(rows: DataFrame, keys: Sequence[str], us: str, counts: dict[s
     return moves.filter(arrives).drop("_back", "_at")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which null equals null, so rows with null keys are not lost; ``right`` adds its other columns."""
+    other = right.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in right.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return left.join(other, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def local_window(keys: Sequence[str], order: Sequence[str | Column]):
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
@@ -102,7 +111,8 @@ def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     ``maxes`` running maximum including the row (any orderable type)
 
     ``df`` may already carry ``_slice``; otherwise give ``ts`` and ``width_s``.
-    Keys must not be null. The input is read twice, once for the summary: put a
+    Rows with a null key form one group, as in a window, and rows with a null
+    time come first; none is lost. The input is read twice, once for the summary: put a
     written table (:func:`floodwatch.plans.stage.cut`) before it when it is
     costly. A key shared by all rows, such as a scope, needs slices short enough
     for one task to sort.
@@ -138,7 +148,7 @@ def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 
     here = local_window(keys, order)
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(summary, [*keys, SLICE])
+    out = null_safe_join(df, summary, [*keys, SLICE])
     for name in last:
         out = out.withColumn(name, F.coalesce(
             F.last(f"_v_{name}", ignorenulls=True).over(upto), F.col(f"_c_{name}")))
@@ -162,7 +172,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
     """Attach to each left row the latest right row at or before it, per key.
 
     One shuffle of the union by (keys, slice) plus a small summary; rows of the
-    two sides are never paired, so a hot key costs its own rows only.
+    two sides are never paired, so a hot key costs its own rows only. Every left
+    row stays; one with a null key or time has no match.
     """
     keys = list(keys)
     side = 1 if inclusive else 0
@@ -171,9 +182,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
     kept = left.columns
     lhs = left.withColumn("_ts", F.col(left_ts)).withColumn("_side", F.lit(side)) \
               .withColumn("_left", F.lit(True)).withColumn("_tie", F.lit(None).cast("string"))
+    whole = F.lit(True)
+    for c in [*keys, "_ts"]:
+        whole = whole & F.col(c).isNotNull()
     rhs = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(1 - side).alias("_side"),
                        F.lit(False).alias("_left"), payload.alias("_payload"),
-                       F.format_string("%020d", tie.cast("long")).alias("_tie"))
+                       F.format_string("%020d", tie.cast("long")).alias("_tie")).filter(whole)
     rows = lhs.unionByName(rhs, allowMissingColumns=True)
     rows = prefix(rows, keys, ["_ts", "_side", "_tie"], ts="_ts", width_s=width_s,
                   last={"_match": F.col("_payload")})

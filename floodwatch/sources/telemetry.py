@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floodwatch import config as C
-from floodwatch.plans.slices import SLICE, with_slice
+from floodwatch.plans.slices import SLICE, null_safe_join, with_slice
 from pyspark.sql import Window
 
 D, L, S, B = T.DoubleType(), T.LongType(), T.StringType(), T.BooleanType()
@@ -97,7 +97,7 @@ def ground_truth_intervals(calls: DataFrame, *, slice_s: float) -> DataFrame:
     after = Window.partitionBy("src_ip").orderBy(SLICE)
     later = first.select("src_ip", SLICE, F.lead("_first").over(after).alias("_later"))
     here = Window.partitionBy("src_ip", SLICE).orderBy(*order)
-    return (rows.join(later, ["src_ip", SLICE])
+    return (null_safe_join(rows, later, ["src_ip", SLICE])
             .withColumn("end_ts", F.coalesce(F.lead("ts").over(here), F.col("_later")))
             .filter(F.col("call") == "start")
             .select("src_ip", "attack_type", F.col("ts").alias("start_ts"), "end_ts"))

@@ -132,8 +132,7 @@ SQL = {
         round(z_size_var, 6) AS size_zscore, round(z_intensity_var, 6) AS intensity_zscore, round(z_proto_entropy, 6) AS proto_zscore,
         round(z_uniform_share, 6) AS uniform_share_zscore, round(CASE WHEN ready THEN size_var_m ELSE 0.0 END, 6) AS baseline_mean_size, round(size_delta, 6) AS size_delta
         FROM walk WHERE rn > 0""", recursive=True),
-    "attach_tea": query(VERDICT + """, v AS (SELECT tick_ts, ready, attack, confidence FROM walk WHERE rn > 0
-        AND date_diff('day', DATE '1995-01-01', CAST(tick_ts AS DATE)) % 3 = 0)""",
+    "attach_tea": query(VERDICT + """, v AS (SELECT tick_ts, ready, attack, confidence FROM walk WHERE rn > 0)""",
         f"""SELECT {ID}, coalesce(attack, false) AS tea_attack_pattern, coalesce(confidence, 'low') AS tea_confidence, coalesce(ready, false) AS tea_is_learned
         FROM flows f ASOF LEFT JOIN v ON f.ts >= v.tick_ts""", recursive=True),
     "mitigation_advisory": query(VERDICT, """SELECT src_ip, count(CASE WHEN ip_proto <> 6 AND ready AND NOT attack THEN 1 END) AS would_block, count(*) AS scored
@@ -146,9 +145,10 @@ SQL = {
     "attach_prefilter_flag": query(TRIPS + """, flags AS (SELECT src_ip, min(CASE WHEN reason IS NOT NULL THEN ts END) AS flag_from,
         max(ts) + INTERVAL 5 DAY AS flag_to FROM rows_ GROUP BY src_ip, ep HAVING count(reason) > 0)""",
         """SELECT event_id, src_ip, EXISTS (SELECT 1 FROM flags f WHERE f.src_ip = p.src_ip AND p.ts BETWEEN f.flag_from AND f.flag_to) AS flagged FROM packets p"""),
-    "confidence_lock": query(RESULTS + """, w AS (SELECT *, max(struct_pack(c := confidence, t := ts, o := l_orderkey, l := l_linenumber, p := l_partkey, k := attack_class))
-        OVER (PARTITION BY src_ip ORDER BY ts, l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS lk FROM results WHERE is_anomaly = 1)""",
-        f"SELECT {ID}, round(lk.c, 6) AS locked_confidence, lk.k AS locked_class FROM w"),
+    "confidence_lock": query(RESULTS + """, w AS (SELECT *, max(CASE WHEN is_anomaly = 1 THEN struct_pack(c := confidence, t := ts, o := l_orderkey, l := l_linenumber, p := l_partkey, k := attack_class) END)
+        OVER (PARTITION BY src_ip ORDER BY ts, l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS lk FROM results)""",
+        f"""SELECT {ID}, round(CASE WHEN is_anomaly = 1 THEN lk.c ELSE confidence END, 6) AS locked_confidence,
+        CASE WHEN is_anomaly = 1 THEN lk.k ELSE attack_class END AS locked_class FROM w"""),
     "carry_prior_class": query(RESULTS + """, g AS (SELECT src_ip, ts, max(is_anomaly) AS is_anomaly, max(confidence) AS confidence,
         max(struct_pack(c := confidence, k := attack_class)).k AS attack_class FROM results GROUP BY ALL), k AS (
         SELECT *, last_value(CASE WHEN attack_class <> 'Uncertain' AND confidence >= 0.7 AND is_anomaly = 1 THEN struct_pack(c := confidence, k := attack_class) END IGNORE NULLS)

@@ -16,12 +16,15 @@ ACKS = COUNTED + f""", px AS MATERIALIZED (SELECT event_id, src_ip, ts, flood_pr
       CASE WHEN x.flood_proto <> 'ACK' AND w.seen IS NOT NULL AND x.ts - w.seen > INTERVAL 5 DAY THEN CAST([] AS TIMESTAMP[]) ELSE w.l END AS l0,
       CASE WHEN x.flood_proto <> 'ACK' AND w.seen IS NOT NULL AND x.ts - w.seen > INTERVAL 5 DAY THEN NULL ELSE w.popped END AS p0
     FROM walk w JOIN px x ON x.src_ip = w.src_ip AND x.rn = w.rn + 1))), syn AS (
-  SELECT event_id, len(l) AS a, len(list_filter(l, lambda t: t >= now_ts - INTERVAL 144 MINUTE)) AS b, len(list_filter(l, lambda t: t >= now_ts - INTERVAL 12 HOUR)) AS c FROM walk WHERE kind = 'SYN'),
-counted_acks AS (SELECT c.* REPLACE (coalesce(s.a, n_window) AS n_window, coalesce(s.b, n_burst_short) AS n_burst_short, coalesce(s.c, n_burst_long) AS n_burst_long)
-  FROM counted c LEFT JOIN syn s USING (event_id))"""
+  SELECT event_id, src_ip, kind, CAST(len(list_filter(l, lambda t: t >= now_ts - INTERVAL 1 DAY)) > 0 AS INTEGER) AS syn_active, len(l) AS a, len(list_filter(l, lambda t: t >= now_ts - INTERVAL 144 MINUTE)) AS b, len(list_filter(l, lambda t: t >= now_ts - INTERVAL 12 HOUR)) AS c FROM walk WHERE kind <> 'ACK'),
+counted_acks AS (SELECT c.* REPLACE (CASE WHEN s.kind = 'SYN' THEN s.a ELSE n_window END AS n_window, CASE WHEN s.kind = 'SYN' THEN s.b ELSE n_burst_short END AS n_burst_short,
+    CASE WHEN s.kind = 'SYN' THEN s.c ELSE n_burst_long END AS n_burst_long, CAST(s.syn_active + max(CAST(c.flood_proto = 'ICMP' AS INTEGER)) OVER w
+    + max(CAST(c.flood_proto = 'UDP' AS INTEGER)) OVER w AS INTEGER) AS active_protocols)
+  FROM counted c JOIN syn s USING (event_id) WINDOW w AS (PARTITION BY c.src_ip ORDER BY c.ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW))"""
 TRIPS_ACKS = ACKS + TRIPS.removeprefix(COUNTED).replace("FROM counted)", "FROM counted_acks)", 1)
 
 SQL = {
+    "ack_popback": query(ACKS, "SELECT event_id, src_ip, a AS n_window, b AS n_burst_short, c AS n_burst_long FROM syn WHERE kind = 'SYN'", recursive=True),
     "parse_telemetry": query(PACKETS, "SELECT dpid, src_ip, dst_ip, proto, tcp_flags_syn, tcp_flags_ack FROM packets"),
     "flood_trips_with_acks": query(TRIPS_ACKS, "SELECT src_ip, flood_proto, episode_start, trip_ts, reason, correlated FROM trips", recursive=True),
     "classify_packet": query(CLASSIFIED, "SELECT event_id, src_ip, coalesce(flood_proto,'none') AS flood_proto FROM classified"),
