@@ -65,39 +65,50 @@ def from_planes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def questions(keys: np.ndarray, bits: int, width: int, *values: np.ndarray) -> pa.Table:
-    """Rows (part, keys, value arrays) of sorted distinct keys."""
+def questions(keys: np.ndarray, bits: int, width: int, values: np.ndarray) -> pa.Table:
+    """Rows (part, keys, v0) of sorted distinct keys with a value each."""
     part = (keys >> np.uint64(64 - bits)).astype(np.int64)
     begin = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.empty(0, np.int64)
     edges = [*begin.tolist(), len(part)]
     spans = list(zip(edges, edges[1:]))
-    columns = {"part": pa.array(part[begin], pa.int64()), "keys": pa.array([pack(keys[a:b], width) for a, b in spans], pa.binary())}
-    for k, v in enumerate(values):
-        columns[f"v{k}"] = pa.array([planes(np.ascontiguousarray(v[a:b])) for a, b in spans], pa.binary())
-    return pa.table(columns)
+    return pa.table({"part": pa.array(part[begin], pa.int64()), "keys": pa.array([pack(keys[a:b], width) for a, b in spans], pa.binary()),
+                     "v0": pa.array([planes(np.ascontiguousarray(values[a:b])) for a, b in spans], pa.binary())})
 
 
-def ask(asked: DataFrame, width: int, answer: Callable, values: list[str], name: str) -> DataFrame:
-    """Answers (BUCKET, part, answer) to rows (BUCKET, part, keys, v0, ..).
+SCHEMA = f"{BUCKET} int, round string, part long, keys binary, v0 binary"
 
-    ``answer(key numbers, number of distinct keys, value arrays)`` gets, for all
-    entries of a part, the number of the entry's key among the part's distinct
-    keys, and gives one array with an entry's answer each (bool arrays are packed), or that
-    and a list of whole numbers, which stands in the column sums once per part.
+
+def labelled(bucket: int, tables: dict[str, pa.Table]) -> pa.Table:
+    """The questions of a bucket, by round, as rows of SCHEMA."""
+    out = [pa.table({BUCKET: pa.array(np.full(t.num_rows, bucket), pa.int32()), "round": pa.array([r] * t.num_rows, pa.string()),
+                     **{c: t.column(c) for c in t.column_names}}) for r, t in tables.items()]
+    return pa.concat_tables(out)
+
+
+def ask(asked: DataFrame, rounds: dict[str, tuple[int, Callable, str]], name: str) -> DataFrame:
+    """Answers (BUCKET, round, part, answer, sums) to rows of SCHEMA.
+
+    ``rounds`` has for each round the bytes of a packed key, an answer function
+    and the type of the values. ``answer(key numbers, number of distinct keys,
+    values)`` gets, for all entries of a part, the number of the entry's key
+    among the part's distinct keys, and gives one array with an entry's answer
+    each (bool arrays are packed), or that and a list of whole numbers, which
+    stands in the column sums once per part.
     """
-    def run(table: pa.Table) -> pa.Table:
+    def run(key, table):
+        width, answer, kind = rounds[key[0].as_py()]
         keys = [unpack(x, width) for x in table.column("keys").to_pylist()]
         sizes = [len(k) for k in keys]
         distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-        got = [np.concatenate([from_planes(x, v) for x in table.column(f"v{k}").to_pylist()]) for k, v in enumerate(values)]
-        out, sums = answer(number.ravel(), len(distinct), *got), None
+        got = np.concatenate([from_planes(x, kind) for x in table.column("v0").to_pylist()])
+        out, sums = answer(number.ravel(), len(distinct), got), None
         if isinstance(out, tuple):
             out, sums = out
         edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         back = [np.packbits(out[a:b]).tobytes() if out.dtype == bool else planes(out[a:b]) for a, b in zip(edges, edges[1:])]
-        return pa.table({BUCKET: table.column(BUCKET), "part": table.column("part"), "answer": pa.array(back, pa.binary()),
+        return pa.table({BUCKET: table.column(BUCKET), "round": table.column("round"), "part": table.column("part"), "answer": pa.array(back, pa.binary()),
                          "sums": pa.array([sums, *[None] * (len(back) - 1)], pa.list_(pa.int64()))})
-    return cut(asked.groupBy("part").applyInArrow(run, f"{BUCKET} int, part long, answer binary, sums array<bigint>"), name)
+    return cut(asked.groupBy("round", "part").applyInArrow(run, f"{BUCKET} int, round string, part long, answer binary, sums array<bigint>"), name)
 
 
 def answered(keys: np.ndarray, bits: int, rows: dict[int, bytes], dtype) -> np.ndarray:

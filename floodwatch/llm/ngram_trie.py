@@ -29,7 +29,9 @@ quantised on a fixed grid (1/4096), so a score does not depend on the bucket.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffer_of, free_name, mix, put_back, set_aside
-from .exchange import BUCKET, answered, ask, bits_of, bucketed_table, by_round, questions
+from .exchange import BUCKET, SCHEMA, answered, ask, bits_of, bucketed_table, by_round, labelled, questions
 
 GRID = 4096
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 END, START = b" ", b"  "  # no words: they are blank
 
 
@@ -58,12 +60,8 @@ class EliasFano:
         bits[upper + np.arange(n)] = True
         self.unary = np.packbits(bits, bitorder="little").view("<u8")
         shifts = np.arange(self.low_bits, dtype=np.uint64)
-        packed = ((values[:, None] >> shifts) & np.uint64(1)).astype(bool) if n * self.low_bits < 1 << 24 else None
-        if packed is None:
-            chunks = [((values[a:a + (1 << 19) // 8 * 8, None] >> shifts) & np.uint64(1)).astype(bool).ravel() for a in range(0, n, (1 << 19) // 8 * 8)]
-            packed = np.concatenate([np.packbits(c, bitorder="little") for c in chunks])
-        else:
-            packed = np.packbits(packed.ravel(), bitorder="little")
+        chunks = [np.packbits(((values[a:a + 65536, None] >> shifts) & np.uint64(1)).astype(bool).ravel(), bitorder="little") for a in range(0, n, 65536)]
+        packed = np.concatenate(chunks) if chunks else np.empty(0, np.uint8)
         self.low = np.concatenate([packed, np.zeros(16, np.uint8)])
         zeros = 512 - np.bitwise_count(self.unary).reshape(-1, 8).sum(1, dtype=np.int64)
         self.zeros = np.concatenate([[0], np.cumsum(zeros)])
@@ -111,22 +109,34 @@ class EliasFano:
             lo, hi = np.where(on, mid, lo), np.where(on, hi, mid)
         return (lo.astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(at)
 
+    def borders(self) -> np.ndarray:
+        """first_of of every number of uppers at once: the zeros' places in the unary vector, for many searches."""
+        zeros = np.flatnonzero(np.unpackbits(self.unary.view(np.uint8), bitorder="little")[:self.n + self.uppers + 1] == 0)[:self.uppers]
+        return np.concatenate([[0], zeros - np.arange(len(zeros))])
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value by successor search, -1 where the sequence lacks it."""
         values = values.astype(np.uint64)
         upper = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        inside = upper < self.uppers
-        place, end = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
-        place[inside], end[inside] = self.first_of(upper[inside]), self.first_of(upper[inside] + 1)
+        inside = np.minimum(upper, self.uppers - 1)
+        if len(values) * 8 > self.n:
+            borders = self.borders()
+            place, end = borders[inside], borders[inside + 1]
+        else:
+            place, end = self.first_of(inside), self.first_of(inside + 1)
+        end = np.where(upper < self.uppers, end, place)
         want = values & np.uint64((1 << self.low_bits) - 1)
+        low, high = place.copy(), end.copy()
+        live = np.flatnonzero(low < high)
+        while len(live):  # halve the values that share the upper bits
+            mid = (low[live] + high[live]) >> 1
+            after = self.lows(mid) < want[live]
+            low[live[after]], high[live[~after]] = mid[after] + 1, mid[~after]
+            live = live[low[live] < high[live]]
         found = np.full(len(values), -1, np.int64)
-        live = np.flatnonzero(place < end)
-        while len(live):
-            low = self.lows(place[live])
-            found[live[low == want[live]]] = place[live[low == want[live]]]
-            live = live[low < want[live]]
-            place[live] += 1
-            live = live[place[live] < end[live]]
+        live = np.flatnonzero(low < end)
+        live = live[self.lows(low[live]) == want[live]]
+        found[live] = low[live]
         return found
 
 
@@ -170,44 +180,49 @@ def quantise(log: np.ndarray) -> np.ndarray:
 
 
 class Bucket:
-    """Words and pairs of a bucket's texts with their learned counts."""
+    """Words and pairs of a bucket's texts. Number 0 is the end of a text, the last number its start."""
 
     def __init__(self, column, learned: np.ndarray):
         raw, rows = buffer_of(column)
         data, edges = raw.tobytes().lower(), rows.tolist()
-        number: dict[bytes, int] = {END: 0}
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        number[END]
         ids, sizes = [], []
         for a, b in zip(edges, edges[1:]):
             w = data[a:b].split()
             sizes.append(len(w) + 1)
-            part = np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w))
-            ids.append(part)
+            w.append(END)
+            ids.append(np.array(list(map(number.__getitem__, w)), np.int32))
         self.sizes = np.array(sizes, np.int64)
-        ends = np.cumsum(self.sizes) - 1
-        self.ids = np.zeros(int(self.sizes.sum()), np.int64)
-        text = np.ones(len(self.ids), bool)
-        text[ends] = False
-        self.ids[text] = np.concatenate(ids) if ids else []
-        self.words = len(number) + 1  # the last number is the start of a text
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.ids = np.concatenate(ids).astype(np.int64) if ids else np.empty(0, np.int64)
+        self.words = len(number) + 1
         digest = xxhash.xxh64_intdigest
-        self.hash = np.fromiter((digest(x, 7) for x in [*number, START]), np.uint64, self.words)
-        on = learned[self.doc]
-        self.word_counts = np.bincount(self.ids[on], minlength=self.words)
+        self.hash = np.fromiter((digest(x, 7) for x in itertools.chain(number, [START])), np.uint64, self.words)
+        del data, raw, ids, number
         context = np.empty_like(self.ids)
         context[1:] = self.ids[:-1]
-        context[np.concatenate([[0], ends[:-1] + 1]) if len(ends) else []] = self.words - 1
-        codes, self.pair = np.unique(context * self.words + self.ids, return_inverse=True)
-        self.context, self.successor = codes // self.words, codes % self.words
-        self.pair_counts = np.bincount(self.pair, on, len(codes)).astype(np.int64)
+        context[np.cumsum(self.sizes) - self.sizes] = self.words - 1
+        self.codes = context * self.words + self.ids
+        self.learned = np.repeat(learned, self.sizes)
+        self.pairs = np.unique(self.codes)
+        self.context, self.successor = self.pairs // self.words, self.pairs % self.words
         key = mix(self.hash[self.context] * np.uint64(0x9E3779B97F4A7C15) + mix(self.hash[self.successor]))
-        self.pair_order = np.argsort(key, kind="stable")
+        self.pair_order = np.argsort(key)
         self.pair_keys = key[self.pair_order]
-        own = self.hash[:-1]
-        self.word_order = np.argsort(own)
-        self.word_keys = own[self.word_order]
+        self.word_order = np.argsort(self.hash[:-1])
+        self.word_keys = self.hash[self.word_order]
         self.all_order = np.argsort(self.hash)
 
+    def word_counts(self) -> np.ndarray:
+        """Learned counts in the order of word_keys."""
+        return np.bincount(self.ids[self.learned], minlength=self.words)[self.word_order]
+
+    def pair_counts(self) -> np.ndarray:
+        """Learned counts in the order of pair_keys."""
+        own = np.sort(self.codes[self.learned])
+        return (np.searchsorted(own, self.pairs, "right") - np.searchsorted(own, self.pairs))[self.pair_order]
+
 
 def _totals(number: np.ndarray, n: int, counts: np.ndarray):
     """Total of the entry's key, twice, plus one on the first entry that has learned it; sums: keys learned, tokens, keys of 1 and of 2."""
@@ -236,42 +251,33 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keys: tuple[
     own = docs.withColumns({learned: F.coalesce(learn, F.lit(False)), body: F.coalesce(F.col(text).cast("string"), F.lit(""))}).drop(text)
     table, size = bucketed_table(own, body, [*keys, body], BUCKET_BYTES)
     bits, width = bits_of(size), 5
-    schema = f"{BUCKET} int, part long, keys binary, v0 binary"
+    short = table.select(BUCKET, body, learned)
 
-    def load(left: pa.Table) -> Bucket:
+    def load(left) -> Bucket:
         return Bucket(left.column(body), left.column(learned).to_numpy(zero_copy_only=False).astype(bool))
 
-    def rows(key, out: pa.Table) -> pa.Table:
-        return out.add_column(0, BUCKET, pa.array(np.full(out.num_rows, key[0].as_py()), pa.int32()))
-
-    def words(key, left):
+    def counts_of(key, left):
         b = load(left)
-        return rows(key, questions(b.word_keys, bits, 8, b.word_counts[:-1][b.word_order].astype("<u4")))
-
-    def pairs(key, left):
-        b = load(left)
-        return rows(key, questions(b.pair_keys, bits, width, b.pair_counts[b.pair_order].astype("<u4")))
-    short = table.select(BUCKET, body, learned)
-    word_totals = ask(short.groupBy(BUCKET).applyInArrow(words, schema), 8, _totals, ["<u4"], "words")
-    pair_totals = ask(short.groupBy(BUCKET).applyInArrow(pairs, schema), width, _totals, ["<u4"], "pairs")
-    sums = lambda t: t.filter("sums is not null").agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(str(k)) for k in range(4))).first()
-    distinct, tokens = sums(word_totals)[0], sums(word_totals)[1]
-    ones, twos = sums(pair_totals)[2], sums(pair_totals)[3]
+        return labelled(key[0].as_py(), {"words": questions(b.word_keys, bits, 8, b.word_counts().astype("<u4")),
+                                         "pairs": questions(b.pair_keys, bits, width, b.pair_counts().astype("<u4"))})
+    totals = ask(short.groupBy(BUCKET).applyInArrow(counts_of, SCHEMA), {"words": (8, _totals, "<u4"), "pairs": (width, _totals, "<u4")}, "totals")
+    sums = {r["round"]: r for r in totals.filter("sums is not null").groupBy("round").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(4))).collect()}
+    distinct, tokens = (sums["words"]["s0"], sums["words"]["s1"]) if sums else (0, 0)
+    ones, twos = (sums["pairs"]["s2"], sums["pairs"]["s3"]) if sums else (0, 0)
     discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    totals = totals.drop("sums")
 
-    def successors(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def successors(key, left, right):
         b, got = load(left), by_round(right)
         first = np.empty(len(b.pair_keys), np.int64)
         first[b.pair_order] = answered(b.pair_keys, bits, got["pairs"], "<u8").astype(np.int64) & 1
         types = np.bincount(b.context, first, b.words)
-        return rows(key, questions(b.hash[b.all_order], bits, 8, types[b.all_order].astype("<u4")))
-    tag = lambda t, name: t.drop("sums").withColumn("round", F.lit(name))
-    pair_rows = tag(pair_totals, "pairs")
-    type_totals = ask(short.groupBy(BUCKET).cogroup(pair_rows.groupBy(BUCKET)).applyInArrow(successors, schema), 8, _sum, ["<u4"], "types")
-    answers = tag(word_totals, "words").unionByName(pair_rows).unionByName(tag(type_totals, "types"))
+        return labelled(key[0].as_py(), {"types": questions(b.hash[b.all_order], bits, 8, types[b.all_order].astype("<u4"))})
+    asked = short.groupBy(BUCKET).cogroup(totals.filter("round = 'pairs'").groupBy(BUCKET)).applyInArrow(successors, SCHEMA)
+    answers = totals.unionByName(ask(asked, {"types": (8, _sum, "<u4")}, "types").drop("sums"))
     rest = [c for c in own.columns if c not in (body, learned)]
 
-    def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def finish(key, left, right):
         b, got = load(left), by_round(right)
         counts, types = np.zeros(b.words), np.zeros(b.words)
         counts[b.word_order] = (answered(b.word_keys, bits, got["words"], "<u8") >> np.uint64(1)).astype(np.float64)
@@ -287,10 +293,11 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keys: tuple[
         c, w = b.context[known], b.successor[known]
         chances = np.maximum(pair_total[known] - discount, 0) / np.maximum(seen[c], 1) + backoff[c] * chance[w]
         trie = Trie(b.words, np.log10(chance), np.log10(np.minimum(backoff, 1)), c, w, np.log10(np.minimum(chances, 1)))
-        log = trie.log10(b.context, b.successor)
-        n = len(b.sizes)
-        extra = {"n_tokens": b.sizes, "n_known": np.bincount(b.doc, counts[b.ids] > 0, n).astype(np.int64), "train_tokens": np.full(n, tokens, np.int64),
-                 "base_score": np.bincount(b.doc, np.log10(chance)[b.ids], n), "score": np.bincount(b.doc, log[b.pair], n)}
+        log = trie.log10(b.context, b.successor)[np.searchsorted(b.pairs, b.codes)]
+        ends = np.cumsum(b.sizes)
+        total = lambda x: np.add.reduceat(x, ends - b.sizes) if len(ends) else np.empty(0)
+        extra = {"n_tokens": b.sizes, "n_known": total((counts[b.ids] > 0).astype(np.int64)), "train_tokens": np.full(len(ends), tokens, np.int64),
+                 "base_score": total(np.log10(chance)[b.ids]), "score": total(log)}
         return pa.table({**{c: left.column(c) for c in rest}, body: left.column(body), **{k: pa.array(v) for k, v in extra.items()}})
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*rest).schema), f"`{body}` string",
                      "n_tokens long, n_known long, train_tokens long, base_score double, score double"])

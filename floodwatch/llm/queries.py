@@ -82,7 +82,21 @@ QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_f
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(\|start\|>|\|text\|>|\|next\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2\3', 'g')"
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op7_decontaminate": f"""
+        WITH items AS (SELECT item, w, least(len(w), 10) AS n FROM (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+        docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+        places AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (
+            SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)),
+        found AS (SELECT rid, item, n, i FROM places JOIN windows USING (n, s)),
+        hits AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM found) GROUP BY rid),
+        named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)""",
     "op3_chat_formatting": f"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

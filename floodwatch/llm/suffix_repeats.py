@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffer_of, free_name, mix, put_back, ranges_of, set_aside
-from .exchange import BUCKET, answered, ask, bits_of, bucketed_table, by_round, questions
+from .exchange import BUCKET, SCHEMA, answered, ask, bits_of, bucketed_table, by_round, labelled, questions
 
 PERIOD = 133
 #: A perfect difference set modulo 133.
@@ -161,24 +161,21 @@ def find_repeats(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     table, size = bucketed_table(docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit(""))).drop(text), body, [*keys, body])
     seed_width, seed_bits, bits = 5, bits_of(size * len(COVER) // PERIOD * 5), bits_of(size)
     # a seed's name is cut to 40 bits and the bits of its part; the cut happens here, so that all rounds agree
-    schema = f"{BUCKET} int, part long, keys binary, v0 binary"
+    short = table.select(BUCKET, body)
     answers: DataFrame | None = None
 
     def asked(which: str, key_bits: int, width: int):
-        def run(key, left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+        def run(key, left, right):
             r = Rounds(left.column(body), length, bits, seed_bits, by_round(right) if right is not None else {})
-            names, values = {"seeds": lambda: (r.seed_names, np.minimum(r.seed_counts, 2).astype(np.uint8)),
-                             "names": lambda: (r.long_names, np.minimum(r.long_counts, 2).astype(np.uint8)),
-                             "open": lambda: (r.flag_names, r.open_classes.astype(np.uint8)),
-                             "rest": lambda: (r.rest_names, np.minimum(r.rest_counts, 2).astype(np.uint8))}[which]()
-            out = questions(names, key_bits, width, values)
-            return out.add_column(0, BUCKET, pa.array(np.full(out.num_rows, key[0].as_py()), pa.int32()))
+            names, values = {"seeds": lambda: (r.seed_names, np.minimum(r.seed_counts, 2)), "names": lambda: (r.long_names, np.minimum(r.long_counts, 2)),
+                             "open": lambda: (r.flag_names, r.open_classes), "rest": lambda: (r.rest_names, np.minimum(r.rest_counts, 2))}[which]()
+            return labelled(key[0].as_py(), {which: questions(names, key_bits, width, values.astype(np.uint8))})
         if answers is None:
-            return table.select(BUCKET, body).groupBy(BUCKET).applyInArrow(lambda key, t: run(key, t), schema)
-        return table.select(BUCKET, body).groupBy(BUCKET).cogroup(answers.groupBy(BUCKET)).applyInArrow(run, schema)
+            return short.groupBy(BUCKET).applyInArrow(lambda key, left: run(key, left, None), SCHEMA)
+        return short.groupBy(BUCKET).cogroup(answers.groupBy(BUCKET)).applyInArrow(run, SCHEMA)
 
     for which, key_bits, width, how in (("seeds", seed_bits, seed_width, _repeated), ("names", bits, 8, _repeated), ("open", seed_bits, seed_width, _any), ("rest", bits, 8, _repeated)):
-        got = ask(asked(which, key_bits, width), width, how, ["u1"], which).drop("sums").withColumn("round", F.lit(which))
+        got = ask(asked(which, key_bits, width), {which: (width, how, "u1")}, which).drop("sums")
         answers = got if answers is None else answers.unionByName(got)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
