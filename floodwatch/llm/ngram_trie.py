@@ -205,7 +205,8 @@ class Bucket:
         context[np.cumsum(self.sizes) - self.sizes] = self.words - 1
         self.codes = context * self.words + self.ids
         self.learned = np.repeat(learned, self.sizes)
-        self.pairs = np.unique(self.codes)
+        ordered = np.sort(self.codes)
+        self.pairs = ordered[np.flatnonzero(np.diff(ordered, prepend=-1))]
         self.context, self.successor = self.pairs // self.words, self.pairs % self.words
         key = mix(self.hash[self.context] * np.uint64(0x9E3779B97F4A7C15) + mix(self.hash[self.successor]))
         self.pair_order = np.argsort(key)
