@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,7 +174,10 @@ def poll_stats(spark, d):
 
 @query
 def switch_poll_stats(spark, d):
-    return poll_stats(spark, d).select("dpid", "poll_id", "disp_pakt", "disp_byte", "gfe", "g_usip", "avg_flow_dst",
+    f = A.flows(spark, d)
+    came = f.filter("ip_proto = 6").select("dpid", "poll_id")   # the first packet of a connection comes to the controller
+    out = FL.switch_poll_stats(f, came, interval_s=DAY)
+    return out.select("dpid", "poll_id", "disp_pakt", "disp_byte", "gfe", "g_usip", "avg_flow_dst", "active_ports", F.round("rate_pkt_in", 9).alias("rate_pkt_in"),
                                        "dominant_proto", "rfip", r6("mean_pkt"), r6("mean_byte"), r6("avg_durat"))
 
 
@@ -735,6 +739,11 @@ def executive_summary(spark, d):
     return RE.executive_summary(RE.report_rows(ME.in_days(LE.with_archive(hot, old), "2024-01-05", "2024-01-25")))
 
 
+@query
+def summary_totals(spark, d):
+    return RE.summary_totals(ME.in_days(summary(spark, d), "1996-02-01", "1999-12-31"))
+
+
 @query
 def offences_summary(spark, d):
     return RE.offences_summary(ME.in_days(A.attack_history(spark, d), "1996-01-01", "1998-12-31", ts="unblocked_at"))
@@ -801,6 +810,13 @@ def resolve_policy(spark, d):
     return out.select("event_id", "src_ip", "rule", "outcome")
 
 
+@query
+def resolve_policy_per_switch(spark, d):
+    pk = A.packets(spark, d)
+    aimed = PO.command_targets(rule_commands(spark, d), pk, slice_s=SLICE_D)
+    return PO.resolve_policy(pk, aimed, slice_s=SLICE_D, unit_s=DAY).select("event_id", "src_ip", "rule", "outcome")
+
+
 @query
 def policy_counts(spark, d):
     return PO.policy_counts(PO.resolve_policy(A.packets(spark, d), rule_commands(spark, d), slice_s=SLICE_D, unit_s=DAY))
@@ -933,6 +949,36 @@ def fit_apply_scaling(spark, d):
     return SC.apply_scaling(x, SC.fit_scaling(x, DE.IF_COLUMNS)).select(*FLOW_KEY, "scaled")
 
 
+FIXED_COLUMNS = ("packet_count", "byte_count", "tp_dst")
+
+
+def fixed_scaling():
+    """A hand-written map: packets 1-50, bytes 0-100000, ports 0-1000, straight between three points."""
+    centre, scale = np.array([25.0, 50000.0, 500.0]), np.array([25.0, 50000.0, 500.0])
+    return SC.Scaling(FIXED_COLUMNS, centre, scale, np.array([[-1.0] * 3, [0.0] * 3, [1.0] * 3]))
+
+
+def fixed_forest():
+    """Two hand-written trees over the scaled columns, as if grown from 256 rows."""
+    a = lambda *x: np.array(x)
+    return IFO.Forest(FIXED_COLUMNS, fixed_scaling(), 256, [a(0, -1, 1, -1, -1), a(2, 0, -1, -1, -1)],
+                      [a(0.5, 0.0, 0.9, 0.0, 0.0), a(0.3, 0.8, 0.0, 0.0, 0.0)], [a(1, -1, 3, -1, -1), a(1, 3, -1, -1, -1)],
+                      [a(2, -1, 4, -1, -1), a(2, 4, -1, -1, -1)], [a(0.0, 9.5, 0.0, 7.25, 3.0), a(0.0, 0.0, 8.0, 10.0, 2.5)])
+
+
+@query
+def apply_scaling(spark, d):
+    out = SC.apply_scaling(A.flows(spark, d), fixed_scaling())
+    return out.select(*FLOW_KEY, *[F.round(F.col("scaled")[k], 6).alias(f"scaled_{c}") for k, c in enumerate(FIXED_COLUMNS)])
+
+
+@query
+def forest_score(spark, d):
+    """A forest that SQL can follow; the trained one is scored by isolation_forest_score."""
+    out = IFO.score_forest(A.flows(spark, d), fixed_forest(), 0.6)
+    return out.select(*FLOW_KEY, r6("if_score"), "is_anomaly")
+
+
 @query
 def isolation_forest_score(spark, d):
     m = models(spark, d)

@@ -80,22 +80,22 @@ def flow_count_per_src(flows: DataFrame, order: Sequence[str], *, chunk: Column
                   sums={"flow_count_per_src": F.lit(1).cast("long")})
 
 
-def switch_poll_stats(flows: DataFrame, packets_in: DataFrame | None = None) -> DataFrame:
-    """Totals, means and distinct counts per (switch, poll).
+def switch_poll_stats(flows: DataFrame, packets_in: DataFrame | None = None, interval_s: float = 1.0) -> DataFrame:
+    """Totals, means, distinct addresses and active ports per (switch, poll), and packet-ins per second.
 
     Distinct counts and the dominant protocol come from one pre-aggregate on
-    (switch, poll, source, destination, protocol), so the second level sees
+    (switch, poll, source, destination, port, protocol), so the second level sees
     groups instead of flows.
     """
     micro = F.col("flow_duration_sec") * 1e6 + F.col("flow_duration_nsec") / 1000
-    fine = flows.groupBy("dpid", "poll_id", "src_ip", "tp_dst", "ip_proto").agg(
+    fine = flows.groupBy("dpid", "poll_id", "src_ip", "dst_ip", "tp_dst", "ip_proto").agg(
         F.sum("packet_count").alias("_p"), F.sum("byte_count").alias("_b"),
         F.sum(micro).alias("_d"), F.count(F.lit(1)).alias("_n"))
     keys = ["dpid", "poll_id"]
     totals = fine.groupBy(*keys).agg(
         F.sum("_p").alias("disp_pakt"), F.sum("_b").alias("disp_byte"), F.sum("_n").alias("gfe"),
         F.sum("_d").alias("_d"), F.countDistinct("src_ip").alias("g_usip"),
-        F.countDistinct("tp_dst").alias("avg_flow_dst"))
+        F.countDistinct("dst_ip").alias("avg_flow_dst"), F.countDistinct("tp_dst").alias("active_ports"))
     proto = (fine.groupBy(*keys, "ip_proto").agg(F.sum("_n").alias("_n")).groupBy(*keys)
              .agg(F.max_by("ip_proto", F.struct("_n", "ip_proto")).alias("dominant_proto")))
     out = (totals.join(proto, keys)
@@ -107,7 +107,7 @@ def switch_poll_stats(flows: DataFrame, packets_in: DataFrame | None = None) ->
            .drop("_d"))
     if packets_in is not None:
         rate = packets_in.groupBy(*keys).agg(F.count(F.lit(1)).alias("_in"))
-        out = out.join(rate, keys, "left").withColumn("rate_pkt_in", F.coalesce("_in", F.lit(0)).cast("double")).drop("_in")
+        out = out.join(rate, keys, "left").withColumn("rate_pkt_in", F.coalesce("_in", F.lit(0)) / F.lit(max(float(interval_s), 0.001))).drop("_in")
     return out
 
 

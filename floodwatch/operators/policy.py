@@ -22,11 +22,15 @@ def resolve_policy(packets: DataFrame, commands: DataFrame, *, slice_s: float, u
 
     ``commands``: src_ip, ts, id, action, ttl. A block ends after its ttl; clear
     removes every rule of the source and permits it for ten seconds; a new
-    block, quarantine or rate limit removes a redirect. For each rule kind the
+    block, quarantine or rate limit removes a redirect. Commands with a
+    ``target_dpid`` (:func:`command_targets`) hold on that switch only, so a
+    clear leaves the rules of the other switches. For each rule kind the
     last command that set or removed it decides, so one scan over commands and
     packets of a source yields all kinds at once and no pair is ever formed.
     """
-    cmd = commands.select("src_ip", F.col("ts"), F.lit(0).alias("_side"), F.col("id").alias("_tie"),
+    own = "target_dpid" in commands.columns
+    keys = ["src_ip", "dpid"] if own else ["src_ip"]
+    cmd = commands.select("src_ip", *([F.col("target_dpid").alias("dpid")] if own else []), F.col("ts"), F.lit(0).alias("_side"), F.col("id").alias("_tie"),
                           F.col("action").alias("_a"), F.col("ttl").alias("_ttl"), F.lit(False).alias("_is_packet"))
     pkt = packets.withColumn("_side", F.lit(1)).withColumn("_tie", F.lit(0).cast("long")).withColumn("_is_packet", F.lit(True))
     both = pkt.unionByName(cmd, allowMissingColumns=True)
@@ -41,7 +45,7 @@ def resolve_policy(packets: DataFrame, commands: DataFrame, *, slice_s: float, u
                                                           (F.col("_ttl") * unit_s).cast("decimal(18,6)")))
         last[f"_r_{kind}"] = F.when(touches, F.struct(sets.alias("on"), expires.alias("until")))
     last["_cleared"] = F.when(a == "clear", F.col("ts"))
-    rows = prefix(both, ["src_ip"], ["ts", "_side", "_tie"], ts="ts", width_s=slice_s, last=last).filter("_is_packet")
+    rows = prefix(both, keys, ["ts", "_side", "_tie"], ts="ts", width_s=slice_s, last=last).filter("_is_packet")
     rule: Column | None = None
     for kind in RULE_PRIORITY:   # highest first
         r = F.col(f"_r_{kind}")

@@ -118,6 +118,15 @@ def executive_summary(rows: DataFrame) -> DataFrame:
                       "high", (F.col("threats") - F.col("high")).alias("low"), "manual_release", "manual_block")
 
 
+def summary_totals(summary: DataFrame) -> DataFrame:
+    """Flows, true negatives, false positives and the false positive rate in percent of the report's days."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = summary.agg(total("total").alias("total_flows"), total("true_neg").alias("true_negatives"),
+                      total("fp").alias("false_positives"), total("if_fp").alias("_fp"), total("if_tn").alias("_tn"))
+    rate = F.col("_fp") / F.greatest(F.col("_fp") + F.col("_tn"), F.lit(1)) * 100
+    return out.select("total_flows", "true_negatives", "false_positives", F.round(rate, 2).alias("fp_rate"))
+
+
 def chronological_log(rows: DataFrame) -> DataFrame:
     conf = F.when(F.coalesce("confidence", F.lit(0.0)) != 0, format_percent(F.col("confidence"))).otherwise("-")
     return (rows.select("timestamp", "src_ip", "predicted_class", F.coalesce("attack_vector", F.lit("-")).alias("attack_vector"),

@@ -59,6 +59,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + F.floor(F.col("l_tax") * 100 + 0.5)).cast("double").alias("flow_duration_sec"),
         (F.floor(F.col("l_discount") * 100 + 0.5) * 10000000).cast("double").alias("flow_duration_nsec"),
         (F.col("l_partkey") % 65536).alias("tp_src"), (F.col("l_orderkey") % 1024).alias("tp_dst"),
+        _ip("10.3", "(l_partkey % 100)").alias("dst_ip"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax")
     return with_flow_rates(base)
 

@@ -63,7 +63,7 @@ FLOWS_BASE = f"""flows_base AS (
     CAST(1 + CAST(floor(l_tax*100+0.5) AS BIGINT) AS DOUBLE) AS flow_duration_sec,
     CAST(CAST(floor(l_discount*100+0.5) AS BIGINT) * 10000000 AS DOUBLE) AS flow_duration_nsec,
     l_partkey % 65536 AS tp_src, l_orderkey % 1024 AS tp_dst,
-    l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_discount, l_tax
+    {ip('10.3', '(l_partkey % 100)')} AS dst_ip, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_discount, l_tax
   FROM lineitem), timed AS (
   SELECT *, greatest(flow_duration_sec + flow_duration_nsec / 1e9, 1e-9) AS total_s FROM flows_base), flows AS (
   SELECT *, packet_count / total_s AS packet_count_per_second, packet_count / total_s / 1e9 AS packet_count_per_nsecond,

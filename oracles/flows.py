@@ -8,8 +8,8 @@ POLLS = FLOWS_BASE + """, proto_n AS (SELECT dpid, poll_id, ip_proto, count(*) A
   SELECT dpid, poll_id, ip_proto AS dominant_proto FROM proto_n
   QUALIFY row_number() OVER (PARTITION BY dpid, poll_id ORDER BY n DESC, ip_proto DESC) = 1), polls AS (
   SELECT dpid, poll_id, CAST(sum(packet_count) AS BIGINT) AS disp_pakt, CAST(sum(byte_count) AS BIGINT) AS disp_byte, count(*) AS gfe,
-    count(DISTINCT src_ip) AS g_usip, count(DISTINCT tp_dst) AS avg_flow_dst, dominant_proto,
-    greatest(count(DISTINCT tp_dst) - 1, 0) AS rfip, round(avg(packet_count), 6) AS mean_pkt, round(avg(byte_count), 6) AS mean_byte,
+    count(DISTINCT src_ip) AS g_usip, count(DISTINCT dst_ip) AS avg_flow_dst, count(DISTINCT tp_dst) AS active_ports, dominant_proto,
+    greatest(count(DISTINCT dst_ip) - 1, 0) AS rfip, round(avg(packet_count), 6) AS mean_pkt, round(avg(byte_count), 6) AS mean_byte,
     round(avg(flow_duration_sec*1e6 + flow_duration_nsec/1000), 6) AS avg_durat
   FROM flows JOIN dom USING (dpid, poll_id) GROUP BY dpid, poll_id, dominant_proto)"""
 
@@ -67,7 +67,13 @@ ALERT_SQL = " UNION ALL ".join(
     f"SELECT {ID}, attack_class, '{n}' AS feature, round(CAST({n} AS DOUBLE), 9) AS value FROM shaped WHERE attack_class = '{c}' AND {cond}"
     for c, *conds in ALERTS for n, cond in zip(NAMES, conds) if cond != "false")
 
+SCALED = FLOWS_BASE + """, sc AS (SELECT *, least(greatest(packet_count / 50.0::DOUBLE, 0), 1) AS a, least(greatest(byte_count / 100000.0::DOUBLE, 0), 1) AS b,
+    least(greatest(tp_dst / 1000.0::DOUBLE, 0), 1) AS c FROM flows), fs AS (SELECT *, power(2.0::DOUBLE, -((CASE WHEN a < 0.5 THEN 9.5 WHEN b < 0.9 THEN 7.25 ELSE 3.0 END
+    + CASE WHEN c >= 0.3 THEN 8.0 WHEN a < 0.8 THEN 10.0 ELSE 2.5 END)::DOUBLE / 2) / (2 * (ln(255.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * 255.0::DOUBLE / 256)) AS s FROM sc)"""
+
 SQL = {
+    "apply_scaling": query(SCALED, f"SELECT src_ip, l_orderkey, l_linenumber, l_partkey, round(a, 6) AS scaled_packet_count, round(b, 6) AS scaled_byte_count, round(c, 6) AS scaled_tp_dst FROM sc"),
+    "forest_score": query(SCALED, f"SELECT src_ip, l_orderkey, l_linenumber, l_partkey, round(s, 6) AS if_score, CAST(s >= 0.6 AS BIGINT) AS is_anomaly FROM fs"),
     "resolve_protocol": query(PACKETS + f""", n AS (SELECT *, {NUM} AS num FROM packets), c AS (SELECT event_id,
         CAST(CASE WHEN event_id % 4 = 0 THEN num ELSE 0 END AS BIGINT) AS ip_proto,
         last_value(CASE WHEN num IN (6,17) THEN num END IGNORE NULLS) OVER a AS s1, count(CASE WHEN num <> 0 THEN 1 END) OVER a AS k1,
@@ -92,7 +98,8 @@ SQL = {
     "flow_delta": query(FLOWS_BASE, f"""SELECT {ID}, greatest(packet_count - lag(packet_count, 1, 0) OVER (PARTITION BY src_ip, dpid
         ORDER BY ts, l_orderkey, l_linenumber, l_partkey), 0) AS delta_packets FROM flows"""),
     "flow_count_per_src": query(COUNTED_FLOWS, f"SELECT {ID}, flow_count_per_src FROM cflows"),
-    "switch_poll_stats": query(POLLS, "SELECT * FROM polls"),
+    "switch_poll_stats": query(POLLS + """, came AS (SELECT dpid, poll_id, count(*) / 86400.0::DOUBLE AS rate_pkt_in FROM flows
+        WHERE ip_proto = 6 GROUP BY ALL)""", "SELECT polls.*, round(coalesce(rate_pkt_in, 0), 9) AS rate_pkt_in FROM polls LEFT JOIN came USING (dpid, poll_id)"),
     "switch_delta_pps": query(POLLS, """SELECT dpid, poll_id, round(CASE WHEN lag(disp_pakt) OVER w IS NULL THEN 0.0 ELSE
         greatest(greatest(disp_pakt - lag(disp_pakt) OVER w, 0) / greatest(poll_id - lag(poll_id) OVER w, 0.1::DOUBLE), 0.0) END, 6) AS switch_delta_pps
         FROM polls WINDOW w AS (PARTITION BY dpid ORDER BY poll_id)"""),

@@ -63,6 +63,20 @@ POLICY = COMMANDS + "".join(
   pblocks AS (SELECT proto, ts, event_id % 3 = 0 AS live FROM packets)"""
 
 
+def per_switch() -> str:
+    """Each command on each of its switches, then the rule of (source, switch)."""
+    touched = "".join(f""", t_{k} AS (SELECT src_ip, dpid, ts, action = '{k}' AS live, {"ts + INTERVAL 2 DAY" if k == "block" else "TIMESTAMP '2999-01-01'"} AS until
+      FROM aimed WHERE action IN ({v}))""" for k, v in TOUCH.items())
+    joins = " ".join(f"ASOF LEFT JOIN t_{k} ON p.src_ip = t_{k}.src_ip AND p.dpid = t_{k}.dpid AND p.ts >= t_{k}.ts" for k in (*TOUCH, "clear"))
+    case = " ".join(f"WHEN t_{k}.live AND p.ts < t_{k}.until THEN '{k}'" for k in TOUCH)
+    return COMMANDS + """, sw AS (SELECT DISTINCT dpid FROM packets), seen AS (SELECT c.*, p.dpid FROM commands c ASOF LEFT JOIN packets p ON c.src_ip = p.src_ip AND c.ts >= p.ts),
+      aimed AS (SELECT id, src_ip, ts, action, dpid FROM seen WHERE action = 'clear' AND dpid IS NOT NULL
+        UNION ALL SELECT s.id, s.src_ip, s.ts, s.action, sw.dpid FROM seen s, sw WHERE NOT (s.action = 'clear' AND s.dpid IS NOT NULL))""" + touched + f""",
+      t_clear AS (SELECT src_ip, dpid, ts FROM aimed WHERE action = 'clear'), resolved AS (SELECT p.event_id, p.src_ip, CASE {case}
+      WHEN p.ts < t_clear.ts + INTERVAL 10 DAY THEN 'permit' ELSE 'forward' END AS rule FROM packets p {joins}), done AS (
+      SELECT *, CASE WHEN rule IN ('block','quarantine') THEN 'dropped' WHEN rule='redirect' THEN 'redirected' WHEN rule='rate_limit' THEN 'limited' ELSE 'forwarded' END AS outcome FROM resolved)"""
+
+
 def policy(proto: bool) -> str:
     joins = " ".join(f"ASOF LEFT JOIN t_{k} ON p.src_ip = t_{k}.src_ip AND p.ts >= t_{k}.ts" for k in (*TOUCH, "clear"))
     extra = "ASOF LEFT JOIN pblocks pb ON p.proto = pb.proto AND p.ts >= pb.ts" if proto else ""
@@ -173,6 +187,11 @@ SQL = {
         WHEN role='legit' THEN CASE WHEN m IS NOT NULL THEN 'FP? MITIGATED [' || m || ']' ELSE 'standby' END ELSE role END AS status
         FROM hosts LEFT JOIN att USING (src_ip) LEFT JOIN mit USING (src_ip)"""),
     "resolve_policy": query(policy(True), "SELECT event_id, src_ip, rule, outcome FROM done"),
+    "resolve_policy_per_switch": query(per_switch(), "SELECT event_id, src_ip, rule, outcome FROM done"),
+    "summary_totals": query(SUMMARY + """, s AS (SELECT CAST(coalesce(sum(total), 0) AS BIGINT) AS total_flows, CAST(coalesce(sum(true_neg), 0) AS BIGINT) AS true_negatives,
+        CAST(coalesce(sum(fp), 0) AS BIGINT) AS false_positives, sum(if_fp) AS f, sum(if_tn) AS t FROM summary
+        WHERE timestamp >= TIMESTAMP '1996-02-01' AND timestamp <= TIMESTAMP '1999-12-31 23:59:59')""",
+        "SELECT total_flows, true_negatives, false_positives, round(f / greatest(f + t, 1) * 100, 2) AS fp_rate FROM s"),
     "policy_counts": query(policy(False), "SELECT rule, outcome, count(*) AS packets FROM done GROUP BY ALL"),
     "command_targets": query(COMMANDS + """, sw AS (SELECT DISTINCT dpid FROM packets), seen AS (SELECT c.id, c.action, p.dpid FROM commands c ASOF LEFT JOIN packets p ON c.src_ip = p.src_ip AND c.ts >= p.ts)""",
         """SELECT id, action, dpid AS target_dpid FROM seen WHERE action = 'clear' AND dpid IS NOT NULL
