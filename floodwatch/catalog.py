@@ -67,6 +67,11 @@ def flag_intervals(spark, d):
     return X.flag_intervals(A.packets(spark, d), A.FLOOD_RULES)
 
 
+@query
+def flag_intervals_with_acks(spark, d):
+    return X.flag_intervals(A.packets(spark, d), A.FLOOD_RULES, pop_acks=True).select("src_ip", "episode_start", "flag_from", "flag_to")
+
+
 @query
 def prefilter_breakdown(spark, d):
     return X.prefilter_breakdown(X.flood_trips(A.packets(spark, d), A.FLOOD_RULES))
@@ -982,7 +987,7 @@ def forest_score(spark, d):
 @query
 def isolation_forest_score(spark, d):
     m = models(spark, d)
-    out = IFO.score_forest(DE.with_features(counted_flows(spark, d)), m.forest, m.threshold)
+    out = IFO.score_forest(DE.with_features(counted_flows(spark, d), m.means), m.forest, m.threshold)
     return out.select(*FLOW_KEY, "if_score", "is_anomaly")
 
 
@@ -990,7 +995,7 @@ def isolation_forest_score(spark, d):
 def cascade(spark, d):
     from floodwatch.models.rf import cascade as run
     m = models(spark, d)
-    out = run(DE.with_features(counted_flows(spark, d)), m.forest, m.classes, threshold=m.threshold)
+    out = run(DE.with_features(counted_flows(spark, d), m.means), m.forest, m.classes, threshold=m.threshold)
     return out.select(*FLOW_KEY, "if_score", "is_anomaly", "attack_class", "confidence")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from floodwatch import config as C
 from floodwatch.models.iforest import Forest, score_forest
 from floodwatch.operators.fusion import gate_confidence
+from floodwatch.plans.stage import cut
 
 
 def fit_classes(labelled: DataFrame, columns: Sequence[str], label: str = "attack_class", *, trees: int = 30,
@@ -41,16 +42,16 @@ def cascade(flows: DataFrame, forest: Forest, classes: PipelineModel, *, thresho
             gate: float = C.RF_CONFIDENCE_GATE, low_rate: str | None = None) -> DataFrame:
     """Score every flow and name the class of the anomalous ones.
 
-    One pass: both models are applied to the row in place and the class is
-    masked where the flow is normal. Splitting into two branches would repeat
-    everything upstream of the split. A low-rate flow is normal with score 0.
+    The scores are written once, so that only the anomalous rows go through the
+    class forest and nothing upstream is repeated. A low-rate flow is normal
+    with score 0.
     """
     scored = score_forest(flows, forest, threshold)
     if low_rate:
         slow = F.coalesce(F.col(low_rate), F.lit(False))
         scored = (scored.withColumn("if_score", F.when(slow, 0.0).otherwise(F.col("if_score")))
                   .withColumn("is_anomaly", F.when(slow, 0).otherwise(F.col("is_anomaly")).cast("long")))
-    out = predict_classes(scored, classes, gate)
-    hit = F.col("is_anomaly") == 1
-    return (out.withColumn("attack_class", F.when(hit, F.col("attack_class")).otherwise("Normal"))
-            .withColumn("confidence", F.when(hit, F.col("confidence")).otherwise(0.0)))
+    scored = cut(scored.drop("attack_class", "confidence"), "scores")
+    hit = F.coalesce(F.col("is_anomaly") == 1, F.lit(False))
+    calm = scored.filter(~hit).withColumns({"attack_class": F.lit("Normal"), "confidence": F.lit(0.0)})
+    return predict_classes(scored.filter(hit), classes, gate).unionByName(calm)

@@ -117,8 +117,19 @@ def finite(x: Column, instead: Column) -> Column:
     return F.when(bad, instead).otherwise(x)
 
 
+def fit_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Means of the finite values (0 if none), one row back: what :func:`impute_with` puts in."""
+    row = df.agg(*[F.coalesce(F.avg(finite(F.col(c).cast("double"), F.lit(None))), F.lit(0.0)).alias(c) for c in cols]).first()
+    return {c: float(row[c]) for c in cols}
+
+
+def impute_with(df: DataFrame, means: dict[str, float]) -> DataFrame:
+    """Replace NaN, infinite and null values by fitted means, so a row does not depend on its batch."""
+    return df.withColumns({c: finite(F.col(c).cast("double"), F.lit(m)) for c, m in means.items()})
+
+
 def impute_nonfinite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace NaN, infinite and null values by the mean of the finite ones (0 if none).
+    """Replace NaN, infinite and null values by the mean of the table's finite ones (0 if none).
 
     The means are scalar subqueries over one aggregate, so no join is involved.
     """

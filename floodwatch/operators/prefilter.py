@@ -124,13 +124,8 @@ def _latch(rows: DataFrame) -> DataFrame:
                     F.col("t.reason").alias("reason"), F.col("t.dpid").alias("dpid"), "_seen"))
 
 
-def flood_trips(packets: DataFrame, rules: C.FloodRules = C.FloodRules(), *,
-                pop_acks: bool = False) -> DataFrame:
-    """First trip of each (source, protocol) per episode, with reason and correlation.
-
-    With ``pop_acks`` SYN counts, and whether SYN is active at a packet of
-    another protocol, come from :func:`remembered_syns`.
-    """
+def _reasoned(packets: DataFrame, rules: C.FloodRules, pop_acks: bool) -> DataFrame:
+    """Counted packets with their episode and the reason for which they trip, if any."""
     rows = (flood_episodes(_sliced_windows(packets, rules), rules)
             .withColumn("reason", _reason(rules)))
     if pop_acks:
@@ -141,6 +136,17 @@ def flood_trips(packets: DataFrame, rules: C.FloodRules = C.FloodRules(), *,
                             .otherwise(F.col("reason")))
                 .withColumn("active_protocols", F.col("active_protocols") - F.col("_syn_active")
                             + F.coalesce(F.col("_syn.syn_active"), F.lit(0))).drop("_syn"))
+    return rows
+
+
+def flood_trips(packets: DataFrame, rules: C.FloodRules = C.FloodRules(), *,
+                pop_acks: bool = False) -> DataFrame:
+    """First trip of each (source, protocol) per episode, with reason and correlation.
+
+    With ``pop_acks`` SYN counts, and whether SYN is active at a packet of
+    another protocol, come from :func:`remembered_syns`.
+    """
+    rows = _reasoned(packets, rules, pop_acks)
     # at most one row per protocol and episode from here on
     episode = Window.partitionBy("src_ip", "episode_start")
     return (_latch(rows)
@@ -159,10 +165,9 @@ def multi_vector(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> Da
             .groupBy("src_ip", "episode_start").agg(F.min("multi_vector_ts").alias("multi_vector_ts")))
 
 
-def flag_intervals(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> DataFrame:
-    """[first trip, last packet + idle limit] per flagged episode of a source."""
-    rows = (flood_episodes(_sliced_windows(packets, rules), rules)
-            .withColumn("reason", _reason(rules)))
+def flag_intervals(packets: DataFrame, rules: C.FloodRules = C.FloodRules(), *, pop_acks: bool = False) -> DataFrame:
+    """[first trip, last packet + idle limit] per flagged episode of a source; ``pop_acks`` as in :func:`flood_trips`."""
+    rows = _reasoned(packets, rules, pop_acks)
     span = (rows.groupBy("src_ip", "episode_start")
             .agg(F.min(F.when(F.col("reason").isNotNull(), F.col("ts"))).alias("flag_from"),
                  F.max("ts").alias("_last")))

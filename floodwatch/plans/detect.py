@@ -26,19 +26,23 @@ class Models:
     forest: Forest
     classes: PipelineModel
     threshold: float
+    means: dict[str, float]
 
 
-def with_features(flows: DataFrame) -> DataFrame:
-    return features.rf_features(features.impute_nonfinite(features.if_features(flows), IF_COLUMNS))
+def with_features(flows: DataFrame, means: dict[str, float] | None = None) -> DataFrame:
+    """Both models' features; gaps are filled by fitted means, or by the table's own while fitting."""
+    rows = features.if_features(flows)
+    return features.rf_features(features.impute_with(rows, means) if means else features.impute_nonfinite(rows, IF_COLUMNS))
 
 
 def train(normal: DataFrame, attacks: DataFrame, ids: Sequence[str], *, trees: int = 100, sample: int = 256,
           quantile: float = 0.99, seed: int = 7) -> Models:
     """Fit scaling and forest on normal flows, classes on labelled attacks, threshold on normal scores."""
-    calm = cut(with_features(normal), "calm")   # read by scaling, sampling and the threshold
+    means = features.fit_means(features.if_features(normal), IF_COLUMNS)
+    calm = cut(with_features(normal, means), "calm")   # read by scaling, sampling and the threshold
     forest = fit_forest(calm, IF_COLUMNS, ids, trees=trees, sample=sample, seed=seed, scaling=fit_scaling(calm, IF_COLUMNS))
     threshold = choose_threshold(score_forest(calm, forest, 1.0), quantile)
-    return Models(forest, fit_classes(features.rf_features(attacks), RF_COLUMNS, trees=30, seed=seed), threshold)
+    return Models(forest, fit_classes(features.rf_features(attacks), RF_COLUMNS, trees=30, seed=seed), threshold, means)
 
 
 def detect(flows: DataFrame, packets: DataFrame, models: Models, *, order: Sequence[str], history: DataFrame | None = None,
@@ -50,10 +54,10 @@ def detect(flows: DataFrame, packets: DataFrame, models: Models, *, order: Seque
     """
     f = flow_ops.flow_rates(packet_ops.filter_scoreable(flows, whitelist))
     f = tea.with_tick(f, tick_s)
-    flags = prefilter.flag_intervals(packets, flood)
+    flags = prefilter.flag_intervals(packets, flood, pop_acks=True)
     scored = fusion.attach_prefilter_flag(f, flags, slice_s=slice_s)
     scored = flow_ops.low_rate_gate(scored, flagged="flagged")
-    scored = cascade(with_features(scored), models.forest, models.classes, threshold=models.threshold, low_rate="low_rate")
+    scored = cascade(with_features(scored, models.means), models.forest, models.classes, threshold=models.threshold, low_rate="low_rate")
     scored = scored.withColumn("pps", F.col("packet_count_per_second"))
     scored = fusion.carry_prior_class(scored, ttl_s=C.INFERENCE_TTL_S * unit_s, slice_s=slice_s)
     scored = (scored.withColumn("attack_class", F.col("carried_class")).withColumn("confidence", F.col("carried_confidence"))

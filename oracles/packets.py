@@ -35,6 +35,8 @@ SQL = {
       WHERE multi_vector_ts IS NOT NULL GROUP BY ALL"""),
     "flag_intervals": query(TRIPS, """SELECT src_ip, episode_start, min(CASE WHEN reason IS NOT NULL THEN ts END) AS flag_from,
       max(ts) + INTERVAL 5 DAY AS flag_to FROM rows_ GROUP BY ALL HAVING count(reason) > 0"""),
+    "flag_intervals_with_acks": query(TRIPS_ACKS, """SELECT src_ip, episode_start, min(CASE WHEN reason IS NOT NULL THEN ts END) AS flag_from,
+      max(ts) + INTERVAL 5 DAY AS flag_to FROM rows_ GROUP BY ALL HAVING count(reason) > 0""", recursive=True),
     "prefilter_breakdown": query(TRIPS, """SELECT flood_proto, count(*) AS flagged, count(CASE WHEN reason LIKE 'burst%' THEN 1 END) AS by_burst,
       count(CASE WHEN reason LIKE 'limit%' THEN 1 END) AS by_limit, count(multi_vector_ts) AS correlated FROM trips GROUP BY ALL"""),
     "packet_rate_limiter": query(PACKETS + """, ordered AS (
