@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodwatch.plans.stage import shared_dir
+
 #: Text bytes that one piece of work in a Python worker covers.
 PIECE_BYTES = 8 << 20
 
@@ -18,51 +20,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. On one machine, where none is named, one under /tmp/checkpoints."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        return "file:///tmp/checkpoints"
-    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the table: it is computed once and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Remove the tables this application has staged, once the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with columns of these names renamed, and the new names with the old ones, for :func:`put_back`."""
-    back = {}
-    for c in docs.columns:
-        if c.lower() in names:
-            back[free_name(docs, f"_own{c}")] = c
-            docs = docs.withColumnRenamed(c, free_name(docs, f"_own{c}"))
-    return docs, back
-
-
-def put_back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    return docs.withColumnsRenamed(names) if names else docs
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have yet."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
+def staged_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; ``floodwatch.plans.stage.drop_staged`` removes it."""
+    return f"{shared_dir(spark)}/floodwatch-{spark.sparkContext.applicationId}"
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, cut, shared_dir, text_bytes
+from .common import bucketed, cut, staged_folder, text_bytes
 
 BUCKET = "_bucket"
 #: Text bytes per bucket and packed bytes per part, about.
@@ -32,7 +32,7 @@ def bucketed_table(docs: DataFrame, text: str, keys: list[str], bucket_bytes: in
     size = text_bytes(docs, text)
     buckets = max(1, -(-size // (bucket_bytes or BUCKET_BYTES)))
     name = f"llm_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}"
+    path = f"{staged_folder(spark)}/{name}"
     dealt = bucketed(docs, [F.col(k) for k in keys], buckets, BUCKET)
     files = min(buckets, FILES)
     (dealt.repartition(files, BUCKET).write.option("compression", "zstd").option("path", path).bucketBy(files, BUCKET).format("parquet").saveAsTable(name))

@@ -36,8 +36,10 @@ CLOSES_P = BLOCKS - {"html", "body", "option"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = frozenset("ul ol dl table html body td th article section div".split())
 #: Words in class, id or role that name something other than the article.
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|comments?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice|"
-                   r"popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|search|replies|reactions)(?:$|[\s_-])", re.I)
+NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|comments?|consent|disqus|footer|menu|nav\w*|newsletter|notices?|"
+                   r"popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|complementary|contentinfo|search|replies|reactions)(?:$|[\s_-])", re.I)
+#: The same outside the article; inside it such a part holds its title.
+HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -93,7 +95,7 @@ def parse(page: str) -> Node:
             node = _close(node, SIBLINGS[name], BARRIERS - {"td", "th"} if name in ("tr", "td", "th") else BARRIERS, opened)
         named = [a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)] if attributes else []
         drop = name in DROPPED or any(NAMED.search(x) for x in named) or bool(attributes) and bool(HIDDEN.search(attributes))
-        if name == "header" and not opened.get("article") and not opened.get("main"):
+        if not opened.get("article") and not opened.get("main") and (name == "header" or any(HEADS.search(x) for x in named)):
             drop = True
         child = Node(name, node, drop and name not in ("body", "article", "main"))
         node.children.append(child)

@@ -55,7 +55,7 @@ def test_chat_round_trip(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body class="page">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies</div>
-<div id=wrap><article><h1>Head &amp; tail</h1><p>One   <b>two</b>
+<div class="site-header">Logo</div><div id=wrap><article><div class="post-header"><h1>Head &amp; tail</h1></div><p>One   <b>two</b>
 three&nbsp;four.<p>Unclosed <br>five<ul><li>x<li>y</ul><aside>Side</aside><form><p>Mail</p></form>
 <table><tr><td>c1<td>c2</table><div class="ad">Buy</div><p>Last &lt;p&gt; &eacute;</article><div id="comments"><p>First!</p></div></div>
 <footer>&copy; us</footer></body></html>"""
