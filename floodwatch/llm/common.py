@@ -32,6 +32,28 @@ def staged_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/floodwatch-{spark.sparkContext.applicationId}"
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names renamed, and the new names with the old ones, for :func:`put_back`."""
+    back = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            back[free_name(docs, f"_own{c}")] = c
+            docs = docs.withColumnRenamed(c, free_name(docs, f"_own{c}"))
+    return docs, back
+
+
+def put_back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.withColumnsRenamed(names) if names else docs
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send fewer rows at once to Python: texts are long, and a batch is held several times over on its way."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
