@@ -861,16 +861,16 @@ LIFE_RULES = C.LifecycleRules(unit_s=DAY / 20, half_life_s=400.0)
 
 
 def lifecycle_input(spark, d):
-    """Results with the confidence lock applied, and trips, holds and operator actions on some flows."""
+    """Results with the confidence lock applied, flood trips, stale flows held back, and the operators' actions."""
     r = A.results(spark, d).withColumn("id", F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey") % 100000)
     scored = FU.confidence_lock(r, A.FLOW_ORDER, slice_s=SLICE_FLOW)
     scored = scored.withColumn("attack_class", F.col("locked_class")).withColumn("confidence", F.col("locked_confidence"))
-    every = lambda n: r.filter(F.col("l_partkey") % n == 0).select("src_ip", "ts", "id", "l_partkey")
-    trips = every(37).withColumn("correlated", F.col("l_partkey") % 2 == 0)
-    manual = (every(83).withColumn("action", F.lit("release"))
-              .unionByName(every(401).withColumn("action", F.lit("block"))))
+    trips = as_flow_ip(X.flood_trips(A.packets(spark, d), A.FLOOD_RULES).select("src_ip", F.col("trip_ts").alias("ts"), F.col("trip_event_id").alias("id"), "correlated"))
+    holds = FL.staleness_gate(r.withColumn("flag", F.col("ip_proto") == 6), wait_s="flow_duration_sec", flagged="flag").filter("route = 'hold'").select("src_ip", "ts", "id")
+    manual = as_flow_ip(A.mitigation_events(spark, d).filter("is_manual = 1").select(
+        "src_ip", F.col("timestamp").alias("ts"), "id", F.when(F.col("id") % 100 == 0, "release").otherwise("block").alias("action")))
     return (LC.result_events(scored).unionByName(LC.trip_events(trips, "ts"))
-            .unionByName(LC.hold_events(every(61))).unionByName(LC.manual_events(manual)))
+            .unionByName(LC.hold_events(holds)).unionByName(LC.manual_events(manual)))
 
 
 def lifecycle_rows(spark, d):
@@ -1005,9 +1005,9 @@ def detections(spark, d):
 
 
 def as_flow_ip(df: DataFrame) -> DataFrame:
-    """Packets of users as packets of the sources that carry flows, seven years earlier in the flows' period."""
+    """Packets of users as packets of the sources that carry flows, 8400 days earlier, in the flows' period."""
     return (df.withColumn("src_ip", F.concat(F.lit("10.1"), F.substring("src_ip", 5, 20)))
-            .withColumn("ts", F.col("ts") - F.expr("make_dt_interval(2000)")))
+            .withColumn("ts", F.col("ts") - F.expr("make_dt_interval(8400)")))
 
 
 @query
