@@ -28,6 +28,8 @@ from .common import buffer_of, pieces, ranges_of, schema_with, with_columns
 
 #: Text bytes of the benchmark that are sent to the tasks at once.
 BLOCK_BYTES = 4 << 20
+MADE = ("n_words", "hit_words", "items", "longest")
+MATCH = pa.struct([("words", pa.int32()), ("at", pa.int32()), ("item", pa.string())])
 
 
 def _word_table() -> bytes:
@@ -146,8 +148,8 @@ def _bound(ids, order, depth, lo, hi, want, after) -> np.ndarray:
         hi[open_[~right]] = mid[~right]
 
 
-def window_shard(texts: list[bytes], block: Block) -> tuple[list[int], list[list[int]], list[list[str]]]:
-    """Per text: its number of words, the numbers of the words hit, and the items found."""
+def window_shard(texts: list[bytes], block: Block) -> tuple[list[int], list[list[int]], list[list[str]], list[dict | None]]:
+    """Per text: its number of words, the numbers of the words hit, the items found, and the longest match."""
     get = block.vocabulary.get
     numbered, sizes = [], []
     for t in texts:
@@ -159,9 +161,17 @@ def window_shard(texts: list[bytes], block: Block) -> tuple[list[int], list[list
     begins = np.concatenate([[0], np.cumsum(sizes)])
     order = suffix_array(ids, block)
     n = len(texts)
-    places, items = [np.empty(0, np.int64)] * n, [[] for _ in range(n)]
+    places, items, longest = [np.empty(0, np.int64)] * n, [[] for _ in range(n)], [None] * n
     if len(order):
-        length, _, _ = search(ids, order, block)
+        length, low, high = search(ids, order, block)
+        rows = np.flatnonzero((length >= block.need) & (block.left >= block.need))
+        at = order[ranges_of(low[rows], high[rows] - low[rows])]
+        row = np.repeat(rows, high[rows] - low[rows])
+        doc = np.searchsorted(begins, at, "right") - 1
+        best = np.lexsort((row, at, -length[row], doc))  # the longest first, then the first place, then the first item
+        for k in best[np.flatnonzero(np.diff(doc[best], prepend=-1))].tolist():
+            d = int(doc[k])
+            longest[d] = {"words": int(length[row[k]]), "at": int(at[k] - begins[d]), "item": block.names[int(block.item[row[k]])]}
         for n_words in sorted(set(block.need.tolist())):
             rows = np.flatnonzero((block.need == n_words) & (block.left >= n_words) & (length >= n_words))
             if not len(rows):
@@ -182,7 +192,7 @@ def window_shard(texts: list[bytes], block: Block) -> tuple[list[int], list[list
                 cover = (first[:, None] + np.arange(n_words)).ravel()
                 places[d] = np.union1d(places[d], cover)
                 items[d] += [block.names[i] for i in np.unique(item[own]).tolist()]
-    return [s - 1 for s in sizes], [p.tolist() for p in places], [sorted(set(x)) for x in items]
+    return [s - 1 for s in sizes], [p.tolist() for p in places], [sorted(set(x)) for x in items], longest
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -202,17 +212,19 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterato
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
                  window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Add n_words, hit_words (numbers of the words inside any window's occurrence, from 0) and items (ids as strings).
+    """Add n_words, hit_words (numbers of the words inside any window's occurrence, from 0), items (ids as strings) and
+    longest (the longest verbatim match of a window's length or more: its words, first word and item; else null).
 
     A window is ``window`` consecutive words of an item; an item of fewer words,
     but not none, is one window. A null text has no words. An empty benchmark
     matches nothing. Repeated items count once; items of one text and different
     ids are all named. Columns of ``docs`` with these names are replaced.
     """
-    docs = docs.drop("n_words", "hit_words", "items")
+    docs = docs.drop(*MADE)
     spark = docs.sparkSession
-    out = docs.withColumns({"n_words": F.lit(None).cast("int"), "hit_words": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    schema = schema_with(docs, "`n_words` int, `hit_words` array<int>, `items` array<string>")
+    out = docs.withColumns({"n_words": F.lit(None).cast("int"), "hit_words": F.array().cast("array<int>"), "items": F.array().cast("array<string>"),
+                            "longest": F.lit(None).cast("struct<words:int,at:int,item:string>")})
+    schema = schema_with(docs, "`n_words` int, `hit_words` array<int>, `items` array<string>, `longest` struct<words:int,at:int,item:string>")
     for items in itertools.chain([[]], blocks_of(benchmark, item, item_text, block_bytes)):
         sent = spark.sparkContext.broadcast(items)
         out = out.mapInArrow(_step(sent, text, window), schema)
@@ -234,12 +246,13 @@ def _step(sent, text: str, window: int):
             raw, rows = buffer_of(piece.column(text))
             data = raw.tobytes()
             edges = rows.tolist()
-            n, hits, items = window_shard([data[a:b] for a, b in zip(edges, edges[1:])], block)
+            n, hits, items, longest = window_shard([data[a:b] for a, b in zip(edges, edges[1:])], block)
             hits = [sorted({*a, *b}) if a else b for a, b in zip(piece.column("hit_words").to_pylist(), hits)]
             items = [sorted({*a, *b}) if a else b for a, b in zip(piece.column("items").to_pylist(), items)]
-            rest = piece.select([c for c in piece.schema.names if c not in ("n_words", "hit_words", "items")])
+            longest = [a if b is None or a is not None and (-a["words"], a["at"]) <= (-b["words"], b["at"]) else b for a, b in zip(piece.column("longest").to_pylist(), longest)]
+            rest = piece.select([c for c in piece.schema.names if c not in MADE])
             yield with_columns(rest, {"n_words": pa.array(n, pa.int32()), "hit_words": pa.array(hits, pa.list_(pa.int32())),
-                                      "items": pa.array(items, pa.list_(pa.string()))})
+                                      "items": pa.array(items, pa.list_(pa.string())), "longest": pa.array(longest, MATCH)})
     return run
 
 

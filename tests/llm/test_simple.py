@@ -89,7 +89,7 @@ def test_decontamination(spark):
         got = collected(decontaminate.find_matches(table(spark, rows), items, block_bytes=limit))
         assert len(got) == len(rows)
         for r in got:
-            w, hit, names = words(r["text"]), set(), set()
+            w, hit, names, top = words(r["text"]), set(), set(), 0
             for item, text in bench:
                 b = words(text)
                 n = min(10, len(b))
@@ -98,7 +98,12 @@ def test_decontamination(spark):
                         if w[i:i + n] == b[a:a + n]:
                             hit |= set(range(i, i + n))
                             names.add("" if item is None else str(item))
+                            run = n
+                            while i + run < len(w) and a + run < len(b) and w[i + run] == b[a + run]:
+                                run += 1
+                            top = max(top, run)
             assert (r["n_words"], r["hit_words"], r["items"]) == (len(w), sorted(hit), sorted(names))
+            assert (r["longest"]["words"] if r["longest"] else 0) == top
     kept = decontaminate.remove_contaminated(table(spark, rows), items)
     assert kept.count() == sum(not r["hit_words"] for r in got)
     assert decontaminate.find_matches(empty(spark), items).count() == 0
