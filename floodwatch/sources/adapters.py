@@ -110,9 +110,9 @@ def gt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.expr("timestamp_ntz'1996-01-01 00:00:00' + make_dt_interval(cast(s_suppkey % 365 as int))")
     return s.select(
         _ip("10.1", "s_suppkey").alias("src_ip"),
-        F.when(F.col("s_suppkey") % 4 == 1, "SYN").when(F.col("s_suppkey") % 4 == 2, "ICMP")
+        F.when(F.col("s_suppkey") % 8 == 7, "MIXED").when(F.col("s_suppkey") % 4 == 1, "SYN").when(F.col("s_suppkey") % 4 == 2, "ICMP")
          .otherwise("UDP").alias("attack_type"),
-        start.alias("start_ts"), (start + F.expr("make_dt_interval(365)")).alias("end_ts"))
+        start.alias("start_ts"), F.when(F.col("s_suppkey") % 5 != 0, start + F.expr("make_dt_interval(365)")).alias("end_ts"))
 
 
 def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

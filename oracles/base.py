@@ -95,9 +95,9 @@ HISTORY = f"""history AS (
 
 GT = f"""gt AS (
   SELECT {ip('10.1', 's_suppkey')} AS src_ip,
-    CASE s_suppkey % 4 WHEN 1 THEN 'SYN' WHEN 2 THEN 'ICMP' ELSE 'UDP' END AS attack_type,
+    CASE WHEN s_suppkey % 8 = 7 THEN 'MIXED' WHEN s_suppkey % 4 = 1 THEN 'SYN' WHEN s_suppkey % 4 = 2 THEN 'ICMP' ELSE 'UDP' END AS attack_type,
     TIMESTAMP '1996-01-01' + to_days(CAST(s_suppkey % 365 AS INTEGER)) AS start_ts,
-    TIMESTAMP '1996-01-01' + to_days(CAST(s_suppkey % 365 AS INTEGER)) + to_days(365) AS end_ts
+    CASE WHEN s_suppkey % 5 <> 0 THEN TIMESTAMP '1996-01-01' + to_days(CAST(s_suppkey % 365 AS INTEGER)) + to_days(365) END AS end_ts
   FROM supplier WHERE s_suppkey % 4 <> 0)"""
 
 METRICS = """metrics AS (

@@ -86,9 +86,9 @@ PROFILE = FLOWS_BASE + """, windowed AS (SELECT *, list(packet_count_per_second)
   SELECT *, len(a) AS n, list_avg(a) AS m, list_sum(a) AS s, list_sum(list_transform(a, lambda v: v*log2(v))) AS vl, list_var_pop(a) AS vp FROM windowed), st2 AS (
   SELECT *, CASE WHEN n < 4 THEN 0.0 ELSE list_avg(a[n//2+1:n]) - list_avg(a[1:n//2]) END AS trend,
     (log2(s) - vl/s) / CASE WHEN n > 1 THEN log2(n) ELSE 1 END AS norm, sqrt(greatest(vp, 1e-9))/(abs(m)+1e-9) AS cv FROM st)"""
-LABELLED = RESULTS + ", " + GT + """, labelled AS (SELECT r.*, g.attack_type, g.attack_type IS NOT NULL AS is_attacker,
+LABELLED = RESULTS + ", " + GT + """, labelled AS (SELECT r.*, g.attack_type, g.attack_type IS NOT NULL AS is_attacker, nullif(g.attack_type, 'MIXED') AS wanted,
     CASE attack_class WHEN 'SYN Flood' THEN 'SYN' WHEN 'ICMP Flood' THEN 'ICMP' WHEN 'UDP Flood' THEN 'UDP' END AS got, is_anomaly = 1 AS an
-  FROM results r LEFT JOIN gt g ON r.src_ip = g.src_ip AND r.ts >= g.start_ts AND r.ts < g.end_ts)"""
+  FROM results r LEFT JOIN gt g ON r.src_ip = g.src_ip AND r.ts >= g.start_ts AND (g.end_ts IS NULL OR r.ts < g.end_ts))"""
 
 
 def counters() -> dict[str, str]:
@@ -98,17 +98,17 @@ def counters() -> dict[str, str]:
         "total": pk, "threats": f"CASE WHEN an THEN {pk} ELSE 0 END", "true_neg": f"CASE WHEN an THEN 0 ELSE {pk} END",
         "fp": b("an AND NOT is_attacker"), "tp": b("an AND is_attacker"), "tn": b("NOT an AND NOT is_attacker"), "fn": b("NOT an AND is_attacker"),
         "if_tp": b("an AND is_attacker"), "if_fp": b("an AND NOT is_attacker"), "if_tn": b("NOT an AND NOT is_attacker"), "if_fn": b("NOT an AND is_attacker"),
-        "rf_tp": b("an AND got = attack_type"), "rf_fp": b("an AND got <> attack_type"),
-        "rf_tn": "CAST(0 AS BIGINT)", "rf_fn": b("an AND attack_type IS NOT NULL AND (got IS NULL OR got <> attack_type)"),
+        "rf_tp": b("an AND got = wanted"), "rf_fp": b("an AND got <> wanted"),
+        "rf_tn": "CAST(0 AS BIGINT)", "rf_fn": b("an AND wanted IS NOT NULL AND (got IS NULL OR got <> wanted)"),
     }
     for t in ("SYN", "ICMP", "UDP"):
         s = t.lower()
-        out |= {f"rf_tp_{s}": b(f"an AND got = attack_type AND got = '{t}'"), f"rf_fp_{s}": "CAST(0 AS BIGINT)",
-                f"rf_tn_{s}": b(f"an AND got = attack_type AND got <> '{t}'"), f"rf_fn_{s}": b(f"an AND got IS NULL AND attack_type = '{t}'")}
+        out |= {f"rf_tp_{s}": b(f"an AND got = wanted AND got = '{t}'"), f"rf_fp_{s}": "CAST(0 AS BIGINT)",
+                f"rf_tn_{s}": b(f"an AND got = wanted AND got <> '{t}'"), f"rf_fn_{s}": b(f"an AND got IS NULL AND wanted = '{t}'")}
     for a in ("SYN", "ICMP", "UDP"):
         for c in ("SYN", "ICMP", "UDP"):
             if a != c:
-                out[f"rf_{a.lower()}_as_{c.lower()}"] = b(f"an AND attack_type = '{a}' AND got = '{c}'")
+                out[f"rf_{a.lower()}_as_{c.lower()}"] = b(f"an AND wanted = '{a}' AND got = '{c}'")
     return out
 
 
