@@ -6,7 +6,7 @@ is read: a shard is a piece of a partition, so nothing is shuffled. In a shard,
 
 * words get numbers by the block's vocabulary (0: a word no item has);
 * the suffix array holds the suffixes that begin with words some item has in
-  this order, sorted by their words up to the length of the longest item;
+  this order, sorted by up to DEPTH words;
 * every suffix of every item is binary-searched, which gives its longest
   verbatim match and the interval of suffixes that share it;
 * an interval of a window's length or more marks the words of all its places.
@@ -28,6 +28,8 @@ from .common import buffer_of, pieces, ranges_of, schema_with, with_columns
 
 #: Text bytes of the benchmark that are sent to the tasks at once.
 BLOCK_BYTES = 4 << 20
+#: Words by which suffixes are sorted, at least a window; longer matches grow from there.
+DEPTH = 64
 MADE = ("n_words", "hit_words", "items", "longest")
 MATCH = pa.struct([("words", pa.int32()), ("at", pa.int32()), ("item", pa.string())])
 
@@ -57,7 +59,7 @@ class Block:
                 self.names.append(name)
                 seqs.append([number.setdefault(x, len(number) + 1) for x in w])
         sizes = np.array([len(s) for s in seqs], np.int64)
-        self.depth = int(sizes.max()) if len(sizes) else 0
+        self.depth = max(window, min(DEPTH, int(sizes.max()))) if len(sizes) else 0
         self.bits = max(1, len(number).bit_length())
         self.per_key = 62 // self.bits
         flat = np.array([i for s in seqs for i in s], np.int64)
@@ -65,22 +67,17 @@ class Block:
         self.item = np.repeat(np.arange(len(seqs)), sizes)
         self.left = np.repeat(ends, sizes) - np.arange(len(flat))  # words from here to the item's end
         self.need = np.repeat(np.minimum(sizes, window), sizes)
-        padded = np.concatenate([flat, np.zeros(self.depth + self.per_key, np.int64)])
-        columns = [np.where(self.left > k, padded[k:k + len(flat)], 0) for k in range(self.depth)]
-        self.suffixes = np.stack(columns, 1) if columns else np.zeros((0, 0), np.int64)
+        self.flat = flat  # a suffix is named by its place here
         # the first words of every window, for choosing the suffixes of a shard worth sorting
         self.heads = {}
         starts = self.left >= self.need
         for n in sorted(set(self.need.tolist())):
             k = min(n, self.per_key)
-            rows = self.suffixes[starts & (self.need == n)]
-            self.heads[k] = np.unique(np.concatenate([self.heads.get(k, np.empty(0, np.int64)), self.pack(rows[:, :k], k)]))
-
-    def pack(self, columns: np.ndarray, k: int) -> np.ndarray:
-        key = np.zeros(len(columns), np.int64)
-        for j in range(k):
-            key = key << self.bits | columns[:, j]
-        return key
+            rows = np.flatnonzero(starts & (self.need == n))
+            key = np.zeros(len(rows), np.int64)
+            for j in range(k):
+                key = key << self.bits | flat[rows + j]
+            self.heads[k] = np.unique(np.concatenate([self.heads.get(k, np.empty(0, np.int64)), key]))
 
 
 def suffix_array(ids: np.ndarray, block: Block) -> np.ndarray:
@@ -114,19 +111,19 @@ def suffix_array(ids: np.ndarray, block: Block) -> np.ndarray:
 
 
 def search(ids: np.ndarray, order: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every item suffix: the length of its longest match in the shard, and the interval of ``order`` that has it.
+    """Of every item suffix: the length of its longest match in the shard, up to the sorted depth, and the interval of ``order`` that has it.
 
     All suffixes are searched together, one word deeper per step; each step
     halves its way through the intervals that are left.
     """
-    n = len(block.suffixes)
+    n = len(block.flat)
     low, high, length = np.zeros(n, np.int64), np.full(n, len(order), np.int64), np.zeros(n, np.int64)
     live = np.arange(n if len(order) else 0)
     for k in range(block.depth):
         live = live[block.left[live] > k]
         if not len(live):
             break
-        want = block.suffixes[live, k]
+        want = block.flat[live + k]
         lo = _bound(ids, order, k, low[live], high[live], want, False)
         hi = _bound(ids, order, k, lo, high[live], want, True)
         found = hi > lo
@@ -148,6 +145,19 @@ def _bound(ids, order, depth, lo, hi, want, after) -> np.ndarray:
         hi[open_[~right]] = mid[~right]
 
 
+def extended(ids, block: Block, begins, row, at, doc, run) -> tuple[np.ndarray, ...]:
+    """Matches that cannot grow to the left, grown to the right beyond the sorted depth."""
+    before = np.maximum(row - 1, 0)
+    inner = (row > 0) & (block.item[before] == block.item[row]) & (at > begins[doc]) & (ids[np.maximum(at - 1, 0)] == block.flat[before])
+    row, at, doc, run = row[~inner], at[~inner], doc[~inner], run[~inner].copy()
+    live = np.flatnonzero((run >= block.depth) & (block.left[row] > run))
+    while len(live):
+        live = live[ids[at[live] + run[live]] == block.flat[row[live] + run[live]]]
+        run[live] += 1
+        live = live[block.left[row[live]] > run[live]]
+    return row, at, doc, run
+
+
 def window_shard(texts: list[bytes], block: Block) -> tuple[list[int], list[list[int]], list[list[str]], list[dict | None]]:
     """Per text: its number of words, the numbers of the words hit, the items found, and the longest match."""
     get = block.vocabulary.get
@@ -168,10 +178,11 @@ def window_shard(texts: list[bytes], block: Block) -> tuple[list[int], list[list
         at = order[ranges_of(low[rows], high[rows] - low[rows])]
         row = np.repeat(rows, high[rows] - low[rows])
         doc = np.searchsorted(begins, at, "right") - 1
-        best = np.lexsort((row, at, -length[row], doc))  # the longest first, then the first place, then the first item
+        row, at, doc, run = extended(ids, block, begins, row, at, doc, length[row])
+        best = np.lexsort((row, at, -run, doc))  # the longest first, then the first place, then the first item
         for k in best[np.flatnonzero(np.diff(doc[best], prepend=-1))].tolist():
             d = int(doc[k])
-            longest[d] = {"words": int(length[row[k]]), "at": int(at[k] - begins[d]), "item": block.names[int(block.item[row[k]])]}
+            longest[d] = {"words": int(run[k]), "at": int(at[k] - begins[d]), "item": block.names[int(block.item[row[k]])]}
         for n_words in sorted(set(block.need.tolist())):
             rows = np.flatnonzero((block.need == n_words) & (block.left >= n_words) & (length >= n_words))
             if not len(rows):
@@ -179,7 +190,7 @@ def window_shard(texts: list[bytes], block: Block) -> tuple[list[int], list[list
             # the interval that shares the whole window, which the longest match may only be a part of
             lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), len(order), np.int64)
             for k in range(n_words):
-                want = block.suffixes[rows, k]
+                want = block.flat[rows + k]
                 lo = _bound(ids, order, k, lo, hi, want, False)
                 hi = _bound(ids, order, k, lo, hi, want, True)
             times = hi - lo
