@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodwatch import config as C
-from floodwatch.plans.slices import asof_join, prefix
+from floodwatch.plans.slices import prefix
 
 
 def flow_rates(flows: DataFrame) -> DataFrame:
