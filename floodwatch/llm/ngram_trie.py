@@ -29,13 +29,10 @@ quantised on a fixed grid (1/4096), so a score does not depend on the bucket.
 
 from __future__ import annotations
 
-import itertools
 import tempfile
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +41,10 @@ from .exchange import BUCKET, SCHEMA, answered, ask, bits_of, bucketed_table, by
 
 GRID = 4096
 BUCKET_BYTES = 8 << 20
-END, START = b" ", b"  "  # no words: they are blank
+#: Names of the two that are no words.
+END, START = mix(np.array([1], np.uint64)), mix(np.array([2], np.uint64))
+SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 class EliasFano:
@@ -179,27 +179,57 @@ def quantise(log: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log * GRID), 0, 65535).astype(np.uint16)
 
 
+def word_spans(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, bytes and text of each word, and the lower-cased bytes. Words end at white space and at the end of a text."""
+    word = np.concatenate([~SPACES[raw], [False]])
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    edge = rows[:-1][rows[:-1] < len(raw)]
+    first[edge] = word[edge]
+    begins = np.flatnonzero(first)
+    last = word[:-1] & ~word[1:]
+    inner = rows[(rows > 0)] - 1
+    last[inner] = word[inner]
+    sizes = np.flatnonzero(last) + 1 - begins
+    return begins, sizes, np.searchsorted(rows, begins, "right") - 1, LOWER[raw]
+
+
+def word_names(lower: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time for all words that are long enough."""
+    padded = np.concatenate([lower, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    h = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    live, at = np.arange(len(begins)), 0
+    while len(live):
+        rest = np.minimum(sizes[live] - at, 8)
+        keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - rest) * 8).astype(np.uint64)
+        x = (h[live] ^ (eight[begins[live] + at] & keep)) * np.uint64(0xD6E8FEB86659FD93)
+        h[live] = x ^ (x >> np.uint64(32))
+        at += 8
+        live = live[sizes[live] > at]
+    return mix(h)
+
+
 class Bucket:
     """Words and pairs of a bucket's texts. Number 0 is the end of a text, the last number its start."""
 
     def __init__(self, column, learned: np.ndarray):
-        raw, rows = buffer_of(column)
-        data, edges = raw.tobytes().lower(), rows.tolist()
-        number: defaultdict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        number[END]
-        ids, sizes = [], []
-        for a, b in zip(edges, edges[1:]):
-            w = data[a:b].split()
-            sizes.append(len(w) + 1)
-            w.append(END)
-            ids.append(np.array(list(map(number.__getitem__, w)), np.int32))
-        self.sizes = np.array(sizes, np.int64)
-        self.ids = np.concatenate(ids).astype(np.int64) if ids else np.empty(0, np.int64)
-        self.words = len(number) + 1
-        digest = xxhash.xxh64_intdigest
-        self.hash = np.fromiter((digest(x, 7) for x in itertools.chain(number, [START])), np.uint64, self.words)
-        del data, raw, ids, number
+        begins, sizes, owner, lower = word_spans(*buffer_of(column))
+        names = word_names(lower, begins, sizes)
+        del lower, begins
+        order = np.argsort(names)
+        ordered = names[order]
+        fresh = np.diff(ordered, prepend=np.uint64(0)) != 0
+        if len(fresh):
+            fresh[0] = True
+        number = np.empty(len(names), np.int64)
+        number[order] = np.cumsum(fresh)  # 1 and on: 0 is the end
+        self.hash = np.concatenate([END, ordered[fresh], START])
+        self.words = len(self.hash)
+        self.sizes = np.bincount(owner, minlength=len(learned)) + 1
+        self.ids = np.zeros(int(self.sizes.sum()), np.int64)
+        self.ids[np.arange(len(number)) + owner] = number  # every text before has one end
+        del names, ordered, order, number, owner
         context = np.empty_like(self.ids)
         context[1:] = self.ids[:-1]
         context[np.cumsum(self.sizes) - self.sizes] = self.words - 1
@@ -215,6 +245,13 @@ class Bucket:
         self.word_keys = self.hash[self.word_order]
         self.all_order = np.argsort(self.hash)
 
+    def pair_index(self) -> np.ndarray:
+        """The pair of every token."""
+        order = np.argsort(self.codes)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(np.diff(self.codes[order], prepend=-1) != 0) - 1
+        return out
+
     def word_counts(self) -> np.ndarray:
         """Learned counts in the order of word_keys."""
         return np.bincount(self.ids[self.learned], minlength=self.words)[self.word_order]
@@ -294,7 +331,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", keys: tuple[
         c, w = b.context[known], b.successor[known]
         chances = np.maximum(pair_total[known] - discount, 0) / np.maximum(seen[c], 1) + backoff[c] * chance[w]
         trie = Trie(b.words, np.log10(chance), np.log10(np.minimum(backoff, 1)), c, w, np.log10(np.minimum(chances, 1)))
-        log = trie.log10(b.context, b.successor)[np.searchsorted(b.pairs, b.codes)]
+        log = trie.log10(b.context, b.successor)[b.pair_index()]
         ends = np.cumsum(b.sizes)
         total = lambda x: np.add.reduceat(x, ends - b.sizes) if len(ends) else np.empty(0)
         extra = {"n_tokens": b.sizes, "n_known": total((counts[b.ids] > 0).astype(np.int64)), "train_tokens": np.full(len(ends), tokens, np.int64),
