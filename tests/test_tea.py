@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floodwatch import config as C
 from floodwatch.functions.entropy import binned_medians, entropy_of, exact_medians, shannon_entropy
 from floodwatch.operators import tea as T
 from floodwatch.operators.fusion import baseline_lock
