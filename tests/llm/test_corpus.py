@@ -199,3 +199,30 @@ def test_toxicity(spark):
     none = toxicity.learn(docs, marks.limit(0))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(empty(spark), toxicity.learn(empty(spark), marks)).count() == 0
+
+
+def test_few_labels_and_all_words(spark):
+    rows, labels = labelled(2, 60)  # 12 toxic rows: no word's counts tell much
+    docs = table(spark, rows)
+    index = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    assert sum(got[i].predicted for i in range(0, 60, 5)) >= 10 and not any(got[i].predicted for i in range(60) if i % 5)
+    own, counts = index.value, {i: Counter(t.split()) for i, t in rows}
+    seen = Counter(w for c in counts.values() for w in c)
+    toxic = Counter(w for i, c in counts.items() if i % 5 == 0 for w in c)
+    assert set(own.terms) == {w.encode() for w in seen}
+
+    def weight(w):
+        a, b = toxic[w], seen[w] - toxic[w]
+        return (math.log(61 / (1 + seen[w])) + 1e-3) * (1 + 60 * (a * (48 - b) - b * (12 - a)) ** 2 / ((a + b) * (60 - a - b) * 12 * 48) / toxicity.CHI)
+    for (i, x), (j, y) in zip(list(counts.items())[:20], list(counts.items())[20:]):
+        u, v = ({w: (1 + math.log(n)) * weight(w) for w, n in c.items()} for c in (x, y))
+        want = sum(u[w] * v[w] for w in u.keys() & v.keys()) / math.sqrt(sum(a * a for a in u.values()) * sum(a * a for a in v.values()))
+        ids, weights = own.vector(dict(rows)[i].encode())
+        q = dict(zip(ids.tolist(), weights.tolist()))
+        at = own.place[j]
+        s = slice(own.begin[at // own.block], own.begin[at // own.block + 1])
+        mine = own.post_owner[s] + at // own.block * own.block == at
+        assert abs(sum(q.get(t, 0) * p for t, p in zip(own.post_term[s][mine].tolist(), own.post_weight[s][mine].tolist())) - want) < 1e-9
+    # words that no example has lengthen a text
+    assert np.linalg.norm(own.vector(b"scum unheard of words")[1]) < 0.99

@@ -75,3 +75,11 @@ def test_pipeline_by_stage(spark, tmp_path):
     for i, r in now.items():
         assert np.frombuffer(r.token_ids, "<u4").tolist() == tok.encode(was[i], add_special_tokens=False).ids and r.round_trip
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()) == Counter(list(now))
+
+
+def test_planted_toxic_rows_go(spark):
+    docs = read(spark, SMALL, "documents")
+    labels = {r.doc_id: r.toxic for r in read(spark, SMALL, "labels").collect()}
+    now = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SMALL).collect()}
+    planted = [i for r in docs.collect() for i in [r.doc_id] if labels.get(i) == 1 and len(re.findall("(?i)idiot|scum|moron|loser|trash|clown|stupid|pathetic|worthless|disgusting", r.text or "")) > 1]
+    assert len(planted) >= 5 and not now & set(planted)
