@@ -7,10 +7,13 @@ per tag is
 
 where C are the characters below the node, T its tags, L the characters inside
 links, N = C - L, and zero counts are taken as one. A node's score is the sum of
-its children's densities. The main content is the subtree with the largest sum;
-it is refined by the threshold of the body path: the smallest density among the
-nodes from the body down to the chosen one. Inside the subtree, parts below the
-threshold that carry no text paragraph, and all boilerplate elements, go.
+its children's densities. The chosen node is the one with the largest sum. The
+threshold is the smallest density among the nodes from the body down to it. Of
+every node that reaches the threshold, anywhere on the page, the subtree with the
+largest sum is main content. As the logarithm grows with a node's size, a shorter
+part of the same text would miss it; so a node whose characters outside links per
+tag reach the smallest such number of the path counts too. Link lists below the
+threshold and all boilerplate elements go.
 """
 
 from __future__ import annotations
@@ -166,8 +169,8 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def main_node(root: Node, nodes: list[Node]) -> tuple[Node, float]:
-    """The subtree with the largest sum of child densities, and the body-path threshold.
+def main_nodes(root: Node, nodes: list[Node]) -> tuple[list[Node], float]:
+    """The parents-first nodes whose subtrees are the content, none inside another, in page order; and the body-path threshold.
 
     An article or main element around the chosen node is taken whole. Where
     nothing has a sum (plain text in the body), the body is the content.
@@ -180,8 +183,32 @@ def main_node(root: Node, nodes: list[Node]) -> tuple[Node, float]:
         up = up.parent
         path.append(up)
     threshold = min((x.density for x in path if x.density > 0), default=0.0)
-    around = next((x for x in path if x.tag == "article"), None) or next((x for x in path if x.tag == "main"), None)
-    return around or best, threshold
+    plain = min((_plain(x) for x in path if x.density > 0), default=0.0)
+    around = next((x for x in path if x.tag == "article"), None) or next((x for x in path if x.tag == "main"), None) or best
+    largest: dict[Node, Node] = {}  # of each subtree, the first node with the largest sum
+    for node in reversed(nodes):
+        if not node.drop:
+            below = [largest[c] for c in node.children if isinstance(c, Node) and not c.drop]
+            largest[node] = max([node, *below], key=lambda x: x.total)
+    above, kept = set(path), {around}
+    for node in nodes:
+        if not node.drop and node.density > 0 and node not in above and (node.density >= threshold or _plain(node) >= plain):
+            top = largest[node]
+            while top.tag not in BLOCKS and top.parent not in above:  # a phrase belongs to its block
+                top = top.parent
+            kept.add(top)
+    tops, inside = [], set()
+    for node in nodes:
+        if node in kept and node.parent not in inside:
+            tops.append(node)
+        if node in kept or node.parent in inside:
+            inside.add(node)
+    return tops, threshold
+
+
+def _plain(node: Node) -> float:
+    """Characters outside links per tag."""
+    return (node.chars - node.links) / max(1, node.tags)
 
 
 def blocks_of(top: Node, threshold: float) -> list[str]:
@@ -218,8 +245,8 @@ def blocks_of(top: Node, threshold: float) -> list[str]:
 def extract(page: str) -> str:
     """The main text of one page; empty if there is none."""
     root = parse(page)
-    top, threshold = main_node(root, measure(root))
-    return "\n\n".join(blocks_of(top, threshold))
+    tops, threshold = main_nodes(root, measure(root))
+    return "\n\n".join(block for top in tops for block in blocks_of(top, threshold))
 
 
 def extract_text(pages: DataFrame, source: str = "html", out: str = "text") -> DataFrame:

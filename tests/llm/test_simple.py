@@ -76,6 +76,16 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_in_sibling_parts():
+    said = [f"{'long words of prose here ' * 9}{i}" for i in range(25)]
+    p = [f"<p>{x}</p>" for x in said]
+    links = "<div><ul>" + "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(30)) + "</ul></div>"
+    two = f"<html><body><div>{''.join(p[:10])}</div>{links}<div>{''.join(p[10:18])}</div><div>Logo</div></body></html>"
+    assert html_text.extract(two).split("\n\n") == said[:18]
+    beside = f"<body>{links}{p[0]}<div>{''.join(p[1:12])}</div>{p[12]}<div><div>{''.join(p[13:16])}</div></div><div class='related'>{p[20]}</div></body>"
+    assert html_text.extract(beside).split("\n\n") == said[:16]
+
+
 def words(text):
     return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
 
