@@ -188,3 +188,12 @@ def test_personal_data(spark):
     one = spark.createDataFrame([(1, "mail a@b.cd now, 1.2.3.4!")], "doc_id long, text string")
     found = pii.find_spans(one, judge)
     assert found.select(pii.redact(found)).first()[0] == "mail <EMAIL> now, <IP>!"
+
+
+def test_copies_of_a_candidate_count_once(spark, monkeypatch):
+    said = [f"call +49 30 55{i:05d} now" if i % 2 else f"order {9 * '1'}{i:05d} came" for i in range(10)]
+    rows = [(i, said[i % 10] if i < 1000 else f"{'x ' * (i % 90)}mail a{i}@b{i % 7}.cd or number 12345{i:06d}") for i in range(1300)]
+    taken = []
+    monkeypatch.setattr(pii, "cut", lambda df, name: taken.append(df.cache()) or taken[-1])
+    judge = pii.learn(spark.createDataFrame(rows, "doc_id long, text string"), sample=200, rounds=2)
+    assert taken[0].count() == taken[0].distinct().count() == 200 and judge.trees
