@@ -134,8 +134,8 @@ SQL = {
         f"SELECT '{t}' AS attack_type, CAST(sum(rf_tp_{t}) AS DOUBLE) AS tp, CAST(sum(rf_fp_{t}) AS DOUBLE) AS fp, CAST(sum(rf_tn_{t}) AS DOUBLE) AS tn, CAST(sum(rf_fn_{t}) AS DOUBLE) AS fn FROM summary"
         for t in ("syn", "icmp", "udp")) + ")", f"SELECT attack_type, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn, {rates('tp', 'fp', 'tn', 'fn')} FROM s"),
     "confusion_3x3": query(SUMMARY, f"SELECT {CELLS}, round({HITS}/greatest({HITS} + {WRONG}, 1)*100, 2) AS micro FROM summary"),
-    "confusion_pivot": query(LABELLED, """SELECT attack_type AS expected_class, count(CASE WHEN got='SYN' THEN 1 END) AS syn, count(CASE WHEN got='ICMP' THEN 1 END) AS icmp,
-        count(CASE WHEN got='UDP' THEN 1 END) AS udp FROM labelled WHERE an AND attack_type IS NOT NULL AND got IS NOT NULL GROUP BY ALL"""),
+    "confusion_pivot": query(LABELLED, """SELECT wanted AS expected_class, count(CASE WHEN got='SYN' THEN 1 END) AS syn, count(CASE WHEN got='ICMP' THEN 1 END) AS icmp,
+        count(CASE WHEN got='UDP' THEN 1 END) AS udp FROM labelled WHERE an AND wanted IS NOT NULL AND got IS NOT NULL GROUP BY ALL"""),
     "model_accuracy": query(SUMMARY, f"SELECT round(sum(if_tp+if_tn)/sum(if_tp+if_tn+if_fp+if_fn)*100, 1) AS if_accuracy, round({HITS}/({HITS} + {WRONG})*100, 1) AS rf_accuracy FROM summary"),
     "session_stats": query(DECISIONS + ", " + STATES + """, dr AS (SELECT sum(greatest(packet_count - p, 0)) AS x FROM (SELECT packet_count,
         lag(packet_count, 1, 0) OVER (PARTITION BY src_ip ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS p FROM flows WHERE ip_proto = 6))""",
