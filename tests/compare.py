@@ -30,7 +30,7 @@ def normalise(pdf: pd.DataFrame) -> pd.DataFrame:
         elif pd.api.types.is_float_dtype(s):
             pdf[c] = s.map(lambda v: "null" if pd.isna(v) else repr(float(v) + 0.0))
         elif pd.api.types.is_integer_dtype(s) or pd.api.types.is_bool_dtype(s):
-            pdf[c] = s.astype(str)
+            pdf[c] = s.astype(str).replace("<NA>", "null")
         else:
             pdf[c] = s.map(lambda v: "null" if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v))
                            else str(list(v)) if isinstance(v, (list, np.ndarray)) else str(v))
@@ -46,6 +46,9 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
     if len(got) != len(want):
         return f"rows {len(got)} vs {len(want)}"
+    # pandas holds whole numbers with nulls as floats, DuckDB as Int64
+    whole = [c for c in want.columns if want[c].dtype == "Int64" and got[c].dtype.kind in "fi"]
+    got = got.astype({c: "Int64" for c in whole})
     if len(got) and kinds(got) != kinds(want):
         bad = {c: (k, kinds(want)[c]) for c, k in kinds(got).items() if kinds(want)[c] != k}
         return f"dtype {bad}"
