@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, ngram_trie, pii, quality, simhash, suffix_repeats, toxicity
+from . import bpe, chat, decontaminate, fill_middle, html_text, ngram_trie, pii, quality, simhash, suffix_repeats, toxicity
 from .common import read, short_batches
 
 #: Folder of the public tokenizer files.
@@ -71,6 +71,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, vocabulary).select("doc_id", *(c.alias(k) for k, c in bpe.digests(coded).items()))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", *(c.alias(k) for k, c in fill_middle.digests().items()))
+
+
 def _short(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         short_batches(spark)
@@ -78,13 +83,27 @@ def _short(query):
     return run
 
 
-QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op4_pii, op5_quality, op6_lm_score, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe)}
+QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op4_pii, op5_quality, op6_lm_score, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe, op12_fill_middle)}
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(\|start\|>|\|text\|>|\|next\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2\3', 'g')"
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_DRAW = "CAST('0x' || digest[{0}:{1}] AS BIGINT)"
+
 ORACLES = {
+    "op12_fill_middle": f"""
+        WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+                            regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u FROM documents),
+        drawn AS (SELECT *, len(u) AS n, {', '.join(f"{_DRAW.format(8 * k + 1, 8 * k + 8)} AS h{k + 1}" for k in range(4))} FROM cut),
+        formed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                               WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+        parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM formed)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE text END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts""",
     "op7_decontaminate": f"""
         WITH items AS (SELECT item, w, least(len(w), 10) AS n FROM (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
         windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
