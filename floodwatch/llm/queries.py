@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fill_middle, html_text, ngram_trie, pii, quality, simhash, suffix_repeats, toxicity
+from . import bpe, chat, decontaminate, fill_middle, html_text, language, ngram_trie, pii, quality, simhash, suffix_repeats, toxicity
 from .common import read, short_batches
 
 #: Folder of the public tokenizer files.
@@ -76,6 +76,13 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *(c.alias(k) for k, c in fill_middle.digests().items()))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = toxicity.held_out("doc_id", 4, 2)
+    model = language.learn(docs, language.load(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"), ~held)
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def _short(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         short_batches(spark)
@@ -83,7 +90,7 @@ def _short(query):
     return run
 
 
-QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op4_pii, op5_quality, op6_lm_score, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe, op12_fill_middle)}
+QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op4_pii, op5_quality, op6_lm_score, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe, op12_fill_middle, op13_language)}
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(\|start\|>|\|text\|>|\|next\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2\3', 'g')"
 
