@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fill_middle, html_text, language, ngram_trie, pii, quality, simhash, suffix_repeats, toxicity
+from . import bpe, chat, decontaminate, fill_middle, html_text, language, lexical_search, ngram_trie, pii, quality, simhash, suffix_repeats, toxicity
 from .common import read, short_batches
 
 #: Folder of the public tokenizer files.
@@ -71,6 +71,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, vocabulary).select("doc_id", *(c.alias(k) for k, c in bpe.digests(coded).items()))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", *(c.alias(k) for k, c in fill_middle.digests().items()))
@@ -90,7 +94,7 @@ def _short(query):
     return run
 
 
-QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op4_pii, op5_quality, op6_lm_score, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe, op12_fill_middle, op13_language)}
+QUERIES = {f.__name__: _short(f) for f in (op1_toxicity, op2_simhash, op3_chat_formatting, op4_pii, op5_quality, op6_lm_score, op7_decontaminate, op8_suffix_dedup, op9_html_text, op10_bpe, op11_lexical_search, op12_fill_middle, op13_language)}
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(\|start\|>|\|text\|>|\|next\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2\3', 'g')"
 
@@ -98,7 +102,20 @@ _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 
 _DRAW = "CAST('0x' || digest[{0}:{1}] AS BIGINT)"
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op11_lexical_search": f"""
+        WITH docs AS (SELECT *, CAST(len(t) AS BIGINT) AS n FROM (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0),
+        whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+        items AS (SELECT row_number() OVER () AS qid, item_id, {_TERMS} AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        asked AS (SELECT qid, item_id, term, count(*) AS q FROM (SELECT qid, item_id, unnest(t) AS term FROM items) GROUP BY ALL),
+        counts AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, n, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, whole GROUP BY term),
+        scored AS (SELECT qid, item_id, rid, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms))))) AS BIGINT) AS score
+                   FROM asked JOIN counts USING (term) JOIN weights USING (term), whole GROUP BY ALL)
+        SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS FIRST) AS r FROM scored WHERE score > 0) WHERE r <= 10""",
     "op12_fill_middle": f"""
         WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
                             regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u FROM documents),
