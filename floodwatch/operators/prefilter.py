@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from floodwatch import config as C
+from floodwatch.operators.ack_replay import count_remembered
 from floodwatch.operators.packets import classify_packet, filter_scoreable
-from floodwatch.plans.slices import (OWN, SLICE, asof_join, micros, null_safe_join, sliding_counts, sorted_map,
+from floodwatch.plans.slices import (OWN, SLICE, asof_join, micros, null_safe_join, sliding_counts,
                                      with_halo, with_slice)
 
 
@@ -194,10 +191,8 @@ def ack_popback(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> Dat
 def remembered_syns(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) -> DataFrame:
     """Counts of remembered SYNs at every counted packet, and ``syn_active``: 1 if any lies in the window.
 
-    Forgetting is a sequential rule, so it is a fold over each source's packets.
-    Everything resets after an idle gap, so the unit is an episode and not a
-    source; rows stream through the task sorted, and the state is the remembered
-    SYN times of one window.
+    Everything resets after an idle gap, so the unit is an episode; it is replayed slice by slice
+    (:mod:`floodwatch.operators.ack_replay`). A packet without a time has no window and is left out.
     """
     tracked = (filter_scoreable(classify_packet(packets))
                .filter(F.col("flood_proto").isin(*C.FLOOD_PROTOCOLS, "ACK")))
@@ -213,37 +208,4 @@ def remembered_syns(packets: DataFrame, rules: C.FloodRules = C.FloodRules()) ->
             .filter((F.col("flood_proto") != "ACK")
                     | (F.col("episode_start").isNotNull() & (F.col("_us") - F.col("_until") <= idle_us))))
 
-    window_us = int(round(rules.window_s * 1e6))
-    short_us, long_us = (int(round(s * 1e6)) for s in rules.burst_windows_s)
-    pause_us = int(round(rules.ack_interval_s * 1e6))
-    kept = ["src_ip", "episode_start", "ts", "event_id", "dpid", "flood_proto"]
-    made = ["n_window", "n_burst_short", "n_burst_long", "syn_active"]
-    schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in kept], *[T.StructField(c, T.LongType()) for c in made[:3]],
-                           T.StructField("syn_active", T.IntegerType())])
-
-    def replay(batches):
-        unit, times, head, popped_at = None, [], 0, None   # times[head:] are remembered, oldest first
-        for batch in batches:
-            keep, counts = [], []
-            for i, (src, start, us, kind) in enumerate(zip(
-                    batch["src_ip"], batch["episode_start"].astype(str), batch["_us"], batch["flood_proto"])):
-                if (src, start) != unit:
-                    unit, times, head, popped_at = (src, start), [], 0, None
-                if kind == "ACK":
-                    if head < len(times) and (popped_at is None or us - popped_at >= pause_us):
-                        head += 1
-                        popped_at = us
-                    continue
-                if kind == "SYN":
-                    times.append(us)
-                    head = bisect_left(times, us - window_us, head)
-                    if head > 100_000:
-                        times, head = times[head:], 0
-                since = lambda span: len(times) - bisect_left(times, us - span, head)  # noqa: B023, E731
-                keep.append(i)
-                counts.append((since(window_us), since(short_us), since(long_us), int(since(window_us) > 0)))
-            out = batch.iloc[keep][kept].reset_index(drop=True)
-            out[made] = pd.DataFrame(counts, columns=made, dtype="int64")
-            yield out
-
-    return sorted_map(rows.select(*kept, "_us"), ["src_ip", "episode_start"], ["ts", "event_id"], replay, schema)
+    return count_remembered(rows, ["src_ip", "episode_start", "ts", "event_id", "dpid", "flood_proto"], rules)

@@ -281,7 +281,7 @@ def whole_runs(batches: Iterable[pd.DataFrame], by: Sequence[str]
         yield frame, starts_of(frame)
 
 
-def _spread(us: np.ndarray, starts: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spread(us: np.ndarray, starts: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lay groups out one after another on one axis, more than ``gap`` apart.
 
     Returns (times, group number of each row, end row of each row's group), so
@@ -333,7 +333,7 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         for frame, starts in whole_runs(batches, group):
             us = frame["_us"].to_numpy(np.int64)
             forced = frame["_force"].to_numpy(bool)
-            t, no, end = _spread(us, starts, gap)
+            t, no, end = spread(us, starts, gap)
             nxt = _next_kept(t, forced, end, gap, strict)
             # follow the chain of every row to its last kept row, doubling the step
             row = np.arange(len(us))
@@ -398,7 +398,7 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         for frame, starts in whole_runs(batches, group):
             us = frame["_us"].to_numpy(np.int64)
             forced = frame["_force"].to_numpy(bool)
-            t, no, end = _spread(us, starts, gap)
+            t, no, end = spread(us, starts, gap)
             nxt = _next_kept(t, forced, end, gap, strict)
             came = frame["_in"].iloc[starts]
             blank = came.isna().to_numpy()
