@@ -360,7 +360,7 @@ def uniform_share(spark, d):
 
 @query
 def adaptive_baseline(spark, d):
-    return TE.adaptive_baseline(snapshots(spark, d)).select("tick_ts", "learned", r6("baseline_mean"), r6("baseline_var"))
+    return TE.adaptive_baseline(snapshots(spark, d)).select("tick_ts", "metric", "learned", r6("baseline_mean"), r6("baseline_var"))
 
 
 def verdicts(spark, d):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,107 +76,75 @@ def tea_snapshot(flows: DataFrame, *, tick_s: float = C.TICK_S, scope: Column |
 # --- adaptive baselines -----------------------------------------------------
 
 
-class Baseline:
-    """Learned mean and variance of one metric.
+@dataclass(frozen=True)
+class Baselines:
+    """What is known of the four metrics, in the order of METRICS.
 
-    A small per-tick helper of the fold below; it holds at most fifteen samples.
+    ``mean`` is NaN while a metric is being learned. All metrics are learned from
+    the first ticks on, so they share ``head``, the ticks since the start; it is
+    empty once all are known, after LEARN_MAX ticks at the latest.
     """
 
-    def __init__(self):
-        self.samples: list[float] = []
-        self.mean: float | None = None
-        self.var = 0.0
+    mean: np.ndarray = field(default_factory=lambda: np.full(len(METRICS), np.nan))
+    var: np.ndarray = field(default_factory=lambda: np.zeros(len(METRICS)))
+    head: tuple[np.ndarray, ...] = ()
 
     @property
-    def learned(self) -> bool:
-        return self.mean is not None
-
-    @property
-    def std(self) -> float:
-        return math.sqrt(max(self.var, C.VARIANCE_FLOOR)) if self.learned else 1.0
-
-    def variation(self) -> float | None:
-        """Coefficient of variation, None while it is undefined."""
-        return self.std / (abs(self.mean) + C.EPS) if self.learned and self.mean != 0 else None
-
-    def sigma(self) -> float:
-        cv = self.variation()
-        if cv is None:
-            return C.ATTACK_SIGMA
-        return min(C.ATTACK_SIGMA_HIGH, max(C.ATTACK_SIGMA_LOW, C.ATTACK_SIGMA + C.ATTACK_SIGMA_SLOPE * cv))
-
-    def z(self, x: float) -> float:
-        return (x - self.mean) / self.std if self.learned else 0.0
-
-    def _stable(self) -> bool:
-        pvar = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v)
-        return abs(pvar(self.samples[-5:]) - pvar(self.samples[-10:-5])) < C.STABLE_VARIANCE
-
-    def learn(self, x: float, locked: bool) -> None:
-        if not self.learned:
-            self.samples.append(x)
-            n = len(self.samples)
-            if n >= C.LEARN_MAX or (n >= C.LEARN_MIN and self._stable()):
-                self.mean = sum(self.samples) / n
-                self.var = sum((s - self.mean) ** 2 for s in self.samples) / n
-                self.samples = []
-            return
-        if locked or abs(x - self.mean) / self.std >= C.REJECT_SIGMA:
-            return
-        cv = self.variation()
-        alpha = C.ALPHA_MIN if cv is None else min(
-            C.ALPHA_MAX, max(C.ALPHA_MIN, C.ALPHA_MAX - cv * (C.ALPHA_MAX - C.ALPHA_MIN)))
-        self.mean = alpha * x + (1 - alpha) * self.mean
-        self.var = alpha * (x - self.mean) ** 2 + (1 - alpha) * self.var
-
-    def dump(self) -> tuple:
-        return (list(self.samples), self.mean, self.var)
-
-    @classmethod
-    def load(cls, saved) -> "Baseline":
-        b = cls()
-        b.samples, b.mean, b.var = list(saved[0]), saved[1], saved[2]
-        return b
-
-
-class ScopeState:
-    """What one scope remembers between ticks; constant size."""
-
-    def __init__(self):
-        self.base = {m: Baseline() for m in METRICS}
-        self.prev: tuple[float, float] | None = None
-
-    def step(self, x: dict[str, float], locked: bool) -> dict:
-        base, prev = self.base, self.prev
-        self.prev = (x["size_var"], x["intensity_var"])
-        learned = all(b.learned for b in base.values())
-        if prev is None or not learned:
-            for m in METRICS:
-                base[m].learn(x[m], locked)
-            return {"is_learned": False}
-        z = {m: base[m].z(x[m]) for m in METRICS}
-        sigma = base["size_var"].sigma()
-        means = (base["size_var"].mean, base["intensity_var"].mean)
-        size = abs(z["size_var"]) >= sigma
-        intensity = abs(z["intensity_var"]) >= sigma
-        proto = z["proto_entropy"] <= -sigma or z["proto_entropy"] >= C.SHARE_SIGMA
-        cluster = z["uniform_share"] >= C.SHARE_SIGMA
-        attack = size or intensity or proto or cluster
-        if not attack:
-            for m in METRICS:
-                base[m].learn(x[m], locked)
-            means = (base["size_var"].mean, base["intensity_var"].mean)
-        sure = (size and intensity) or (cluster and (size or intensity or proto))
-        return {
-            "is_learned": True, "size_delta": x["size_var"] - prev[0],
-            "intensity_delta": x["intensity_var"] - prev[1], "size_zscore": z["size_var"],
-            "intensity_zscore": z["intensity_var"], "proto_zscore": z["proto_entropy"],
-            "uniform_share_zscore": z["uniform_share"], "mechanized_cluster": cluster,
-            "size_surge": z["size_var"] >= sigma, "intensity_surge": z["intensity_var"] >= sigma,
-            "baseline_mean_size": means[0], "baseline_mean_intensity": means[1],
-            "attack_sigma": sigma, "is_attack_pattern": attack,
-            "confidence": "high" if attack and sure else "moderate" if attack else "low",
-        }
+    def known(self) -> bool:
+        return not np.isnan(self.mean).any()
+
+
+def deviation(var: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(var, C.VARIANCE_FLOOR))
+
+
+def variation(base: Baselines) -> np.ndarray:
+    """Deviation over mean; NaN where it says nothing, as before learning and for a mean of 0."""
+    return np.where(base.mean == 0, np.nan, deviation(base.var) / (np.abs(base.mean) + C.EPS))
+
+
+def learn(base: Baselines, x: np.ndarray, locked: bool) -> Baselines:
+    """The baselines after a tick they may learn from. A lock holds what is known; it does not stop first learning."""
+    fresh = np.isnan(base.mean)
+    pace = np.nan_to_num(np.clip(C.ALPHA_MAX - variation(base) * (C.ALPHA_MAX - C.ALPHA_MIN), C.ALPHA_MIN, C.ALPHA_MAX), nan=C.ALPHA_MIN)
+    near = ~fresh & (np.abs(x - base.mean) / deviation(base.var) < C.REJECT_SIGMA) & (not locked)
+    mean = np.where(near, pace * x + (1 - pace) * base.mean, base.mean)
+    var = np.where(near, pace * (x - mean) ** 2 + (1 - pace) * base.var, base.var)
+    if not fresh.any():
+        return Baselines(mean, var)
+    head = (*base.head, x)
+    rows, n = np.array(head), len(head)
+    calm = np.abs(rows[-5:].var(0) - rows[-10:-5].var(0)) < C.STABLE_VARIANCE if n >= C.LEARN_MIN else np.zeros(len(x), bool)
+    done = fresh & (calm | (n >= C.LEARN_MAX))
+    mean, var = np.where(done, rows.mean(0), mean), np.where(done, rows.var(0), var)
+    return Baselines(mean, var, () if not np.isnan(mean).any() else head)
+
+
+def judge(base: Baselines, x: np.ndarray) -> dict:
+    """A tick against known baselines: scores, flags and how sure they are."""
+    z = dict(zip(METRICS, ((x - base.mean) / deviation(base.var)).tolist()))
+    vary = variation(base)[0]
+    sigma = C.ATTACK_SIGMA if np.isnan(vary) else float(np.clip(C.ATTACK_SIGMA + C.ATTACK_SIGMA_SLOPE * vary, C.ATTACK_SIGMA_LOW, C.ATTACK_SIGMA_HIGH))
+    size, intensity = abs(z["size_var"]) >= sigma, abs(z["intensity_var"]) >= sigma
+    proto = z["proto_entropy"] <= -sigma or z["proto_entropy"] >= C.SHARE_SIGMA
+    cluster = z["uniform_share"] >= C.SHARE_SIGMA
+    attack = size or intensity or proto or cluster
+    sure = (size and intensity) or (cluster and (size or intensity or proto))
+    return {"size_zscore": z["size_var"], "intensity_zscore": z["intensity_var"], "proto_zscore": z["proto_entropy"], "uniform_share_zscore": z["uniform_share"],
+            "mechanized_cluster": cluster, "size_surge": z["size_var"] >= sigma, "intensity_surge": z["intensity_var"] >= sigma,
+            "attack_sigma": sigma, "is_attack_pattern": attack, "is_learned": True, "confidence": "low" if not attack else "high" if sure else "moderate"}
+
+
+def tick_step(state: tuple[Baselines, np.ndarray | None], x: np.ndarray, locked: bool) -> tuple[tuple[Baselines, np.ndarray], dict]:
+    """One tick of a scope: the state after it and what is reported. The first tick and those before all baselines are known only teach."""
+    base, last = state
+    if last is None or not base.known:
+        return (learn(base, x, locked), x), {"is_learned": False}
+    found = judge(base, x)
+    if not found["is_attack_pattern"]:
+        base = learn(base, x, locked)
+    found |= {"size_delta": x[0] - last[0], "intensity_delta": x[1] - last[1], "baseline_mean_size": base.mean[0], "baseline_mean_intensity": base.mean[1]}
+    return (base, x), found
 
 
 NUMBERS = ("size_delta", "intensity_delta", "size_zscore", "intensity_zscore", "proto_zscore",
@@ -190,13 +159,16 @@ def verdict_schema(snapshots: DataFrame) -> T.StructType:
         *[T.StructField(n, T.BooleanType()) for n in FLAGS], T.StructField("confidence", T.StringType())])
 
 
-def verdict_rows(frame: pd.DataFrame, states: dict[str, ScopeState]) -> pd.DataFrame:
+START = (Baselines(), None)
+
+
+def verdict_rows(frame: pd.DataFrame, states: dict[str, tuple]) -> pd.DataFrame:
     """Advance the scopes' states over a frame of ordered ticks."""
     locked = frame["locked"] if "locked" in frame else [False] * len(frame)
     found = []
-    for scope, lock, *x in zip(frame["scope"], locked, *[frame[m] for m in METRICS]):
-        state = states.setdefault(scope, ScopeState())
-        found.append(state.step(dict(zip(METRICS, x)), bool(lock)))
+    for scope, lock, x in zip(frame["scope"], locked, frame[list(METRICS)].to_numpy(float)):
+        states[scope], said = tick_step(states.get(scope, START), x, bool(lock))
+        found.append(said)
     out = frame[["scope", "tick_ts", *METRICS, "unique_ips"]].reset_index(drop=True)
     made = pd.DataFrame(found, columns=[*NUMBERS, *FLAGS, "confidence"])
     for n in NUMBERS:
@@ -222,7 +194,7 @@ def tea_verdict(snapshots: DataFrame, locks: DataFrame | None = None) -> DataFra
     schema = verdict_schema(snapshots)
 
     def fold(batches):
-        scope, states = None, {}
+        states: dict[str, tuple] = {}
         for batch in batches:
             if len(batch) == 0:
                 continue
@@ -236,28 +208,29 @@ def tea_verdict(snapshots: DataFrame, locks: DataFrame | None = None) -> DataFra
             .withColumn("is_flash_crowd", F.lit(False)))
 
 
-def adaptive_baseline(snapshots: DataFrame, metric: str = "size_var") -> DataFrame:
-    """One metric's baseline after each tick when nothing is locked or withheld."""
-    schema = T.StructType([*snapshots.select("scope", "tick_ts", metric).schema.fields,
-                           T.StructField("learned", T.BooleanType()),
-                           T.StructField("baseline_mean", T.DoubleType()),
-                           T.StructField("baseline_var", T.DoubleType())])
+def adaptive_baseline(snapshots: DataFrame) -> DataFrame:
+    """Each metric's baseline after each tick when nothing is locked or withheld: one row per scope, tick and metric."""
+    schema = T.StructType([*snapshots.select("scope", "tick_ts").schema.fields, T.StructField("metric", T.StringType()), T.StructField("learned", T.BooleanType()),
+                           T.StructField("baseline_mean", T.DoubleType()), T.StructField("baseline_var", T.DoubleType())])
 
     def fold(batches):
-        scope, base = None, Baseline()
+        scope, base = None, Baselines()
         for batch in batches:
-            rows = []
-            for s, x in zip(batch["scope"], batch[metric]):
+            means, variances = [], []
+            for s, x in zip(batch["scope"], batch[list(METRICS)].to_numpy(float)):
                 if s != scope:
-                    scope, base = s, Baseline()
-                base.learn(x, False)
-                rows.append((base.learned, base.mean if base.learned else 0.0, base.var))
-            out = batch[["scope", "tick_ts", metric]].reset_index(drop=True)
-            out[["learned", "baseline_mean", "baseline_var"]] = pd.DataFrame(
-                rows, columns=["learned", "baseline_mean", "baseline_var"])
+                    scope, base = s, Baselines()
+                base = learn(base, x, False)
+                means.append(base.mean)
+                variances.append(base.var)
+            out = batch.loc[batch.index.repeat(len(METRICS)), ["scope", "tick_ts"]].reset_index(drop=True)
+            out["metric"] = list(METRICS) * len(batch)
+            mean = np.array(means).ravel()
+            out["learned"], out["baseline_mean"] = ~np.isnan(mean), np.nan_to_num(mean)
+            out["baseline_var"] = np.array(variances).ravel()
             yield out
 
-    return sorted_map(snapshots.select("scope", "tick_ts", metric), ["scope"], ["tick_ts"], fold, schema)
+    return sorted_map(snapshots.select("scope", "tick_ts", *METRICS), ["scope"], ["tick_ts"], fold, schema)
 
 
 def mitigation_advisory(rows: DataFrame) -> DataFrame:

@@ -44,10 +44,17 @@ def learn(m: str, allowed: str) -> dict[str, str]:
     }
 
 
-ONE = learn("size_var", "true")
-BASELINE = snapshot("'all'") + f""", x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tick_ts) AS rn FROM snap), walk AS (
-  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS tick_ts, CAST([] AS DOUBLE[]) AS size_var_s, CAST(NULL AS DOUBLE) AS size_var_m, CAST(0 AS DOUBLE) AS size_var_v
-  UNION ALL SELECT x.rn, x.tick_ts, {ONE['size_var_s']}, {ONE['size_var_m']}, {ONE['size_var_v']} FROM walk w JOIN x ON x.rn = w.rn + 1)"""
+def _baselines() -> str:
+    steps = {}
+    for m in METRICS:
+        steps |= learn(m, "true")
+    start = ", ".join(f"CAST([] AS DOUBLE[]) AS {m}_s, CAST(NULL AS DOUBLE) AS {m}_m, CAST(0 AS DOUBLE) AS {m}_v" for m in METRICS)
+    return snapshot("'all'") + f""", x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tick_ts) AS rn FROM snap), walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS tick_ts, {start}
+  UNION ALL SELECT x.rn, x.tick_ts, {', '.join(f'{e} AS {k}' for k, e in steps.items())} FROM walk w JOIN x ON x.rn = w.rn + 1)"""
+
+
+BASELINE = _baselines()
 
 STD = lambda m: f"sqrt(greatest(w.{m}_v, 1e-9))"
 Z = {m: f"(CASE WHEN ready THEN (x.{m} - w.{m}_m)/{STD(m)} ELSE 0.0 END)" for m in METRICS}
@@ -126,8 +133,8 @@ SQL = {
     "shannon_entropy": query(FLOWS_BASE, """SELECT src_ip, round(sum(-(w/t)*log2(w/t)), 6) AS entropy FROM (
         SELECT src_ip, ip_proto, sum(packet_count) AS w, sum(sum(packet_count)) OVER (PARTITION BY src_ip) AS t FROM flows GROUP BY src_ip, ip_proto) GROUP BY src_ip"""),
     "uniform_share": query(snapshot("'all'"), "SELECT tick_ts, round(uniform_share, 6) AS uniform_share FROM snap"),
-    "adaptive_baseline": query(BASELINE, """SELECT tick_ts, size_var_m IS NOT NULL AS learned, round(coalesce(size_var_m, 0), 6) AS baseline_mean,
-        round(size_var_v, 6) AS baseline_var FROM walk WHERE rn > 0""", recursive=True),
+    "adaptive_baseline": query(BASELINE, " UNION ALL ".join(f"""SELECT tick_ts, '{m}' AS metric, {m}_m IS NOT NULL AS learned, round(coalesce({m}_m, 0), 6) AS baseline_mean,
+        round({m}_v, 6) AS baseline_var FROM walk WHERE rn > 0""" for m in METRICS), recursive=True),
     "tea_verdict": query(VERDICT, """SELECT tick_ts, ready AS is_learned, attack AS is_attack_pattern, cluster AS mechanized_cluster, size_surge, intensity_surge, confidence,
         round(z_size_var, 6) AS size_zscore, round(z_intensity_var, 6) AS intensity_zscore, round(z_proto_entropy, 6) AS proto_zscore,
         round(z_uniform_share, 6) AS uniform_share_zscore, round(CASE WHEN ready THEN size_var_m ELSE 0.0 END, 6) AS baseline_mean_size, round(size_delta, 6) AS size_delta

@@ -13,29 +13,28 @@ from floodwatch.operators.fusion import baseline_lock
 T0 = dt.datetime(2024, 1, 1)
 
 
+def four(x):
+    return np.full(4, float(x))
+
+
 def test_baseline_learns_by_stability_and_by_count():
-    calm = T.Baseline()
-    for i in range(10):
-        calm.learn(1.0 + 0.001 * i, False)
-    assert calm.learned
-    wild = T.Baseline()
+    base = T.Baselines()
     for i in range(15):
-        assert not wild.learned
-        wild.learn(float(i * i), False)       # variance keeps moving
-    assert wild.learned and wild.mean == pytest.approx(np.mean([i * i for i in range(15)]))
+        assert np.isnan(base.mean[0]) == (i < 10) and np.isnan(base.mean[1])
+        base = T.learn(base, np.array([1.0 + 0.001 * i, i * i, i * i, i * i]), False)   # the first is calm, the variance of the others keeps moving
+    assert base.known and base.head == () and base.mean[1] == pytest.approx(np.mean([i * i for i in range(15)]))
+    assert base.mean[0] > np.mean([1.0 + 0.001 * i for i in range(10)])                  # already moving on
 
 
 def test_baseline_rejects_from_three_sigma_and_while_locked():
-    b = T.Baseline()
-    b.mean, b.var = 10.0, 1.0
-    b.learn(13.0, False)
-    assert b.mean == 10.0
-    b.learn(12.999, True)
-    assert b.mean == 10.0
-    b.learn(12.999, False)
+    base = T.Baselines(four(10.0), four(1.0))
+    assert (T.learn(base, four(13.0), False).mean == 10.0).all()
+    assert (T.learn(base, four(12.999), True).mean == 10.0).all()
+    moved = T.learn(base, four(12.999), False)
     alpha = 0.10 - (1.0 / (10 + 1e-9)) * 0.08
-    assert b.mean == pytest.approx(alpha * 12.999 + (1 - alpha) * 10)
-    assert b.var == pytest.approx(alpha * (12.999 - b.mean) ** 2 + (1 - alpha))   # error from the new mean
+    assert moved.mean == pytest.approx(four(alpha * 12.999 + (1 - alpha) * 10))
+    assert moved.var == pytest.approx(alpha * (12.999 - moved.mean) ** 2 + (1 - alpha))   # error from the new mean
+    assert T.learn(T.Baselines(), four(1), True).head                                      # a lock does not stop first learning
 
 
 def test_lock_takes_ten_normals(spark):
