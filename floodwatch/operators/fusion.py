@@ -38,6 +38,22 @@ def attach_prefilter_flag(rows: DataFrame, flags: DataFrame, *, slice_s: float)
 NEUTRAL = {"tea_attack_pattern": False, "tea_confidence": "low", "tea_is_learned": False}
 
 
+def _verdict_columns(verdicts: DataFrame) -> DataFrame:
+    return verdicts.select("scope", "tick_ts", F.col("is_attack_pattern").alias("tea_attack_pattern"),
+                           F.col("confidence").alias("tea_confidence"), F.col("is_learned").alias("tea_is_learned"))
+
+
+def _settled_verdict(rows: DataFrame, profile: str | None, phase: str | None) -> DataFrame:
+    """Neutral values where there is no verdict or the source is banned; a source's own "attack" profile counts as a moderate attack."""
+    banned = F.coalesce(F.col(phase).isin(2, 3), F.lit(False)) if phase else F.lit(False)
+    rows = rows.withColumns({n: F.when(banned, F.lit(v)).otherwise(F.coalesce(F.col(n), F.lit(v))) for n, v in NEUTRAL.items()})
+    if profile:
+        forced = F.coalesce(F.col(profile) == "attack", F.lit(False)) & ~banned
+        rows = rows.withColumns({"tea_attack_pattern": F.col("tea_attack_pattern") | forced,
+                                 "tea_confidence": F.when(forced, "moderate").otherwise(F.col("tea_confidence"))})
+    return rows
+
+
 def attach_tea(flows: DataFrame, verdicts: DataFrame, *, slice_s: float, profile: str | None = None,
                phase: str | None = None) -> DataFrame:
     """Latest traffic verdict of the scope at or before each flow.
@@ -45,28 +61,13 @@ def attach_tea(flows: DataFrame, verdicts: DataFrame, *, slice_s: float, profile
     A per-source "attack" profile forces an attack pattern with moderate
     confidence; sources in phase 2 or 3 get the neutral verdict.
     """
-    v = verdicts.select("scope", F.col("tick_ts"), F.col("is_attack_pattern").alias("tea_attack_pattern"),
-                        F.col("confidence").alias("tea_confidence"), F.col("is_learned").alias("tea_is_learned"))
-    out = asof_join(flows, v, ["scope"], left_ts="ts", right_ts="tick_ts", cols=list(NEUTRAL), width_s=slice_s)
-    for name, neutral in NEUTRAL.items():
-        value = F.coalesce(F.col(name), F.lit(neutral))
-        if phase:
-            value = F.when(F.col(phase).isin(2, 3), F.lit(neutral)).otherwise(value)
-        out = out.withColumn(name, value)
-    if profile:
-        forced = F.col(profile) == "attack"
-        if phase:
-            forced = forced & ~F.coalesce(F.col(phase).isin(2, 3), F.lit(False))
-        out = (out.withColumn("tea_attack_pattern", F.col("tea_attack_pattern") | forced)
-               .withColumn("tea_confidence", F.when(forced, "moderate").otherwise(F.col("tea_confidence"))))
-    return out
+    out = asof_join(flows, _verdict_columns(verdicts), ["scope"], left_ts="ts", right_ts="tick_ts", cols=list(NEUTRAL), width_s=slice_s)
+    return _settled_verdict(out, profile, phase)
 
 
-def attach_tea_by_tick(flows: DataFrame, verdicts: DataFrame, tick: str = "tick_ts") -> DataFrame:
-    """The same when every flow's tick has a verdict: a plain equi-join."""
-    v = verdicts.select("scope", tick, F.col("is_attack_pattern").alias("tea_attack_pattern"),
-                        F.col("confidence").alias("tea_confidence"), F.col("is_learned").alias("tea_is_learned"))
-    return flows.join(v, ["scope", tick], "left")
+def attach_tea_by_tick(flows: DataFrame, verdicts: DataFrame, tick: str = "tick_ts", *, profile: str | None = None, phase: str | None = None) -> DataFrame:
+    """The same where every flow's tick has a verdict of its own: a plain equi-join with one row per tick."""
+    return _settled_verdict(flows.join(_verdict_columns(verdicts).withColumnRenamed("tick_ts", tick), ["scope", tick], "left"), profile, phase)
 
 
 def confidence_lock(results: DataFrame, order: Sequence[str], *, slice_s: float) -> DataFrame:
@@ -151,15 +152,45 @@ def score_decisions(labelled: DataFrame, legit: Sequence[str] | None = None) ->
 
 def baseline_lock(results: DataFrame, order: Sequence[str], *, streak: int = C.UNLOCK_STREAK,
                   slice_s: float, keys: Sequence[str] = ("scope",)) -> DataFrame:
-    """Whether the traffic baselines are locked before each scored flow.
+    """Whether the traffic baselines are locked after each scored flow.
 
     An anomaly locks; ``streak`` consecutive normal flows unlock. So the lock
     holds iff an earlier anomaly exists with fewer than ``streak`` flows since.
+    A slice says how many rows it has and which was its last anomaly; a window
+    over those few adds up what lies before. The rows are shuffled once.
     """
     keys = list(keys)
-    numbered = prefix(results, keys, order, ts="ts", width_s=slice_s, sums={"_n": F.lit(1)})
-    anomaly_no = F.when(F.col("is_anomaly") == 1, F.col("_n"))
-    # numbering increases along the order, so the last anomaly's number is a running max
-    marked = prefix(numbered, keys, order, ts="ts", width_s=slice_s, last={"_last": anomaly_no})
-    since = F.col("_n") - F.col("_last")
-    return (marked.withColumn("locked_after", F.coalesce(since < streak, F.lit(False))).drop("_n", "_last"))
+    here = Window.partitionBy(*keys, slices.SLICE).orderBy(*order)
+    rows = slices.with_slice(results, "ts", slice_s).withColumn("_n", F.row_number().over(here))
+    rows = rows.withColumn("_last", F.max(F.when(F.col("is_anomaly") == 1, F.col("_n"))).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy(*keys).orderBy(slices.SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    summary = (rows.groupBy(*keys, slices.SLICE).agg(F.max("_n").alias("_rows"), F.max("_last").alias("_final"))
+               .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+               .withColumn("_came", F.last(F.col("_before") + F.col("_final"), ignorenulls=True).over(earlier)))
+    out = slices.null_safe_join(rows, summary.select(*keys, slices.SLICE, "_before", "_came"), [*keys, slices.SLICE])
+    since = F.coalesce(F.col("_n") - F.col("_last"), F.col("_before") + F.col("_n") - F.col("_came"))
+    return out.withColumn("locked_after", F.coalesce(since < streak, F.lit(False))).select(*results.columns, "locked_after")
+
+
+def tick_locks(results: DataFrame, ticks: DataFrame, order: Sequence[str], *, streak: int = C.UNLOCK_STREAK) -> DataFrame:
+    """Whether the baselines are locked when each tick begins: (scope, tick_ts, locked) for every row of ``ticks``.
+
+    The same rule as :func:`baseline_lock`, told per tick: how many flows were
+    scored in it, whether any was an anomaly, and where among the last ``streak``
+    of them the last anomaly is. The last flows of a tick are picked by a ranking
+    that Spark cuts off before the shuffle, so a tick of any size sends few rows.
+    """
+    unit = ["scope", "tick_ts"]
+    hit = F.col("is_anomaly") == 1
+    whole = results.groupBy(*unit).agg(F.count(F.lit(1)).alias("_rows"), F.max(hit).alias("_any"))
+    newest = Window.partitionBy(*unit).orderBy(*[F.col(c).desc() for c in order])
+    tail = (results.select(*unit, *[c for c in order if c not in unit], "is_anomaly").withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= streak)
+            .groupBy(*unit).agg(F.min(F.when(hit, F.col("_r"))).alias("_near")))
+    each = ticks.select(*unit).distinct().join(whole, unit, "left").join(tail, unit, "left").withColumn("_rows", F.coalesce("_rows", F.lit(0)))
+    calendar = Window.partitionBy("scope").orderBy("tick_ts")
+    earlier = calendar.rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.sum("_rows").over(calendar.rowsBetween(Window.unboundedPreceding, 0))
+    # the number of the tick's last anomaly, or of a row far enough back
+    each = each.withColumn("_at", F.when(F.col("_any"), upto - F.coalesce(F.col("_near") - 1, F.lit(streak))))
+    since = F.sum("_rows").over(earlier) - F.last("_at", ignorenulls=True).over(earlier)
+    return each.select(*unit, F.coalesce(since < streak, F.lit(False)).alias("locked"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodwatch import config as C
-from floodwatch.plans.slices import asof_join, greedy_spacing, micros, prefix
+from floodwatch.plans.slices import SLICE, greedy_spacing, micros, null_safe_join, prefix, with_slice
 
 
 def tcp_flags(bits: Column) -> tuple[Column, Column]:
@@ -72,38 +72,66 @@ def proto_number(proto: Column) -> Column:
     return F.when(proto == "TCP", C.TCP).when(proto == "UDP", C.UDP).when(proto == "ICMP", C.ICMP).otherwise(0)
 
 
-def protocol_cache(packets: DataFrame, keys: Sequence[str], *, slice_s: float) -> DataFrame:
-    """Remembered protocol per key after each packet.
+def resolve_addresses(flows: DataFrame, packets: DataFrame, *, slice_s: float, ports: bool = False) -> DataFrame:
+    """Add ``resolved_proto``: the flow's own protocol, else the one remembered for (switch, source), else for the source.
 
-    TCP and UDP always replace what is remembered; another protocol is
-    remembered only while nothing is.
+    With ``ports`` also ``port_src`` and ``port_dst``, the source's last TCP or UDP ports, (0, 0) before any.
+    TCP and UDP always replace the protocol that is remembered; another is remembered only while nothing is.
+
+    Both caches and the ports come from one scan. Flows and packets of a source
+    lie together slice by slice; a slice's own rows are read by windows, and what
+    the slices before it left is carried by one summary row per (source, slice),
+    with the switches' part as a map (a source is seen by few switches).
     """
+    unit = ["src_ip", SLICE]
     number = proto_number(F.col("proto"))
-    seen = packets.withColumn("_num", number).filter("_num != 0")
-    out = prefix(seen, keys, ["ts", "event_id"], ts="ts", width_s=slice_s,
-                 last={"_strong": F.when(F.col("_num").isin(C.TCP, C.UDP), F.col("_num"))})
-    return (out.withColumn("cached_proto", F.coalesce("_strong", F.lit(C.ICMP)))
-            .select(*keys, "ts", "event_id", "cached_proto"))
+    left = flows.withColumn("_ts", F.col("ts")).withColumn("_side", F.lit(1))
+    right = packets.filter(F.col("src_ip").isNotNull() & F.col("ts").isNotNull() & (number != 0)).select(
+        "src_ip", "dpid", F.col("ts").alias("_ts"), F.lit(0).alias("_side"), F.col("event_id").alias("_tie"), number.alias("_num"),
+        *([F.struct(F.col("tp_src").alias("s"), F.col("tp_dst").alias("d")).alias("_ends")] if ports else []))
+    rows = with_slice(left.unionByName(right, allowMissingColumns=True), "_ts", slice_s)
+    strong = F.when(F.col("_num").isin(C.TCP, C.UDP), F.col("_num"))
+    rows = rows.withColumn("_strong", strong)
+    if ports:
+        rows = rows.withColumn("_ends", F.when(F.col("_strong").isNotNull(), F.col("_ends")))
+    position = F.struct("_ts", "_tie")
+    values = ["_strong", "_num", *(["_ends"] if ports else [])]
+
+    def newest(value: str) -> Column:
+        return F.max_by(F.col(value), F.when(F.col(value).isNotNull(), position))
+
+    # what each slice leaves per switch, and from those per source
+    local = rows.groupBy(*unit, "dpid").agg(*[newest(v).alias(v) for v in values],
+                                            *[F.max(F.when(F.col(v).isNotNull(), position)).alias(f"{v}_at") for v in values])
+    before = Window.partitionBy("src_ip", "dpid").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    local = local.withColumn("_switch", F.struct("dpid", *[F.last(v, ignorenulls=True).over(before).alias(v) for v in ("_strong", "_num")]))
+    summary = local.groupBy(*unit).agg(F.collect_list("_switch").alias("_switches"), *[F.max_by(v, f"{v}_at").alias(v) for v in values])
+    before = Window.partitionBy("src_ip").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(*unit, "_switches", *[F.last(v, ignorenulls=True).over(before).alias(f"{v}_came") for v in values])
+
+    whole = Window.partitionBy(*unit).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    switch = Window.partitionBy(*unit, "dpid").orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{v}_any": F.last(v, ignorenulls=True).over(whole) for v in values})      # the wider window first: one shuffle serves both
+    rows = rows.withColumns({f"{v}_own": F.last(v, ignorenulls=True).over(switch) for v in ("_strong", "_num")})
+    out = null_safe_join(rows.filter("_side = 1"), summary, unit)
+    came = F.filter("_switches", lambda s: s["dpid"].eqNullSafe(F.col("dpid")))[0]
+
+    def known(strong_now: Column, strong_came: Column, seen_now: Column, seen_came: Column) -> Column:
+        return F.coalesce(strong_now, strong_came, F.when(seen_now.isNotNull() | seen_came.isNotNull(), C.ICMP))
+    here = known(F.col("_strong_own"), came["_strong"], F.col("_num_own"), came["_num"])
+    anywhere = known(F.col("_strong_any"), F.col("_strong_came"), F.col("_num_any"), F.col("_num_came"))
+    made = {"resolved_proto": F.coalesce(F.when(F.col("ip_proto") != 0, F.col("ip_proto")), here, anywhere, F.lit(0)).cast("long")}
+    if ports:
+        ends = F.coalesce("_ends_any", "_ends_came")
+        made |= {"port_src": F.coalesce(ends["s"], F.lit(0)).cast("long"), "port_dst": F.coalesce(ends["d"], F.lit(0)).cast("long")}
+    return out.withColumns(made).select(*flows.columns, *made)
 
 
 def resolve_protocol(flows: DataFrame, packets: DataFrame, *, slice_s: float) -> DataFrame:
     """Flow's own protocol, else the (switch, source) cache, else the source cache."""
-    local = protocol_cache(packets, ["dpid", "src_ip"], slice_s=slice_s)
-    anywhere = protocol_cache(packets, ["src_ip"], slice_s=slice_s)
-    out = asof_join(flows, local.withColumnRenamed("cached_proto", "_p1"), ["dpid", "src_ip"],
-                    left_ts="ts", right_ts="ts", cols=["_p1"], width_s=slice_s, right_tie="event_id")
-    out = asof_join(out, anywhere.withColumnRenamed("cached_proto", "_p2"), ["src_ip"],
-                    left_ts="ts", right_ts="ts", cols=["_p2"], width_s=slice_s, right_tie="event_id")
-    own = F.when(F.col("ip_proto") != 0, F.col("ip_proto"))
-    return out.withColumn("resolved_proto", F.coalesce(own, F.col("_p1"), F.col("_p2"), F.lit(0)).cast("long")) \
-              .drop("_p1", "_p2")
+    return resolve_addresses(flows, packets, slice_s=slice_s)
 
 
 def resolve_ports(flows: DataFrame, packets: DataFrame, *, slice_s: float) -> DataFrame:
     """Last TCP/UDP ports seen from the source, (0, 0) before any."""
-    seen = packets.filter(F.col("proto").isin("TCP", "UDP"))
-    out = asof_join(flows, seen.withColumnRenamed("tp_src", "_ps").withColumnRenamed("tp_dst", "_pd"),
-                    ["src_ip"], left_ts="ts", right_ts="ts", cols=["_ps", "_pd"],
-                    width_s=slice_s, right_tie="event_id")
-    return (out.withColumn("port_src", F.coalesce("_ps", F.lit(0)).cast("long"))
-            .withColumn("port_dst", F.coalesce("_pd", F.lit(0)).cast("long")).drop("_ps", "_pd"))
+    return resolve_addresses(flows.withColumn("ip_proto", F.lit(0)) if "ip_proto" not in flows.columns else flows, packets, slice_s=slice_s, ports=True).drop("resolved_proto")
