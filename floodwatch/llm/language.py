@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import cut, pieces, schema_with, with_columns
 
 #: Bytes of distinct words that are worked on together.
-WORD_BYTES = 2 << 20
+WORD_BYTES = 1 << 19
 #: Distinct words whose sums a Python worker keeps.
 KEPT_WORDS = 200_000
 #: Posterior counts are added in units of this.
@@ -56,7 +56,7 @@ class Vocabulary:
             raise ValueError("every single byte must be a piece")
         if any(regex.search(rb"[^\s] ", p) for p in parts):
             raise ValueError("a piece may hold a blank only behind white space")
-        self.size = len(parts)
+        self.size, self.lengths = len(parts), np.array([len(p) for p in parts])
         state, edges, self.piece = {b"": 0}, [], [-1]
         for number, part in enumerate(parts):
             for k in range(1, len(part) + 1):
@@ -70,8 +70,8 @@ class Vocabulary:
         self.piece = np.array(self.piece, np.int64)
         self.first = np.array([state[bytes([b])] for b in range(256)])
 
-    def matches(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pieces inside words, as (from node, to node, piece). Node p + w stands before byte p of word w."""
+    def matches(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """All pieces inside words, as (word, first byte, bytes, piece)."""
         word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         end = offsets[1:][word]
         at = np.arange(len(raw))
@@ -79,18 +79,15 @@ class Vocabulary:
         found = []
         while len(at):
             piece = self.piece[state]
-            hit = piece >= 0
-            node = at[hit] + word[at[hit]]
-            found.append((node, node + length, piece[hit]))
-            more = at + length < end[at]
-            at, state = at[more], state[more]
-            key = state << 8 | raw[at + length].astype(np.int64)
+            hit = np.flatnonzero(piece >= 0)
+            found.append((word[at[hit]], at[hit], np.full(len(hit), length), piece[hit]))
+            more = np.flatnonzero(at + length < end[at])
+            at = at[more]
+            key = state[more] << 8 | raw[at + length]
             spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[spot] == key
+            known = np.flatnonzero(self.keys[spot] == key)
             at, state, length = at[known], self.next[spot[known]], length + 1
-        if not found:
-            return tuple(np.empty(0, np.int64) for _ in range(3))
-        return tuple(np.concatenate(x) for x in zip(*found))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 4
 
 
 def load(path: str) -> list[bytes]:
@@ -100,67 +97,109 @@ def load(path: str) -> list[bytes]:
     return [base64.b64decode(piece) for piece, _ in sorted(rows, key=lambda r: int(r[1]))]
 
 
-def sums(offsets: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray, backward: bool = False) -> np.ndarray:
-    """At every node: the logarithm of the sum over all ways from the word's start to it (``backward``: from it to the word's end).
-
-    ``weight`` has the matches' log probabilities, one column or several. All
-    words go one node further at a step.
-    """
-    nodes = offsets + np.arange(len(offsets))
-    total = np.full((nodes[-1] if len(nodes) else 0, *weight.shape[1:]), -np.inf)
-    into, out_of = (begin, end) if backward else (end, begin)
-    word = np.searchsorted(nodes, into, "right") - 1
-    depth = nodes[word + 1] - 1 - into if backward else into - nodes[word]
-    total[nodes[1:] - 1 if backward else nodes[:-1]] = 0.0
-    order = np.lexsort((out_of, into, depth))
-    into, out_of, depth, weight = into[order], out_of[order], depth[order], weight[order]
-    groups = np.flatnonzero(np.diff(into, prepend=-1))  # a node's matches lie together
-    steps = np.flatnonzero(np.diff(depth[groups], prepend=0))
-    bounds = np.append(groups, len(into))
-    for a, b in zip(steps, np.append(steps[1:], len(groups))):
-        lo, hi = bounds[a], bounds[b]
-        total[into[groups[a:b]]] = np.logaddexp.reduceat(total[out_of[lo:hi]] + weight[lo:hi], groups[a:b] - lo, axis=0)
-    return total
-
-
-def word_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+class Lattice:
+    """The pieces of some words as edges between nodes; node p + w stands before byte p of word w, and each word has one more at its end."""
+
+    def __init__(self, words: list[bytes], vocabulary: Vocabulary):
+        self.offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        word, at, length, piece = vocabulary.matches(np.frombuffer(b"".join(words), np.uint8), self.offsets)
+        self.nodes = self.offsets + np.arange(len(self.offsets))
+        end = at + word + length
+        order = self._order(end, end - self.nodes[word])
+        self.word, self.length, self.piece, self.end = word[order], length[order], piece[order], end[order]
+        self.begin = self.end - self.length
+
+    def _order(self, into: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        return np.argsort(depth * self.nodes[-1] + into, kind="stable")
+
+    def sums(self, weight: np.ndarray, log: bool, backward: bool = False) -> np.ndarray:
+        """At every node the sum over all ways from the word's start to it (``backward``: from it to the word's end) of the product of their weights.
+
+        ``weight`` has one column or several. With ``log`` all numbers are logarithms. All words go one node further at a step.
+        """
+        into, out_of = (self.begin, self.end) if backward else (self.end, self.begin)
+        edge = self.nodes[1:] - 1 if backward else self.nodes[:-1]
+        depth = np.abs(into - edge[self.word])
+        total = np.full((self.nodes[-1], *weight.shape[1:]), -np.inf if log else 0.0)
+        total[edge] = 0.0 if log else 1.0
+        if backward:
+            order = self._order(into, depth)
+            into, out_of, depth, weight = into[order], out_of[order], depth[order], weight[order]
+        groups = np.flatnonzero(np.diff(into, prepend=-1))  # a node's edges lie together
+        steps = np.flatnonzero(np.diff(depth[groups], prepend=0))
+        bounds = np.append(groups, len(into))
+        for a, b in zip(steps, np.append(steps[1:], len(groups))):
+            lo, hi = bounds[a], bounds[b]
+            before = total[out_of[lo:hi]]
+            total[into[groups[a:b]]] = (np.logaddexp.reduceat(before + weight[lo:hi], groups[a:b] - lo, axis=0) if log
+                                        else np.add.reduceat(before * weight[lo:hi], groups[a:b] - lo, axis=0))
+        return total
+
+
+#: Products of probabilities are taken times this for each byte, which keeps those of words of up to LONG bytes near one.
+PER_BYTE = 64.0
+LONG = 64
+#: A sum below this may have lost digits and is taken again in logarithms, as those of longer words are.
+TINY = 1e-250
+
+
+def lattices(words: list[str], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, Lattice, bool]]:
+    """Numbers of words, their lattice, and whether they are long; bounded bytes, or one word, at a time."""
     coded = [b" " + w.encode() for w in words]
-    return np.frombuffer(b"".join(coded), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+    size = np.array([len(w) for w in coded], np.int64)
+    for log in (False, True):
+        which = np.flatnonzero((size > LONG) == log)
+        ends, a = np.cumsum(size[which]), 0
+        while a < len(which):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WORD_BYTES, "right")))
+            yield which[a:b], Lattice([coded[k] for k in which[a:b]], vocabulary), log
+            a = b
 
 
 def word_scores(words: list[str], vocabulary: Vocabulary, logp: np.ndarray) -> np.ndarray:
     """Log probability of each word under each language (``logp``: pieces x languages)."""
     out = np.empty((len(words), logp.shape[1]))
-    for a, b in runs(words):
-        raw, offsets = word_table(words[a:b])
-        begin, end, piece = vocabulary.matches(raw, offsets)
-        out[a:b] = sums(offsets, begin, end, logp[piece])[offsets[1:] + np.arange(len(offsets) - 1)]
+    scaled = np.exp(logp) * PER_BYTE ** vocabulary.lengths[:, None]
+    for which, lattice, log in lattices(words, vocabulary):
+        if log:
+            out[which] = lattice.sums(logp[lattice.piece], True)[lattice.nodes[1:] - 1]
+            continue
+        total = lattice.sums(scaled[lattice.piece], False)[lattice.nodes[1:] - 1]
+        with np.errstate(divide="ignore"):
+            out[which] = np.log(total) - np.diff(lattice.offsets)[:, None] * np.log(PER_BYTE)
+        for k in which[(total < TINY).any(1)].tolist():
+            own = Lattice([b" " + words[k].encode()], vocabulary)
+            out[k] = own.sums(logp[own.piece], True)[-1]
     return out
 
 
-def runs(words: list[str]) -> Iterator[tuple[int, int]]:
-    """Stretches of the list with bounded bytes, or one word."""
-    ends = np.cumsum([len(w) * 2 + 1 for w in words])
-    a = 0
-    while a < len(words):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WORD_BYTES, "right")))
-        yield a, b
-        a = b
+def shares(lattice: Lattice, logp: np.ndarray, log: bool) -> np.ndarray:
+    """Posterior of every edge of the lattice: the part of its word's sum that runs over it. ``logp`` is the edges'."""
+    last = lattice.nodes[:-1][lattice.word]
+    if log:
+        ahead, behind = lattice.sums(logp, True), lattice.sums(logp, True, backward=True)
+        return np.exp(ahead[lattice.begin] + logp + behind[lattice.end] - behind[last])
+    weight = np.exp(logp) * PER_BYTE ** lattice.length
+    ahead, behind = lattice.sums(weight, False), lattice.sums(weight, False, backward=True)
+    return ahead[lattice.begin] * weight * behind[lattice.end] / np.maximum(behind[last], TINY)
 
 
 def expected(words: list[str], times: np.ndarray, lang: np.ndarray, vocabulary: Vocabulary, logp: np.ndarray) -> np.ndarray:
     """Posterior counts of every piece in every language, in units, for words seen so many times in one language each."""
     counts = np.zeros(logp.shape[1] * vocabulary.size)
-    for a, b in runs(words):
-        raw, offsets = word_table(words[a:b])
-        begin, end, piece = vocabulary.matches(raw, offsets)
-        nodes = offsets + np.arange(len(offsets))
-        word = np.searchsorted(nodes, begin, "right") - 1
-        own = lang[a:b][word]
-        weight = logp[piece, own]
-        ahead, behind = sums(offsets, begin, end, weight), sums(offsets, begin, end, weight, backward=True)
-        share = np.exp(ahead[begin] + weight + behind[end] - behind[nodes[:-1]][word])
-        counts += np.bincount(own * vocabulary.size + piece, np.rint(share * times[a:b][word] / UNIT), len(counts))
+
+    def add(which: np.ndarray, lattice: Lattice, log: bool) -> None:
+        own = lang[which][lattice.word]
+        share = shares(lattice, logp[lattice.piece, own], log)
+        if not log:                              # the pieces of a sum that was too small do not fill their word
+            size = np.diff(lattice.offsets)
+            poor = ~(np.abs(np.bincount(lattice.word, share * lattice.length, len(size)) - size) < 1e-6 * size)
+            share[poor[lattice.word]] = 0.0
+            for k in which[poor].tolist():
+                add(np.array([k]), Lattice([b" " + words[k].encode()], vocabulary), True)
+        counts[:] += np.bincount(own * vocabulary.size + lattice.piece, np.rint(share * times[which][lattice.word] / UNIT), len(counts))
+    for which, lattice, log in lattices(words, vocabulary):
+        add(which, lattice, log)
     return counts.reshape(logp.shape[1], vocabulary.size)
 
 
@@ -231,7 +270,7 @@ def _round(sent):
         for batch in batches:
             rows.append(batch)
             size += batch.nbytes
-            if size > 4 * WORD_BYTES:
+            if size > 8 * WORD_BYTES:
                 add(rows)
                 rows, size = [], 0
         if rows:

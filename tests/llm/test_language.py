@@ -55,6 +55,12 @@ def test_forward_sums_and_posterior_counts_equal_all_segmentations():
         assert all(math.isclose(counts[k, i], want[k].get(x, 0), abs_tol=0.02) for i, x in enumerate(PARTS))
     long_ = language.word_scores(["a" * 40_000], vocabulary, logp)
     assert np.isfinite(long_).all()
+    # sums too small for doubles, and words too long, are taken in logarithms: the same numbers
+    tiny = np.full((len(PARTS), 1), -60.0)
+    words = ["xyxy", "x" * 20, "x" * 63, "x" * 64, "x" * 200, "the"]
+    assert np.allclose(language.word_scores(words, vocabulary, tiny)[:5, 0], [-60.0 * (len(w) + 1) for w in words[:5]], rtol=1e-12)
+    got = language.expected(words, np.ones(6), np.zeros(6, int), vocabulary, tiny) * language.UNIT
+    assert math.isclose(got[0, ord("x")], 2 + 20 + 63 + 64 + 200, rel_tol=1e-3) and math.isclose(got[0, PARTS.index(b" the")], 1, rel_tol=1e-3)
     with pytest.raises(ValueError):
         language.Vocabulary(PARTS + [b"a b"])
     with pytest.raises(ValueError):
