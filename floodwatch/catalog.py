@@ -923,6 +923,7 @@ def hold_stats(spark, d):
 
 from floodwatch.models import iforest as IFO  # noqa: E402
 from floodwatch.models import scaling as SC  # noqa: E402
+from floodwatch.models.rf import ClassTrees  # noqa: E402
 from floodwatch.plans import detect as DE  # noqa: E402
 
 FLOW_KEY = ["src_ip", "l_orderkey", "l_linenumber", "l_partkey"]
@@ -999,9 +1000,41 @@ def cascade(spark, d):
     return out.select(*FLOW_KEY, "if_score", "is_anomaly", "attack_class", "confidence")
 
 
+def fixed_classes():
+    """Three hand-written trees: two by protocol, one by packet size."""
+    by_proto = ("rf_ip_proto", 3.0, (0.9, 0.05, 0.05), ("rf_ip_proto", 10.0, (0.05, 0.85, 0.1), (0.0, 0.0, 1.0)))
+    by_size = ("rf_avg_bytes_per_pkt", 1500.0, (0.1, 0.8, 0.05), (0.7, 0.1, 0.2))
+    return ClassTrees((by_proto, by_proto, by_size))
+
+
+def fixed_models():
+    return DE.Models(fixed_forest(), fixed_classes(), 0.58, {})
+
+
+def sampled_flows(spark, d):
+    """Flow samples as a switch sends them: a third without protocol and ports, some young, some that waited too long."""
+    bare = F.col("l_partkey") % 3 == 0
+    return (counted_flows(spark, d).drop("packet_count_per_second", "byte_count_per_second", "packet_count_per_nsecond", "byte_count_per_nsecond")
+            .withColumns({"flow_duration_sec": F.col("flow_duration_sec") - 1, "wait_s": (F.col("l_orderkey") % 5).cast("double"),
+                          **{c: F.when(bare, 0).otherwise(F.col(c)).cast("long") for c in ("ip_proto", "tp_src", "tp_dst")}}))
+
+
+def known_phases(spark, d):
+    return A.flows(spark, d).filter("l_partkey % 40 = 0").select("src_ip", "ts", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") % 4).cast("int").alias("phase"))
+
+
+def came_packets(spark, d):
+    return as_flow_ip(A.packets(spark, d)).withColumns({"tp_src": F.col("event_id") % 65536, "tp_dst": F.col("event_id") % 1024})
+
+
+def detection_parts(spark, d):
+    return DE.detect_parts(sampled_flows(spark, d), came_packets(spark, d), fixed_models(), order=A.FLOW_ORDER, states=known_phases(spark, d), wait="wait_s",
+                           poll_of=F.datediff("ts", F.lit("1995-01-01")).cast("long"), poll_s=0.01, tick_s=DAY, slice_s=SLICE_FLOW, unit_s=3 * DAY,
+                           flood=A.FLOOD_RULES, streak=3, low_floor=2.0, whitelist=("10.1.0.7",))
+
+
 def detections(spark, d):
-    return DE.detect(counted_flows(spark, d).drop("packet_count_per_second", "byte_count_per_second"), as_flow_ip(A.packets(spark, d)), models(spark, d),
-                     order=A.FLOW_ORDER, tick_s=DAY, slice_s=SLICE_FLOW, unit_s=DAY, flood=A.FLOOD_RULES)
+    return detection_parts(spark, d)["detections"]
 
 
 def as_flow_ip(df: DataFrame) -> DataFrame:
@@ -1012,7 +1045,25 @@ def as_flow_ip(df: DataFrame) -> DataFrame:
 
 @query
 def detect(spark, d):
-    return detections(spark, d).select(*FLOW_KEY, "ts", "flagged", "is_anomaly", "attack_class", "confidence", "priority", "logged_priority", "tea_confidence")
+    return detections(spark, d).select(*FLOW_KEY, "ts", "flagged", "low_rate", r6("if_score"), "is_anomaly", "attack_class", r6("confidence"), "ip_proto", "disp_pakt",
+                                       r6("switch_delta_pps"), "ip_verdict", F.coalesce("phase", F.lit(-1)).alias("phase"), "tea_attack_pattern", "tea_confidence",
+                                       "tea_is_learned", "priority", "logged_priority")
+
+
+@query
+def tick_locks(spark, d):
+    """Which ticks begin with locked baselines, by given scores."""
+    r = TE.with_tick(A.results(spark, d), DAY)
+    return FU.tick_locks(r.filter("l_partkey % 50 = 0"), r.select("scope", "tick_ts"), [*A.FLOW_ORDER, "l_suppkey"], streak=3).select("tick_ts", "locked")
+
+
+@query
+def cascade_literal(spark, d):
+    """The two stages with models that SQL can follow."""
+    from floodwatch.models.rf import cascade as run
+    slow = FL.low_rate_gate(FT.rf_features(counted_flows(spark, d)), floor=2.0)
+    out = run(slow, fixed_forest(), fixed_classes(), threshold=0.58, low_rate="low_rate")
+    return out.select(*FLOW_KEY, r6("if_score"), "is_anomaly", "attack_class", r6("confidence"))
 
 
 @query

@@ -129,16 +129,24 @@ def fit_forest(normal: DataFrame, columns: Sequence[str], ids: Sequence[str], *,
     return Forest(columns, scaling, used, pick("feature"), pick("threshold"), pick("left"), pick("right"), pick("path"))
 
 
-def score_forest(df: DataFrame, forest: Forest, threshold: float, out: str = "if_score") -> DataFrame:
-    """Add the anomaly score and flag; one Arrow pass over broadcast node arrays."""
+def score_forest(df: DataFrame, forest: Forest, threshold: float, out: str = "if_score", skip: str | None = None) -> DataFrame:
+    """Add the anomaly score and flag; one Arrow pass over broadcast node arrays.
+
+    Rows whose ``skip`` column is true do not go through the trees: they are normal with score 0.
+    """
     shared = df.sparkSession.sparkContext.broadcast(forest)
+    passed = F.coalesce(F.col(skip).cast("boolean"), F.lit(False)) if skip else F.lit(False)
 
     @F.pandas_udf(T.DoubleType())
-    def score(*cols: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(matrix(cols)))
-
-    return (df.withColumn(out, score(*[F.col(c).cast("double") for c in forest.columns]))
-            .withColumn("is_anomaly", (F.col(out) >= threshold).cast("long")))
+    def score(left_out: pd.Series, *cols: pd.Series) -> pd.Series:
+        asked = ~left_out.to_numpy(bool)
+        found = np.zeros(len(asked))
+        if asked.any():
+            found[asked] = shared.value.score(matrix([c[asked] for c in cols]))
+        return pd.Series(found)
+
+    return (df.withColumn(out, score(passed, *[F.col(c).cast("double") for c in forest.columns]))
+            .withColumn("is_anomaly", F.when(passed, 0).otherwise((F.col(out) >= threshold).cast("long")).cast("long")))
 
 
 def score_quantile(normal_scores: DataFrame, q: float, column: str = "if_score") -> DataFrame:

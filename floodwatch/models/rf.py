@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodwatch import config as C
@@ -26,32 +28,50 @@ def fit_classes(labelled: DataFrame, columns: Sequence[str], label: str = "attac
                                                    maxDepth=depth, seed=seed)]).fit(labelled)
 
 
-def predict_classes(df: DataFrame, model: PipelineModel, gate: float = C.RF_CONFIDENCE_GATE) -> DataFrame:
+@dataclass(frozen=True)
+class ClassTrees:
+    """A class forest given as it stands: per tree, nodes (column, threshold, left, right) and leaves with the classes' probabilities.
+
+    A value up to the threshold goes left. A row's probabilities are the mean over the trees.
+    It is a column expression, so nothing leaves the JVM; bounded by the nodes of a forest one would write down.
+    """
+
+    trees: tuple[tuple, ...]
+
+    def probabilities(self) -> list[Column]:
+        def value(node: tuple, k: int) -> Column:
+            if isinstance(node[0], str):
+                column, threshold, left, right = node
+                return F.when(F.col(column) <= threshold, value(left, k)).otherwise(value(right, k))
+            return F.lit(float(node[k]))
+        return [reduce(Column.__add__, [value(t, k) for t in self.trees]) / float(len(self.trees)) for k in range(len(C.CLASS_NAMES))]
+
+
+def predict_classes(df: DataFrame, model: PipelineModel | ClassTrees, gate: float = C.RF_CONFIDENCE_GATE) -> DataFrame:
     """Add class and confidence; below the gate the class is Uncertain and the confidence stays."""
-    out = df
-    for stage in model.stages[1:]:
-        out = stage.transform(out)
-    out = out.withColumn("_p", vector_to_array("probability")).withColumn("confidence", F.array_max("_p"))
+    if isinstance(model, ClassTrees):
+        out = df.withColumn("_p", F.array(*model.probabilities()))
+    else:
+        out = df
+        for stage in model.stages[1:]:
+            out = stage.transform(out)
+        out = out.withColumn("_p", vector_to_array("probability"))
+    out = out.withColumn("confidence", F.array_max("_p"))
     names = F.array(*[F.lit(c) for c in C.CLASS_NAMES])
     top = F.element_at(names, F.array_position("_p", F.col("confidence")).cast("int"))
     return (out.withColumn("attack_class", gate_confidence(top, F.col("confidence"), gate))
             .drop("_p", "_vector", "rawPrediction", "probability", "prediction"))
 
 
-def cascade(flows: DataFrame, forest: Forest, classes: PipelineModel, *, threshold: float,
-            gate: float = C.RF_CONFIDENCE_GATE, low_rate: str | None = None) -> DataFrame:
-    """Score every flow and name the class of the anomalous ones.
-
-    The scores are written once, so that only the anomalous rows go through the
-    class forest and nothing upstream is repeated. A low-rate flow is normal
-    with score 0.
-    """
-    scored = score_forest(flows, forest, threshold)
-    if low_rate:
-        slow = F.coalesce(F.col(low_rate), F.lit(False))
-        scored = (scored.withColumn("if_score", F.when(slow, 0.0).otherwise(F.col("if_score")))
-                  .withColumn("is_anomaly", F.when(slow, 0).otherwise(F.col("is_anomaly")).cast("long")))
-    scored = cut(scored.drop("attack_class", "confidence"), "scores")
+def split_by_score(flows: DataFrame, forest: Forest, *, threshold: float, low_rate: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Score every flow, write the scores once, and give (anomalous, normal) flows; a low-rate flow is normal with score 0 and never scored."""
+    scored = cut(score_forest(flows.drop("attack_class", "confidence"), forest, threshold, skip=low_rate), "scores")
     hit = F.coalesce(F.col("is_anomaly") == 1, F.lit(False))
-    calm = scored.filter(~hit).withColumns({"attack_class": F.lit("Normal"), "confidence": F.lit(0.0)})
-    return predict_classes(scored.filter(hit), classes, gate).unionByName(calm)
+    return scored.filter(hit), scored.filter(~hit).withColumns({"attack_class": F.lit("Normal"), "confidence": F.lit(0.0)})
+
+
+def cascade(flows: DataFrame, forest: Forest, classes: PipelineModel | ClassTrees, *, threshold: float,
+            gate: float = C.RF_CONFIDENCE_GATE, low_rate: str | None = None) -> DataFrame:
+    """Score every flow and name the class of the anomalous ones; only those go through the class forest."""
+    hits, calm = split_by_score(flows, forest, threshold=threshold, low_rate=low_rate)
+    return predict_classes(hits, classes, gate).unionByName(calm)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from floodwatch import config as C
 from floodwatch.models.iforest import Forest, choose_threshold, fit_forest, score_forest
-from floodwatch.models.rf import cascade, fit_classes
+from floodwatch.models.rf import ClassTrees, fit_classes, predict_classes, split_by_score
 from floodwatch.models.scaling import fit_scaling
+from floodwatch.plans.slices import asof_join
 from floodwatch.plans.stage import cut
 from floodwatch.operators import (behavior, features, flows as flow_ops, fusion, ledger, lifecycle, metrics,
                                   packets as packet_ops, prefilter, reports, tea)
@@ -24,7 +25,7 @@ RF_COLUMNS = tuple(f"rf_{n}" for n in C.RF_FEATURES)
 @dataclass
 class Models:
     forest: Forest
-    classes: PipelineModel
+    classes: PipelineModel | ClassTrees
     threshold: float
     means: dict[str, float]
 
@@ -45,33 +46,81 @@ def train(normal: DataFrame, attacks: DataFrame, ids: Sequence[str], *, trees: i
     return Models(forest, fit_classes(features.rf_features(attacks), RF_COLUMNS, trees=30, seed=seed), threshold, means)
 
 
-def detect(flows: DataFrame, packets: DataFrame, models: Models, *, order: Sequence[str], history: DataFrame | None = None,
-           tick_s: float = C.TICK_S, slice_s: float = 3600.0, unit_s: float = 1.0,
-           flood: C.FloodRules = C.FloodRules(), half_life_s: float = C.HALF_LIFE_S, whitelist=C.WHITELIST) -> DataFrame:
-    """Flow samples and packets to scored, classified and prioritised results.
+def gate(flows: DataFrame, packets: DataFrame, *, order: Sequence[str], states: DataFrame | None = None, wait: str | None = None,
+         tick_s: float = C.TICK_S, slice_s: float = 3600.0, flood: C.FloodRules = C.FloodRules(), stale_s: float = C.STALE_S) -> DataFrame:
+    """Flow samples as the scorer meets them, every source still there.
 
-    ``order`` lists the columns that order a source's samples, time first.
+    Young flows go. Protocol and ports that a flow does not know come from the
+    packets (ports where the packets carry them). Added: rates, ``scope`` and ``tick_ts``, ``flagged`` (the source is in a
+    flagged episode), the source's own profile (``ip_verdict``), its ``phase`` (latest of ``states``: src_ip, ts, id, phase; else null),
+    and ``route``: score, hold or drop, by the seconds in ``wait``.
+    """
+    known = {"tp_src", "tp_dst"} <= set(packets.columns)
+    f = flow_ops.young_flow_gate(flows.filter("packet_count > 0"))
+    if "flow_count_per_src" not in f.columns:
+        f = flow_ops.flow_count_per_src(f, order)
+    f = packet_ops.resolve_addresses(f, packets, slice_s=slice_s, ports=known)
+    f = f.withColumn("ip_proto", F.col("resolved_proto"))
+    if known:
+        f = f.withColumns({own: F.coalesce(F.when(F.col(own) != 0, F.col(own)), F.col(seen)) for own, seen in (("tp_src", "port_src"), ("tp_dst", "port_dst"))})
+    f = tea.with_tick(flow_ops.flow_rates(f.drop("resolved_proto", "port_src", "port_dst")), tick_s)
+    f = fusion.attach_prefilter_flag(f, prefilter.flag_intervals(packets, flood, pop_acks=True), slice_s=slice_s)
+    f = tea.ip_profile_verdict(f, list(order), slice_s=slice_s)
+    if states is not None:
+        f = asof_join(f, states.withColumnRenamed("ts", "_since"), ["src_ip"], left_ts="ts", right_ts="_since", cols=["phase"], width_s=slice_s, right_tie="id")
+    else:
+        f = f.withColumn("phase", F.lit(None).cast("int"))
+    return flow_ops.staleness_gate(f, wait_s=wait, flagged="flagged", limit_s=stale_s) if wait else f.withColumn("route", F.lit("score"))
+
+
+def switch_statistics(gated: DataFrame, packets: DataFrame, poll_of: Column | None = None, *, poll_s: float = 1.0) -> DataFrame:
+    """Per (switch, poll) totals and packet rate; ``poll_of`` tells a packet's poll, and packets per second bound the rate from below."""
+    came = packets.select("dpid", poll_of.alias("poll_id")) if poll_of is not None else None
+    stats = flow_ops.switch_poll_stats(gated, came, poll_s)
+    stats = flow_ops.switch_delta_pps(stats, ts="poll_id", rate_in="rate_pkt_in" if came is not None else None)
+    return stats.withColumnRenamed("dominant_proto", "ip_proto")
+
+
+def detect_parts(flows: DataFrame, packets: DataFrame, models: Models, *, order: Sequence[str], history: DataFrame | None = None,
+                 states: DataFrame | None = None, wait: str | None = None, poll_of: Column | None = None, poll_s: float = 1.0,
+                 tick_s: float = C.TICK_S, slice_s: float = 3600.0, unit_s: float = 1.0, flood: C.FloodRules = C.FloodRules(),
+                 half_life_s: float = C.HALF_LIFE_S, stale_s: float = C.STALE_S, streak: int = C.UNLOCK_STREAK,
+                 low_floor: float = C.LOW_RATE_FLOOR, whitelist=C.WHITELIST) -> dict[str, DataFrame]:
+    """``detections``, ``held`` flows (flagged and stale) and the ticks' ``verdicts``.
+
+    Scores do not depend on verdicts, so the feedback is acyclic: score, tell per
+    tick whether the anomalies so far lock the baselines, then fold the ticks.
+    Three tables are written: the gated flows (read for snapshots, switches and
+    scoring), the scores, and the anomalous rows with their class; what is
+    carried and locked concerns those alone.
     """
-    f = flow_ops.flow_rates(packet_ops.filter_scoreable(flows, whitelist))
-    f = tea.with_tick(f, tick_s)
-    flags = prefilter.flag_intervals(packets, flood, pop_acks=True)
-    scored = fusion.attach_prefilter_flag(f, flags, slice_s=slice_s)
-    scored = flow_ops.low_rate_gate(scored, flagged="flagged")
-    scored = cascade(with_features(scored, models.means), models.forest, models.classes, threshold=models.threshold, low_rate="low_rate")
-    scored = scored.withColumn("pps", F.col("packet_count_per_second"))
-    scored = fusion.carry_prior_class(scored, ttl_s=C.INFERENCE_TTL_S * unit_s, slice_s=slice_s)
-    scored = (scored.withColumn("attack_class", F.col("carried_class")).withColumn("confidence", F.col("carried_confidence"))
-              .drop("carried_class", "carried_confidence"))
-    # the scan below reads its input twice; scoring runs once
-    out = fusion.confidence_lock(cut(scored, "scored"), order, slice_s=slice_s)
-    out = (out.withColumn("attack_class", F.col("locked_class")).withColumn("confidence", F.col("locked_confidence"))
-           .drop("locked_class", "locked_confidence"))
-    verdicts = tea.tea_verdict(tea.tea_snapshot(f, tick_s=tick_s))
-    out = fusion.attach_tea_by_tick(out, verdicts)
+    gated = cut(gate(flows, packets, order=order, states=states, wait=wait, tick_s=tick_s, slice_s=slice_s, flood=flood, stale_s=stale_s), "gated")
+    usable = packet_ops.filter_scoreable(gated, whitelist)
+    rows = flow_ops.low_rate_gate(usable.filter("route = 'score'"), floor=low_floor, flagged="flagged")
+    rows = features.impute_with(features.if_features(rows), models.means) if models.means else features.impute_nonfinite(features.if_features(rows), IF_COLUMNS)
+    rows = flow_ops.merge_switch_flow(rows, switch_statistics(gated, packets, poll_of, poll_s=poll_s))
+    rows = features.rf_features(rows).withColumn("pps", F.col("packet_count_per_second"))
+    hits, calm = split_by_score(rows, models.forest, threshold=models.threshold, low_rate="low_rate")
+    named = fusion.carry_prior_class(predict_classes(hits, models.classes), ttl_s=C.INFERENCE_TTL_S * unit_s, slice_s=slice_s)
+    named = named.drop("attack_class", "confidence").withColumnsRenamed({"carried_class": "attack_class", "carried_confidence": "confidence"})
+    named = fusion.confidence_lock(cut(named, "classes"), order, slice_s=slice_s)
+    named = named.drop("attack_class", "confidence").withColumnsRenamed({"locked_class": "attack_class", "locked_confidence": "confidence"})
+    fed = calm.filter("NOT low_rate").select("scope", "tick_ts", *order, "is_anomaly").unionByName(hits.select("scope", "tick_ts", *order, "is_anomaly"))
+    locks = fusion.tick_locks(fed, gated.select("scope", "tick_ts"), order, streak=streak)
+    verdicts = tea.tea_verdict(tea.tea_snapshot(gated, tick_s=tick_s), locks)
+    out = fusion.attach_tea_by_tick(named.unionByName(calm), verdicts, profile="ip_verdict", phase="phase")
     out = behavior.attach_reputation(out, history, half_life_s=half_life_s) if history is not None else out.withColumn("reputation", F.lit(0.0))
     out = behavior.with_priority(out)
-    return out.withColumn("logged_priority", behavior.entropy_fast_track(
-        F.col("priority"), F.coalesce("tea_attack_pattern", F.lit(False)), F.coalesce("tea_confidence", F.lit("low"))))
+    out = out.withColumn("logged_priority", behavior.entropy_fast_track(F.col("priority"), F.col("tea_attack_pattern"), F.col("tea_confidence")))
+    return {"detections": out, "held": usable.filter("route = 'hold'"), "verdicts": verdicts}
+
+
+def detect(flows: DataFrame, packets: DataFrame, models: Models, **settings) -> DataFrame:
+    """Flow samples and packets to scored, classified and prioritised results; settings as in :func:`detect_parts`.
+
+    ``order`` lists the columns that order a source's samples, time first.
+    """
+    return detect_parts(flows, packets, models, **settings)["detections"]
 
 
 def respond(detections: DataFrame, trips: DataFrame | None = None, *, rules: C.LifecycleRules = C.LifecycleRules(),

@@ -1,5 +1,5 @@
 """DuckDB texts the registered queries are checked against."""
 
-from oracles import flows, fusion, ledger, packets
+from oracles import detect, flows, fusion, ledger, packets
 
-ORACLES: dict[str, str] = {**packets.SQL, **flows.SQL, **fusion.SQL, **ledger.SQL}
+ORACLES: dict[str, str] = {**packets.SQL, **flows.SQL, **fusion.SQL, **ledger.SQL, **detect.SQL}

@@ -23,8 +23,8 @@ def snapshot(scope: str) -> str:
   FROM shaped JOIN ent USING (scope, tick_ts) JOIN share USING (scope, tick_ts) GROUP BY ALL)"""
 
 
-def learn(m: str, allowed: str) -> dict[str, str]:
-    """Next (samples, mean, var) of one baseline given value x.{m}; state w.{m}_s/_m/_v."""
+def learn(m: str, allowed: str, held: str = "false") -> dict[str, str]:
+    """Next (samples, mean, var) of one baseline given value x.{m}; state w.{m}_s/_m/_v; ``held`` stops what is learned from moving."""
     s, mean, var, x = f"w.{m}_s", f"w.{m}_m", f"w.{m}_v", f"x.{m}"
     ns = f"list_append({s}, {x})"
     # population variance of five values about their own mean
@@ -35,7 +35,7 @@ def learn(m: str, allowed: str) -> dict[str, str]:
     cv = f"({std} / (abs({mean}) + 1e-9))"
     alpha = f"(CASE WHEN {mean} = 0 THEN 0.02 ELSE least(0.10, greatest(0.02, 0.10 - {cv}*0.08)) END)"
     nm = f"({alpha}*{x} + (1-{alpha})*{mean})"
-    take = f"{allowed} AND abs({x}-{mean})/{std} < 3.0"
+    take = f"{allowed} AND NOT ({held}) AND abs({x}-{mean})/{std} < 3.0"
     return {
         f"{m}_s": f"CASE WHEN {mean} IS NOT NULL OR NOT ({allowed}) THEN {s} WHEN {ready} THEN CAST([] AS DOUBLE[]) ELSE {ns} END",
         f"{m}_m": f"CASE WHEN {mean} IS NULL THEN CASE WHEN {allowed} AND {ready} THEN list_avg({ns}) END WHEN {take} THEN {nm} ELSE {mean} END",
@@ -61,10 +61,11 @@ Z = {m: f"(CASE WHEN ready THEN (x.{m} - w.{m}_m)/{STD(m)} ELSE 0.0 END)" for m
 SIGMA = f"(CASE WHEN w.size_var_m = 0 THEN 2.5 ELSE least(2.8, greatest(2.0, 2.5 + 1.5*{STD('size_var')}/(abs(w.size_var_m)+1e-9))) END)"
 
 
-def _verdict() -> str:
+def verdict_walk(snapshots: str, locks: str = "") -> str:
+    """The verdict fold behind the CTEs of ``snapshots``; ``locks`` is a CTE lk (tick_ts, locked) that goes before it."""
     steps = {}
     for m in METRICS:
-        steps |= learn(m, "NOT w.attack")
+        steps |= learn(m, "NOT w.attack", "w.locked" if locks else "false")
     state0 = ", ".join(f"CAST([] AS DOUBLE[]) AS {m}_s, CAST(NULL AS DOUBLE) AS {m}_m, CAST(0 AS DOUBLE) AS {m}_v" for m in METRICS)
     zero = ", ".join(f"CAST(0 AS DOUBLE) AS z_{m}" for m in METRICS)
     carry = ", ".join(f"w.{k}" for k in steps)
@@ -81,13 +82,13 @@ def _verdict() -> str:
         ready AND w.z_size_var >= w.sg AS size_surge, ready AND w.z_intensity_var >= w.sg AS intensity_surge,
         CASE WHEN NOT w.attack THEN 'low' WHEN (f_size AND f_int) OR (f_share AND (f_size OR f_int OR f_proto)) THEN 'high' ELSE 'moderate' END AS confidence,
         {', '.join(f'w.z_{m}' for m in METRICS)}, CASE WHEN ready THEN w.size_var - w.p_size ELSE 0.0 END AS size_delta FROM ({attack}) w"""
-    return snapshot("'all'") + f""", x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tick_ts) AS rn FROM snap), walk AS (
+    return snapshots + locks + f""", x AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tick_ts) AS rn FROM snap{' JOIN lk USING (tick_ts)' if locks else ''}), walk AS (
   SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS tick_ts, false AS ready0, CAST(0 AS DOUBLE) AS p_size, {state0}, false AS ready, false AS attack,
     false AS cluster, false AS size_surge, false AS intensity_surge, 'low' AS confidence, {zero}, CAST(0 AS DOUBLE) AS size_delta
   UNION ALL {out})"""
 
 
-VERDICT = _verdict()
+VERDICT = verdict_walk(snapshot("'all'"))
 PROFILE = FLOWS_BASE + """, windowed AS (SELECT *, list(packet_count_per_second) OVER (PARTITION BY src_ip ORDER BY ts, l_orderkey, l_linenumber, l_partkey
     ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS a FROM flows), st AS (
   SELECT *, len(a) AS n, list_avg(a) AS m, list_sum(a) AS s, list_sum(list_transform(a, lambda v: v*log2(v))) AS vl, list_var_pop(a) AS vp FROM windowed), st2 AS (
