@@ -64,7 +64,9 @@ def gate(flows: DataFrame, packets: DataFrame, *, order: Sequence[str], states:
     if known:
         f = f.withColumns({own: F.coalesce(F.when(F.col(own) != 0, F.col(own)), F.col(seen)) for own, seen in (("tp_src", "port_src"), ("tp_dst", "port_dst"))})
     f = tea.with_tick(flow_ops.flow_rates(f.drop("resolved_proto", "port_src", "port_dst")), tick_s)
-    f = fusion.attach_prefilter_flag(f, prefilter.flag_intervals(packets, flood, pop_acks=True), slice_s=slice_s)
+    # a few rows from a long plan: written, so that the scan below, which reads both sides twice, does not repeat it
+    flags = cut(prefilter.flag_intervals(packets, flood, pop_acks=True), "flags")
+    f = fusion.attach_prefilter_flag(f, flags, slice_s=slice_s)
     f = tea.ip_profile_verdict(f, list(order), slice_s=slice_s)
     if states is not None:
         f = asof_join(f, states.withColumnRenamed("ts", "_since"), ["src_ip"], left_ts="ts", right_ts="_since", cols=["phase"], width_s=slice_s, right_tie="id")
@@ -90,7 +92,7 @@ def detect_parts(flows: DataFrame, packets: DataFrame, models: Models, *, order:
 
     Scores do not depend on verdicts, so the feedback is acyclic: score, tell per
     tick whether the anomalies so far lock the baselines, then fold the ticks.
-    Three tables are written: the gated flows (read for snapshots, switches and
+    Written are the flagged episodes, the gated flows (read for snapshots, switches and
     scoring), the scores, and the anomalous rows with their class; what is
     carried and locked concerns those alone.
     """
