@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floodwatch import config as C
 from floodwatch.operators.features import lookup
-from floodwatch.plans.slices import SLICE, micros, null_safe_join, with_slice
+from floodwatch.plans.slices import micros, null_safe_join, prefix
 
 
 def _decay(elapsed_us: Column, half_life_s: float) -> Column:
@@ -24,42 +24,34 @@ def reputation(history: DataFrame, now: Column, half_life_s: float = C.HALF_LIFE
     return history.groupBy("src_ip").agg(capped(F.sum(weight)).alias("reputation"))
 
 
-def _slice_decay(entries: Column, at_us: Column, half_life_s: float) -> Column:
-    """Sum of (time, weight) summaries decayed to ``at_us``."""
-    return F.aggregate(entries, F.lit(0.0),
-                       lambda acc, e: acc + e["w"] * _decay(at_us - e["t"], half_life_s))
+#: Half-lives in one block of time: two to this power, times any number of offences, is far inside a double's range.
+BLOCK = 500
 
 
 def _running_weight(rows: DataFrame, is_offence: Column, half_life_s: float, slice_s: float) -> DataFrame:
     """Add ``_weight``: decayed offences of the source up to each row, ties included.
 
-    Inside a slice a running sum is scaled by the decay to the slice start, so
-    exponents stay small. Earlier slices are decayed to one weight at the slice
-    start, on summary rows, so a row needs one decay. A slice more than 1100 half-lives old is exactly 0.0 in double arithmetic,
-    which bounds the slices looked at without changing any result.
+    An offence counts 2 ** (time since the block's start in half-lives), so a plain
+    running sum, decayed by the row's own time, is the decayed sum: a scan over
+    slices of any length. Blocks of 500 half-lives keep the exponents small. A block takes over
+    what the block before left; what lies further back is below 2 ** -500 of
+    an offence, which no result of four decimals can show.
     """
-    slice_s = max(slice_s, half_life_s)
-    slice_us, half_us = slice_s * 1e6, half_life_s * 1e6
-    reach = int(1100 * half_life_s / slice_s) + 1
-    rows = (with_slice(rows, "_ts", slice_s).withColumn("_us", micros("_ts"))
-            .withColumn("_off", is_offence))
-    start = F.col(SLICE) * F.lit(slice_us)
-    scaled = F.when(F.col("_off"), C.OFFENCE_WEIGHT * F.pow(F.lit(2.0), (F.col("_us") - start) / half_us)).otherwise(0.0)
-    rows = rows.withColumn("_scaled", scaled)
-    sums = rows.groupBy("src_ip", SLICE).agg(F.sum("_scaled").alias("w"))
-    before = Window.partitionBy("src_ip").orderBy(SLICE).rangeBetween(-reach, -1)
-    entry = F.struct((F.col(SLICE) * F.lit(slice_us)).alias("t"), F.col("w").alias("w"))
-    pairs = sums.select("src_ip", SLICE, F.collect_list(entry).over(before).alias("_earlier"))
-    carried = pairs.select("src_ip", SLICE, _slice_decay(F.col("_earlier"), start, half_life_s).alias("_carried"))
-    here = Window.partitionBy("src_ip", SLICE).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-    inside = F.sum("_scaled").over(here) * _decay(F.col("_us") - start, half_life_s)
-    return (null_safe_join(rows.withColumn("_inside", inside), carried, ["src_ip", SLICE])
-            .withColumn("_weight", F.col("_inside") + F.col("_carried") * _decay(F.col("_us") - start, half_life_s))
-            .drop("_scaled", "_inside", "_carried", SLICE))
+    half_us = half_life_s * 1e6
+    rows = rows.withColumn("_us", micros("_ts")).withColumn("_block", F.floor(F.col("_us") / F.lit(half_us * BLOCK)).cast("long"))
+    age = (F.col("_us") - F.col("_block") * F.lit(half_us * BLOCK)) / F.lit(half_us)
+    scaled = F.when(is_offence, C.OFFENCE_WEIGHT * F.pow(F.lit(2.0), age)).otherwise(0.0)
+    before = Window.partitionBy("src_ip").orderBy("_block")
+    left = (rows.withColumn("_scaled", scaled).groupBy("src_ip", "_block").agg(F.sum("_scaled").alias("_sum"))
+            .withColumn("_gap", (F.col("_block") - F.lag("_block").over(before)) * F.lit(float(BLOCK)))
+            .select("src_ip", "_block", F.coalesce(F.lag("_sum").over(before) * F.pow(F.lit(0.5), F.col("_gap")), F.lit(0.0)).alias("_came")))
+    out = prefix(rows, ["src_ip", "_block"], ["_us"], ts="_ts", width_s=slice_s, sums={"_inside": scaled}, ties=True)
+    return (null_safe_join(out, left, ["src_ip", "_block"])
+            .withColumn("_weight", (F.col("_inside") + F.col("_came")) * F.pow(F.lit(0.5), age)).drop("_inside", "_came", "_block"))
 
 
 def attach_reputation(rows: DataFrame, history: DataFrame, *, ts: str = "ts",
-                      half_life_s: float = C.HALF_LIFE_S, slice_s: float = 0.0) -> DataFrame:
+                      half_life_s: float = C.HALF_LIFE_S, slice_s: float = 86_400.0) -> DataFrame:
     """Reputation of each row's source from its offences at or before the row.
 
     Offences and rows are united and scanned, never paired, so the work is
@@ -74,7 +66,7 @@ def attach_reputation(rows: DataFrame, history: DataFrame, *, ts: str = "ts",
 
 
 def running_reputation(history: DataFrame, *, half_life_s: float = C.HALF_LIFE_S,
-                       slice_s: float = 0.0) -> DataFrame:
+                       slice_s: float = 86_400.0) -> DataFrame:
     """Reputation right after each offence (offences at the same time included)."""
     rows = history.withColumn("_ts", F.col("unblocked_at"))
     out = _running_weight(rows, F.lit(True), half_life_s, slice_s)

@@ -102,7 +102,7 @@ def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
            last: dict[str, Column] | None = None,
            lag: dict[str, Column] | None = None,
            sums: dict[str, Column] | None = None,
-           maxes: dict[str, Column] | None = None) -> DataFrame:
+           maxes: dict[str, Column] | None = None, ties: bool = False) -> DataFrame:
     """Prefix aggregates per key in ``order``, evaluated slice by slice.
 
     ``last``  most recent non-null value up to and including the row
@@ -110,6 +110,8 @@ def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     ``sums``  running sum including the row
     ``maxes`` running maximum including the row (any orderable type)
 
+    With ``ties`` a row sees all rows that are equal to it in ``order`` (not for ``lag``).
+
     ``df`` may already carry ``_slice``; otherwise give ``ts`` and ``width_s``.
     Rows with a null key form one group, as in a window, and rows with a null
     time come first; none is lost. The input is read twice, once for the summary: put a
@@ -147,7 +149,7 @@ def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     summary = df.groupBy(*keys, SLICE).agg(*parts).select(*keys, SLICE, *carried)
 
     here = local_window(keys, order)
-    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    upto = here.rangeBetween(Window.unboundedPreceding, 0) if ties else here.rowsBetween(Window.unboundedPreceding, 0)
     out = null_safe_join(df, summary, [*keys, SLICE])
     for name in last:
         out = out.withColumn(name, F.coalesce(

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import json
 
 import pytest
@@ -36,16 +37,20 @@ def test_feed_dedupe_force(spark):
     assert sorted(r["id"] for r in kept.collect()) == [0, 2, 4]     # the forced row restarts the five seconds
 
 
-def test_ttl_dedupe_stream(spark, tmp_path):
+def test_ttl_dedupe_stream_in_any_order(spark, tmp_path):
+    """Files arrive out of order; rows far ahead let the watermark pass all others; one far behind (31.5) is dropped by Spark, which counts it, while one
+    that comes before anything later was applied (30.5) still takes its place."""
     from floodwatch.streaming.jobs import ttl_dedupe_stream
-    df = events(spark, at(0, 5, 9.9, 10.1, 12, 20.2, 50, 55))
-    for i, cond in enumerate(["id < 3", "id >= 3 AND id < 6", "id >= 6"]):
+    df = events(spark, at(0, 5, 9.9, 10.1, 12, 20.2, 50, 55, 3600, 30.5, 31.5, 7200))
+    for i, cond in enumerate(["id IN (4, 6, 1)", "id IN (7, 0, 5)", "id IN (2, 3)", "id = 8", "id = 9", "id = 11", "id = 10"]):
         df.filter(cond).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
     stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")))
     q = (ttl_dedupe_stream(stream, delay="1 minute").writeStream.format("memory").queryName("dedupe").option("checkpointLocation", str(tmp_path / "cp"))
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    assert sorted(r["id"] for r in spark.table("dedupe").collect()) == sorted(r["id"] for r in L.ttl_dedupe(df).collect())
+    want = sorted(r["id"] for r in L.ttl_dedupe(df.filter("id <= 9")).collect())
+    assert sorted(r["id"] for r in spark.table("dedupe").collect()) == want and len(want) > 3
+    assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) == 1
 
 
 def test_traffic_summary_stream(spark, tmp_path):
@@ -78,6 +83,23 @@ def test_reputation_over_many_half_lives(spark):
         assert out[i]["reputation"] == pytest.approx(min(10.0, sum(2.0 * 0.5 ** k for k in range(min(i + 1, 60)))), abs=1e-4)
 
 
+@pytest.mark.parametrize("slice_s", [3600.0, 86_400.0, 40 * 86_400.0])
+def test_reputation_of_a_hot_source(spark, slice_s):
+    """A third of all offences are one source's, over years with gaps and equal times; slices of any length give the direct sum."""
+    rng = random.Random(4)
+    times = {"hot": sorted(rng.choice([0, 1, 600, 601, 1400]) * 86_400 + rng.randrange(0, 3 * 86_400, 1800) for _ in range(300)),
+             **{f"s{k}": sorted(rng.randrange(0, 900 * 86_400, 1800) for _ in range(6)) for k in range(100)}}
+    h = spark.createDataFrame([(k, T0 + dt.timedelta(seconds=t)) for k, ts in times.items() for t in ts], "src_ip string, unblocked_at timestamp")
+    asked = spark.createDataFrame([(k, T0 + dt.timedelta(seconds=rng.randrange(0, 1500 * 86_400, 900))) for k in times for _ in range(3)], "src_ip string, ts timestamp")
+
+    def direct(src, at):
+        return min(10.0, round(sum(2.0 * 0.5 ** ((at - t) / 86_400) for t in times[src] if t <= at), 4))
+    for out, at in ((B.running_reputation(h, slice_s=slice_s), "unblocked_at"), (B.attach_reputation(asked, h, slice_s=slice_s), "ts")):
+        rows = out.collect()
+        assert len(rows) in (len(asked.collect()), 900)
+        assert all(abs(r["reputation"] - direct(r["src_ip"], (r[at] - T0).total_seconds())) < 1.5e-4 for r in rows)
+
+
 @pytest.mark.parametrize("score,conf,klass,pps,rep,want", [
     (0.45, 1.0, "Uncertain", 10.0, 0.0, "Medium"), (0.4499, 1.0, "Uncertain", 10.0, 0.0, "Low"),
     (0.65, 1.0, "Uncertain", 10.0, 0.0, "High"), (0.85, 1.0, "Uncertain", 0.0, 0.0, "Critical"),

@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from floodwatch import config as C
 from floodwatch.operators import lifecycle as L
 from tests import lifecycle_model as M
@@ -188,21 +190,28 @@ def test_compaction_changes_nothing(spark, many):
         assert merged(compacted.get(src, [])) == merged(model)
 
 
-def test_stream_equals_batch(spark, many, tmp_path):
+def test_shuffled_stream_equals_batch(spark, many, tmp_path):
+    """Events come in any order within the watermark's delay; a closing event of another source lets the watermark pass all of them."""
     from floodwatch.streaming.jobs import lifecycle_stream
     _, df = many
     parts = tmp_path / "events"
-    cut = df.approxQuantile("us", [0.3, 0.6], 0.0)
-    for i, cond in enumerate([f"us <= {cut[0]}", f"us > {cut[0]} AND us <= {cut[1]}", f"us > {cut[1]}"]):
-        df.filter(cond).coalesce(1).write.parquet(str(parts / f"p{i}"))
+    for i in range(3):
+        df.filter(F.pmod(F.hash("us", "id"), F.lit(3)) == i).coalesce(1).write.parquet(str(parts / f"p{i}"))
+    end = df.agg(F.max("us")).first()[0]
+    last = df.limit(1).withColumns({"src_ip": F.lit("closing"), "us": F.lit(end + 3 * 86_400_000_000), "kind": F.lit("trip"), "rank": F.lit(1), "id": F.lit(-1).cast("long")})
+    last.coalesce(1).write.parquet(str(parts / "p8"))
+    behind = df.limit(1).withColumns({"src_ip": F.lit("closing"), "us": F.lit(end).cast("long"), "kind": F.lit("trip"), "rank": F.lit(1), "id": F.lit(-2).cast("long")})
+    behind.coalesce(1).write.parquet(str(parts / "p9"))
     stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
               .parquet(str(parts)))
     out = lifecycle_stream(stream, delay="1 day")
     q = (out.writeStream.format("memory").queryName("life").option("checkpointLocation", str(tmp_path / "cp"))
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    batch = collected(L.mitigation_lifecycle(df, C.LifecycleRules(), compact=False))
-    assert collected(spark.table("life")) == batch
+    whole = spark.table("life").filter("src_ip <> 'closing'")
+    mark = end + 2 * 86_400_000_000
+    batch = L.mitigation_lifecycle(df, C.LifecycleRules(as_of=mark / 1e6), compact=False).filter(f"row <> 'state' AND us < {mark}")
+    assert collected(whole) == collected(batch)
 
 
 def test_views(spark, many):
