@@ -7,7 +7,7 @@ per tag is
 
 where C are the characters below the node, T its tags, L the characters inside
 links, N = C - L, and zero counts are taken as one. A node's score is the sum of
-its children's densities. The chosen node is the one with the largest sum. The
+its children's densities, phrases aside. The chosen node is the one with the largest sum. The
 threshold is the smallest density among the nodes from the body down to it. Of
 every node that reaches the threshold, anywhere on the page, the subtree with the
 largest sum is main content. As the logarithm grows with a node's size, a shorter
@@ -30,7 +30,7 @@ from .common import pieces, schema_with, with_columns
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes xmp svg math select".split())
 BLOCKS = frozenset(("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                     "header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption").split())
 DROPPED = frozenset("nav aside footer form button input label menu dialog object canvas audio video".split())
@@ -38,14 +38,20 @@ CLOSES_P = BLOCKS - {"html", "body", "option"}
 #: A new one of these ends an open one of the same set.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = frozenset("ul ol dl table html body td th article section div".split())
-#: Words in class, id or role that name something other than the article.
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|comments?|consent|disqus|footer|menu|nav\w*|newsletter|notices?|"
-                   r"popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|complementary|contentinfo|search|replies|reactions)(?:$|[\s_-])", re.I)
-#: The same outside the article; inside it such a part holds its title.
-HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+# Words in class, id or role that name something other than the article, and words that say nothing beside them.
+OTHER = frozenset(("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments cookie cookies complementary consent contentinfo disqus "
+                   "footer masthead menu nav navbar navigation newsletter notice popup promo promotion promotions reactions related replies search share sharing sidebar social sponsor sponsored "
+                   "subscribe toolbar").split())
+NEUTRAL = frozenset(("area articles bar block bottom box button buttons container content form global group header icons inner items left links list main media outer page pages "
+                     "panel posts primary right row secondary section signup site slot stories strip text thread top unit widget wrap wrapper").split())
+#: Only these are whole parts of a page; in a paragraph, heading or phrase a name is the author's, unless it says advertisement.
+PARTS = frozenset("div section ul ol dl table tbody tr td nav header figure center fieldset iframe details".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements sponsored".split())
+#: Heads of the page; inside the article such a part holds its title.
+HEADS = frozenset("header masthead".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -59,6 +65,35 @@ class Node:
         self.density = self.total = 0.0
 
 
+def attributes_of(tag: str) -> dict[str, str]:
+    """Attributes by name, the first of a name; one without a value is empty."""
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(tag):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(attributes.get("style", "")))
+
+
+def names_of(attributes: dict[str, str]) -> list[list[str]]:
+    """The words of each name in class, id and role; numbers count for nothing."""
+    names = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split()
+    return [[w for w in re.split("[-_]+", n) if w and not w.isdigit()] for n in names]
+
+
+def foreign(tag: str, names: list[list[str]], inside: bool) -> bool:
+    """Is this part of the page, by its names, something other than the article?
+
+    A name counts whole: each of its words must say so or say nothing, and one must say so
+    ("related-posts" is foreign, "related-work" is not). ``inside`` an article or main element
+    a header holds its title.
+    """
+    other = ADVERTS if tag not in PARTS else OTHER if inside else OTHER | HEADS
+    return any(words and not other.isdisjoint(words) and all(w in other or w in NEUTRAL for w in words) for words in names)
+
+
 def parse(page: str) -> Node:
     """A forgiving tree: unclosed paragraphs and items end where HTML ends them, stray end tags are skipped."""
     root = node = Node("html", None, False)
@@ -96,10 +131,9 @@ def parse(page: str) -> Node:
             node = _close(node, {"p"}, BARRIERS, opened)
         if name in SIBLINGS:
             node = _close(node, SIBLINGS[name], BARRIERS - {"td", "th"} if name in ("tr", "td", "th") else BARRIERS, opened)
-        named = [a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)] if attributes else []
-        drop = name in DROPPED or any(NAMED.search(x) for x in named) or bool(attributes) and bool(HIDDEN.search(attributes))
-        if not opened.get("article") and not opened.get("main") and (name == "header" or any(HEADS.search(x) for x in named)):
-            drop = True
+        found = attributes_of(attributes) if attributes else {}
+        inside = bool(opened.get("article") or opened.get("main"))
+        drop = name in DROPPED or name in ("header", "noscript") and not inside or bool(found) and (hidden(found) or foreign(name, names_of(found), inside))
         child = Node(name, node, drop and name not in ("body", "article", "main"))
         node.children.append(child)
         if name not in VOID and not attributes.endswith("/"):
@@ -164,8 +198,8 @@ def measure(root: Node) -> list[Node]:
         n = max(1, c - node.links)
         base = math.log(c / n * l + ratio * c + math.e)
         node.density = c / t * max(0.0, math.log(max(1.0, c / l * t / k)) / max(1e-9, math.log(max(base, 1.0 + 1e-9)))) if base > 1 else c / t
-    for node in nodes:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.drop)
+    for node in reversed(nodes):  # a phrase is part of its block's text, unless it holds blocks itself
+        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.drop and (c.tag in BLOCKS or c.total > 0))
     return nodes
 
 
