@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -188,7 +189,9 @@ def switch_poll_stats(spark, d):
 
 @query
 def switch_delta_pps(spark, d):
-    out = FL.switch_delta_pps(poll_stats(spark, d), ts="poll_id")
+    f = A.flows(spark, d)
+    stats = FL.switch_poll_stats(f, f.filter("ip_proto = 6").select("dpid", "poll_id"), interval_s=0.01)
+    out = FL.switch_delta_pps(stats, ts="poll_id", rate_in="rate_pkt_in")
     return out.select("dpid", "poll_id", r6("switch_delta_pps"))
 
 
@@ -270,11 +273,8 @@ def ledger_features(spark, d):
 
 @query
 def live_view_features(spark, d):
-    # compared in hundredths, away from the operator's own rounding to four places
     out = FT.live_view_features(A.flows(spark, d).withColumn("flow_count_per_src", F.lit(1)))
-    cents = lambda c: F.floor(F.col(c) * 100 + 0.31).cast("long").alias(c)
-    return out.select(*FLOW_ID, *[cents(c) for c in ("flow_intensity", "flow_src_intensity", "port_entropy",
-                                                     "bytes_per_duration", "pkt_byte_rate_ratio", "pkt_size_uniformity")])
+    return out.select(*FLOW_ID, "bytes_per_packet", "flow_intensity", "flow_src_intensity", "port_entropy", "bytes_per_duration", "pkt_byte_rate_ratio", "pkt_size_uniformity")
 
 
 @query
@@ -655,6 +655,16 @@ def traffic_summary(spark, d):
     return summary(spark, d)
 
 
+@query
+def traffic_summary_with_holds(spark, d):
+    """Sources held for waiting too long, some scored later and some never, next to the decisions."""
+    late = A.flows(spark, d).filter("flow_duration_sec > 3 AND ip_proto = 6")
+    bit = lambda k: (F.col("l_orderkey") % 3 == k).cast("long")
+    holds = late.select((F.col("ts") + F.expr("make_dt_interval(cast(l_orderkey % 4 as int))")).alias("ts"), F.lit(1).cast("long").alias("held"),
+                        bit(1).alias("rescored"), bit(2).alias("expired_unscored"))
+    return ME.traffic_summary(decisions(spark, d), width_s=5 * DAY, holds=holds)
+
+
 @query
 def if_metrics(spark, d):
     return ME.binary_metrics(ME.in_days(summary(spark, d), "1996-02-01", "1999-12-31"), "if_")
@@ -1079,6 +1089,37 @@ def evaluate(spark, d):
     return out["confusion"].drop("micro")
 
 
+def _evaluated(section: str, *drop: str):
+    def run(spark, d):
+        return DE.evaluate(A.results(spark, d), A.gt_intervals(spark, d), slice_s=SLICE_FLOW, width_s=5 * DAY)[section].drop(*drop)
+    run.__name__ = f"evaluate_{section}"
+    return query(run)
+
+
+for _section in ("traffic_summary", "class_metrics", "accuracy"):
+    _evaluated(_section)
+
+
+@query
+def evaluate_decisions(spark, d):
+    out = DE.evaluate(A.results(spark, d), A.gt_intervals(spark, d), slice_s=SLICE_FLOW, width_s=5 * DAY)["decisions"]
+    return out.select(*FLOW_ID, *[c for c in ME.COUNTERS if c not in ME.HOLD_COUNTERS])
+
+
+@query
+def evaluate_if_metrics(spark, d):
+    return DE.evaluate(A.results(spark, d), A.gt_intervals(spark, d), slice_s=SLICE_FLOW, width_s=5 * DAY)["if_metrics"]
+
+
+@query
+def report_ranges(spark, d):
+    """Requests for reports, judged: some malformed, some reversed, some in the future."""
+    day = lambda shift: F.date_format(F.col("ts") + F.expr(f"make_dt_interval(cast({shift} as int))"), "yyyy-MM-dd")
+    e = A.packets(spark, d)
+    asked = e.select("event_id", F.when(F.col("event_id") % 11 == 0, F.concat(day("0"), F.lit("x"))).otherwise(day("0")).alias("start"), day("event_id % 7 - 2").alias("end"))
+    return asked.select("event_id", "start", "end", F.coalesce(RE.report_range_error(F.col("start"), F.col("end"), F.lit("2024-01-25").cast("date")), F.lit("ok")).alias("answer"))
+
+
 @query
 def incident_report(spark, d):
     hot, old = LE.split_archive(A.mitigation_events(spark, d), ntz("2024-01-20 00:00:00"))
@@ -1109,3 +1150,22 @@ def parse_telemetry(spark, d):
     text = F.to_json(F.struct("type", "ts", "dpid", "src_ip", "dst_ip", "proto", "tcp_flags_syn", "tcp_flags_ack"))
     lines = pk.select(F.explode(F.array(text, F.concat(F.lit("{"), F.col("src_ip")))).alias("value"))
     return S.split_telemetry(S.parse_telemetry(lines))["packet_in"].drop("ts")
+
+
+@query
+def parse_telemetry_types(spark, d):
+    """All four message types as JSON between malformed lines, parsed and split, with their times."""
+    from floodwatch.sources import telemetry as S
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts")
+    pk, fl = A.packets(spark, d), A.flows(spark, d)
+    texts = [
+        pk.select(F.to_json(F.struct(F.lit("packet_in").alias("type"), seconds, "dpid", "src_ip", "dst_ip", "proto", "tcp_flags_syn", "tcp_flags_ack")).alias("value")),
+        S.nest_flows(fl).select(F.to_json(F.struct(F.lit("flow_stats").alias("type"), seconds, "dpid", "src_ip", "flow_stats")).alias("value")),
+        fl.select(F.to_json(F.struct(F.lit("dropped_delta").alias("type"), seconds, "src_ip", (F.col("packet_count") - 25).alias("delta"))).alias("value")),
+        fl.groupBy("ts").agg(F.countDistinct("dpid").alias("connected")).select(F.to_json(F.struct(F.lit("switch_count").alias("type"), seconds, "connected")).alias("value"))]
+    lines = reduce(DataFrame.unionByName, texts).select(F.explode(F.array("value", F.concat(F.lit("{"), F.col("value")), F.lit('{"type": "unheard_of"}'))).alias("value"))
+    parts = S.split_telemetry(S.parse_telemetry(lines))
+    none = F.lit("-")
+    same = {"packet_in": ("src_ip", F.lit(0)), "flow_stats": ("src_ip", F.col("flow_stats.packet_count")), "dropped_delta": ("src_ip", F.col("delta")), "switch_count": (none, F.col("connected"))}
+    return reduce(DataFrame.unionByName, [parts[k].select(F.lit(k).alias("type"), F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col(src) if isinstance(src, str) else src).alias("src_ip"),
+                                                           n.cast("long").alias("n")) for k, (src, n) in same.items()])

@@ -122,13 +122,12 @@ def incident_collapse(events: DataFrame, *, slice_s: float) -> DataFrame:
 
 FEED_COLUMNS = ("timestamp", "src_ip", "predicted_class", "attack_vector", "confidence", "priority",
                 "action_taken", "event_type", "reason", "session_id")
-FEED_LIMIT = 500   # fixed value: largest page of the event feed
 
 
 def recent_events(events: DataFrame, limit: int = 100, since: Column | None = None) -> DataFrame:
-    """Newest rows strictly after ``since``, oldest first; a distributed top-k."""
+    """The newest ``limit`` rows strictly after ``since``, oldest first; a distributed top-k. Pages of the feed ask for up to 500."""
     rows = events.filter(F.col("timestamp") > since) if since is not None else events
-    newest = rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(min(limit, FEED_LIMIT))
+    newest = rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit)
     out = newest.withColumn("confidence", F.coalesce(format_percent(F.col("confidence")), F.lit("---")))
     return out.orderBy("timestamp", "id").select("id", *FEED_COLUMNS)
 

@@ -626,3 +626,9 @@ def live_states(rows: DataFrame) -> DataFrame:
 def hold_stats(rows: DataFrame) -> DataFrame:
     n = lambda k: F.coalesce(F.sum(F.when(F.col("hold_outcome") == k, F.col("hold_count"))), F.lit(0)).alias(k)
     return rows.agg(n("held"), n("rescored"), n("expired_unscored"))
+
+
+def hold_outcomes(rows: DataFrame) -> DataFrame:
+    """Holds, their re-scorings and expiries as counters at their own times, for the traffic summary."""
+    n = lambda k: F.when(F.col("hold_outcome") == k, F.col("hold_count")).otherwise(0).cast("long").alias(k)
+    return rows.filter(F.col("hold_outcome").isNotNull()).select(when().alias("ts"), n("held"), n("rescored"), n("expired_unscored"))

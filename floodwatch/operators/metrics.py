@@ -30,11 +30,22 @@ def window_start(ts: str, width_s: float, ntz: bool = True) -> Column:
     return start.cast("timestamp_ntz") if ntz else start
 
 
-def traffic_summary(decisions: DataFrame, *, ts: str = "ts", width_s: float = 5.0) -> DataFrame:
-    """Sums of the counters per flush window; windows of zeros are not written."""
+HOLD_COUNTERS = ("held", "rescored", "expired_unscored")
+
+
+def traffic_summary(decisions: DataFrame, *, ts: str = "ts", width_s: float = 5.0, holds: DataFrame | None = None) -> DataFrame:
+    """Sums of the counters per flush window; windows of zeros are not written.
+
+    ``holds`` are outcomes of held sources (``ts`` and the counters held, rescored and expired_unscored), as
+    :func:`floodwatch.operators.lifecycle.hold_outcomes` gives them; they fall into the windows of their own time.
+    """
     have = set(decisions.columns)
     ntz = dict(decisions.dtypes)[ts] == "timestamp_ntz"
-    sums = [F.sum(c if c in have else F.lit(0)).cast("long").alias(c) for c in COUNTERS]
+    if holds is not None:
+        outcomes = holds.select(F.col("ts").cast(dict(decisions.dtypes)[ts]).alias(ts), *HOLD_COUNTERS)
+        decisions = decisions.select(ts, *[c for c in COUNTERS if c in have and c not in HOLD_COUNTERS]).unionByName(outcomes, allowMissingColumns=True)
+        have |= set(HOLD_COUNTERS)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in have else F.lit(0).cast("long").alias(c) for c in COUNTERS]
     out = decisions.groupBy(window_start(ts, width_s, ntz).alias("timestamp")).agg(*sums)
     any_count = F.greatest(*[F.col(c) for c in COUNTERS])
     return out.filter(any_count > 0)

@@ -29,6 +29,13 @@ def validate_report_range(start: str, end: str, today: dt.date | None = None) ->
     return start, end
 
 
+def report_range_error(start: Column, end: Column, today: Column) -> Column:
+    """The same rule for columns of dates as text: the reason why a request is refused, or null."""
+    a, b = (F.when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(c, "yyyy-MM-dd")) for c in (start, end))
+    return (F.when(a.isNull() | b.isNull(), "Invalid date format. Use YYYY-MM-DD.").when(b < a, "End date must be >= start date.")
+            .when(b > today, "End date cannot be in the future."))
+
+
 def latest_by(df: DataFrame, order: list[str], cols: list[str]) -> DataFrame:
     return df.groupBy("src_ip").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r")).select("src_ip", "r.*")
 

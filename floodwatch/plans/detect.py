@@ -15,6 +15,7 @@ from floodwatch.models.rf import ClassTrees, fit_classes, predict_classes, split
 from floodwatch.models.scaling import fit_scaling
 from floodwatch.plans.slices import asof_join
 from floodwatch.plans.stage import cut
+from floodwatch.sources.telemetry import load_contract
 from floodwatch.operators import (behavior, features, flows as flow_ops, fusion, ledger, lifecycle, metrics,
                                   packets as packet_ops, prefilter, reports, tea)
 
@@ -28,6 +29,15 @@ class Models:
     classes: PipelineModel | ClassTrees
     threshold: float
     means: dict[str, float]
+    gate: float = C.RF_CONFIDENCE_GATE
+
+
+def check_contract(contract: dict) -> dict:
+    """The contract a model is fitted to; its features must be the ones computed here, in this order."""
+    for names, ours in (("if_features", C.IF_FEATURES), ("rf_features", C.RF_FEATURES), ("class_names", C.CLASS_NAMES)):
+        if list(contract[names]) != list(ours):
+            raise ValueError(f"{names} of the contract are not those computed here")
+    return contract
 
 
 def with_features(flows: DataFrame, means: dict[str, float] | None = None) -> DataFrame:
@@ -37,13 +47,17 @@ def with_features(flows: DataFrame, means: dict[str, float] | None = None) -> Da
 
 
 def train(normal: DataFrame, attacks: DataFrame, ids: Sequence[str], *, trees: int = 100, sample: int = 256,
-          quantile: float = 0.99, seed: int = 7) -> Models:
-    """Fit scaling and forest on normal flows, classes on labelled attacks, threshold on normal scores."""
+          quantile: float = 0.99, seed: int = 7, contract: str | None = None) -> Models:
+    """Fit scaling and forest on normal flows, classes on labelled attacks, threshold on normal scores.
+
+    ``contract`` names a JSON file of feature order, classes, threshold and gate; its threshold and gate are then used.
+    """
+    terms = check_contract(load_contract(contract))
     means = features.fit_means(features.if_features(normal), IF_COLUMNS)
     calm = cut(with_features(normal, means), "calm")   # read by scaling, sampling and the threshold
     forest = fit_forest(calm, IF_COLUMNS, ids, trees=trees, sample=sample, seed=seed, scaling=fit_scaling(calm, IF_COLUMNS))
-    threshold = choose_threshold(score_forest(calm, forest, 1.0), quantile)
-    return Models(forest, fit_classes(features.rf_features(attacks), RF_COLUMNS, trees=30, seed=seed), threshold, means)
+    threshold = float(terms["threshold"]) if contract else choose_threshold(score_forest(calm, forest, 1.0), quantile)
+    return Models(forest, fit_classes(features.rf_features(attacks), RF_COLUMNS, trees=30, seed=seed), threshold, means, float(terms["confidence_gate"]))
 
 
 def gate(flows: DataFrame, packets: DataFrame, *, order: Sequence[str], states: DataFrame | None = None, wait: str | None = None,
@@ -103,7 +117,7 @@ def detect_parts(flows: DataFrame, packets: DataFrame, models: Models, *, order:
     rows = flow_ops.merge_switch_flow(rows, switch_statistics(gated, packets, poll_of, poll_s=poll_s))
     rows = features.rf_features(rows).withColumn("pps", F.col("packet_count_per_second"))
     hits, calm = split_by_score(rows, models.forest, threshold=models.threshold, low_rate="low_rate")
-    named = fusion.carry_prior_class(predict_classes(hits, models.classes), ttl_s=C.INFERENCE_TTL_S * unit_s, slice_s=slice_s)
+    named = fusion.carry_prior_class(predict_classes(hits, models.classes, models.gate), ttl_s=C.INFERENCE_TTL_S * unit_s, slice_s=slice_s)
     named = named.drop("attack_class", "confidence").withColumnsRenamed({"carried_class": "attack_class", "carried_confidence": "confidence"})
     named = fusion.confidence_lock(cut(named, "classes"), order, slice_s=slice_s)
     named = named.drop("attack_class", "confidence").withColumnsRenamed({"locked_class": "attack_class", "locked_confidence": "confidence"})

@@ -44,7 +44,7 @@ def parse_telemetry(raw: DataFrame, column: str = "value") -> DataFrame:
     """JSON text to typed messages; malformed lines and unknown types are dropped."""
     parsed = raw.select(F.from_json(F.col(column).cast("string"), MESSAGE, {"mode": "PERMISSIVE"}).alias("m"))
     return (parsed.select("m.*").filter(F.col("type").isin(*KINDS))
-            .withColumn("ts", F.timestamp_micros((F.col("ts") * 1e6).cast("long"))))
+            .withColumn("ts", F.timestamp_micros(F.rint(F.col("ts") * 1e6).cast("long"))))
 
 
 def split_telemetry(messages: DataFrame) -> dict[str, DataFrame]:

@@ -100,9 +100,10 @@ SQL = {
     "flow_count_per_src": query(COUNTED_FLOWS, f"SELECT {ID}, flow_count_per_src FROM cflows"),
     "switch_poll_stats": query(POLLS + """, came AS (SELECT dpid, poll_id, count(*) / 86400.0::DOUBLE AS rate_pkt_in FROM flows
         WHERE ip_proto = 6 GROUP BY ALL)""", "SELECT polls.*, round(coalesce(rate_pkt_in, 0), 9) AS rate_pkt_in FROM polls LEFT JOIN came USING (dpid, poll_id)"),
-    "switch_delta_pps": query(POLLS, """SELECT dpid, poll_id, round(CASE WHEN lag(disp_pakt) OVER w IS NULL THEN 0.0 ELSE
-        greatest(greatest(disp_pakt - lag(disp_pakt) OVER w, 0) / greatest(poll_id - lag(poll_id) OVER w, 0.1::DOUBLE), 0.0) END, 6) AS switch_delta_pps
-        FROM polls WINDOW w AS (PARTITION BY dpid ORDER BY poll_id)"""),
+    "switch_delta_pps": query(POLLS + ", came AS (SELECT dpid, poll_id, count(*) / 0.01::DOUBLE AS rate FROM flows WHERE ip_proto = 6 GROUP BY ALL)",
+        """SELECT dpid, poll_id, round(CASE WHEN lag(disp_pakt) OVER w IS NULL THEN 0.0 ELSE
+        greatest(greatest(disp_pakt - lag(disp_pakt) OVER w, 0) / greatest(poll_id - lag(poll_id) OVER w, 0.1::DOUBLE), coalesce(rate, 0)) END, 6) AS switch_delta_pps
+        FROM polls LEFT JOIN came USING (dpid, poll_id) WINDOW w AS (PARTITION BY dpid ORDER BY poll_id)"""),
     "drop_delta": query(FLOWS_BASE + """, keyed AS (SELECT *, CASE WHEN poll_id % 5 < 3 THEN src_ip ELSE '__proto__' END AS drop_key
         FROM flows WHERE poll_id % 5 < 4), deltas AS (SELECT *, greatest(packet_count - lag(packet_count, 1, 0) OVER (PARTITION BY drop_key
         ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_suppkey), 0) AS delta FROM keyed)""", f"SELECT {ID}, drop_key, delta FROM deltas WHERE delta > 0"),
@@ -130,7 +131,7 @@ SQL = {
         round({PER_PACKET} / (byte_count_per_second + 1), 4) AS pkt_size_uniformity,
         round({RATIOS['flow_src_intensity']}, 4) AS flow_src_intensity, round({TOTAL_NS} / (packet_count + 1e-9) / 1e9, 6) AS duration_pkt_ratio_e9,
         round(packet_count / ({TOTAL_NS} + 1e-9) * 1e9, 4) AS pkt_rate_per_duration_e9 FROM cflows"""),
-    "live_view_features": query(FLOWS_BASE, f"""SELECT {ID}, """ + ", ".join(f"CAST(floor(round({e}, 4)*100 + 0.31) AS BIGINT) AS {n}" for n, e in {
+    "live_view_features": query(FLOWS_BASE, f"""SELECT {ID}, round({PER_PACKET}, 1) AS bytes_per_packet, """ + ", ".join(f"CAST(round(CAST({e} AS DECIMAL(38, 13)), 4) AS DOUBLE) AS {n}" for n, e in {
         "flow_intensity": log('packet_count*byte_count_per_second'), "flow_src_intensity": log('packet_count*packet_count_per_second'),
         "port_entropy": "tp_src/(tp_dst+1)", "bytes_per_duration": "byte_count/greatest(flow_duration_sec, 1)",
         "pkt_byte_rate_ratio": "packet_count_per_second/byte_count_per_second",

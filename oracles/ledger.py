@@ -128,6 +128,11 @@ SQL = {
         FROM results {LAST} LIMIT 200"""),
     "active_list": query(STATES, """SELECT src_ip, phase, round(if_score, 6) AS if_score, CASE WHEN phase = 0 THEN 'Low' ELSE 'High' END AS priority FROM states WHERE NOT deleted"""),
     "traffic_summary": query(SUMMARY, "SELECT * FROM summary"),
+    "traffic_summary_with_holds": query(SUMMARY + """, outcomes AS (SELECT make_timestamp(CAST(epoch_us(ts + to_days(CAST(l_orderkey % 4 AS INTEGER))) // 432000000000 * 432000000000 AS BIGINT)) AS timestamp,
+        count(*) AS held, count(CASE WHEN l_orderkey % 3 = 1 THEN 1 END) AS rescored, count(CASE WHEN l_orderkey % 3 = 2 THEN 1 END) AS expired_unscored
+        FROM flows WHERE flow_duration_sec > 3 AND ip_proto = 6 GROUP BY 1)""",
+        """SELECT coalesce(s.timestamp, o.timestamp) AS timestamp, coalesce(COLUMNS(s.* EXCLUDE (timestamp, held, rescored, expired_unscored)), 0), coalesce(o.held, 0) AS held, coalesce(o.rescored, 0) AS rescored,
+        coalesce(o.expired_unscored, 0) AS expired_unscored FROM summary s FULL JOIN outcomes o ON s.timestamp = o.timestamp"""),
     "if_metrics": binary("if_"),
     "ml_metrics": binary(""),
     "class_metrics": query(SUMMARY + ", s AS (" + " UNION ALL ".join(
@@ -217,3 +222,15 @@ SQL |= {
     "guard_transitions": query(GUARD, """SELECT controller, id, tier, streak AS consecutive, delay AS throttle_s, installed IS NOT NULL AS rules_active, command FROM walk WHERE rn > 0""", True),
     "choose_threshold": query(RESULTS, "SELECT round(quantile_disc(if_score, 0.95), 6) AS threshold FROM results WHERE is_anomaly = 0"),
 }
+
+SQL |= {
+    "evaluate_traffic_summary": SQL["traffic_summary"], "evaluate_class_metrics": SQL["class_metrics"], "evaluate_accuracy": SQL["model_accuracy"],
+    "evaluate_if_metrics": SQL["if_metrics"].replace("WHERE timestamp >= TIMESTAMP '1996-02-01' AND timestamp <= TIMESTAMP '1999-12-31 23:59:59'", ""),
+    "report_ranges": query(PACKETS + """, asked AS (SELECT event_id, strftime(ts, '%Y-%m-%d') || CASE WHEN event_id % 11 = 0 THEN 'x' ELSE '' END AS start,
+        strftime(ts + to_days(CAST(event_id % 7 - 2 AS INTEGER)), '%Y-%m-%d') AS "end" FROM packets)""",
+        """SELECT event_id, start, "end", CASE WHEN length(start) <> 10 THEN 'Invalid date format. Use YYYY-MM-DD.' WHEN "end" < start THEN 'End date must be >= start date.'
+        WHEN "end" > '2024-01-25' THEN 'End date cannot be in the future.' ELSE 'ok' END AS answer FROM asked"""),
+    "parse_telemetry_types": query(PACKETS + ", " + FLOWS_BASE, """SELECT 'packet_in' AS type, ts, src_ip, CAST(0 AS BIGINT) AS n FROM packets
+        UNION ALL SELECT 'flow_stats', ts, src_ip, packet_count FROM flows UNION ALL SELECT 'dropped_delta', ts, src_ip, packet_count - 25 FROM flows WHERE packet_count > 25
+        UNION ALL SELECT 'switch_count', ts, '-', count(DISTINCT dpid) FROM flows GROUP BY ts"""),
+}
