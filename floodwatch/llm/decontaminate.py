@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, pieces, ranges_of, schema_with, with_columns
+from .common import buffer_of, pieces, put_back, ranges_of, schema_with, set_aside, with_columns
 
 #: Text bytes of the benchmark that are sent to the tasks at once.
 BLOCK_BYTES = 4 << 20
@@ -268,9 +268,10 @@ def _step(sent, text: str, window: int):
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Keep the rows of ``docs`` in which no window of the benchmark occurs."""
+    """Keep the rows of ``docs`` in which no window of the benchmark occurs; own columns of the names made on the way stay as they are."""
     columns = docs.columns
-    return find_matches(docs, benchmark, **options).filter(F.size("hit_words") == 0).select(*columns)
+    docs, back = set_aside(docs, *MADE)
+    return put_back(find_matches(docs, benchmark, **options).filter(F.size("hit_words") == 0).drop(*MADE), back).select(*columns)
 
 
 def digests() -> dict:

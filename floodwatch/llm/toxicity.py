@@ -39,7 +39,7 @@ from .decontaminate import words_of
 #: Hashed entries for words that no example has.
 OTHERS = 1 << 20
 #: Chi-square that doubles a word's weight.
-CHI = 4.0
+CHI = 16.0
 #: Weight of the base rate beside the neighbours' votes.
 PRIOR = 0.05
 EVIDENCE = 3
@@ -204,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     ``learnable`` is a condition on ``labels`` rows. Labels of a row that is
     labelled twice count by their largest value; null labels and ids are no
-    labels. Without any toxic or any clean label every score is the base rate.
+    labels. Of several texts of one id the first in order is the example. Without any toxic or any clean label every score is the base rate.
     """
     spark = docs.sparkSession
     rows = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")) if learnable is None else
@@ -222,7 +222,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     sampled = [i for y in (1, 0) for i in [i for i, label_ in ids if label_ == y][:2 * indexed]]  # these calibrate
     kind = own.schema["_id"].dataType
     chosen = spark.createDataFrame([(i, i in some) for some in [set(examples)] for i in sampled], f"_id {kind.simpleString()}, _example boolean")
-    own_chosen = own.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
+    # an id with several texts is taken with the first of them in order, so that every run takes the same
+    own_chosen = own.join(F.broadcast(chosen), "_id").groupBy("_id", "_example").agg(F.max("_label").alias("_label"), F.min("_text").alias("_text"))
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "_text"):
