@@ -329,6 +329,7 @@ def format_fields(spark, d):
 # --- temporal entropy analysis ----------------------------------------------
 
 from floodwatch.functions import entropy as EN  # noqa: E402
+from floodwatch.operators import fusion as FU  # noqa: E402
 from floodwatch.operators import tea as TE  # noqa: E402
 
 
@@ -388,14 +389,20 @@ def ip_trend(spark, d):
 
 @query
 def attach_tea(spark, d):
-    from floodwatch.operators import fusion as FU
     f = A.flows(spark, d).withColumn("scope", F.lit("all"))
     return FU.attach_tea(f, verdicts(spark, d), slice_s=30 * DAY).select(*FLOW_ID, "tea_attack_pattern", "tea_confidence", "tea_is_learned")
 
 
+@query
+def attach_tea_by_source(spark, d):
+    """The verdict as a source gets it: its own profile may force an attack, a ban makes it neutral."""
+    f = TE.ip_profile_verdict(A.flows(spark, d), A.FLOW_ORDER, slice_s=SLICE_FLOW).withColumns({"scope": F.lit("all"), "phase": (F.col("l_orderkey") % 5).cast("int")})
+    out = FU.attach_tea(f, verdicts(spark, d).filter("is_learned"), slice_s=30 * DAY, profile="ip_verdict", phase="phase")
+    return out.select(*FLOW_ID, "tea_attack_pattern", "tea_confidence", "tea_is_learned")
+
+
 @query
 def mitigation_advisory(spark, d):
-    from floodwatch.operators import fusion as FU
     f = TE.with_tick(A.flows(spark, d), DAY).withColumn("flagged", F.col("ip_proto") == 6)
     out = TE.mitigation_advisory(FU.attach_tea_by_tick(f, verdicts(spark, d)))
     return out.groupBy("src_ip").agg(F.count(F.when(F.col("would_block"), 1)).alias("would_block"), F.count(F.lit(1)).alias("scored"))
@@ -404,7 +411,6 @@ def mitigation_advisory(spark, d):
 # --- decision fusion --------------------------------------------------------
 
 from floodwatch.operators import behavior as BE  # noqa: E402
-from floodwatch.operators import fusion as FU  # noqa: E402
 from floodwatch.operators import ledger as LE  # noqa: E402
 from floodwatch.operators import metrics as ME  # noqa: E402
 from floodwatch.operators import reports as RE  # noqa: E402

@@ -55,13 +55,16 @@ def _settled_verdict(rows: DataFrame, profile: str | None, phase: str | None) ->
 
 
 def attach_tea(flows: DataFrame, verdicts: DataFrame, *, slice_s: float, profile: str | None = None,
-               phase: str | None = None) -> DataFrame:
+               phase: str | None = None, groups: int = 8) -> DataFrame:
     """Latest traffic verdict of the scope at or before each flow.
 
+    One scope may hold all flows, so they are dealt to ``groups`` parts, each with all verdicts.
+
     A per-source "attack" profile forces an attack pattern with moderate
     confidence; sources in phase 2 or 3 get the neutral verdict.
     """
-    out = asof_join(flows, _verdict_columns(verdicts), ["scope"], left_ts="ts", right_ts="tick_ts", cols=list(NEUTRAL), width_s=slice_s)
+    out = asof_join(flows, _verdict_columns(verdicts), ["scope"], left_ts="ts", right_ts="tick_ts", cols=list(NEUTRAL), width_s=slice_s,
+                    spread_over=groups)
     return _settled_verdict(out, profile, phase)
 
 

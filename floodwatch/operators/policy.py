@@ -14,6 +14,8 @@ PROTO_DROP, FORWARD, PERMIT = 50, 10, 5
 OUTCOME = {"block": "dropped", "quarantine": "dropped", "redirect": "redirected", "rate_limit": "limited",
            "proto_drop": "dropped", "forward": "forwarded", "permit": "forwarded"}
 PERMIT_S = 10.0
+#: Groups that each protocol's packets are dealt to.
+GROUPS = 32
 
 
 def resolve_policy(packets: DataFrame, commands: DataFrame, *, slice_s: float, unit_s: float = 1.0,
@@ -53,7 +55,7 @@ def resolve_policy(packets: DataFrame, commands: DataFrame, *, slice_s: float, u
         rule = F.when(live, kind) if rule is None else rule.when(live, kind)
     if proto_blocks is not None:
         rows = asof_join(rows, proto_blocks.withColumnRenamed("on", "_pb"), ["proto"], left_ts="ts", right_ts="ts",
-                         cols=["_pb"], width_s=slice_s)
+                         cols=["_pb"], width_s=slice_s, spread_over=GROUPS)   # a protocol has a large part of all packets and few blocks
         rule = rule.when(F.coalesce(F.col("_pb"), F.lit(False)), "proto_drop")
     fresh = F.col("_cleared").isNotNull() & (
         F.col("ts") < F.col("_cleared") + F.make_dt_interval(

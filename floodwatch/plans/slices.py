@@ -170,9 +170,13 @@ def prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
               left_ts: str, right_ts: str, cols: Sequence[str],
               width_s: float, right_tie: str | None = None,
-              inclusive: bool = True) -> DataFrame:
+              inclusive: bool = True, spread_over: int = 1) -> DataFrame:
     """Attach to each left row the latest right row at or before it, per key.
 
+    Where a few keys hold all rows (a scope, a protocol), ``spread_over`` deals each
+    key's left rows to that many groups by their contents and gives every group
+    the right rows, which must be few beside the left ones.
+
     One shuffle of the union by (keys, slice) plus a small summary; rows of the
     two sides are never paired, so a hot key costs its own rows only. Every left
     row stays; one with a null key or time has no match.
@@ -190,6 +194,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
     rhs = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(1 - side).alias("_side"),
                        F.lit(False).alias("_left"), payload.alias("_payload"),
                        F.format_string("%020d", tie.cast("long")).alias("_tie")).filter(whole)
+    if spread_over > 1:
+        plain = [f.name for f in left.schema if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType))]
+        lhs = lhs.withColumn("_group", F.pmod(F.xxhash64(*plain), F.lit(spread_over)).cast("int"))
+        rhs = rhs.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(spread_over - 1))))
+        keys.append("_group")
     rows = lhs.unionByName(rhs, allowMissingColumns=True)
     rows = prefix(rows, keys, ["_ts", "_side", "_tie"], ts="_ts", width_s=width_s,
                   last={"_match": F.col("_payload")})

@@ -143,6 +143,10 @@ SQL = {
     "attach_tea": query(VERDICT + """, v AS (SELECT tick_ts, ready, attack, confidence FROM walk WHERE rn > 0)""",
         f"""SELECT {ID}, coalesce(attack, false) AS tea_attack_pattern, coalesce(confidence, 'low') AS tea_confidence, coalesce(ready, false) AS tea_is_learned
         FROM flows f ASOF LEFT JOIN v ON f.ts >= v.tick_ts""", recursive=True),
+    "attach_tea_by_source": query(VERDICT + ", " + PROFILE.removeprefix(FLOWS_BASE + ", ") + """, v AS (SELECT tick_ts, ready, attack, confidence FROM walk WHERE rn > 0 AND ready),
+        own AS (SELECT *, l_orderkey % 5 IN (2, 3) AS banned, n >= 5 AND (trend > m*greatest(0.05, least(0.2, 0.1*(1+cv))) OR norm < greatest(0.25, least(0.55, 0.4 - cv*0.15))) AS hostile FROM st2)""",
+        f"""SELECT {ID}, NOT banned AND (hostile OR coalesce(attack, false)) AS tea_attack_pattern, CASE WHEN banned THEN 'low' WHEN hostile THEN 'moderate' ELSE coalesce(v.confidence, 'low') END AS tea_confidence,
+        NOT banned AND coalesce(ready, false) AS tea_is_learned FROM own f ASOF LEFT JOIN v ON f.ts >= v.tick_ts""", recursive=True),
     "mitigation_advisory": query(VERDICT, """SELECT src_ip, count(CASE WHEN ip_proto <> 6 AND ready AND NOT attack THEN 1 END) AS would_block, count(*) AS scored
         FROM flows JOIN walk ON ts = tick_ts GROUP BY ALL""", recursive=True),
     "ip_profile_verdict": query(PROFILE, f"""SELECT {ID}, n AS samples, CASE WHEN n < 5 THEN 'uncertain'
