@@ -172,8 +172,10 @@ class Judge:
         return self.probability(x) >= least
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = 20_000, rounds: int = 12, depth: int = 3, precision: float = 0.95) -> Judge:
-    """Fit the trees on at most ``sample`` different candidates (by features and place, in the order of a hash) and calibrate thresholds on a fourth of them.
+def learn(docs: DataFrame, text: str = "text", sample: int | None = None, rounds: int = 12, depth: int = 3, precision: float = 0.95) -> Judge:
+    """Fit the trees on all different candidates (by features and place) and calibrate thresholds on a fourth of them.
+
+    With ``sample`` at most that many are taken, in the order of a hash.
 
     A threshold is the smallest with at least ``precision`` among the held-back
     candidates of its kind. Without candidates of both labels nothing is added.
@@ -182,12 +184,14 @@ def learn(docs: DataFrame, text: str = "text", sample: int = 20_000, rounds: int
     own = add_candidates(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias(body)).filter(F.col(body).rlike("[0-9@]|at[\\])]")), body, base, found, proposed)
     rows = own.select(F.explode(found).alias("x")).select("x.*")
     rows = rows.withColumn("label", weak_label({f: F.col(f) for f in FEATURES})).withColumn("h", F.xxhash64(*FEATURES, "start", "end"))
-    rows = cut(rows.distinct().orderBy("h", *FEATURES).limit(sample), "candidates")
+    rows = rows.distinct()
+    rows = cut(rows if sample is None else rows.orderBy("h", *FEATURES).limit(sample), "candidates")
     held = F.pmod(F.col("h"), F.lit(4)) == 0
     fit, kept = rows.filter(~held), rows.filter(held)
     if fit.select("label").distinct().count() < 2:
         return Judge([], [2.0] * len(MORE))
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fit).select("features", "label").coalesce(2)
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fit).select("features", "label")
+    data = data if sample is None else data.coalesce(2)   # a bounded sample is small
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, maxMemoryInMB=64).fit(data)
     trees = []
     for line in model.toDebugString.splitlines()[1:]:
