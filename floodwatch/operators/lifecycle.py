@@ -18,12 +18,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import namedtuple
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from floodwatch import config as C
 from floodwatch.plans.slices import micros, sorted_map
@@ -566,29 +570,44 @@ def frame_of(rows: list[dict]) -> pd.DataFrame:
     return out
 
 
+Event = namedtuple("Event", EVENT_COLUMNS)
+
+
+def events_of(batch: pa.RecordBatch) -> Iterator[Event]:
+    """A batch's rows; a number that is missing is NaN, as in pandas, and other gaps are None."""
+    columns = []
+    for name in EVENT_COLUMNS:
+        values = batch.column(name)
+        number = pa.types.is_integer(values.type) or pa.types.is_floating(values.type)
+        columns.append(values.to_numpy(zero_copy_only=False).tolist() if number else values.to_pylist())
+    return map(Event._make, zip(*columns))
+
+
 def mitigation_lifecycle(events: DataFrame, rules: C.LifecycleRules = C.LifecycleRules(), *,
                          compact: bool = True) -> DataFrame:
     """Replay the lifecycle of every source; one shuffle by source after compaction."""
     rows = compact_results(events, rules) if compact else events.select(*EVENT_COLUMNS)
 
+    out_schema = to_arrow_schema(OUT_SCHEMA)
+
     def fold(batches):
         machine, current = Lifecycle(rules), None
         for batch in batches:
-            for e in batch.itertuples(index=False):
+            for e in events_of(batch):
                 if e.src_ip != current:
                     if current is not None:
                         machine.finish()
                     current, machine.m = e.src_ip, Memory(e.src_ip)
                 machine.apply(e)
             if machine.out:
-                yield frame_of(machine.out)
+                yield pa.RecordBatch.from_pylist(machine.out, schema=out_schema)
                 machine.out = []
         if current is not None:
             machine.finish()
             if machine.out:
-                yield frame_of(machine.out)
+                yield pa.RecordBatch.from_pylist(machine.out, schema=out_schema)
 
-    return sorted_map(rows, ["src_ip"], ["us", "rank", "id"], fold, OUT_SCHEMA)
+    return sorted_map(rows, ["src_ip"], ["us", "rank", "id"], fold, OUT_SCHEMA, arrow=True)
 
 
 # --- views of the output ----------------------------------------------------
