@@ -14,7 +14,7 @@ PROTO_DROP, FORWARD, PERMIT = 50, 10, 5
 OUTCOME = {"block": "dropped", "quarantine": "dropped", "redirect": "redirected", "rate_limit": "limited",
            "proto_drop": "dropped", "forward": "forwarded", "permit": "forwarded"}
 PERMIT_S = 10.0
-#: Groups that each protocol's packets are dealt to.
+#: Parts that a slice of each protocol's packets is cut into.
 GROUPS = 32
 
 
@@ -47,7 +47,7 @@ def resolve_policy(packets: DataFrame, commands: DataFrame, *, slice_s: float, u
                                                           (F.col("_ttl") * unit_s).cast("decimal(18,6)")))
         last[f"_r_{kind}"] = F.when(touches, F.struct(sets.alias("on"), expires.alias("until")))
     last["_cleared"] = F.when(a == "clear", F.col("ts"))
-    rows = prefix(both, keys, ["ts", "_side", "_tie"], ts="ts", width_s=slice_s, last=last).filter("_is_packet")
+    rows = prefix(both, keys, ["ts", "_side", "_tie"], ts="ts", width_s=slice_s, last=last, sparse=True).filter("_is_packet")
     rule: Column | None = None
     for kind in RULE_PRIORITY:   # highest first
         r = F.col(f"_r_{kind}")
@@ -55,7 +55,7 @@ def resolve_policy(packets: DataFrame, commands: DataFrame, *, slice_s: float, u
         rule = F.when(live, kind) if rule is None else rule.when(live, kind)
     if proto_blocks is not None:
         rows = asof_join(rows, proto_blocks.withColumnRenamed("on", "_pb"), ["proto"], left_ts="ts", right_ts="ts",
-                         cols=["_pb"], width_s=slice_s, spread_over=GROUPS)   # a protocol has a large part of all packets and few blocks
+                         cols=["_pb"], width_s=slice_s, spread_over=GROUPS)   # a protocol has a large part of all packets
         rule = rule.when(F.coalesce(F.col("_pb"), F.lit(False)), "proto_drop")
     fresh = F.col("_cleared").isNotNull() & (
         F.col("ts") < F.col("_cleared") + F.make_dt_interval(
