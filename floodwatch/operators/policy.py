@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodwatch.operators.features import lookup
-from floodwatch.plans.slices import asof_join, prefix
+from floodwatch.plans.slices import asof_join, micros, prefix
 
 # Rule priorities; the highest live rule of a source decides.
 RULE_PRIORITY = {"block": 100, "quarantine": 90, "redirect": 85, "rate_limit": 80}
@@ -16,6 +18,15 @@ OUTCOME = {"block": "dropped", "quarantine": "dropped", "redirect": "redirected"
 PERMIT_S = 10.0
 #: Parts that a slice of each protocol's packets is cut into.
 GROUPS = 32
+#: Last microsecond of a rule that does not end, and of one that was removed.
+ENDLESS, REMOVED = 2**63 - 1, -2**63
+
+
+def _place(ts: str, tie: str) -> Column:
+    """One number in the order of (ts, tie), nulls first: HashAggregate compares numbers in place, structs only after a sort."""
+    step, first = F.lit(Decimal(2 * 10**19)), F.lit(Decimal(-(10**19 - 1)))
+    at = F.coalesce(micros(ts).cast("decimal(19,0)"), F.lit(Decimal(-4 * 10**18)))
+    return at * step + F.coalesce(F.col(tie).cast("decimal(19,0)"), first)
 
 
 def resolve_policy(packets: DataFrame, commands: DataFrame, *, slice_s: float, unit_s: float = 1.0,
@@ -45,13 +56,14 @@ def resolve_policy(packets: DataFrame, commands: DataFrame, *, slice_s: float, u
         expires = F.when(F.col("_ttl").isNotNull() & (a == "block"),
                          F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
                                                           (F.col("_ttl") * unit_s).cast("decimal(18,6)")))
-        last[f"_r_{kind}"] = F.when(touches, F.struct(sets.alias("on"), expires.alias("until")))
+        last[f"_r_{kind}"] = F.when(touches, F.when(sets, F.coalesce(micros(expires), F.lit(ENDLESS))).otherwise(F.lit(REMOVED)))
     last["_cleared"] = F.when(a == "clear", F.col("ts"))
-    rows = prefix(both, keys, ["ts", "_side", "_tie"], ts="ts", width_s=slice_s, last=last, sparse=True).filter("_is_packet")
+    rows = prefix(both, keys, ["ts", "_side", "_tie"], ts="ts", width_s=slice_s, last=last, sparse=~F.col("_is_packet"),
+                  position=_place("ts", "_tie")).filter("_is_packet")
     rule: Column | None = None
     for kind in RULE_PRIORITY:   # highest first
         r = F.col(f"_r_{kind}")
-        live = r["on"] & (r["until"].isNull() | (F.col("ts") < r["until"]))
+        live = (r == ENDLESS) | (micros("ts") < r)
         rule = F.when(live, kind) if rule is None else rule.when(live, kind)
     if proto_blocks is not None:
         rows = asof_join(rows, proto_blocks.withColumnRenamed("on", "_pb"), ["proto"], left_ts="ts", right_ts="ts",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from floodwatch import catalog
 from floodwatch.models.rf import cascade
 from floodwatch.operators import flows as FL
+from floodwatch.operators import policy as PO
 from floodwatch.operators.packets import resolve_addresses
 from floodwatch.plans.slices import asof_join, prefix
 
@@ -90,3 +91,28 @@ def test_messages_are_parsed_once(spark, tmp_path):
     out = catalog.QUERIES["parse_telemetry_types"](spark, str(tmp_path))
     assert "from_json" not in optimized(out)
     assert {r["type"]: r["count"] for r in out.groupBy("type").count().collect()} == {"packet_in": 20, "flow_stats": 20, "dropped_delta": 14, "switch_count": 4}
+
+
+def test_few_keys_copy_no_rows(rows):
+    right = rows.select("k", F.col("ts").alias("from"), F.col("id").alias("w"))
+    out = asof_join(rows, right, ["k"], left_ts="ts", right_ts="from", cols=["w"], width_s=72000.0, right_tie="w", spread_over=8)
+    assert "Generate" not in optimized(out) and "xxhash64" not in optimized(out)
+    known = [r for r in rows.collect() if r.k is not None]
+    for r in out.collect():
+        before = [(x.ts, x.id) for x in known if x.k == r.k and x.ts <= r.ts]
+        assert r.w == (max(before)[1] if before else None)
+
+
+def test_commands_are_hashed_not_sorted_for_the_summary(spark):
+    at = lambda h: START + timedelta(hours=h)
+    packets = spark.createDataFrame([(i, "a" if i < 8 else None, at(i) if i else None, 1 + i % 2, "UDP") for i in range(10)],
+                                    "event_id long, src_ip string, ts timestamp, dpid long, proto string")
+    commands = spark.createDataFrame([(1, "a", at(0), "rate_limit", None, 1), (None, "a", at(2), "redirect", None, 2), (3, "a", at(2), "block", 7200, 2), (2, "a", at(2), "redirect", None, 2),
+                                      (5, None, None, "block", 3600, 1), (4, None, None, "quarantine", None, 2), (6, "a", at(6), "clear", None, 1)],
+                                     "id long, src_ip string, ts timestamp, action string, ttl long, target_dpid long")
+    out = PO.resolve_policy(packets, commands, slice_s=3600.0)
+    before_scan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in before_scan and "max_by" in before_scan
+    # the block of hour 2 has the highest id of its switch and removes the redirects; rules without a time come first, and one without an end holds
+    assert {r.event_id: r.rule for r in out.collect()} == {0: "forward", 1: "forward", 2: "rate_limit", 3: "block", 4: "rate_limit", 5: "forward",
+                                                          6: "permit", 7: "forward", 8: "block", 9: "quarantine"}
