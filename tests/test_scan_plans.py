@@ -10,6 +10,7 @@ from floodwatch import catalog
 from floodwatch.models.rf import cascade
 from floodwatch.operators import flows as FL
 from floodwatch.operators import policy as PO
+from floodwatch.operators import tea as TE
 from floodwatch.operators.packets import resolve_addresses
 from floodwatch.plans.slices import asof_join, prefix
 
@@ -116,3 +117,11 @@ def test_commands_are_hashed_not_sorted_for_the_summary(spark):
     # the block of hour 2 has the highest id of its switch and removes the redirects; rules without a time come first, and one without an end holds
     assert {r.event_id: r.rule for r in out.collect()} == {0: "forward", 1: "forward", 2: "rate_limit", 3: "block", 4: "rate_limit", 5: "forward",
                                                           6: "permit", 7: "forward", 8: "block", 9: "quarantine"}
+
+
+def test_sources_of_a_tick_are_not_hashed_before_the_shuffle(spark):
+    flows = spark.createDataFrame([("s%d" % (i % 5) if i % 7 else (None, "", "0.0.0.0")[i % 3], START, 6, 10, 1000, 5.0, 500.0) for i in range(70)],
+                                  "src_ip string, ts timestamp, ip_proto int, packet_count long, byte_count long, packet_count_per_second double, byte_count_per_second double")
+    out = TE.tea_snapshot(flows)
+    assert "Expand" not in optimized(out)
+    assert out.first()["unique_ips"] == 5 and out.first()["proto_entropy"] == 0.0
