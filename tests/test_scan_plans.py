@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from floodwatch import catalog
 from floodwatch.models.rf import cascade
 from floodwatch.operators import flows as FL
+from floodwatch.operators import fusion as FU
 from floodwatch.operators import policy as PO
 from floodwatch.operators import tea as TE
 from floodwatch.operators.packets import resolve_addresses
@@ -125,3 +126,25 @@ def test_sources_of_a_tick_are_not_hashed_before_the_shuffle(spark):
     out = TE.tea_snapshot(flows)
     assert "Expand" not in optimized(out)
     assert out.first()["unique_ips"] == 5 and out.first()["proto_entropy"] == 0.0
+
+
+def test_uniform_share_sends_medians_to_the_rows(spark):
+    """Medians are written, small tables: Spark's size check can see them, and the rows are shuffled only for the result."""
+    data = [("all", START + timedelta(seconds=i % 4), float(i % 13), float(i % 7)) for i in range(400)]
+    shaped = spark.createDataFrame(data, "scope string, tick_ts timestamp, size_x double, intensity_x double")
+    out = TE.uniform_share(shaped)
+    physical = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in optimized(out) and "SortMergeJoin" not in physical and physical.count("BroadcastHashJoin") == 2
+    assert out.count() == 4
+
+
+def test_verdicts_reach_flows_without_a_sort(spark):
+    flows = spark.createDataFrame([(i, "all", START + timedelta(seconds=i)) for i in range(200)], "id long, scope string, ts timestamp")
+    verdicts = spark.createDataFrame([("all", START + timedelta(seconds=10 * i), i % 2 == 0, "high", True) for i in range(3, 15)],
+                                     "scope string, tick_ts timestamp, is_attack_pattern boolean, confidence string, is_learned boolean")
+    out = FU.attach_tea(flows, verdicts, slice_s=320.0)
+    assert "Window" not in optimized(out) and "BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()
+    for r in out.collect():
+        tick = min(r["id"] // 10, 14)
+        assert (r["tea_is_learned"], r["tea_attack_pattern"]) == ((True, tick % 2 == 0) if tick >= 3 else (False, False)), r
+    assert out.count() == 200
