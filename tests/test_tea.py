@@ -147,3 +147,44 @@ def test_verdict_stream_equals_batch(spark, tmp_path):
             np.testing.assert_allclose(mine[c], want[c], atol=1e-12)
         else:
             assert mine[c].tolist() == want[c].tolist()
+
+
+def profile_with_nulls(pps):
+    """The verdict where samples may be null: they count as samples and have no value."""
+    last, mean_of = pps[-20:], lambda xs: sum(xs) / len(xs) if xs else None
+    k, a = len(last), [x for x in last if x is not None]
+    if k < 5:
+        return "uncertain"
+    if k == 20:
+        some = lambda xs: [x for x in xs if x is not None]
+        new, old, first = (mean_of(some(xs)) for xs in (last[10:], last[:10], last[:3]))
+    else:
+        new, old, first = mean_of(a[k // 2:]), mean_of(a[:k // 2]), mean_of(a[:3])
+    trend = None if new is None or old is None else new - old
+    mean, total = mean_of(a), sum(a)
+    ent = -sum(x / total * math.log2(x / total) for x in a if x > 0) if total else 0.0
+    cv = math.sqrt(max(np.var(a), 1e-9)) / (abs(mean) + 1e-9)
+    slope = mean * max(0.05, min(0.2, 0.1 * (1 + cv)))
+    if trend is not None and trend > slope or ent / math.log2(k) < max(0.25, min(0.55, 0.4 - cv * 0.15)):
+        return "attack"
+    if trend is not None and trend < -slope or first is not None and mean < (first + 1e-9) * 0.5:
+        return "normal"
+    return "uncertain"
+
+
+def test_profiles_with_null_samples(spark):
+    rng = random.Random(11)
+    series = {f"s{j}": [None if i > 1 and rng.random() < share else rng.random() * 40 for i in range(70)] for j, share in enumerate((0.0, 0.05, 0.3, 0.6, 1.0))}
+    rows = [(k, T0 + dt.timedelta(seconds=i), i, v) for k, vs in series.items() for i, v in enumerate(vs) if k != "s4" or i < 15]
+    df = spark.createDataFrame(rows, "src_ip string, ts timestamp, id long, packet_count_per_second double")
+    out = T.ip_profile_verdict(df, ["ts", "id"], slice_s=7.0).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r["ip_verdict"] == profile_with_nulls(series[r["src_ip"]][:r["id"] + 1]), (r["src_ip"], r["id"])
+        assert r["samples"] == min(20, r["id"] + 1)
+
+
+def test_profiles_add_up_rows_instead_of_frames(spark):
+    f = spark.createDataFrame([("s", T0, 1, 2.0)], "src_ip string, ts timestamp, id long, packet_count_per_second double")
+    plan = T.ip_profile_verdict(f, ["ts", "id"], slice_s=60.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" in plan and "avg(" not in plan and "var_pop(" not in plan
