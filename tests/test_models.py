@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodwatch import config as C
-from floodwatch.models.iforest import average_path, choose_threshold, draw_samples, fit_forest, score_forest
+from floodwatch.models.iforest import Forest, average_path, choose_threshold, draw_samples, fit_forest, grow, score_forest
 from floodwatch.models.rf import fit_classes, predict_classes
 from floodwatch.models.scaling import apply_scaling, fit_scaling
 
@@ -76,3 +76,29 @@ def test_classes_and_gate(spark):
     unsure = predict_classes(df.withColumnRenamed("attack_class", "truth"), model, gate=1.01)
     assert unsure.filter("attack_class <> 'Uncertain'").count() == 0
     assert unsure.agg(F.min("confidence")).first()[0] > 0
+
+
+def test_trees_give_each_row_the_path_of_its_leaf():
+    """All levels at once, for trees of any shape; a value that is no number goes right, a leaf ends the walk."""
+    rng = np.random.default_rng(5)
+    nodes = [grow(rng.random((40, 3)), np.random.default_rng([5, t]), 6) for t in range(4)] + [[(-1, 0.0, -1, -1, 3.5)]]
+    pick = lambda k: [np.array([n[k] for n in tree]) for tree in nodes]
+    model = Forest(tuple(COLS), None, 40, *[pick(k) for k in range(5)])
+    x = rng.random((200, 3))
+    x[0, 1], x[1, 2], x[2] = np.nan, np.inf, nodes[0][0][1]
+
+    def walk(tree, row):
+        at = 0
+        while tree[at][0] >= 0:
+            at = tree[at][2] if row[tree[at][0]] < tree[at][1] else tree[at][3]
+        return tree[at][4]
+
+    def depths(tree, at=0, depth=0):
+        yield depth
+        if tree[at][0] >= 0:
+            yield from depths(tree, tree[at][2], depth + 1)
+            yield from depths(tree, tree[at][3], depth + 1)
+
+    want = np.power(2.0, -np.array([sum(walk(t, r) for t in nodes) / len(nodes) for r in x]) / average_path(40))
+    np.testing.assert_allclose(model.score(x), want, rtol=1e-12)
+    assert [levels for levels, *_ in model.steps] == [max(depths(t)) for t in nodes]
