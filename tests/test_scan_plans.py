@@ -1,5 +1,7 @@
 """What the scans and plans make Spark do: shuffles, written columns, parsing."""
 
+import math
+import re
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -13,7 +15,8 @@ from floodwatch.operators import fusion as FU
 from floodwatch.operators import policy as PO
 from floodwatch.operators import tea as TE
 from floodwatch.operators.packets import resolve_addresses
-from floodwatch.plans.slices import asof_join, prefix
+from floodwatch.plans import detect as DE
+from floodwatch.plans.slices import SLICE, asof_join, local_window, prefix, with_slice
 
 T0 = pd.Timestamp("2024-01-01")
 START = datetime(2024, 1, 1)
@@ -162,3 +165,72 @@ def test_trained_models_score_the_rows_written_for_training(spark, tmp_path):
     assert len(made) == 600 and {r[-1] for r in made} == {0, 1}
     # with the models at hand the flows are counted anew, to the same scores
     assert made == sorted(map(tuple, catalog.QUERIES["isolation_forest_score"](spark, str(tmp_path)).collect()))
+
+
+def exchanges_with(df, column: str) -> int:
+    """Shuffles in the plan that move ``column``."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return sum(f"{column}#" in part.split("\n")[1] for part in text.split("\n\n") if re.match(r"\(\d+\) Exchange\n", part.strip("\n") + "\n"))
+
+
+def test_scans_of_the_same_slices_share_a_shuffle(spark, rows):
+    """Dealt scans give what the others give, rows with null keys and times included, and do not shuffle the rows again."""
+    some = rows.withColumn("ts", F.when(F.col("id") % 11 != 0, F.col("ts"))).withColumn("cargo", F.col("id") * 2)
+    right = some.filter("id % 4 = 0").select("k", F.col("ts").alias("from"), F.col("v").alias("w"), F.col("id").alias("tie"))
+    ask = dict(left_ts="ts", right_ts="from", cols=["w"], width_s=7200.0, right_tie="tie")
+    apart = asof_join(prefix(some, ["k"], ["ts", "id"], ts="ts", width_s=7200.0, sums={"total": F.col("id")}, lag={"before": F.col("id")}), right, ["k"], **ask)
+    dealt = with_slice(some, "ts", 7200.0).withColumn("n", F.row_number().over(local_window(["k"], ["ts", "id"])))
+    dealt = prefix(dealt, ["k"], ["ts", "id"], sums={"total": F.col("id")}, lag={"before": F.col("id")}, dealt=True)
+    dealt = asof_join(dealt, right, ["k"], **ask, dealt=True)
+    assert SLICE in dealt.columns and exchanges_with(dealt, "cargo") == 1 < exchanges_with(apart, "cargo")
+    same = ["id", "cargo", "total", "before", "w"]
+    assert sorted(map(repr, dealt.select(same).collect())) == sorted(map(repr, apart.select(same).collect()))
+
+
+def detection_tables(spark):
+    flows = [(i, START + timedelta(minutes=i), i // 60, 1 + i % 2, "10.1.0.%d" % (i % 3 + 1), "10.3.0.1", 0 if i % 4 == 0 else 17, 1 + i % 50, 100 + 31 * i, float(i % 3), 2e8, i % 900, i % 7, 1.0 if i % 9 else 5.0, "c%d" % i)
+             for i in range(240)]
+    flows = spark.createDataFrame(flows, "flow_id long, ts timestamp, poll_id long, dpid long, src_ip string, dst_ip string, ip_proto long, packet_count long, byte_count long, "
+                                         "flow_duration_sec double, flow_duration_nsec double, tp_src long, tp_dst long, wait_s double, cargo string")
+    packets = spark.createDataFrame([(i, START + timedelta(seconds=40 * i), 1 + i % 2, "10.1.0.%d" % (i % 3 + 1), "UDP" if i % 5 else "TCP", i % 5 == 0, False) for i in range(300)],
+                                    "event_id long, ts timestamp, dpid long, src_ip string, proto string, tcp_flags_syn boolean, tcp_flags_ack boolean")
+    states = flows.filter("flow_id % 10 = 0").select("src_ip", "ts", F.col("flow_id").alias("id"), (F.col("flow_id") % 4).cast("int").alias("phase"))
+    return flows, packets, states
+
+
+def test_gate_shuffles_the_flows_once_for_its_scans(spark):
+    flows, packets, states = detection_tables(spark)
+    flows = flows.withColumn("flow_count_per_src", F.lit(1).cast("long"))
+    out = DE.gate(flows, packets, order=["ts", "flow_id"], states=states, wait="wait_s", slice_s=3600.0)
+    assert exchanges_with(out, "cargo") == 1
+    assert out.count() == 240 and {r["route"] for r in out.collect()} >= {"score"}
+
+
+def test_detection_writes_no_features_and_joins_small_tables(spark):
+    """Features follow from the written columns; polls and verdicts are tables whose size Spark knows."""
+    flows, packets, states = detection_tables(spark)
+    out = DE.detect(flows, packets, catalog.fixed_models(), order=["ts", "flow_id"], states=states, wait="wait_s", tick_s=600.0, slice_s=3600.0)
+    scan = next(line for line in optimized(out.select("flow_id", "if_packet_count", "rf_packet_count", "packet_count_per_second", "is_anomaly")).splitlines() if "Relation" in line)
+    assert "if_packet_count" not in scan and "rf_packet_count" not in scan and "packet_count_per_second" not in scan
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    hits = 0
+    for r in out.collect():
+        if r["is_anomaly"] == 1:
+            hits += 1
+            assert r["if_packet_count"] == r["rf_packet_count"] == pytest.approx(math.log1p(r["packet_count"])) and r["pps"] == r["packet_count_per_second"]
+        else:
+            assert r["if_packet_count"] is None and r["rf_packet_count"] is None
+    assert hits
+
+
+def test_polls_are_summed_without_shuffling_flows_by_all_their_columns(spark):
+    flows, _, _ = detection_tables(spark)
+    out = FL.switch_poll_stats(flows)
+    assert exchanges_with(out, "dst_ip") == 1
+    got = {(r["dpid"], r["poll_id"]): r for r in out.collect()}
+    want = flows.toPandas().groupby(["dpid", "poll_id"])
+    assert len(got) == want.ngroups
+    for key, part in want:
+        r = got[key]
+        assert (r["disp_pakt"], r["gfe"], r["g_usip"], r["active_ports"]) == (part.packet_count.sum(), len(part), part.src_ip.nunique(), part.tp_dst.nunique())
+        assert r["dominant_proto"] == max((n, p) for p, n in part.ip_proto.value_counts().items())[1]
