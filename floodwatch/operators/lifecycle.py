@@ -21,7 +21,9 @@ import math
 from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -84,7 +86,8 @@ def history_events(history: DataFrame, ts: str = "unblocked_at") -> DataFrame:
 def compact_results(events: DataFrame, rules: C.LifecycleRules = C.LifecycleRules()) -> DataFrame:
     """Replace runs of results within a tick by their combined effect; lossless for the fold.
 
-    Window partitions are one source within one tick.
+    Window partitions are one source within one tick. The last window's order is
+    the one that the aggregate needs.
     """
     cell = F.floor(F.col("us") / F.lit(rules.tick_s * rules.unit_s * 1e6)).cast("long")
     at = F.struct("us", "rank", "id")
@@ -100,7 +103,7 @@ def compact_results(events: DataFrame, rules: C.LifecycleRules = C.LifecycleRule
     # a row that stays alone is a group of its own; the rest of a run falls into two groups
     rows = (rows.withColumn("_own", F.when(alone, at)).withColumn("_part", F.when(alone, "own").otherwise(part))
             .withColumn("_hit", hit))
-    ordered = Window.partitionBy("src_ip", "_cell", "_run", "_part", "_hit").orderBy("us", "rank", "id")
+    ordered = Window.partitionBy("src_ip", "_cell", "_run", "_part", "_own", "_hit").orderBy("us", "rank", "id")
     rows = rows.withColumn("_rise", F.col("_hit") & (F.col("confidence") > F.lag("confidence").over(ordered)))
     single = F.col("_part") == "own"
     on_hit = F.when(F.col("_hit"), at)
@@ -200,6 +203,8 @@ OUT_FIELDS = (
 )
 OUT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in OUT_FIELDS])
 OUT_COLUMNS = [n for n, _ in OUT_FIELDS]
+BLANK = dict.fromkeys(OUT_COLUMNS) | {"row": "event", "event_type": "transition", "is_manual": 0, "in_ledger": False, "offence_recorded": False, "hold_count": 0}
+values_of = itemgetter(*OUT_COLUMNS)
 LABEL = {1: "Quarantined", 2: "Time Ban", 3: "Blackhole"}
 
 
@@ -214,6 +219,9 @@ class Lifecycle:
         self.rules = rules
         self.unit = rules.unit_s * 1e6
         self.tick = max(1, int(round(rules.tick_s * self.unit)))
+        self.phase1 = {priority: self.span(s) for priority, s in rules.phase1_s.items()}
+        self.observe = self.span(rules.sinkhole_observe_s)
+        self.clears = [self.span(s) for s in sorted(rules.clear_all_at)]
         self.out: list[dict] = []
         self.m: Memory = Memory("")
 
@@ -253,18 +261,15 @@ class Lifecycle:
 
     def say(self, at: int, before: str, who: Tracked | Watched | None, **more) -> None:
         m = self.m
-        row = dict.fromkeys(OUT_COLUMNS)
-        row.update(src_ip=m.src_ip, us=at, seq=m.seq, row="event", from_phase=before, to_phase=self.where(),
-                   event_type="transition", is_manual=0, in_ledger=False, offence_recorded=False, hold_count=0)
-        if who is not None:
-            row.update(attack_vector=who.vector, if_score=who.score, confidence=who.confidence,
-                       session_id=who.session, first_seen_us=who.entered, priority="Low", ban_level=0, offence_count=0, pps=who.pps)
+        whose = {}
         if isinstance(who, Tracked):
-            row.update(priority=who.priority, ban_level=who.ban_level, offence_count=who.offences,
-                       first_seen_us=who.first_seen, phase=who.phase)
-        row.update(more)
+            whose = {"attack_vector": who.vector, "if_score": who.score, "confidence": who.confidence, "session_id": who.session, "pps": who.pps,
+                     "priority": who.priority, "ban_level": who.ban_level, "offence_count": who.offences, "first_seen_us": who.first_seen, "phase": who.phase}
+        elif who is not None:
+            whose = {"attack_vector": who.vector, "if_score": who.score, "confidence": who.confidence, "session_id": who.session, "pps": who.pps,
+                     "priority": "Low", "ban_level": 0, "offence_count": 0, "first_seen_us": who.entered}
+        self.out.append({**BLANK, "src_ip": m.src_ip, "us": at, "seq": m.seq, "from_phase": before, "to_phase": self.where(), **whose, **more})
         m.seq += 1
-        self.out.append(row)
 
     # transitions
 
@@ -446,23 +451,22 @@ class Lifecycle:
 
     def due(self) -> int | None:
         """When the next sweep that finds something to do runs."""
-        m = self.m
-        ends = []
+        m, end = self.m, None
         if m.state is not None:
-            ends.append(m.state.entered + self.span(self.rules.phase1_s[m.state.priority]) if m.state.phase == 1 else m.state.until)
+            end = m.state.entered + self.phase1[m.state.priority] if m.state.phase == 1 else m.state.until
         if m.sink is not None:
-            ends.append(m.sink.entered + self.span(self.rules.sinkhole_observe_s))
-        ends = [e for e in ends if e is not None]
-        if not ends:
+            left = m.sink.entered + self.observe
+            end = left if end is None else min(end, left)
+        if end is None:
             return None
-        return max(-(-min(ends) // self.tick), m.now // self.tick + 1) * self.tick
+        return max(-(-end // self.tick), m.now // self.tick + 1) * self.tick
 
     def sweep(self, at: int) -> None:
         m, s, rules = self.m, self.m.state, self.rules
         m.now = at
         # who is due is settled before anything moves; the sinkhole is swept second
         watched = m.sink
-        if s is not None and s.phase == 1 and at - s.entered >= self.span(rules.phase1_s[s.priority]):
+        if s is not None and s.phase == 1 and at - s.entered >= self.phase1[s.priority]:
             hot, busy = s.score >= rules.threshold, s.pps > rules.active_pps
             if not (hot and busy):
                 self.release(at, "Attack Stopped")
@@ -486,7 +490,7 @@ class Lifecycle:
                 self.release(at, "Ban Expired", record=not held or s.rescored, count=1)
         elif s is not None and s.phase == 3 and s.until is not None and at >= s.until:
             self.release(at, "Blackhole TTL Expired")
-        if watched is not None and at - watched.entered >= self.span(rules.sinkhole_observe_s):
+        if watched is not None and at - watched.entered >= self.observe:
             self.judge(at, watched)
 
     def judge(self, at: int, w: Watched) -> None:
@@ -515,8 +519,7 @@ class Lifecycle:
 
     def apply(self, e) -> None:
         at = int(e.us)
-        for cleared in sorted(self.rules.clear_all_at):
-            c = self.span(cleared)
+        for c in self.clears:
             if (self.m.now is None or self.m.now < c) and c <= at and self.m.now is not None:
                 self.advance(c)
                 self.on_clear_all(c)
@@ -544,8 +547,7 @@ class Lifecycle:
         """Fire what is due until ``as_of`` and report the state left."""
         m, rules = self.m, self.rules
         end = None if rules.as_of is None else self.span(rules.as_of)
-        for cleared in sorted(rules.clear_all_at):
-            c = self.span(cleared)
+        for c in self.clears:
             if m.now is not None and m.now < c and (end is None or c <= end):
                 self.advance(c)
                 self.on_clear_all(c)
@@ -578,8 +580,14 @@ def events_of(batch: pa.RecordBatch) -> Iterator[Event]:
     columns = []
     for name in EVENT_COLUMNS:
         values = batch.column(name)
-        number = pa.types.is_integer(values.type) or pa.types.is_floating(values.type)
-        columns.append(values.to_numpy(zero_copy_only=False).tolist() if number else values.to_pylist())
+        if pa.types.is_string(values.type):     # few different ones, or runs of the same
+            words = values.dictionary_encode()
+            known = np.array([*words.dictionary.to_pylist(), None], dtype=object)
+            columns.append(known[words.indices.fill_null(len(known) - 1).to_numpy()].tolist())
+        elif pa.types.is_boolean(values.type):
+            columns.append(values.to_pylist())
+        else:
+            columns.append(values.to_numpy(zero_copy_only=False).tolist())
     return map(Event._make, zip(*columns))
 
 
@@ -590,6 +598,10 @@ def mitigation_lifecycle(events: DataFrame, rules: C.LifecycleRules = C.Lifecycl
 
     out_schema = to_arrow_schema(OUT_SCHEMA)
 
+    def batch_of(found: list[dict]) -> pa.RecordBatch:
+        columns = zip(*map(values_of, found))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+
     def fold(batches):
         machine, current = Lifecycle(rules), None
         for batch in batches:
@@ -600,12 +612,12 @@ def mitigation_lifecycle(events: DataFrame, rules: C.LifecycleRules = C.Lifecycl
                     current, machine.m = e.src_ip, Memory(e.src_ip)
                 machine.apply(e)
             if machine.out:
-                yield pa.RecordBatch.from_pylist(machine.out, schema=out_schema)
+                yield batch_of(machine.out)
                 machine.out = []
         if current is not None:
             machine.finish()
             if machine.out:
-                yield pa.RecordBatch.from_pylist(machine.out, schema=out_schema)
+                yield batch_of(machine.out)
 
     return sorted_map(rows, ["src_ip"], ["us", "rank", "id"], fold, OUT_SCHEMA, arrow=True)
 

@@ -1,7 +1,9 @@
 import math
 import random
+import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -223,3 +225,24 @@ def test_views(spark, many):
     stats = L.hold_stats(rows).first()
     assert stats["held"] > 0 and L.offence_rows(rows).count() > 0 and L.ledger_rows(rows).count() > 0
     rows.unpersist()
+
+
+def test_compaction_sorts_its_rows_three_times(spark):
+    """The last window leaves the order that the aggregate groups by."""
+    rows = [("10.0.0.%d" % (i % 3), i * 300_000, 2, i, "result", i % 4 == 0) for i in range(40)]
+    events = spark.createDataFrame(rows, "src_ip string, us long, rank int, id long, kind string, hit boolean").select(
+        *[(F.col(n) if n in ("src_ip", "us", "rank", "id", "kind") else {"anomalies": F.col("hit").cast("long"), "if_score": F.lit(0.5), "confidence": F.lit(0.9)}.get(n, F.lit(None))).cast(t).alias(n)
+          for n, t in L.EVENT_FIELDS])
+    plan = L.compact_results(events)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[src_ip#", plan)) == 3
+
+
+def test_events_are_read_as_pandas_reads_them():
+    """Words that repeat, empty ones and gaps; numbers that are missing are NaN."""
+    some = {"src_ip": ["a", "a", None, ""], "us": [1, 2, 3, None], "kind": ["result", "hold", None, "result"], "correlated": [True, None, False, None], "if_score": [0.5, None, 1.0, 2.0]}
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+    batch = pa.RecordBatch.from_arrays([pa.array(some.get(n, [None] * 4), types[t.simpleString()]) for n, t in L.EVENT_FIELDS], names=L.EVENT_COLUMNS)
+    got = list(L.events_of(batch))
+    assert [e.src_ip for e in got] == ["a", "a", None, ""] and [e.kind for e in got] == ["result", "hold", None, "result"]
+    assert [e.us for e in got[:3]] == [1, 2, 3] and math.isnan(got[3].us) and math.isnan(got[1].if_score)
+    assert [e.correlated for e in got] == [True, None, False, None] and [e.reason for e in got] == [None] * 4

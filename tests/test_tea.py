@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,16 @@ def test_profiles_add_up_rows_instead_of_frames(spark):
     f = spark.createDataFrame([("s", T0, 1, 2.0)], "src_ip string, ts timestamp, id long, packet_count_per_second double")
     plan = T.ip_profile_verdict(f, ["ts", "id"], slice_s=60.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "lag(" in plan and "avg(" not in plan and "var_pop(" not in plan
+
+
+def test_snapshots_that_may_never_be_read_run_nothing_when_built(spark):
+    """Without written medians the same snapshots come from a plan alone: no job runs before they are read."""
+    rows = [("s%d" % (i % 7), T0 + dt.timedelta(seconds=i % 5), (6, 1, 17)[i % 3], 1 + i % 13, 40 + 17 * i % 900, 1.0 + i % 11, 60.0 + i % 29) for i in range(180)]
+    flows = spark.createDataFrame(rows, "src_ip string, ts timestamp, ip_proto long, packet_count long, byte_count long, packet_count_per_second double, byte_count_per_second double")
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    lazy = T.tea_verdict(T.tea_snapshot(flows, tick_s=1.0, written=False))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(jobs)
+    want = T.tea_verdict(T.tea_snapshot(flows, tick_s=1.0)).orderBy("tick_ts").toPandas()
+    pd.testing.assert_frame_equal(lazy.orderBy("tick_ts").toPandas(), want)
